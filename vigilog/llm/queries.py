@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, secrets, simhash, toxicity
+from . import ann, bpe, chat, decontaminate, html, pii, secrets, simhash, toxicity
 from .common import table
 
 #: A document is called toxic from this score on.
@@ -18,11 +18,33 @@ def tokenizer() -> tuple[dict[bytes, int], str]:
     return bpe.read_ranks(None, public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN
 
 
+def op2_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    made = chat.windows(turns.unionByName(extra))
+    new = F.slice(chat.read_turns(F.col("formatted")), F.col("n_repeated").cast("int") + 1, F.col("n_turns").cast("int"))
+    read = made.select("conv_id", "window", "formatted", new.alias("new"), chat.masked_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    lines = F.array_join(F.transform("new", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    read = read.select("conv_id", "window", F.size("new").cast("long").alias("n"), lines.alias("lines"), "loss", F.char_length("formatted").cast("long").alias("chars"))
+    whole = read.groupBy("conv_id").agg(F.sum("n").alias("n_turns"), F.array_sort(F.collect_list(F.struct("window", "lines", "loss"))).alias("w"), F.sum("chars").alias("formatted_chars"))
+    loss = F.array_join(F.transform("w", lambda x: x["loss"]), "")
+    return whole.select("conv_id", "n_turns", F.sha2(F.array_join(F.transform("w", lambda x: x["lines"]), ""), 256).alias("turns_sha256"), F.char_length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars")
+
+
+def op3_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = tokenizer()
     return bpe.encode(table(spark, sf_dir, "documents"), ranks, pattern, with_ids=False)
 
 
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"), key="vigilog")
+
+
 def op6_secret_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -31,6 +53,10 @@ def op6_secret_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(F.array_join(F.transform(base, name), ","), 256).alias("base_sha256"), F.array_join(F.transform("spans", name), ",").alias("spans"))
 
 
+def op7_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, radius=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -47,5 +73,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op4_byte_bpe, op6_secret_grammar, op8_simhash, op9_decontaminate, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op2_chat_windows, op3_page_text, op4_byte_bpe, op5_pii_surrogates, op6_secret_grammar, op7_posting_lists, op8_simhash, op9_decontaminate, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {}
