@@ -3,7 +3,8 @@
 Inner products become Euclidean distances by one more coordinate.  Centroids are
 the leaf means of a balanced tree (median splits) over a bounded sample; every
 vector is put on its nearest list and, as a boundary vector, on each other list
-not farther than ``closure`` times that distance.  A query walks a neighbour
+not farther than ``closure`` times that distance, the ``replicas`` nearest of
+them.  A query walks a neighbour
 graph of the centroids in memory, keeps the lists within ``ratio`` times the
 nearest distance and compares itself with all vectors on them.  Lists and their
 queries are cut into blocks, so no task holds an unbounded list.
@@ -119,7 +120,7 @@ def valid(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.select("id", F.transform("v", lambda x: x + F.lit(0.0)).alias("v"))
 
 
-def search(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", closure: float = 1.12, ratio: float = 1.25, max_lists: int = 4096) -> DataFrame:
+def search(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", closure: float = 1.06, replicas: int = 8, ratio: float = 1.12, max_lists: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score for every row where ``is_query`` (a Column over ``id``) holds.
 
     All lists within the ratio are searched; there is no cap on candidates.
@@ -154,7 +155,8 @@ def search(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_
             m = model.value
             x = augment(_matrix(b.column(1)), m.reach)
             far = np.maximum((x * x).sum(1)[:, None] + (m.points * m.points).sum(1)[None, :] - 2 * x @ m.points.T, 0)
-            at, to = np.nonzero(far <= far.min(1)[:, None] * closure * closure + 1e-12)
+            close = np.sort(far, axis=1)[:, min(replicas, far.shape[1]) - 1]
+            at, to = np.nonzero(far <= np.minimum(far.min(1) * closure * closure, close)[:, None] + 1e-12)
             yield pa.RecordBatch.from_arrays([pa.array(b.column(0).to_numpy(zero_copy_only=False)[at]), pa.array(to.astype(np.int32))], names=["cls", "lst"])
 
     def walk(batches):

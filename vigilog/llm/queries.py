@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, decontaminate, html, pii, secrets, simhash, toxicity
-from .common import table
+from . import ann, bpe, chat, decontaminate, html, lm, pii, secrets, simhash, toxicity
+from .common import crc_bucket, table
 
 #: A document is called toxic from this score on.
 TOXIC_FROM = 0.3
@@ -18,6 +18,10 @@ def tokenizer() -> tuple[dict[bytes, int], str]:
     return bpe.read_ranks(None, public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN
 
 
+def op1_lm_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), crc_bucket(F.col("doc_id"), 7) == 2)
+
+
 def op2_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -73,5 +77,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_windows, op3_page_text, op4_byte_bpe, op5_pii_surrogates, op6_secret_grammar, op7_posting_lists, op8_simhash, op9_decontaminate, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_lm_filter, op2_chat_windows, op3_page_text, op4_byte_bpe, op5_pii_surrogates, op6_secret_grammar, op7_posting_lists, op8_simhash, op9_decontaminate, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {}
