@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 from .common import texts
 
 #: Pieces remembered per Python worker; a speed bound only, longer ones are encoded anew.
-CACHE_PIECES = 200_000
+CACHE_PIECES = 600_000
 CACHE_PIECE_BYTES = 64
+#: Texts are encoded in groups of about this many characters.
+GROUP_CHARS = 1_500_000
 
 
 class PrefixBpe:
@@ -55,13 +57,35 @@ class PrefixBpe:
         return known
 
     def last_token(self, data: bytes, i: int, last: list[int]) -> int:
-        get, follows = self.ranks.get, self.follows
-        for j in range(max(0, i - self.longest), i):
+        get, known = self.ranks.get, self._follows.get
+        # only one candidate is valid, so the order is free: it is mostly a short one
+        for j in range(i - 1, (i - self.longest if i > self.longest else 0) - 1, -1):
             t = get(data[j:i])
-            if t is not None and (j == 0 or follows(last[j], t)):
-                return t
+            if t is not None:
+                if j == 0:
+                    return t
+                ok = known((last[j], t))
+                if ok or (ok is None and self.follows(last[j], t)):
+                    return t
         raise ValueError("the vocabulary lacks a single byte")
 
+    def encode_sorted(self, pieces: list[bytes]) -> list[list[int]]:
+        """Encode sorted pieces, each from the table of the prefix it shares with the one before."""
+        out, before, last = [], b"", [-1]
+        for data in pieces:
+            whole = self.ranks.get(data)
+            if whole is not None:
+                out.append([whole])
+                continue
+            n = min(len(before), len(data))
+            same = n if before[:n] == data[:n] else next(k for k in range(n) if before[k] != data[k])
+            del last[same + 1 :]
+            for i in range(same + 1, len(data) + 1):
+                last.append(self.last_token(data, i, last))
+            before = data
+            out.append(self.read(last))
+        return out
+
     def table(self, data: bytes) -> list[int]:
         last = [-1] * (len(data) + 1)
         for i in range(1, len(data) + 1):
@@ -137,27 +161,40 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "
         find = regex.compile(pattern).findall
         sha = hashlib.sha256
 
-        def piece_ids(piece: str) -> str:
-            data = piece.encode()
-            ids = " ".join(map(str, bpe.encode_piece(data)))
-            if len(data) <= CACHE_PIECE_BYTES:
-                if len(cache) >= CACHE_PIECES:
-                    cache.clear()
-                cache[piece] = ids
-            return ids
+        def learn(pieces: set[str]) -> None:
+            if len(cache) + len(pieces) > CACHE_PIECES:
+                cache.clear()
+            missing = sorted((p.encode(), p) for p in pieces if p not in cache and len(p) <= CACHE_PIECE_BYTES)
+            for (_, p), ids in zip(missing, bpe.encode_sorted([b for b, _ in missing]), strict=True):
+                cache[p] = " ".join(map(str, ids))
+
+        def groups(column):
+            held, size = [], 0
+            for text in column:
+                held.append(find(text or ""))
+                size += len(text or "")
+                if size >= GROUP_CHARS:
+                    yield held
+                    held, size = [], 0
+            yield held
+
+        def long_ids(piece: str) -> str:
+            return " ".join(map(str, bpe.encode_piece(piece.encode())))
 
         for batch in batches:
             names = batch.schema.names
             ids_out, n, enc, dec = [], [], [], []
-            for text in (x or "" for x in batch.column(names.index("_text")).to_pylist()):
+            for group in groups(batch.column(names.index("_text")).to_pylist()):
+                learn(set().union(*group))
                 get = cache.get
-                joined = " ".join([get(p) or piece_ids(p) for p in find(text)])
-                ids = joined.split(" ") if joined else []
-                n.append(len(ids))
-                if with_ids:
-                    ids_out.append([int(i) for i in ids])
-                enc.append(sha(joined.encode()).hexdigest())
-                dec.append(sha(b"".join([token_of[i] for i in ids])).hexdigest())
+                for pieces in group:
+                    joined = " ".join([get(p) or long_ids(p) for p in pieces])
+                    ids = joined.split(" ") if joined else []
+                    n.append(len(ids))
+                    if with_ids:
+                        ids_out.append([int(i) for i in ids])
+                    enc.append(sha(joined.encode()).hexdigest())
+                    dec.append(sha(b"".join([token_of[i] for i in ids])).hexdigest())
             columns = [batch.column(names.index("_id"))] + ([pa.array(ids_out, pa.list_(pa.int32()))] if with_ids else []) + [pa.array(n, pa.int64()), pa.array(enc, pa.string()), pa.array(dec, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=[id_col] + (["ids"] if with_ids else []) + ["n_tokens", "ids_sha256", "decoded_sha256"])
 
