@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import texts
 
 #: Pieces remembered per Python worker; a speed bound only, longer ones are encoded anew.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 400_000
 CACHE_PIECE_BYTES = 64
 #: Texts are encoded in groups of about this many characters.
 GROUP_CHARS = 1_500_000
@@ -153,6 +153,7 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "
     schema = f"{id_col} {id_type}, " + ("ids array<int>, " if with_ids else "") + "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
         import regex
 
@@ -183,20 +184,26 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "
 
         for batch in batches:
             names = batch.schema.names
-            ids_out, n, enc, dec = [], [], [], []
+            row = 0
             for group in groups(batch.column(names.index("_text")).to_pylist()):
                 learn(set().union(*group))
                 get = cache.get
+                id_parts, n, enc, dec = [], [], [], []
                 for pieces in group:
                     joined = " ".join([get(p) or long_ids(p) for p in pieces])
                     ids = joined.split(" ") if joined else []
                     n.append(len(ids))
                     if with_ids:
-                        ids_out.append([int(i) for i in ids])
+                        id_parts.append(np.array(ids, np.int32))
                     enc.append(sha(joined.encode()).hexdigest())
                     dec.append(sha(b"".join([token_of[i] for i in ids])).hexdigest())
-            columns = [batch.column(names.index("_id"))] + ([pa.array(ids_out, pa.list_(pa.int32()))] if with_ids else []) + [pa.array(n, pa.int64()), pa.array(enc, pa.string()), pa.array(dec, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=[id_col] + (["ids"] if with_ids else []) + ["n_tokens", "ids_sha256", "decoded_sha256"])
+                columns = [batch.column(names.index("_id")).slice(row, len(group))]
+                if with_ids:
+                    offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*id_parts, np.zeros(0, np.int32)]))))
+                columns += [pa.array(n, pa.int64()), pa.array(enc, pa.string()), pa.array(dec, pa.string())]
+                row += len(group)
+                yield pa.RecordBatch.from_arrays(columns, names=[id_col] + (["ids"] if with_ids else []) + ["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, schema)
 
