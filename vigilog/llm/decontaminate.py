@@ -3,6 +3,7 @@
 Items are indexed once; each training passage (overlapping token windows over
 the whole text, wide enough to hold any item whole) is a query, and every item
 whose share of its own best BM25 score reaches ``threshold`` is retrieved.
+A passage is first bounded by its rarer terms alone, which skips no item.
 Retrieved pairs are verified on the text around: overlap of the item's question
 (all but its last sentence) by 5-word shingles and of its answer (the last
 sentence) by words in the same place.
@@ -27,6 +28,8 @@ from .common import PUNCT_TO_SPACE, texts
 
 K1, B = 1.2, 0.75
 POSTINGS_PER_BLOCK = 16
+#: Share of an item's best score that its most widespread terms may make up unread in the first bound.
+LIGHT = 0.35
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -66,6 +69,20 @@ class Index:
         self.docs = {w: [d for d, _ in p] for w, p in postings.items()}
         self.part = {w: [x for _, x in p] for w, p in postings.items()}
         self.bound = {w: max(x) for w, x in self.part.items()}
+        # Per item, its most widespread terms, worth at most LIGHT together, may be left out of the first bound.
+        self.light: dict[bytes, list[tuple[int, float]]] = {}
+        self.rest = []
+        for d, bag in enumerate(bags):
+            at = {w: self.part[w][bisect_left(self.docs[w], d)] for w in bag}
+            rest = 0.0
+            for w in sorted(bag, key=lambda w: (-df[w], w)):
+                if rest is not None and rest + at[w] <= LIGHT:
+                    rest += at[w]
+                    held = rest
+                else:
+                    held, rest = (held if rest is None else rest), None
+                    self.light.setdefault(w, []).append((d, at[w]))
+            self.rest.append(held)
         step = POSTINGS_PER_BLOCK
         self.block_end = {w: [p[min(k + step, len(p)) - 1] for k in range(0, len(p), step)] for w, p in self.docs.items()}
         self.block_max = {w: [max(x[k : k + step]) for k in range(0, len(x), step)] for w, x in self.part.items()}
@@ -163,13 +180,26 @@ def find(documents: DataFrame, benchmark: DataFrame, threshold: float = 0.5, min
 
 def _searcher(shared, threshold, min_question, min_answer, schema):
     def run(batches):
-        import numpy as np
         import pyarrow as pa
 
         index: Index = shared.value
         bound = index.bound
         stride = max(index.longest, 32)
         width = 2 * stride
+        light = index.light
+        need = [threshold - 1e-9 - r for r in index.rest]
+        always = any(x <= 0 for x in need)
+
+        def promising(lists) -> bool:
+            """Whether an item can reach the threshold: its rarer terms here plus all of its widespread ones."""
+            total: dict[int, float] = {}
+            for postings in lists:
+                for d, x in postings:
+                    total[d] = t = total.get(d, 0.0) + x
+                    if t >= need[d]:
+                        return True
+            return always
+
         for batch in batches:
             ids = batch.column(0).to_pylist()
             out = []
@@ -177,12 +207,13 @@ def _searcher(shared, threshold, min_question, min_answer, schema):
                 words = tokens(text)
                 if not words or not bound:
                     continue
-                upper = np.fromiter((bound.get(w, 0.0) for w in words), float, len(words))
-                total = np.concatenate([[0.0], np.cumsum(upper)])
-                starts = np.arange(0, max(1, len(words) - stride), stride)
-                ends = np.minimum(starts + width, len(words))
+                at = [i for i, w in enumerate(words) if w in light]
+                lists = [light[words[i]] for i in at]
                 best: dict[int, tuple] = {}
-                for s, e in zip(starts[total[ends] - total[starts] >= threshold - 1e-9], ends[total[ends] - total[starts] >= threshold - 1e-9], strict=True):
+                for s in range(0, max(1, len(words) - stride), stride):
+                    e = min(s + width, len(words))
+                    if not promising(lists[bisect_left(at, s) : bisect_left(at, e)]):
+                        continue
                     terms = {w for w in words[s:e] if w in bound}
                     if sum(bound[w] for w in terms) < threshold - 1e-9:
                         continue

@@ -122,10 +122,10 @@ r AS (SELECT *, coalesce(sum(CASE WHEN gap > 600 THEN 1 ELSE 0 END) OVER (PARTIT
 s AS (SELECT event_type, run, count(*) AS run_size, avg(CASE WHEN gap <= 600 THEN gap END) AS m, stddev_pop(CASE WHEN gap <= 600 THEN gap END) AS sd FROM r GROUP BY 1, 2)"""
 
 
-@query(_RUNS + " SELECT event_id, CAST(run AS BIGINT) AS run, run_size, round(CASE WHEN run_size >= 3 AND m > 0 THEN sd ELSE 999 END, 4) AS dt_std, round(CASE WHEN run_size >= 3 AND m > 0 THEN sd / m ELSE 999 END, 6) AS dt_cv FROM r JOIN s USING (event_type, run)")
+@query(_RUNS + " SELECT event_id, CAST(run AS BIGINT) AS run, run_size, round(CASE WHEN run_size >= 3 AND m > 0 THEN sd ELSE 999 END, 3) AS dt_std, round(CASE WHEN run_size >= 3 AND m > 0 THEN sd / m ELSE 999 END, 6) AS dt_cv FROM r JOIN s USING (event_type, run)")
 def runs_cadence(spark, d):
     made = timing.runs(read(spark, d, "events"), ["event_type"], "ts", "event_id", 600)
-    return made.select("event_id", "run", "run_size", F.round("dt_std", 4).alias("dt_std"), r6("dt_cv").alias("dt_cv"))
+    return made.select("event_id", "run", "run_size", F.round("dt_std", 3).alias("dt_std"), r6("dt_cv").alias("dt_cv"))
 
 
 _GRID = """WITH t AS (SELECT DISTINCT epoch_us(o_orderdate) AS us FROM orders WHERE o_orderdate IS NOT NULL), g AS (SELECT us - lag(us) OVER (ORDER BY us) AS gap FROM t), s AS (SELECT gap, count(*) AS n FROM g WHERE gap > 0 GROUP BY 1 ORDER BY n DESC, gap LIMIT 1)"""
