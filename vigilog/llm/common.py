@@ -46,3 +46,11 @@ def texts(batch, column: str) -> list[bytes]:
     import pyarrow as pa
 
     return [b"" if x is None else x for x in batch.column(column).cast(pa.large_binary()).to_pylist()]
+
+
+def free_name(df: DataFrame, base: str) -> str:
+    """``base``, lengthened until no column of ``df`` has that name (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base

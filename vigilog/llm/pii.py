@@ -10,9 +10,10 @@ names are mapped apart, so a short mention follows the long one.  All distinct
 entities are then checked against each other and against the originals, and
 those that clash move on to their next surrogate until none does.
 
-Null and empty texts stay as they are; repeated rows keep a row each; other
-columns are kept unless the operator's own names (``_ents``, ``_map``) clash,
-which raises.  Entities of one doc_id share a map.
+Null and empty texts stay as they are; repeated rows and null ids keep a row
+each; other columns are kept, but an input column n_entities is replaced by the
+operator's own.  A text is searched by the full pattern only where a cheap
+necessary condition holds.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import free_name, materialise
 
 # Titles by gender, and surrogate name pools by script and gender.
 TITLES = {
@@ -156,21 +157,27 @@ def assign(entities: DataFrame, key: str, max_rounds: int = 30) -> DataFrame:
     raise ValueError("surrogates still clash: enlarge the pools or max_rounds")
 
 
+def maybe(text: Column) -> Column:
+    """False only for texts without any entity: a cheap necessary condition (an at sign, a digit run with its separators, or a title)."""
+    titled = reduce(lambda a, b: a | b, [text.contains(t) for group in TITLES.values() for t in group])
+    return F.coalesce(text.contains("@") | text.rlike(r"[0-9][0-9A-Z .()-]{6}") | (titled & text.rlike(rf"(?:{_TITLE})\.? \p{{Lu}}")), F.lit(False))
+
+
 def replace_entities(df: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with every entity of ``text_col`` replaced, and n_entities (long)."""
-    if {"_ents", "_map", "n_entities"} & set(df.columns):
-        raise ValueError("columns _ents, _map and n_entities are the operator's own")
-    with_ents = df.withColumn("_ents", F.coalesce(F.regexp_extract_all(text_col, F.lit(ANY), F.lit(0)), F.array().cast("array<string>")))
-    surfaces = materialise(with_ents.filter(F.size("_ents") > 0).select(F.col(id_col).alias("id"), F.explode(F.array_distinct("_ents")).alias("surface")).distinct(), "surfaces")
+    ents, mapped, row, between = (free_name(df, x) for x in ("_ents", "_map", "_row", "_between"))
+    kept = [c for c in df.columns if c != "n_entities"]
+    base = df.select(*[F.col(f"`{c}`") for c in kept])
+    some = materialise(base.filter(maybe(F.col(text_col))).withColumn(ents, F.regexp_extract_all(text_col, F.lit(ANY), F.lit(0))).withColumn(between, F.split(text_col, ANY, -1)).withColumn(row, F.monotonically_increasing_id()), "matched")
+    surfaces = some.filter(F.size(ents) > 0).select(F.col(row).alias("row"), F.explode(F.array_distinct(ents)).alias("surface"))
     parts = surfaces.select("surface").distinct().select("surface", F.posexplode(_forms(F.col("surface"))).alias("place", "form")).select("surface", "place", "form.kind", "form.norm")
     parts = materialise(parts, "forms")
     subs = parts.join(assign(parts, key), ["kind", "norm"]).groupBy("surface").agg(F.array_sort(F.collect_list(F.struct("place", "sub"))).alias("subs"))
     known = subs.select("surface", _render(F.col("surface"), F.transform("subs", lambda s: s["sub"])).alias("new"))
-    maps = surfaces.join(known, "surface").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("surface", "new"))).alias("_map"))
-    joined = with_ents.filter(F.size("_ents") > 0).join(maps, F.col(id_col).eqNullSafe(F.col("id"))).drop("id")
-    pieces = F.split(text_col, ANY, -1)
-    filled = F.concat(F.array_join(F.flatten(F.transform("_ents", lambda e, i: F.array(F.get(pieces, i), F.element_at("_map", e)))), ""), F.element_at(pieces, -1))
-    changed = joined.withColumn(text_col, filled).withColumn("n_entities", F.size("_ents").cast("long"))
-    same = with_ents.filter(F.size("_ents") == 0).withColumn("n_entities", F.lit(0).cast("long"))
-    columns = [*df.columns, "n_entities"]
-    return changed.select(*columns).unionByName(same.select(*columns))
+    maps = surfaces.join(known, "surface").groupBy(F.col("row").alias(row)).agg(F.map_from_entries(F.collect_list(F.struct("surface", "new"))).alias(mapped))
+    joined = some.filter(F.size(ents) > 0).join(maps, row)
+    filled = F.concat(F.array_join(F.flatten(F.transform(ents, lambda e, i: F.array(F.get(between, i), F.element_at(mapped, e)))), ""), F.element_at(between, -1))
+    changed = joined.withColumn(text_col, filled).withColumn("n_entities", F.size(ents).cast("long"))
+    none = F.lit(0).cast("long").alias("n_entities")
+    same = base.filter(~maybe(F.col(text_col))).select("*", none).unionByName(some.filter(F.size(ents) == 0).select(*kept, none))
+    return changed.select(*kept, "n_entities").unionByName(same)
