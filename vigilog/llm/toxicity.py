@@ -1,20 +1,22 @@
 """Toxicity by non-negative positive-unlabelled (nnPU) learning.
 
-A linear numpy classifier over the presence of words is fitted from confirmed
+A linear numpy classifier over the presence of words and of runs of characters
+in them is fitted from confirmed
 toxic examples (positives) and unlabelled text.  With class prior ``p`` the risk
 is ``p * R+(pos) + max(0, R-(unl) - p * R-(pos))``; where the second term turns
 negative its gradient is stepped against, as the method prescribes.
 
 The fit uses a bounded sample of the allowed rows: at most ``max_positive``
 positives and ``max_unlabelled`` rows of any kind (confirmed ones included, so
-that their share is the prior), those of smallest keyed hash of doc_id.  Scoring covers every whole text.  Null texts count as empty and get the
-score of no words; with no positives the model is constant (score = prior).
+that their share is the prior), those of smallest keyed hash of doc_id.  Scoring
+covers every whole text.  Null texts count as empty and get the score of no words; with no positives the model is constant (score = prior).
 Repeated rows keep one output row each; further columns are ignored.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,22 +24,44 @@ from pyspark.sql import functions as F
 from .common import PUNCT_TO_SPACE, crc_bucket, texts
 
 
-@dataclass(frozen=True)
-class ToxicityModel:
-    weights: dict[bytes, float]
-    bias: float
-    prior: float
-
-
 def words_of(text: bytes) -> set[bytes]:
     return set(text.lower().translate(PUNCT_TO_SPACE).split())
 
 
-def fit_nnpu(positive: list[list[bytes]], unlabelled: list[list[bytes]], prior: float, min_df: int = 5, min_z: float = 4.0, epochs: int = 300, rate: float = 0.05, l2: float = 1e-4, beta: float = 0.0, gamma: float = 1.0) -> ToxicityModel:
+def pieces(word: bytes) -> list[bytes]:
+    """The features of a word: itself and, marked by ``#``, its runs of 4 and 5 characters with its ends."""
+    marked = f"^{word.decode(errors='replace')}$"
+    return [word, *{("#" + marked[i : i + n]).encode() for n in (4, 5) for i in range(len(marked) - n + 1)}]
+
+
+@dataclass
+class ToxicityModel:
+    weights: dict[bytes, float]
+    bias: float
+    prior: float
+    #: Weighted features by word, remembered in a worker (a speed bound only).
+    memo: dict[bytes, tuple] = field(default_factory=dict, repr=False, compare=False)
+
+    def probability(self, text: bytes) -> float:
+        held: set[bytes] = set()
+        for w in words_of(text):
+            own = self.memo.get(w)
+            if own is None:
+                if len(self.memo) > 300_000:
+                    self.memo.clear()
+                own = self.memo[w] = tuple(f for f in pieces(w) if f in self.weights)
+            if own:
+                held.update(own)
+        s = self.bias + math.fsum(self.weights[f] for f in held)
+        return 1 / (1 + math.exp(-max(-40.0, min(40.0, s))))
+
+
+def fit_nnpu(positive: list[list[bytes]], unlabelled: list[list[bytes]], prior: float, min_df: int = 5, min_z: float = 4.0, epochs: int = 600, rate: float = 0.05, l2: float = 1e-5, beta: float = 0.0, gamma: float = 1.0) -> ToxicityModel:
     """Full-batch Adam on the non-negative PU risk with the sigmoid loss, which bounds what one text can add.
 
-    Features are the words in at least ``min_df`` sampled texts whose share
-    differs between positives and unlabelled by ``min_z`` standard errors.
+    Features are the words and character runs in at least ``min_df`` sampled
+    texts whose share differs between positives and unlabelled by ``min_z``
+    standard errors.
     """
     import numpy as np
 
@@ -47,31 +71,30 @@ def fit_nnpu(positive: list[list[bytes]], unlabelled: list[list[bytes]], prior:
     if not n_p or not n_u:
         return ToxicityModel({}, start, prior)
     index: dict[bytes, int] = {}
-    for doc in positive + unlabelled:
-        for w in doc:
-            index.setdefault(w, len(index))
+    known: dict[bytes, list[int]] = {}
+
+    def ids(docs):
+        """Row and feature numbers of the docs' distinct features."""
+        out = []
+        for doc in docs:
+            own: set[int] = set()
+            for w in doc:
+                if w not in known:
+                    known[w] = [index.setdefault(f, len(index)) for f in pieces(w)]
+                own.update(known[w])
+            out.append(np.fromiter(sorted(own), np.int32, len(own)))
+        return np.repeat(np.arange(len(out)), [len(x) for x in out]), np.concatenate(out)
+
+    (rp, fp), (ru, fu) = ids(positive), ids(unlabelled)
     names = list(index)
-
-    def counts(docs):
-        ids = np.array([index[w] for d in docs for w in d], np.int64)
-        return np.bincount(ids, minlength=len(names)).astype(float)
-
-    c_p, c_u = counts(positive), counts(unlabelled)
+    c_p, c_u = (np.bincount(f, minlength=len(names)).astype(float) for f in (fp, fu))
     pooled = (c_p + c_u) / (n_p + n_u)
     z = (c_p / n_p - c_u / n_u) / np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / n_p + 1 / n_u))
     chosen = np.flatnonzero((c_p + c_u >= min_df) & (np.abs(z) >= min_z))
-    slot = {names[i]: k for k, i in enumerate(chosen)}
-
-    def sparse(docs):
-        rows, cols = [], []
-        for r, d in enumerate(docs):
-            for w in d:
-                if w in slot:
-                    rows.append(r)
-                    cols.append(slot[w])
-        return np.array(rows, np.int64), np.array(cols, np.int64)
-
-    (rp, cp), (ru, cu) = sparse(positive), sparse(unlabelled)
+    slot = np.full(len(names), -1)
+    slot[chosen] = np.arange(len(chosen))
+    held_p, held_u = slot[fp] >= 0, slot[fu] >= 0
+    rp, cp, ru, cu = rp[held_p], slot[fp[held_p]], ru[held_u], slot[fu[held_u]]
     k = len(chosen)
     theta = np.zeros(k + 1)
     theta[k] = start
@@ -93,7 +116,7 @@ def fit_nnpu(positive: list[list[bytes]], unlabelled: list[list[bytes]], prior:
         grad[k] = g_p.sum() + g_u.sum()
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         theta -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
-    return ToxicityModel({w: float(theta[i]) for w, i in slot.items()}, float(theta[k]), prior)
+    return ToxicityModel({names[i]: float(theta[slot[i]]) for i in chosen}, float(theta[k]), prior)
 
 
 def held_out(col=None):
@@ -131,16 +154,8 @@ def score(df: DataFrame, model: ToxicityModel, text_col: str = "text", out: str
 
     @F.pandas_udf("double")
     def probability(column):
-        import math
-
         import pandas as pd
 
-        weights, bias = shared.value.weights, shared.value.bias
-        keys = frozenset(weights)
-        values = []
-        for text in column:
-            s = bias + math.fsum(weights[w] for w in words_of(text.encode() if text else b"") & keys)
-            values.append(1 / (1 + math.exp(-max(-40.0, min(40.0, s)))))
-        return pd.Series(values, dtype="float64")
+        return pd.Series([shared.value.probability(text.encode() if text else b"") for text in column], dtype="float64")
 
     return df.withColumn(out, probability(F.col(text_col)))
