@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PUNCT_TO_SPACE, crc_bucket, texts
+from .common import PUNCT_TO_SPACE, crc_bucket, materialise, texts
 
 
 def words_of(text: bytes) -> set[bytes]:
@@ -56,12 +56,10 @@ class ToxicityModel:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, s))))
 
 
-def fit_nnpu(positive: list[list[bytes]], unlabelled: list[list[bytes]], prior: float, min_df: int = 5, min_z: float = 4.0, epochs: int = 600, rate: float = 0.05, l2: float = 1e-5, beta: float = 0.0, gamma: float = 1.0) -> ToxicityModel:
+def fit_nnpu(positive: list[list[int]], unlabelled: list[list[int]], names: list[bytes], prior: float, epochs: int = 600, rate: float = 0.05, l2: float = 1e-5, beta: float = 0.0, gamma: float = 1.0) -> ToxicityModel:
     """Full-batch Adam on the non-negative PU risk with the sigmoid loss, which bounds what one text can add.
 
-    Features are the words and character runs in at least ``min_df`` sampled
-    texts whose share differs between positives and unlabelled by ``min_z``
-    standard errors.
+    Texts are lists of positions in ``names``, the features.
     """
     import numpy as np
 
@@ -70,32 +68,12 @@ def fit_nnpu(positive: list[list[bytes]], unlabelled: list[list[bytes]], prior:
     n_p, n_u = len(positive), len(unlabelled)
     if not n_p or not n_u:
         return ToxicityModel({}, start, prior)
-    index: dict[bytes, int] = {}
-    known: dict[bytes, list[int]] = {}
-
-    def ids(docs):
-        """Row and feature numbers of the docs' distinct features."""
-        out = []
-        for doc in docs:
-            own: set[int] = set()
-            for w in doc:
-                if w not in known:
-                    known[w] = [index.setdefault(f, len(index)) for f in pieces(w)]
-                own.update(known[w])
-            out.append(np.fromiter(sorted(own), np.int32, len(own)))
-        return np.repeat(np.arange(len(out)), [len(x) for x in out]), np.concatenate(out)
-
-    (rp, fp), (ru, fu) = ids(positive), ids(unlabelled)
-    names = list(index)
-    c_p, c_u = (np.bincount(f, minlength=len(names)).astype(float) for f in (fp, fu))
-    pooled = (c_p + c_u) / (n_p + n_u)
-    z = (c_p / n_p - c_u / n_u) / np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / n_p + 1 / n_u))
-    chosen = np.flatnonzero((c_p + c_u >= min_df) & (np.abs(z) >= min_z))
-    slot = np.full(len(names), -1)
-    slot[chosen] = np.arange(len(chosen))
-    held_p, held_u = slot[fp] >= 0, slot[fu] >= 0
-    rp, cp, ru, cu = rp[held_p], slot[fp[held_p]], ru[held_u], slot[fu[held_u]]
-    k = len(chosen)
+
+    def sparse(docs):
+        return np.repeat(np.arange(len(docs)), [len(x) for x in docs]), np.array([i for x in docs for i in x], np.int64)
+
+    (rp, cp), (ru, cu) = sparse(positive), sparse(unlabelled)
+    k = len(names)
     theta = np.zeros(k + 1)
     theta[k] = start
     m, v = np.zeros(k + 1), np.zeros(k + 1)
@@ -116,7 +94,7 @@ def fit_nnpu(positive: list[list[bytes]], unlabelled: list[list[bytes]], prior:
         grad[k] = g_p.sum() + g_u.sum()
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         theta -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
-    return ToxicityModel({names[i]: float(theta[slot[i]]) for i in chosen}, float(theta[k]), prior)
+    return ToxicityModel({w: float(theta[i]) for i, w in enumerate(names)}, float(theta[k]), prior)
 
 
 def held_out(col=None):
@@ -124,7 +102,7 @@ def held_out(col=None):
     return F.coalesce(crc_bucket(F.col("doc_id") if col is None else col, 4) == 2, F.lit(False))
 
 
-def train(documents: DataFrame, labels: DataFrame, max_positive: int = 4000, max_unlabelled: int = 12000, prior: float | None = None, seed: int = 7) -> ToxicityModel:
+def train(documents: DataFrame, labels: DataFrame, max_positive: int = 4000, max_unlabelled: int = 12000, prior: float | None = None, min_df: int = 5, min_z: float = 4.0, seed: int = 7) -> ToxicityModel:
     """Fit from rows that are not held out; ``prior`` defaults to the toxic share of their labels."""
     known = labels.filter(~held_out() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     if prior is None:
@@ -134,15 +112,64 @@ def train(documents: DataFrame, labels: DataFrame, max_positive: int = 4000, max
     rest = documents.filter(~held_out()).select("doc_id").distinct().orderBy(order, "doc_id").limit(max_unlabelled).withColumn("positive", F.lit(False))
     sample = documents.select("doc_id", "text").join(F.broadcast(pos.union(rest)), "doc_id")
 
-    def features(batches):
+    def words(batches):
         import pyarrow as pa
 
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([b" ".join(sorted(words_of(x))) for x in texts(b, "text")], pa.binary())], names=["positive", "words"])
 
-    rows = sample.select("positive", "text").mapInArrow(features, "positive boolean, words binary").collect()
-    docs = {flag: [bytes(r.words).split(b" ") for r in rows if r.positive is flag] for flag in (True, False)}
-    return fit_nnpu(docs[True], docs[False], prior)
+    bags = materialise(sample.select("positive", "text").mapInArrow(words, "positive boolean, words binary"), "bags")
+    sizes = {r.positive: r["count"] for r in bags.groupBy("positive").count().collect()}
+    if len(sizes) < 2:
+        return fit_nnpu([], [], [], prior)
+    names = select_features(bags, sizes[True], sizes[False], min_df, min_z)
+    shared = documents.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(names)})
+
+    def slots(batches):
+        import pyarrow as pa
+
+        index, memo = shared.value, {}
+        for b in batches:
+            found = []
+            for bag in b.column(1).to_pylist():
+                own: set[int] = set()
+                for w in bag.split():
+                    if w not in memo:
+                        memo[w] = [index[f] for f in pieces(w) if f in index]
+                    own.update(memo[w])
+                found.append(sorted(own))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32()))], names=["positive", "slots"])
+
+    rows = bags.mapInArrow(slots, "positive boolean, slots array<int>").collect()
+    docs = {flag: [r.slots for r in rows if r.positive is flag] for flag in (True, False)}
+    return fit_nnpu(docs[True], docs[False], names, prior)
+
+
+def select_features(bags: DataFrame, n_p: int, n_u: int, min_df: int, min_z: float) -> list[bytes]:
+    """Words and character runs in at least ``min_df`` sampled texts whose share differs between positives and unlabelled by ``min_z`` standard errors."""
+
+    def count(batches):
+        import pyarrow as pa
+
+        def table(counts):
+            keys = list(counts)
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([counts[k][0] for k in keys], pa.int64()), pa.array([counts[k][1] for k in keys], pa.int64())], names=["feature", "c_p", "c_u"])
+
+        counts: dict[bytes, list[int]] = {}
+        for b in batches:
+            for flag, bag in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for f in {f for w in bag.split() for f in pieces(w)}:
+                    counts.setdefault(f, [0, 0])[0 if flag else 1] += 1
+                if len(counts) > 200_000:
+                    yield table(counts)
+                    counts = {}
+        yield table(counts)
+
+    counted = bags.mapInArrow(count, "feature binary, c_p long, c_u long").groupBy("feature").agg(F.sum("c_p").alias("c_p"), F.sum("c_u").alias("c_u"))
+    pooled = (F.col("c_p") + F.col("c_u")) / (n_p + n_u)
+    z = (F.col("c_p") / n_p - F.col("c_u") / n_u) / F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-12)) * (1 / n_p + 1 / n_u))
+    chosen = counted.filter((F.col("c_p") + F.col("c_u") >= min_df) & (F.abs(z) >= min_z)).select("feature")
+    return sorted(bytes(r.feature) for r in chosen.collect())  # bounded by the sample
 
 
 def score(df: DataFrame, model: ToxicityModel, text_col: str = "text", out: str = "score") -> DataFrame:
