@@ -11,7 +11,8 @@ Paragraphs of an article stay even where a neighbour quotes them, since they are
 the article.  A neighbour with exactly the same lines is a copy and tells
 nothing; a page whose every open line is shared keeps them.
 
-Pages are range-partitioned by (host, path, page_id), so a host with a third of
+Pages are parsed before they are range-partitioned by (host, path, page_id), so
+only the lines a text can hold and hashes of the others are shuffled, and a host with a third of
 all pages spreads over many tasks; the pairs across two partitions are made in a
 second step from each partition's first and last page.
 
@@ -144,20 +145,35 @@ def shared_lines(own: list[int], other: list[int]) -> set[int]:
 
 
 def _hashes(lines) -> list[int]:
-    return [zlib.crc32(t.encode()) << 32 | zlib.adler32(t.encode()) for t, _ in lines]
+    return [(zlib.crc32(t.encode()) << 31) ^ zlib.adler32(t.encode()) for t, _ in lines]
 
 
-def _deleted(own, own_lines, others) -> set[int]:
+def _deleted(own, marks, others) -> set[int]:
     out = set()
     for other in others:
         if other is not None and other != own:
-            out |= {i for i in shared_lines(own, other) if own_lines[i][1] in (OPEN, LOOSE)}
+            out |= {i for i in shared_lines(own, other) if marks[i] in (OPEN, LOOSE)}
     return out
 
 
-def _text(lines, deleted) -> str:
-    kept = [t for i, (t, mark) in enumerate(lines) if mark != DROP and i not in deleted]
-    return " ".join(kept or [t for t, mark in lines if mark == OPEN])
+def _text(texts, marks, deleted) -> str:
+    kept = [t for i, (t, mark) in enumerate(zip(texts, marks, strict=True)) if mark != DROP and i not in deleted]
+    return " ".join(kept or [t for t, mark in zip(texts, marks, strict=True) if mark == OPEN])
+
+
+def _parse(batches):
+    """The html of each row as its lines; of furniture only the hash goes on, which the alignment needs."""
+    import pyarrow as pa
+
+    for batch in batches:
+        found = [lines_of(x or "") for x in batch.column("html").to_pylist()]
+        columns = [
+            *(batch.column(c) for c in ("page_id", "url", "host", "path")),
+            pa.array([["" if mark == DROP else t for t, mark in x] for x in found], pa.list_(pa.string())),
+            pa.array([[mark for _, mark in x] for x in found], pa.list_(pa.int32())),
+            pa.array([_hashes(x) for x in found], pa.list_(pa.int64())),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "host", "path", "texts", "marks", "hashes"])
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -169,8 +185,9 @@ def extract(pages: DataFrame) -> DataFrame:
         F.coalesce(F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1), F.lit("")).alias("path"),
     )
     order = ["host", "path", "page_id"]
-    line = "struct<text:string,mark:int>"
-    schema = f"page_id {kind}, url string, host string, path string, text string, first boolean, last boolean, lines array<{line}>, gone array<int>"
+    lines = "texts array<string>, marks array<int>, hashes array<long>"
+    parsed = keyed.mapInArrow(_parse, f"page_id {kind}, url string, host string, path string, {lines}")
+    schema = f"page_id {kind}, url string, host string, path string, text string, first boolean, last boolean, {lines}, gone array<int>"
 
     def align(batches):
         import pyarrow as pa
@@ -178,25 +195,24 @@ def extract(pages: DataFrame) -> DataFrame:
         def rows():
             for batch in batches:
                 for r in batch.to_pylist():
-                    lines = lines_of(r.pop("html") or "")
-                    yield r, lines, _hashes(lines)
+                    yield r
 
         def made():
-            before, current, first = None, None, True
             source = rows()
-            current = next(source, None)
+            before, current, first = None, next(source, None), True
             while current is not None:
                 following = next(source, None)
-                r, lines, own = current
-                others = [x[2] for x in (before, following) if x is not None and x[0]["host"] == r["host"]]
-                gone = _deleted(own, lines, others)
-                edge = first or following is None
-                yield {**r, "text": None if edge else _text(lines, gone), "first": first, "last": following is None, "lines": [{"text": t, "mark": m} for t, m in lines] if edge else None, "gone": sorted(gone) if edge else None}
+                others = [x["hashes"] for x in (before, following) if x is not None and x["host"] == current["host"]]
+                gone = _deleted(current["hashes"], current["marks"], others)
+                out = {**current, "first": first, "last": following is None}
+                if first or following is None:
+                    yield {**out, "text": None, "gone": sorted(gone)}
+                else:
+                    yield {**out, "text": _text(current["texts"], current["marks"], gone), "texts": None, "marks": None, "hashes": None, "gone": None}
                 before, current, first = current, following, False
 
-        types = [("url", pa.string()), ("host", pa.string()), ("path", pa.string()), ("text", pa.string()), ("first", pa.bool_()), ("last", pa.bool_()), ("lines", pa.list_(pa.struct([("text", pa.string()), ("mark", pa.int32())]))), ("gone", pa.list_(pa.int32()))]
         id_type = {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.string())
-        full = pa.schema([("page_id", id_type), *types])
+        full = pa.schema([("page_id", id_type), ("url", pa.string()), ("host", pa.string()), ("path", pa.string()), ("text", pa.string()), ("first", pa.bool_()), ("last", pa.bool_()), ("texts", pa.list_(pa.string())), ("marks", pa.list_(pa.int32())), ("hashes", pa.list_(pa.int64())), ("gone", pa.list_(pa.int32()))])
         held = []
         for row in made():
             held.append(row)
@@ -206,27 +222,23 @@ def extract(pages: DataFrame) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_pylist(held, full)
 
-    ranged = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = parsed.repartitionByRange(*order).sortWithinPartitions(*order)
     done = materialise(ranged.mapInArrow(align, schema), "pages")
-    edges = done.filter("lines is not null")
+    edges = done.filter("hashes is not null")
     by_host = Window.partitionBy("host").orderBy("path", "page_id", "first", "last")
-    edges = edges.withColumn("before", F.when(F.col("first"), F.lag("lines").over(by_host))).withColumn("after", F.when(F.col("last"), F.lead("lines").over(by_host)))
+    edges = edges.withColumn("before", F.when(F.col("first"), F.lag("hashes").over(by_host))).withColumn("after", F.when(F.col("last"), F.lead("hashes").over(by_host)))
 
     @F.pandas_udf("string")
-    def finish(lines, gone, before, after):
+    def finish(texts, marks, hashes, gone, before, after):
         import pandas as pd
 
-        def plain(x):
-            return None if x is None else [(y["text"], y["mark"]) for y in x]
-
         out = []
-        for own, g, b, a in zip(lines, gone, before, after, strict=True):
-            own = plain(own)
-            more = _deleted(_hashes(own), own, [None if x is None else _hashes(plain(x)) for x in (b, a)])
-            out.append(_text(own, more | {int(i) for i in g}))
+        for t, m, own, g, b, a in zip(texts, marks, hashes, gone, before, after, strict=True):
+            more = _deleted(list(own), list(m), [None if x is None else list(x) for x in (b, a)])
+            out.append(_text(t, m, more | {int(i) for i in g}))
         return pd.Series(out, dtype=object)
 
-    fixed = edges.withColumn("text", finish("lines", "gone", "before", "after"))
+    fixed = edges.withColumn("text", finish("texts", "marks", "hashes", "gone", "before", "after"))
     columns = ["page_id", "url", "text"]
-    whole = done.filter("lines is null").select(*columns).unionByName(fixed.select(*columns))
+    whole = done.filter("hashes is null").select(*columns).unionByName(fixed.select(*columns))
     return whole.withColumn("n_chars", F.char_length("text").cast("long"))
