@@ -202,7 +202,10 @@ def search(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_
 
     keys = ["lst", "p", "q"]
     near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, "cls long, found array<struct<far:double,vec_id:long>>")
-    merged = near.groupBy("cls").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, k + 1).alias("found"))
+    # A vector found on several lists has the same distance on each, so its copies are neighbours once sorted.
+    merged = near.groupBy("cls").agg(F.sort_array(F.flatten(F.collect_list("found"))).alias("all"))
+    apart = F.filter("all", lambda x, i: (i == 0) | (x["vec_id"] != F.get("all", i - 1)["vec_id"]))
+    merged = merged.select("cls", F.slice(apart, 1, k + 1).alias("found"))
     own = asked.join(merged, "cls").withColumn("found", F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("id")), 1, k))
     flat = own.select(F.col("id").alias("query_id"), F.posexplode("found").alias("pos", "hit"))
     return flat.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.far")).alias("score"))
