@@ -12,7 +12,8 @@ the article.  A neighbour with exactly the same lines is a copy and tells
 nothing; a page whose every open line is shared keeps them.
 
 Pages are parsed before they are range-partitioned by (host, path, page_id), so
-only the lines a text can hold and hashes of the others are shuffled, and a host with a third of
+only the lines a text can hold and hashes of the others are shuffled, compressed
+for each page, and a host with a third of
 all pages spreads over many tasks; the pairs across two partitions are made in a
 second step from each partition's first and last page.
 
@@ -161,19 +162,25 @@ def _text(texts, marks, deleted) -> str:
     return " ".join(kept or [t for t, mark in zip(texts, marks, strict=True) if mark == OPEN])
 
 
+def _pack(page: str | None) -> bytes:
+    """The lines of a page, compressed: mark and text each; of furniture only the hash, which the alignment needs."""
+    lines = lines_of(page or "")
+    return zlib.compress("\n".join(f"{mark}{h if mark == DROP else t}" for (t, mark), h in zip(lines, _hashes(lines), strict=True)).encode())
+
+
+def _unpack(packed: bytes) -> tuple[list[str], list[int], list[int]]:
+    """texts (empty for furniture), marks and hashes of the lines."""
+    lines = [(x[1:], int(x[0])) for x in zlib.decompress(packed).decode().split("\n") if x]
+    hashes = [int(t) if mark == DROP else h for (t, mark), h in zip(lines, _hashes(lines), strict=True)]
+    return ["" if mark == DROP else t for t, mark in lines], [mark for _, mark in lines], hashes
+
+
 def _parse(batches):
-    """The html of each row as its lines; of furniture only the hash goes on, which the alignment needs."""
     import pyarrow as pa
 
     for batch in batches:
-        found = [lines_of(x or "") for x in batch.column("html").to_pylist()]
-        columns = [
-            *(batch.column(c) for c in ("page_id", "url", "host", "path")),
-            pa.array([["" if mark == DROP else t for t, mark in x] for x in found], pa.list_(pa.string())),
-            pa.array([[mark for _, mark in x] for x in found], pa.list_(pa.int32())),
-            pa.array([_hashes(x) for x in found], pa.list_(pa.int64())),
-        ]
-        yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "host", "path", "texts", "marks", "hashes"])
+        packed = pa.array([_pack(x) for x in batch.column("html").to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "host", "path")), packed], names=["page_id", "url", "host", "path", "packed"])
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -185,9 +192,8 @@ def extract(pages: DataFrame) -> DataFrame:
         F.coalesce(F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1), F.lit("")).alias("path"),
     )
     order = ["host", "path", "page_id"]
-    lines = "texts array<string>, marks array<int>, hashes array<long>"
-    parsed = keyed.mapInArrow(_parse, f"page_id {kind}, url string, host string, path string, {lines}")
-    schema = f"page_id {kind}, url string, host string, path string, text string, first boolean, last boolean, {lines}, gone array<int>"
+    parsed = keyed.mapInArrow(_parse, f"page_id {kind}, url string, host string, path string, packed binary")
+    schema = f"page_id {kind}, url string, host string, path string, packed binary, text string, first boolean, last boolean, gone array<int>"
 
     def align(batches):
         import pyarrow as pa
@@ -195,24 +201,24 @@ def extract(pages: DataFrame) -> DataFrame:
         def rows():
             for batch in batches:
                 for r in batch.to_pylist():
-                    yield r
+                    yield r, *_unpack(r["packed"])
 
         def made():
             source = rows()
             before, current, first = None, next(source, None), True
             while current is not None:
                 following = next(source, None)
-                others = [x["hashes"] for x in (before, following) if x is not None and x["host"] == current["host"]]
-                gone = _deleted(current["hashes"], current["marks"], others)
-                out = {**current, "first": first, "last": following is None}
+                r, texts, marks, own = current
+                others = [x[3] for x in (before, following) if x is not None and x[0]["host"] == r["host"]]
+                gone = _deleted(own, marks, others)
                 if first or following is None:
-                    yield {**out, "text": None, "gone": sorted(gone)}
+                    yield {**r, "text": None, "first": first, "last": following is None, "gone": sorted(gone)}
                 else:
-                    yield {**out, "text": _text(current["texts"], current["marks"], gone), "texts": None, "marks": None, "hashes": None, "gone": None}
+                    yield {**r, "packed": None, "text": _text(texts, marks, gone), "first": False, "last": False, "gone": None}
                 before, current, first = current, following, False
 
         id_type = {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.string())
-        full = pa.schema([("page_id", id_type), ("url", pa.string()), ("host", pa.string()), ("path", pa.string()), ("text", pa.string()), ("first", pa.bool_()), ("last", pa.bool_()), ("texts", pa.list_(pa.string())), ("marks", pa.list_(pa.int32())), ("hashes", pa.list_(pa.int64())), ("gone", pa.list_(pa.int32()))])
+        full = pa.schema([("page_id", id_type), ("url", pa.string()), ("host", pa.string()), ("path", pa.string()), ("packed", pa.binary()), ("text", pa.string()), ("first", pa.bool_()), ("last", pa.bool_()), ("gone", pa.list_(pa.int32()))])
         held = []
         for row in made():
             held.append(row)
@@ -224,21 +230,22 @@ def extract(pages: DataFrame) -> DataFrame:
 
     ranged = parsed.repartitionByRange(*order).sortWithinPartitions(*order)
     done = materialise(ranged.mapInArrow(align, schema), "pages")
-    edges = done.filter("hashes is not null")
+    edges = done.filter("packed is not null")
     by_host = Window.partitionBy("host").orderBy("path", "page_id", "first", "last")
-    edges = edges.withColumn("before", F.when(F.col("first"), F.lag("hashes").over(by_host))).withColumn("after", F.when(F.col("last"), F.lead("hashes").over(by_host)))
+    edges = edges.withColumn("before", F.when(F.col("first"), F.lag("packed").over(by_host))).withColumn("after", F.when(F.col("last"), F.lead("packed").over(by_host)))
 
     @F.pandas_udf("string")
-    def finish(texts, marks, hashes, gone, before, after):
+    def finish(packed, gone, before, after):
         import pandas as pd
 
         out = []
-        for t, m, own, g, b, a in zip(texts, marks, hashes, gone, before, after, strict=True):
-            more = _deleted(list(own), list(m), [None if x is None else list(x) for x in (b, a)])
-            out.append(_text(t, m, more | {int(i) for i in g}))
+        for p, g, b, a in zip(packed, gone, before, after, strict=True):
+            texts, marks, own = _unpack(p)
+            more = _deleted(own, marks, [None if x is None else _unpack(x)[2] for x in (b, a)])
+            out.append(_text(texts, marks, more | {int(i) for i in g}))
         return pd.Series(out, dtype=object)
 
-    fixed = edges.withColumn("text", finish("texts", "marks", "hashes", "gone", "before", "after"))
+    fixed = edges.withColumn("text", finish("packed", "gone", "before", "after"))
     columns = ["page_id", "url", "text"]
-    whole = done.filter("hashes is null").select(*columns).unionByName(fixed.select(*columns))
+    whole = done.filter("packed is null").select(*columns).unionByName(fixed.select(*columns))
     return whole.withColumn("n_chars", F.char_length("text").cast("long"))
