@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilog.llm import bpe, decontaminate, secrets, simhash, toxicity
-from vigilog.llm.common import materialise, table
+from vigilog.llm import bpe, copies, decontaminate, secrets, toxicity
+from vigilog.llm.common import free_name, materialise, table
 from vigilog.llm.queries import TOXIC_FROM, tokenizer
 
 
@@ -21,10 +21,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id in each SimHash component; of equal ids one, rows without an id all stay."""
-    groups = simhash.near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(groups, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return kept.unionByName(docs.filter("doc_id is null"))
+    """The document of smallest doc_id in each group of near copies (5-word shingles, Jaccard similarity of 0.8 or more); rows without an id come last."""
+    key = free_name(docs, "_row")
+    numbered = materialise(docs.withColumn(key, F.monotonically_increasing_id()), "numbered")
+    groups = copies.near_copies(numbered, key, shingle=5, similarity=0.8).withColumnRenamed("_row", key)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(key).alias("at")))
+    kept = numbered.select(key, "doc_id").join(groups, key).groupBy("component").agg(first.alias("first")).select(F.col("first.at").alias(key))
+    return numbered.join(kept, key, "left_semi").select(*docs.columns)
 
 
 def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
