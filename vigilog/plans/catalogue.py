@@ -288,7 +288,7 @@ def rule_attribution(spark, d):
 @query()
 def forest_scores(spark, d):
     df = counts.value_counts(read(spark, d, "events"), "event_type", "n")
-    return robust.forest_scores(df, ["value", "n"], "event_id", trees=50, sample=1024).select("event_id", r6("ml_score").alias("ml_score"))
+    return robust.forest_scores(df, ["value", "n"], "event_id").select("event_id", r6("ml_score").alias("ml_score"))
 
 
 @query("""WITH x AS (SELECT l.doc_id, l.toxic = 1 AS planted, l.quality = 0 OR d.n_chars < 400 AS is_bot, d.lang FROM labels l JOIN documents d USING (doc_id)), g AS (SELECT CAST(NULL AS VARCHAR) AS archetype, planted, is_bot FROM x UNION ALL SELECT lang, planted, is_bot FROM x WHERE planted),
