@@ -5,8 +5,8 @@ Base patterns label credentials in the texts.  From a bounded sample of them
 is built per kind and its statistically compatible states are merged (Hoeffding
 test, red-blue order) into a probabilistic automaton.  Every candidate token of
 the corpus is then scored by the automata: the mean log-likelihood of its
-characters, its end included, against a character model of the texts' ordinary
-long words.  Candidates above ``margin`` that overlap no base span are added
+characters, its end included, against a character model of all words of
+the texts.  Candidates above ``margin`` that overlap no base span are added
 with kind ``grammar``.
 
 Null and empty texts have no spans; repeated rows keep a row each; offsets are
@@ -130,12 +130,19 @@ class Automaton:
 class WordModel:
     """Character bigrams of ordinary words, the background of the likelihood ratio."""
 
-    def __init__(self, words: list[str]):
+    def __init__(self, pairs: dict[str, int]):
         self.pair, self.one, self.symbols = Counter(), Counter(), 70
-        for w in words:
-            for a, b in zip("^" + w, w + "$", strict=True):
-                self.pair[a, b] += 1
-                self.one[a] += 1
+        for (a, b), n in pairs.items():
+            self.pair[a, b] += n
+            self.one[a] += n
+
+    @staticmethod
+    def count(text: str) -> Counter:
+        """The pairs of adjacent characters of all words of the text, with ``^`` before and ``$`` after each."""
+        marked = "".join(f"^{w}$" for w in re.findall(r"[A-Za-z]+", text))
+        pairs = Counter(map("".join, zip(marked, marked[1:])))
+        pairs.pop("$^", None)
+        return pairs
 
     def likelihood(self, text: str) -> float:
         steps = list(zip("^" + text, text + "$", strict=True))
@@ -143,9 +150,9 @@ class WordModel:
 
 
 class SecretGrammar:
-    def __init__(self, examples: dict[str, list[str]], words: list[str], margin: float = 0.8):
+    def __init__(self, examples: dict[str, list[str]], pairs: dict[str, int], margin: float = 0.8):
         self.automata = {k: Automaton(v) for k, v in examples.items() if v}
-        self.words, self.margin = WordModel(words), margin
+        self.words, self.margin = WordModel(pairs), margin
 
     def score(self, token: str) -> float:
         """Likelihood of the best automaton over that of ordinary words, per character."""
@@ -156,7 +163,7 @@ SPAN = "array<struct<start:int,end:int,kind:string,secret:string>>"
 
 
 def extract(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """One pass over the texts: doc_id, base spans, candidate spans (each with its string), and a few long words."""
+    """One pass over the texts: doc_id, base spans, candidate spans (each with its string), and in one row of each batch the character pairs of all its words."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -164,24 +171,26 @@ def extract(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_
 
         span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("secret", pa.string())]))
         for batch in batches:
-            base, cand, words = [], [], []
+            base, cand, pairs = [], [], Counter()
             for text in (x or "" for x in batch.column(1).to_pylist()):
                 b = base_spans(text)
                 base.append([{"start": s, "end": e, "kind": k, "secret": c} for s, e, k, c in b])
                 cand.append([{"start": s, "end": e, "kind": "grammar", "secret": c} for s, e, c in candidates(text, b)])
-                words.append(max(re.findall(r"[A-Za-z]+", text[:2000]), key=len, default=""))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, span), pa.array(cand, span), pa.array(words)], names=["doc_id", "base", "candidates", "word"])
+                pairs.update(WordModel.count(text))
+            counted = [[{"pair": p, "n": n} for p, n in pairs.items()], *[[]] * (batch.num_rows - 1)][: batch.num_rows]
+            count = pa.list_(pa.struct([("pair", pa.string()), ("n", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, span), pa.array(cand, span), pa.array(counted, count)], names=["doc_id", "base", "candidates", "pairs"])
 
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, base {SPAN}, candidates {SPAN}, word string")
+    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, base {SPAN}, candidates {SPAN}, pairs array<struct<pair:string,n:bigint>>")
 
 
 def learn(found: DataFrame, max_examples: int = 400, margin: float = 0.8) -> SecretGrammar:
-    """Automata from at most ``max_examples`` distinct labelled credentials of each kind, and as many ordinary words times ten."""
+    """Automata from at most ``max_examples`` distinct labelled credentials of each kind; the word model from all words of all texts."""
     order = F.xxhash64("secret")
     labelled = found.select(F.explode("base").alias("s")).select("s.kind", "s.secret").distinct()
     examples = {k: [r.secret for r in labelled.filter(F.col("kind") == k).orderBy(order, "secret").limit(max_examples).collect()] for k in KINDS[:3]}
-    words = [r.secret for r in found.select(F.col("word").alias("secret")).distinct().orderBy(order, "secret").limit(10 * max_examples).collect()]
-    return SecretGrammar(examples, words, margin)
+    counted = found.select(F.explode("pairs").alias("p")).groupBy("p.pair").agg(F.sum("p.n").alias("n"))
+    return SecretGrammar(examples, {r.pair: r.n for r in counted.collect()}, margin)  # at most 54 x 54 pairs
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_examples: int = 400, margin: float = 0.8) -> DataFrame:
