@@ -2,6 +2,11 @@
 
 Each stage gets all that its predecessor kept.  Stages are written as Parquet
 into the shared folder and read again by the next one.
+
+Every stage decides row by row, so null and repeated doc_ids are as good as any:
+null texts are kept by all but the copies stage, which takes null and blank texts
+as copies of each other; null ids lose against others there.  Empty tables give
+empty results, further columns pass through, and no text is cut.
 """
 
 from __future__ import annotations
@@ -17,23 +22,26 @@ from vigilog.llm.queries import TOXIC_FROM, tokenizer
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scoring below the toxic threshold."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, out="_toxicity").filter(F.col("_toxicity") < TOXIC_FROM).drop("_toxicity")
+    out = free_name(docs, "_toxicity")
+    return toxicity.score(docs, model, out=out).filter(F.col(out) < TOXIC_FROM).select(*docs.columns)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id in each group of near copies (5-word shingles, Jaccard similarity of 0.8 or more); rows without an id come last."""
+    """One document of each group of near copies (5-word shingles, similarity of 0.8 or more): that of the smallest doc_id, rows without an id last."""
     key = free_name(docs, "_row")
     numbered = materialise(docs.withColumn(key, F.monotonically_increasing_id()), "numbered")
-    groups = copies.near_copies(numbered, key, shingle=5, similarity=0.8).withColumnRenamed("_row", key)
+    groups = materialise(copies.near_copies(numbered, key), "groups").withColumnRenamed("_row", key)
+    groups = numbered.select(key, "doc_id").join(groups, key)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(key).alias("at")))
-    kept = numbered.select(key, "doc_id").join(groups, key).groupBy("component").agg(first.alias("first")).select(F.col("first.at").alias(key))
-    return numbered.join(kept, key, "left_semi").select(*docs.columns)
+    kept = groups.groupBy("component").agg(first.alias("first")).select(F.col("first.at").alias(key))
+    # The rows to drop are few as a rule, so that Spark can broadcast them by their measured size.
+    dropped = materialise(groups.select(key).join(kept, key, "left_anti"), "dropped")
+    return numbered.join(dropped, key, "left_anti").select(*docs.columns)
 
 
 def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    leaked = decontaminate.find(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaked, "doc_id", "left_anti").select(*docs.columns)
+    return decontaminate.drop_leaked(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,8 @@ of prefix ``i`` exactly if it may follow ``last[j]``, i.e. if merging the bytes
 of both tokens alone gives these two tokens again.
 
 Nulls encode as the empty text (no ids); repeated rows and repeated ids give
-one output row each; other input columns are ignored.
+one output row each; texts and pieces of any length are encoded whole; other
+input columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,13 +20,15 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import small_batches
 
 #: Pieces remembered per Python worker; a speed bound only, longer ones are encoded anew.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 150_000
+#: Pairs of tokens remembered per worker.
+CACHE_PAIRS = 300_000
 CACHE_PIECE_BYTES = 64
 #: Texts are encoded in groups of about this many characters.
-GROUP_CHARS = 1_500_000
+GROUP_CHARS = 1_000_000
 
 
 class PrefixBpe:
@@ -51,7 +54,7 @@ class PrefixBpe:
         key = (left, right)
         known = self._follows.get(key)
         if known is None:
-            if len(self._follows) > 1_000_000:
+            if len(self._follows) > CACHE_PAIRS:
                 self._follows.clear()
             known = self._follows[key] = self.merge(self.token_bytes[left] + self.token_bytes[right]) == [left, right]
         return known
@@ -147,6 +150,7 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "
     ``decoded_sha256`` is taken over the bytes decoded from the ids.  The
     vocabulary is broadcast; its size is that of the rank file.
     """
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(ranks)
     digest = hashlib.sha256(repr(sorted(ranks.items())[:50]).encode() + str(len(ranks)).encode()).hexdigest()
     id_type = df.schema[id_col].dataType.simpleString()

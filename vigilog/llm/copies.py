@@ -1,15 +1,21 @@
-"""Near copies by exact shingle similarity.
+"""SimHash near copies of a given shingle similarity.
 
 Two texts are linked when the Jaccard similarity of their sets of word shingles
-is at least ``similarity``; every such pair is found, by prefix filtering: in any
-common order of shingles, two such sets share one of their first
-``size - ceil(similarity * size) + 1``.  The order puts the shingles that are
-frequent in a sample of the texts last; the sample decides the cost only, never
-which links are found.
-
-Equal sets are collapsed first.  Groups of more than ``SMALL`` sets sharing a
-prefix shingle are compared with one member each, and then only across the
-components found so far, so a large group of near copies isn't paired with itself.
+is at least ``similarity``.  A SimHash radius alone can't give this (at 0.8 two
+64-bit fingerprints differ in about ten bits), so the lookup tables are keyed by
+shingles here: in any common order of shingles two such sets share one of their
+first ``size - ceil(similarity * size) + 1``.  The order puts the shingles that
+are frequent in a sample of the texts last; the sample decides the cost only,
+never which links are found.  Within a table's buckets the fingerprints are
+compared by bit planes with carry-save counters (``simhash.close_pairs``), and
+what lies within ``RADIUS`` bits is verified by the sets themselves.  Sets of
+``EXACT_BELOW`` shingles or fewer skip the radius; for larger ones ``RADIUS`` is
+five standard deviations away from what a link can have.
+
+Equal sets are one class.  Buckets of more than ``SMALL`` classes are first
+compared with one member for each range of sizes, and then only across the
+components found so far, so a large group of near copies isn't paired with
+itself; buckets past ``TILE`` are cut into pairs of tiles.
 
 Null and blank texts have the empty set and are copies of each other; texts of
 fewer words than a shingle have one shingle, the text.
@@ -22,12 +28,14 @@ from math import ceil
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, texts
-from .simhash import components
+from .common import materialise, small_batches, texts
+from .simhash import close_pairs, components
 
-SMALL = 16
+RADIUS, EXACT_BELOW = 24, 16
+SMALL, TILE = 16, 8192
 #: Texts read for the frequent shingles: one in SHARE, SAMPLE at least; so many shingles are held at most.
-SHARE, SAMPLE, COMMON = 8, 50_000, 1 << 20
+SHARE, SAMPLE, COMMON = 8, 20_000, 1 << 19
+SIGNED = 1 << 64
 
 
 def shingles(text: bytes, n: int):
@@ -43,8 +51,18 @@ def shingles(text: bytes, n: int):
     return np.unique(np.array([h64(g, 42) for g in grams], np.uint64))
 
 
+def fingerprint(held):
+    """SimHash of a set of hashes."""
+    import numpy as np
+
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(held), 1 << 16):
+        ones += np.unpackbits(held[i : i + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(held)).view(">u8")[0]
+
+
 def _frequent(df: DataFrame, shingle: int, row: str, text_col: str):
-    """Frequent shingles by hash, and their counts in the sample."""
+    """Frequent shingles by hash, their counts in the sample, and the share of the sample."""
     import numpy as np
 
     n = df.count()
@@ -63,117 +81,159 @@ def _frequent(df: DataFrame, shingle: int, row: str, text_col: str):
     rows = counted.filter("c >= 4").orderBy(F.desc("c"), "h").limit(COMMON).toArrow()
     keys, times = rows["h"].to_numpy().view(np.uint64), rows["c"].to_numpy()
     order = np.argsort(keys)
-    return keys[order], times[order]
+    return keys[order], times[order], one_in
 
 
 def _prefixes(df: DataFrame, shingle: int, similarity: float, row: str, text_col: str, shared) -> DataFrame:
-    """row, digest of the shingle set, its size, and its prefix."""
+    """row, digest of the shingle set, its size and fingerprint, and its prefix (null where the task has given that of an equal set)."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
         from xxhash import xxh64_intdigest
 
-        keys, counts = shared.value
+        keys, counts, _ = shared.value
+        seen = set()
         for batch in batches:
-            digests, sizes, firsts = [], [], []
+            digests, sizes, prints, firsts = [], [], [], []
             for text in texts(batch, text_col):
                 held = shingles(text, shingle)
-                times = np.zeros(len(held), np.int64)
-                if len(keys) and len(held):
+                size = len(held)
+                digest = xxh64_intdigest(held.tobytes(), 7)
+                digests.append(digest)
+                sizes.append(size)
+                if digest in seen:
+                    prints.append(0)
+                    firsts.append(None)
+                    continue
+                seen.add(digest)
+                times = np.zeros(size, np.int64)
+                if len(keys) and size:
                     at = np.minimum(np.searchsorted(keys, held), len(keys) - 1)
                     times = np.where(keys[at] == held, counts[at], 0)
-                size = len(held)
                 reach = size - ceil(similarity * size - 1e-9) + 1 if size else 0
-                digests.append(xxh64_intdigest(held.tobytes(), 7))
-                sizes.append(size)
+                prints.append(fingerprint(held) if size else 0)
                 firsts.append(held[np.lexsort((held, times))[:reach]].view(np.int64))
-            digest = pa.array(np.array(digests, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), digest, pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))], names=["_row", "digest", "size", "prefix"])
+            long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), long(digests), pa.array(sizes, pa.int32()), long(prints), pa.array(firsts, pa.list_(pa.int64()))], names=["_row", "digest", "size", "fp", "prefix"])
 
-    return df.select(F.col(row).alias("_row"), text_col).mapInArrow(run, "_row long, digest long, size long, prefix array<long>")
+    return df.select(F.col(row).alias("_row"), text_col).mapInArrow(run, "_row long, digest long, size int, fp long, prefix array<long>")
 
 
-def _pairs(rows: DataFrame, similarity: float, crossing: bool) -> DataFrame:
-    """a, b (digests): pairs to verify among rows (h, part, digest, size) of the same h.
+def _groups(batches, columns: int):
+    """Arrays of whole groups (equal first two columns) of sorted batches."""
+    import numpy as np
 
-    All pairs of a small group; of a larger one those with the first set of each
-    range of sizes or, ``crossing``, all pairs of different parts.
-    """
+    held = [np.zeros(0, np.int64) for _ in range(columns)]
+    for batch in batches:
+        held = [np.concatenate([x, batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64)]) for k, x in enumerate(held)]
+        if len(held[0]) and (done := int(np.argmax((held[0] == held[0][-1]) & (held[1] == held[1][-1])))):
+            yield [x[:done] for x in held]
+            held = [x[done:] for x in held]
+    yield held
 
-    def of_group(parts, digests, sizes):
-        import numpy as np
 
-        if len(digests) <= SMALL:
-            if crossing:
-                return
-            i, j = np.triu_indices(len(digests), 1)
-            yield i, j
-        elif crossing:
-            last = np.searchsorted(parts, parts, "right")
-            for i in range(int(last[-1]) if parts[0] != parts[-1] else 0):
-                if last[i] < len(parts):
-                    j = np.arange(last[i], len(parts))
-                    yield np.full(len(j), i), j
-        else:
-            order = np.argsort(sizes, kind="stable")
-            at = 0
-            while at < len(order):
-                end = int(np.searchsorted(sizes[order], sizes[order[at]] / similarity + 1e-9, "right"))
-                yield np.full(end - at - 1, order[at]), order[at + 1 : end]
-                at = end
+def _leaders(sizes, similarity: float):
+    """Positions in ascending sizes: the first of each range that a similarity can span."""
+    import numpy as np
+
+    at = 0
+    while at < len(sizes):
+        yield at
+        at = max(at + 1, int(np.searchsorted(sizes, sizes[at] / similarity + 1e-9, "right")))
+
+
+def _pairs(rows: DataFrame, similarity: float, crossing: bool) -> DataFrame:
+    """Candidates among rows (h, tile, size, digest, fp, part) of equal h and tile.
+
+    Returns a, b (digests).  Without ``crossing``: all pairs of a small group,
+    those with the leaders of a larger one, whose members follow with their h
+    for a second pass.  With it: the pairs of different parts.
+    """
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        held, made, count = [np.zeros(0, np.int64) for _ in range(4)], [], 0
+        def batch_of(a, b, h, tile, size, fp):
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
+            names = ("a", "b", "h", "tile", "size", "fp")
+            return pa.RecordBatch.from_arrays([pa.array(x, k) if x is not None else pa.nulls(len(a), k) for x, k in zip((a, b, h, tile, size, fp), kinds, strict=True)], names=list(names))
+
+        for h, tile, size, digest, fp, part in _groups(batches, 6):
+            if len(h) < 2:
+                continue
+            fresh = np.concatenate([[True], (h[1:] != h[:-1]) | (tile[1:] != tile[:-1]) | (digest[1:] != digest[:-1])])
+            h, tile, size, digest, fp, part = (x[fresh] for x in (h, tile, size, digest, fp, part))
+            cut = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (tile[1:] != tile[:-1]), [True]]))
+            counts = np.diff(cut)
+            if crossing:
+                low, high = np.minimum.reduceat(part, cut[:-1]), np.maximum.reduceat(part, cut[:-1])
+                wanted = low != high
+            else:
+                wanted = counts > 1
+            keep = np.repeat(wanted, counts)
+            if not keep.any():
+                continue
+            h, tile, size, digest, fp, part = (x[keep] for x in (h, tile, size, digest, fp, part))
+            counts = counts[wanted]
+            ends = np.cumsum(counts)
+            asked = np.ones(len(h), bool)
+            if not crossing:
+                for g in np.flatnonzero(counts > SMALL):
+                    s = slice(ends[g] - counts[g], ends[g])
+                    asked[s] = False
+                    asked[[s.start + k for k in _leaders(size[s], similarity)]] = True
+                    for k in range(s.start, s.stop, 1 << 16):
+                        t = slice(k, min(k + (1 << 16), s.stop))
+                        yield batch_of(digest[t], None, h[t], tile[t], size[t], fp[t])
+            asked = np.flatnonzero(asked)
+            tiny = asked[size[asked] <= EXACT_BELOW]
+            for who, radius in ((tiny, 64), (asked[size[asked] > EXACT_BELOW], RADIUS)):
+                for i, j in close_pairs(counts, fp.view(np.uint64), who, radius) if len(who) else ():
+                    near = (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9) & (part[i] != part[j])
+                    if near.any():
+                        x, y = digest[i[near]], digest[j[near]]
+                        pairs = np.unique(np.column_stack([np.minimum(x, y), np.maximum(x, y)]), axis=0)
+                        yield batch_of(pairs[:, 0], pairs[:, 1], None, None, None, None)
 
-        def flush():
-            a, b = (np.concatenate(x) for x in zip(*made, strict=True))
-            pairs = np.unique(np.column_stack([a, b]), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+    dealt = rows.repartition("h", "tile").sortWithinPartitions("h", "tile", "size", "digest").select("h", "tile", "size", "digest", "fp", "part")
+    return dealt.mapInArrow(run, "a long, b long, h long, tile int, size int, fp long")
 
-        def groups():
-            nonlocal held
-            for batch in batches:
-                held = [np.concatenate([x, batch.column(k).to_numpy(zero_copy_only=False)]) for k, x in enumerate(held)]
-                if len(held[0]) and (done := int(np.argmax(held[0] == held[0][-1]))):
-                    yield [x[:done] for x in held]
-                    held = [x[done:] for x in held]
-            yield held
-
-        for h, part, digest, size in groups():
-            cut = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]])) if len(h) else np.zeros(1, np.int64)
-            for g in np.flatnonzero(np.diff(cut) > 1):
-                s = slice(cut[g], cut[g + 1])
-                d, z = digest[s], size[s]
-                for i, j in of_group(part[s], d, z):
-                    near = np.minimum(z[i], z[j]) >= similarity * np.maximum(z[i], z[j]) - 1e-9
-                    if near.any():
-                        x, y = d[i[near]], d[j[near]]
-                        made.append((np.minimum(x, y), np.maximum(x, y)))
-                        count += len(x)
-                    if count > 1 << 18:
-                        yield flush()
-                        made, count = [], 0
-        if made:
-            yield flush()
 
-    dealt = rows.repartition("h").sortWithinPartitions("h", "part", "digest").select("h", "part", "digest", "size")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+def _tiled(rows: DataFrame, crossing: bool) -> DataFrame:
+    """``rows`` with a tile: 0 but for groups past TILE, whose rows get their own tile or, ``crossing``, all pairs with it."""
+    counts = rows.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles")).filter("tiles > 1")
+    own = F.pmod(F.xxhash64("digest"), F.col("tiles").cast("long")).cast("int")
+    some = rows.join(counts, "h", "left").withColumn("own", F.when(F.col("tiles").isNotNull(), own))
+    if not crossing:
+        return some.withColumn("tile", F.coalesce("own", F.lit(0))).drop("tiles", "own")
+    others = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda j: F.least(j, F.col("own")) * F.col("tiles") + F.greatest(j, F.col("own")))
+    return some.withColumn("tile", F.explode(F.when(F.col("own").isNotNull(), others).otherwise(F.array(F.lit(0))))).drop("tiles", "own")
 
 
 def near_copies(df: DataFrame, row: str, shingle: int = 5, similarity: float = 0.8, text_col: str = "text") -> DataFrame:
     """_row, component (long): rows of equal component are linked by pairs of at least ``similarity``; ``row`` (long) is unique."""
-    shared = df.sparkSession.sparkContext.broadcast(_frequent(df, shingle, row, text_col))
+    spark = df.sparkSession
+    small_batches(spark)
+    frequent = _frequent(df, shingle, row, text_col)
+    shared = spark.sparkContext.broadcast(frequent)
     prints = materialise(_prefixes(df, shingle, similarity, row, text_col, shared), "prefixes")
-    rows = prints.select(F.explode("prefix").alias("h"), "digest", "size").distinct()
+    rows = prints.filter("prefix is not null").select(F.explode("prefix").alias("h"), "size", "digest", "fp", F.col("digest").alias("part"))
+    keys, times, one_in = frequent
+    hot = [int(k) - SIGNED * (int(k) >= SIGNED // 2) for k in keys[times * one_in > TILE // 2]]
+    if hot:
+        # Only shingles in so many texts of the sample can have a group past TILE; there are at most COMMON of them.
+        is_hot = F.broadcast(spark.createDataFrame([(h,) for h in hot], "h long"))
+        rows = rows.join(is_hot, "h", "left_anti").withColumn("tile", F.lit(0)).unionByName(_tiled(rows.join(is_hot, "h", "left_semi"), False))
+    else:
+        rows = rows.withColumn("tile", F.lit(0))
+    first = materialise(_pairs(rows, similarity, False), "candidates")
     sample = prints.groupBy("digest").agg(F.min("_row").alias("_row"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs that reach the similarity."""
-        pairs = materialise(pairs, "pairs")
+        pairs = materialise(pairs.distinct(), "pairs")
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct().join(sample, "digest")
         chosen = df.select(F.col(row).alias("_row"), F.col(text_col).alias("_text")).join(wanted, "_row").select("digest", "_text")
 
@@ -190,10 +250,11 @@ def near_copies(df: DataFrame, row: str, shingle: int = 5, similarity: float = 0
         same = F.size(F.array_intersect("x", "y"))
         return both.filter(same >= similarity * (F.size("x") + F.size("y") - same) - 1e-9).select("a", "b")
 
-    links = materialise(verified(_pairs(rows.withColumn("part", F.col("digest")), similarity, False)), "links")
+    links = materialise(verified(first.filter("b is not null").select("a", "b")), "links")
     roots = components(links)
-    parts = rows.join(roots, rows.digest == roots.node, "left").select("h", F.coalesce("root", "digest").alias("part"), "digest", "size")
-    more = materialise(verified(_pairs(parts, similarity, True)), "links")
+    members = first.filter("b is null").select("h", "size", F.col("a").alias("digest"), "fp")
+    parts = members.join(roots, members.digest == roots.node, "left").select("h", "size", "digest", "fp", F.coalesce("root", "digest").alias("part"))
+    more = materialise(verified(_pairs(_tiled(parts.distinct(), True), similarity, True).select("a", "b")), "links")
     if not more.isEmpty():
         roots = components(links.union(more))
     return prints.join(roots, prints.digest == roots.node, "left").select("_row", F.coalesce("root", "digest").alias("component"))

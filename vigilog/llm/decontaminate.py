@@ -1,30 +1,37 @@
 """Benchmark decontamination: BM25 inverted index of test items with block-max WAND.
 
 Items are indexed once; each training passage (overlapping token windows over
-the whole text, wide enough to hold any item whole) is a query, and every item
-whose share of its own best BM25 score reaches ``threshold`` is retrieved.
-A passage is first bounded by its rarer terms alone, which skips no item.
-Retrieved pairs are verified on the text around: overlap of the item's question
-(all but its last sentence) by 5-word shingles and of its answer (the last
-sentence) by words in the same place.
-
-The index is broadcast in blocks of at most ``items_per_block`` items, one pass
-over the texts per block, so its size is bounded whatever the benchmark's.
+the whole text, as wide as the items of one length class need) is a query, and
+every item whose share of its own best BM25 score reaches ``threshold`` is
+retrieved.  A passage is first bounded by its rarer terms alone, which skips no
+item.  Retrieved pairs are verified on the text around: overlap of the item's
+question (all but its last sentence) by 5-word shingles and of its answer (the
+last sentence) by words in the same place.
+
+Document frequencies and the mean length are those of all items.  The index is
+broadcast in blocks of at most ``items_per_block`` items, one pass over the texts
+per block, so its size is bounded whatever the benchmark's; an item's score, its
+passages and its retrieval depend neither on the block nor on the other items'
+lengths.
+
 Null or empty texts and items match nothing; items without any word cannot
-match; repeated rows keep a row each; repeated items are reported for each
-item_id; other columns are ignored.
+match; repeated rows of documents keep a row each; a repeated item counts once,
+equal texts are reported for each item_id; an item's best passage is the first of
+highest score; very long texts and items are read whole; other columns are
+ignored by ``find`` and kept by ``drop_leaked``.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from functools import reduce
 from math import log
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PUNCT_TO_SPACE, texts
+from .common import PUNCT_TO_SPACE, materialise, small_batches, texts
 
 K1, B = 1.2, 0.75
 POSTINGS_PER_BLOCK = 16
@@ -43,7 +50,9 @@ class Index:
     1.0 is a passage that holds every term of the item.
     """
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], df: dict[bytes, int], n: int, mean: float, stride: int):
+        """``df``, ``n`` and ``mean`` are those of all items; ``stride`` is the length no item here exceeds."""
+        self.stride = stride
         parsed = [(i, self.split(t)) for i, t in items]
         self.items = [(i, q, a) for i, (q, a) in parsed if q or a]
         bags = []
@@ -52,13 +61,6 @@ class Index:
             for w in q + a:
                 bag[w] = bag.get(w, 0) + 1
             bags.append(bag)
-        df: dict[bytes, int] = {}
-        for bag in bags:
-            for w in bag:
-                df[w] = df.get(w, 0) + 1
-        n = len(bags)
-        mean = sum(sum(b.values()) for b in bags) / max(n, 1)
-        self.longest = max((sum(b.values()) for b in bags), default=1)
         postings: dict[bytes, list[tuple[int, float]]] = {}
         for d, bag in enumerate(bags):
             size = sum(bag.values())
@@ -159,75 +161,132 @@ def overlaps(item, passage: list[bytes]) -> tuple[float, float]:
     return q, min(a, share(answer)) if not question else a
 
 
+def stride_of(size: int) -> int:
+    """The length class of an item: the power of two, 32 at least, that its tokens fit."""
+    return max(32, 1 << max(size - 1, 0).bit_length())
+
+
+def indexes(benchmark: DataFrame, items_per_block: int) -> list[list[Index]]:
+    """For each block of items an Index for each length class."""
+    small_batches(benchmark.sparkSession)
+    kind = benchmark.schema["item_id"].dataType.simpleString()
+
+    def split(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            bags = [[w for part in Index.split(x.decode()) for w in part] for x in texts(b, "text")]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([sorted(set(x)) for x in bags], pa.list_(pa.binary())), pa.array([len(x) for x in bags], pa.int64())], names=["item_id", "text", "terms", "size"])
+
+    items = benchmark.select("item_id", "text").distinct().mapInArrow(split, f"item_id {kind}, text string, terms array<binary>, size long").filter("size > 0")
+    items = materialise(items.withColumn("place", F.xxhash64("item_id", "text")), "items")
+    n, mean = items.agg(F.count(F.lit(1)), F.avg("size")).first()
+    blocks = max(1, -(-n // items_per_block))
+    frequency = items.select(F.explode("terms").alias("w")).groupBy("w").count()
+    if blocks > 1:
+        frequency = materialise(frequency, "frequency")
+    out = []
+    for k in range(blocks):
+        part = items.filter(F.pmod("place", F.lit(blocks)) == k)
+        rows = sorted(part.select("item_id", "text", "size").collect(), key=lambda r: (str(r.item_id), r.text))
+        held = part.select(F.explode("terms").alias("w")).distinct().join(frequency, "w")
+        df = {bytes(r.w): r["count"] for r in held.collect()}
+        by_class: dict[int, list] = {}
+        for r in rows:
+            by_class.setdefault(stride_of(r["size"]), []).append((r.item_id, r.text))
+        out.append([Index(x, df, n, mean, stride) for stride, x in sorted(by_class.items())])
+    return out
+
+
+class Searcher:
+    """Finds the items of some indexes in texts."""
+
+    def __init__(self, parts: list[Index], threshold: float, min_question: float, min_answer: float):
+        self.parts, self.threshold, self.min_question, self.min_answer = parts, threshold, min_question, min_answer
+        self.need = [[threshold - 1e-9 - r for r in part.rest] for part in parts]
+        self.always = [any(x <= 0 for x in need) for need in self.need]
+
+    def find(self, text: bytes, one: bool = False) -> list[tuple]:
+        """(item_id, score, question overlap, answer overlap) of each item found, only the first ``one`` if asked."""
+        words, out = tokens(text), []
+        for part, need, always in zip(self.parts, self.need, self.always, strict=True):
+            best = self._in_part(words, part, need, always, one)
+            out += [(part.items[i][0], *v) for i, v in sorted(best.items())]
+            if one and out:
+                break
+        return out
+
+    def _in_part(self, words, part: Index, need, always, one: bool) -> dict[int, tuple]:
+        light, bound, stride = part.light, part.bound, part.stride
+        at = [i for i, w in enumerate(words) if w in light]
+        best: dict[int, tuple] = {}
+        if not at and not always:
+            return best
+        lists = [light[words[i]] for i in at]
+        for s in range(0, max(1, len(words) - stride), stride):
+            e = min(s + 2 * stride, len(words))
+            if not always and not self._promising(lists[bisect_left(at, s) : bisect_left(at, e)], need):
+                continue
+            terms = {w for w in words[s:e] if w in bound}
+            if sum(bound[w] for w in terms) < self.threshold - 1e-9:
+                continue
+            for item, score in part.wand(sorted(terms), self.threshold):
+                if item in best and best[item][0] >= score:
+                    continue
+                q, a = overlaps(part.items[item], words[max(0, s - stride) : e + stride])
+                if q >= self.min_question and a >= self.min_answer:
+                    best[item] = (score, q, a)
+                    if one:
+                        return best
+        return best
+
+    @staticmethod
+    def _promising(lists, need) -> bool:
+        """Whether an item can reach the threshold: its rarer terms here plus all of its widespread ones."""
+        total: dict[int, float] = {}
+        for postings in lists:
+            for d, x in postings:
+                total[d] = t = total.get(d, 0.0) + x
+                if t >= need[d]:
+                    return True
+        return False
+
+
 def find(documents: DataFrame, benchmark: DataFrame, threshold: float = 0.5, min_question: float = 0.6, min_answer: float = 0.6, items_per_block: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap: every verified pair, at its best passage."""
     spark = documents.sparkSession
     kind = documents.schema[id_col].dataType.simpleString()
     item_kind = benchmark.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {kind}, item_id {item_kind}, score double, question_overlap double, answer_overlap double"
-    n = benchmark.count()
-    blocks = max(1, -(-n // items_per_block))
     source = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    found = None
-    for k in range(blocks):
-        part = benchmark.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else benchmark
-        rows = part.select("item_id", "text").collect()
-        shared = spark.sparkContext.broadcast(Index(sorted(((r.item_id, r.text) for r in rows), key=str)))
-        one = source.mapInArrow(_searcher(shared, threshold, min_question, min_answer, schema), schema)
-        found = one if found is None else found.union(one)
-    return found
 
+    def searching(shared):
+        def run(batches):
+            import pyarrow as pa
 
-def _searcher(shared, threshold, min_question, min_answer, schema):
-    def run(batches):
-        import pyarrow as pa
+            searcher = Searcher(shared.value, threshold, min_question, min_answer)
+            item_type = {"bigint": pa.int64(), "int": pa.int32()}.get(item_kind, pa.string())
+            for batch in batches:
+                ids = batch.column(0).to_pylist()
+                out = [(ids[k], *found) for k, text in enumerate(texts(batch, "text")) for found in searcher.find(text)]
+                columns = list(zip(*out, strict=True)) if out else [[]] * 5
+                kinds = [batch.schema.field(0).type, item_type, pa.float64(), pa.float64(), pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
-        index: Index = shared.value
-        bound = index.bound
-        stride = max(index.longest, 32)
-        width = 2 * stride
-        light = index.light
-        need = [threshold - 1e-9 - r for r in index.rest]
-        always = any(x <= 0 for x in need)
-
-        def promising(lists) -> bool:
-            """Whether an item can reach the threshold: its rarer terms here plus all of its widespread ones."""
-            total: dict[int, float] = {}
-            for postings in lists:
-                for d, x in postings:
-                    total[d] = t = total.get(d, 0.0) + x
-                    if t >= need[d]:
-                        return True
-            return always
-
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            out = []
-            for k, text in enumerate(texts(batch, "text")):
-                words = tokens(text)
-                if not words or not bound:
-                    continue
-                at = [i for i, w in enumerate(words) if w in light]
-                lists = [light[words[i]] for i in at]
-                best: dict[int, tuple] = {}
-                for s in range(0, max(1, len(words) - stride), stride):
-                    e = min(s + width, len(words))
-                    if not promising(lists[bisect_left(at, s) : bisect_left(at, e)]):
-                        continue
-                    terms = {w for w in words[s:e] if w in bound}
-                    if sum(bound[w] for w in terms) < threshold - 1e-9:
-                        continue
-                    for item, score in index.wand(terms, threshold):
-                        if item in best and best[item][0] >= score:
-                            continue
-                        q, a = overlaps(index.items[item], words[max(0, s - stride) : e + stride])
-                        if q >= min_question and a >= min_answer:
-                            best[item] = (score, q, a)
-                out += [(ids[k], index.items[i][0], *v) for i, v in sorted(best.items())]
-            columns = list(zip(*out, strict=True)) if out else [[]] * 5
-            names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]
-            item_type = pa.int64() if "item_id bigint" in schema else pa.int32() if "item_id int" in schema else pa.string()
-            kinds = [batch.schema.field(0).type, item_type, pa.float64(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
-
-    return run
+        return run
+
+    parts = [source.mapInArrow(searching(spark.sparkContext.broadcast(block)), schema) for block in indexes(benchmark, items_per_block)]
+    return reduce(DataFrame.union, parts)
+
+
+def drop_leaked(documents: DataFrame, benchmark: DataFrame, threshold: float = 0.5, min_question: float = 0.6, min_answer: float = 0.6, items_per_block: int = 20_000, text_col: str = "text") -> DataFrame:
+    """The rows of ``documents`` whose text holds no item; decided row by row, whatever their ids."""
+    spark = documents.sparkSession
+    for block in indexes(benchmark, items_per_block):
+
+        def leaked(column, shared=spark.sparkContext.broadcast(block)):
+            searcher = Searcher(shared.value, threshold, min_question, min_answer)
+            return column.map(lambda x: bool(x) and bool(searcher.find(x.encode(), one=True))).astype(bool)
+
+        documents = documents.filter(~F.pandas_udf(lambda column, f=leaked: f(column), "boolean")(F.col(text_col)))
+    return documents

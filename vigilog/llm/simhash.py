@@ -25,11 +25,13 @@ from math import comb
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, texts
+from .common import materialise, small_batches, texts
 
 TILE = 8192
 #: (row, word) comparisons held at once.
 CHUNK = 1 << 15
+#: Fingerprints of at least COPIES rows, the MAX_HOT most frequent ones at most, are joined by broadcast.
+COPIES, MAX_HOT = 1000, 10_000
 
 
 def fingerprints(df: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -125,23 +127,56 @@ def close_lanes(rows, planes, word_of, radius: int):
     return result
 
 
-def _link_all(starts, ends, fps, radius):
-    """Edges (a, b) of a spanning forest for each bucket ``fps[start:end]``."""
+def _lanes(sizes, fps):
+    """Buckets of the given sizes as bit planes, each from a new word on: planes, used lanes, and per row its bucket, place, first word and words."""
     import numpy as np
 
-    out = []
-    sizes = ends - starts
     words = -(-sizes // 64)
     base = np.concatenate([[0], np.cumsum(words)])[:-1]
     lanes = np.zeros(int(words.sum()) * 64, np.uint64)
     used = np.zeros(len(lanes), bool)
-    bucket = np.repeat(np.arange(len(starts)), sizes)
+    bucket = np.repeat(np.arange(len(sizes)), sizes)
     place = np.arange(len(bucket)) - np.repeat(np.concatenate([[0], np.cumsum(sizes)])[:-1], sizes)
     slot = base[bucket] * 64 + place
     lanes[slot], used[slot] = fps, True
     planes = _planes(lanes)
     valid = np.packbits(used.reshape(-1, 64), axis=1, bitorder="little").view("<u8")[:, 0]
-    per_row = words[bucket]
+    return planes, valid, bucket, place, base, words[bucket]
+
+
+def close_pairs(sizes, fps, asked, radius: int):
+    """Batches (i, j) of positions in ``fps``: each row of ``asked`` with the rows of its bucket within ``radius``.
+
+    Buckets lie one after the other with the given sizes; ``asked`` is ascending.
+    """
+    import numpy as np
+
+    planes, valid, bucket, place, base, per_row = _lanes(sizes, fps)
+    done = np.cumsum(per_row[asked])
+    first = 0
+    while first < len(asked):
+        last = max(first + 1, int(np.searchsorted(done, (done[first - 1] if first else 0) + CHUNK, "right")))
+        count = per_row[asked[first:last]]
+        row = np.repeat(asked[first:last], count)
+        offset = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        word = base[bucket[row]] + offset
+        masks = close_lanes(fps[row], planes, word, radius) & valid[word]
+        hit = np.flatnonzero(masks)
+        bits = np.unpackbits(masks[hit].astype("<u8").view(np.uint8), bitorder="little").reshape(len(hit), 64)
+        which, lane = np.nonzero(bits)
+        i = row[hit][which]
+        j = i - place[i] + offset[hit][which] * 64 + lane
+        yield i[i != j], j[i != j]
+        first = last
+
+
+def _link_all(starts, ends, fps, radius):
+    """Edges (a, b) of a spanning forest for each bucket ``fps[start:end]``."""
+    import numpy as np
+
+    out = []
+    sizes = ends - starts
+    planes, valid, bucket, place, base, per_row = _lanes(sizes, fps)
     row_end = np.cumsum(per_row)
     labels = np.arange(len(fps))
     first = 0
@@ -228,11 +263,12 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """node, root: the smallest node of each connected component, by alternating large-star and small-star steps.
 
     ``edges`` has columns a, b; nodes without edges are absent.  Each round is
-    written to the shared folder, so lineage stays short.
+    written to the shared folder, so lineage stays short.  Rounds grow with the
+    logarithm of the nodes; the call fails where ``max_rounds`` don't suffice.
     """
 
     def star(pairs: DataFrame, large: bool) -> DataFrame:
@@ -250,17 +286,24 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         current = materialise(star(star(current, True), False), "stars")
         state = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
-            break
+            return current.select(F.col("a").alias("node"), F.col("b").alias("root"))
         seen = state
-    return current.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    raise RuntimeError(f"the components have not settled after {max_rounds} rounds")
 
 
 def near_duplicates(df: DataFrame, shingle: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id reachable over links of at most ``radius`` bits."""
+    small_batches(df.sparkSession)
     prints = materialise(fingerprints(df, shingle, id_col, text_col), "fingerprints")
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    roots = materialise(components(links(classes.select("fp"), radius)), "roots")
-    rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies"))
+    roots = components(links(classes.select("fp"), radius))
+    rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "low", "copies", F.coalesce("root", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = rooted.join(ids, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = materialise(rooted.join(ids, "root").select("fp", "component_id", "copies"), "named")
+    # Fingerprints of many copies would be hot keys of the join; there are at most n / COPIES of them, and at most MAX_HOT are broadcast.
+    n = named.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    many = F.col("copies") >= max(COPIES, n // MAX_HOT)
+    hot = named.filter(many).select("fp", F.col("component_id").alias("hot_id"), F.lit(True).alias("hot"))
+    marked = prints.join(F.broadcast(hot), "fp", "left")
+    rest = marked.filter("hot is null").join(named.filter(~many).drop("copies"), "fp")
+    return rest.select("doc_id", "fp", "component_id").union(marked.filter("hot").select("doc_id", "fp", "hot_id"))

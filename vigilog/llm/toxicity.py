@@ -10,7 +10,9 @@ The fit uses a bounded sample of the allowed rows: at most ``max_positive``
 positives and ``max_unlabelled`` rows of any kind (confirmed ones included, so
 that their share is the prior), those of smallest keyed hash of doc_id.  Scoring
 covers every whole text.  Null texts count as empty and get the score of no words; with no positives the model is constant (score = prior).
-Repeated rows keep one output row each; further columns are ignored.
+Repeated rows keep one output row each; of rows with the same id the fit uses the
+smallest text; further columns are kept, and one named as the output is replaced;
+very long texts are scored whole.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PUNCT_TO_SPACE, crc_bucket, materialise, texts
+from .common import PUNCT_TO_SPACE, crc_bucket, materialise, small_batches, texts
 
 
 def words_of(text: bytes) -> set[bytes]:
@@ -47,7 +49,7 @@ class ToxicityModel:
         for w in words_of(text):
             own = self.memo.get(w)
             if own is None:
-                if len(self.memo) > 300_000:
+                if len(self.memo) > 100_000:
                     self.memo.clear()
                 own = self.memo[w] = tuple(f for f in pieces(w) if f in self.weights)
             if own:
@@ -104,13 +106,16 @@ def held_out(col=None):
 
 def train(documents: DataFrame, labels: DataFrame, max_positive: int = 4000, max_unlabelled: int = 12000, prior: float | None = None, min_df: int = 5, min_z: float = 4.0, seed: int = 7) -> ToxicityModel:
     """Fit from rows that are not held out; ``prior`` defaults to the toxic share of their labels."""
+    small_batches(documents.sparkSession)
     known = labels.filter(~held_out() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     if prior is None:
         prior = known.agg(F.avg("toxic")).first()[0] or 0.01
     order = F.xxhash64("doc_id", F.lit(seed))
     pos = known.filter("toxic = 1").select("doc_id").orderBy(order, "doc_id").limit(max_positive).withColumn("positive", F.lit(True))
     rest = documents.filter(~held_out()).select("doc_id").distinct().orderBy(order, "doc_id").limit(max_unlabelled).withColumn("positive", F.lit(False))
-    sample = documents.select("doc_id", "text").join(F.broadcast(pos.union(rest)), "doc_id")
+    # one text for each drawn id, so that repeated ids don't widen the bound
+    drawn = F.broadcast(pos.union(rest))
+    sample = documents.select("doc_id", "text").join(drawn, "doc_id").groupBy("doc_id", "positive").agg(F.min("text").alias("text"))
 
     def words(batches):
         import pyarrow as pa
@@ -177,6 +182,7 @@ def score(df: DataFrame, model: ToxicityModel, text_col: str = "text", out: str
 
     ``df`` keeps its columns; the model's size is bounded by its sample.
     """
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
