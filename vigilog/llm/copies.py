@@ -14,8 +14,9 @@ five standard deviations away from what a link can have.
 
 Equal sets are one class.  Buckets of more than ``SMALL`` classes are first
 compared with one member for each range of sizes, and then only across the
-components found so far, so a large group of near copies isn't paired with
-itself; buckets past ``TILE`` are cut into pairs of tiles.
+components found so far: their rows (never their pairs) meet their sets in the
+bucket's task, which returns a spanning forest of the links.  Buckets past
+``TILE`` are cut into pairs of tiles.
 
 Null and blank texts have the empty set and are copies of each other; texts of
 fewer words than a shingle have one shingle, the text.
@@ -143,62 +144,121 @@ def _leaders(sizes, similarity: float):
         at = max(at + 1, int(np.searchsorted(sizes, sizes[at] / similarity + 1e-9, "right")))
 
 
-def _pairs(rows: DataFrame, similarity: float, crossing: bool) -> DataFrame:
-    """Candidates among rows (h, tile, size, digest, fp, part) of equal h and tile.
+def _buckets(batches, columns: int, parts: bool):
+    """Batches of whole buckets of two or more classes (of two or more parts): counts and the columns without repeated classes.
 
-    Returns a, b (digests).  Without ``crossing``: all pairs of a small group,
-    those with the leaders of a larger one, whose members follow with their h
-    for a second pass.  With it: the pairs of different parts.
+    The columns begin with h, tile, size, digest, fp, part.
     """
+    import numpy as np
+
+    for held in _groups(batches, columns):
+        if len(held[0]) < 2:
+            continue
+        other = (held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1])
+        fresh = np.concatenate([[True], other | (held[3][1:] != held[3][:-1])])
+        held = [x[fresh] for x in held]
+        cut = np.flatnonzero(np.concatenate([[True], (held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1]), [True]]))
+        counts = np.diff(cut)
+        wanted = counts > 1
+        if parts:
+            wanted = np.minimum.reduceat(held[5], cut[:-1]) != np.maximum.reduceat(held[5], cut[:-1])
+        keep = np.repeat(wanted, counts)
+        if keep.any():
+            yield counts[wanted], [x[keep] for x in held]
+
+
+def _close(counts, size, fp, part, asked, similarity: float):
+    """Batches (i, j): rows of different parts within the radius, of sizes that the similarity allows."""
+    import numpy as np
+
+    tiny = size[asked] <= EXACT_BELOW
+    for who, radius in ((asked[tiny], 64), (asked[~tiny], RADIUS)):
+        for i, j in close_pairs(counts, fp.view(np.uint64), who, radius) if len(who) else ():
+            near = (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9) & (part[i] != part[j])
+            if near.any():
+                yield i[near], j[near]
+
+
+def _first(rows: DataFrame, similarity: float) -> DataFrame:
+    """a, b (digests): all pairs of small buckets, those with the leaders of larger ones; the larger ones' members follow with b null and their h, size and fp."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        def batch_of(a, b, h, tile, size, fp):
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
-            names = ("a", "b", "h", "tile", "size", "fp")
-            return pa.RecordBatch.from_arrays([pa.array(x, k) if x is not None else pa.nulls(len(a), k) for x, k in zip((a, b, h, tile, size, fp), kinds, strict=True)], names=list(names))
-
-        for h, tile, size, digest, fp, part in _groups(batches, 6):
-            if len(h) < 2:
-                continue
-            fresh = np.concatenate([[True], (h[1:] != h[:-1]) | (tile[1:] != tile[:-1]) | (digest[1:] != digest[:-1])])
-            h, tile, size, digest, fp, part = (x[fresh] for x in (h, tile, size, digest, fp, part))
-            cut = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (tile[1:] != tile[:-1]), [True]]))
-            counts = np.diff(cut)
-            if crossing:
-                low, high = np.minimum.reduceat(part, cut[:-1]), np.maximum.reduceat(part, cut[:-1])
-                wanted = low != high
-            else:
-                wanted = counts > 1
-            keep = np.repeat(wanted, counts)
-            if not keep.any():
-                continue
-            h, tile, size, digest, fp, part = (x[keep] for x in (h, tile, size, digest, fp, part))
-            counts = counts[wanted]
+        def batch_of(a, b, *rest):
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.nulls(len(a), k) if x is None else pa.array(x, k) for x, k in zip((a, b, *rest), kinds, strict=True)], names=["a", "b", "h", "size", "fp"])
+
+        for counts, (h, _, size, digest, fp, part) in _buckets(batches, 6, False):
             ends = np.cumsum(counts)
             asked = np.ones(len(h), bool)
-            if not crossing:
-                for g in np.flatnonzero(counts > SMALL):
-                    s = slice(ends[g] - counts[g], ends[g])
-                    asked[s] = False
-                    asked[[s.start + k for k in _leaders(size[s], similarity)]] = True
-                    for k in range(s.start, s.stop, 1 << 16):
-                        t = slice(k, min(k + (1 << 16), s.stop))
-                        yield batch_of(digest[t], None, h[t], tile[t], size[t], fp[t])
-            asked = np.flatnonzero(asked)
-            tiny = asked[size[asked] <= EXACT_BELOW]
-            for who, radius in ((tiny, 64), (asked[size[asked] > EXACT_BELOW], RADIUS)):
-                for i, j in close_pairs(counts, fp.view(np.uint64), who, radius) if len(who) else ():
-                    near = (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9) & (part[i] != part[j])
-                    if near.any():
-                        x, y = digest[i[near]], digest[j[near]]
-                        pairs = np.unique(np.column_stack([np.minimum(x, y), np.maximum(x, y)]), axis=0)
-                        yield batch_of(pairs[:, 0], pairs[:, 1], None, None, None, None)
-
-    dealt = rows.repartition("h", "tile").sortWithinPartitions("h", "tile", "size", "digest").select("h", "tile", "size", "digest", "fp", "part")
-    return dealt.mapInArrow(run, "a long, b long, h long, tile int, size int, fp long")
+            for g in np.flatnonzero(counts > SMALL):
+                s = slice(ends[g] - counts[g], ends[g])
+                asked[s] = False
+                asked[[s.start + k for k in _leaders(size[s], similarity)]] = True
+                for k in range(s.start, s.stop, 1 << 16):
+                    t = slice(k, min(k + (1 << 16), s.stop))
+                    yield batch_of(digest[t], None, h[t], size[t], fp[t])
+            for i, j in _close(counts, size, fp, part, np.flatnonzero(asked), similarity):
+                pairs = np.unique(np.column_stack([np.minimum(digest[i], digest[j]), np.maximum(digest[i], digest[j])]), axis=0)
+                yield batch_of(pairs[:, 0], pairs[:, 1], None, None, None)
+
+    return _dealt(rows).mapInArrow(run, "a long, b long, h long, size int, fp long")
+
+
+def _across(rows: DataFrame, similarity: float) -> DataFrame:
+    """h, tile, digest, part of the rows within the radius of a row of another part in their bucket: rows, not pairs."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for counts, (h, tile, size, digest, fp, part) in _buckets(batches, 6, True):
+            found = np.zeros(len(h), bool)
+            for i, j in _close(counts, size, fp, part, np.arange(len(h)), similarity):
+                found[i] = found[j] = True
+            yield pa.RecordBatch.from_arrays([pa.array(h[found]), pa.array(tile[found], pa.int32()), pa.array(digest[found]), pa.array(part[found])], names=["h", "tile", "digest", "part"])
+
+    return _dealt(rows).mapInArrow(run, "h long, tile int, digest long, part long")
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition("h", "tile").sortWithinPartitions("h", "tile", "size", "digest").select("h", "tile", "size", "digest", "fp", "part")
+
+
+def _forest(similarity: float):
+    """For a bucket of (digest, part, held): a, b of verified links that join different parts, no more than join them."""
+
+    def run(table):
+        import numpy as np
+        import pyarrow as pa
+
+        digest = table["digest"].to_numpy()
+        label = np.unique(table["part"].to_numpy(), return_inverse=True)[1]
+        lists = table["held"].combine_chunks()
+        sizes = lists.value_lengths().to_numpy().astype(np.int64)
+        values = lists.flatten().to_numpy()
+        ends = np.cumsum(sizes)
+        order = np.argsort(values, kind="stable")
+        ordered, owner = values[order], np.repeat(np.arange(len(sizes)), sizes)[order]
+        low, high = np.searchsorted(ordered, values), np.searchsorted(ordered, values, "right")
+        out = []
+        for i in range(len(sizes)):
+            if (label == label[i]).all():
+                break
+            s = slice(ends[i] - sizes[i], ends[i])
+            n = high[s] - low[s]
+            at = np.arange(n.sum()) + np.repeat(low[s] - np.cumsum(n) + n, n)
+            both = np.bincount(owner[at], minlength=len(sizes))
+            for j in np.flatnonzero((both >= similarity * (sizes[i] + sizes - both) - 1e-9) & (label != label[i])):
+                if label[j] != label[i]:
+                    out.append((digest[i], digest[j]))
+                    label[label == label[j]] = label[i]
+        a, b = zip(*out, strict=True) if out else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
 
 
 def _tiled(rows: DataFrame, crossing: bool) -> DataFrame:
@@ -228,13 +288,12 @@ def near_copies(df: DataFrame, row: str, shingle: int = 5, similarity: float = 0
         rows = rows.join(is_hot, "h", "left_anti").withColumn("tile", F.lit(0)).unionByName(_tiled(rows.join(is_hot, "h", "left_semi"), False))
     else:
         rows = rows.withColumn("tile", F.lit(0))
-    first = materialise(_pairs(rows, similarity, False), "candidates")
-    sample = prints.groupBy("digest").agg(F.min("_row").alias("_row"))
+    first = materialise(_first(rows, similarity), "candidates")
+    sample = materialise(prints.groupBy("digest").agg(F.min("_row").alias("_row")), "classes")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs that reach the similarity."""
-        pairs = materialise(pairs.distinct(), "pairs")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct().join(sample, "digest")
+    def sets_of(digests: DataFrame) -> DataFrame:
+        """digest, held: the shingles of the given classes."""
+        wanted = digests.distinct().join(sample, "digest")
         chosen = df.select(F.col(row).alias("_row"), F.col(text_col).alias("_text")).join(wanted, "_row").select("digest", "_text")
 
         def run(batches):
@@ -245,16 +304,19 @@ def near_copies(df: DataFrame, row: str, shingle: int = 5, similarity: float = 0
                 held = [shingles(t, shingle).view(np.int64) for t in texts(batch, "_text")]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.list_(pa.int64()))], names=["digest", "held"])
 
-        sets = materialise(chosen.mapInArrow(run, "digest long, held array<long>"), "sets")
-        both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-        same = F.size(F.array_intersect("x", "y"))
-        return both.filter(same >= similarity * (F.size("x") + F.size("y") - same) - 1e-9).select("a", "b")
+        return materialise(chosen.mapInArrow(run, "digest long, held array<long>"), "sets")
 
-    links = materialise(verified(first.filter("b is not null").select("a", "b")), "links")
+    pairs = materialise(first.filter("b is not null").select("a", "b").distinct(), "pairs")
+    sets = sets_of(pairs.select(F.col("a").alias("digest")).union(pairs.select("b")))
+    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    same = F.size(F.array_intersect("x", "y"))
+    links = materialise(both.filter(same >= similarity * (F.size("x") + F.size("y") - same) - 1e-9).select("a", "b"), "links")
     roots = components(links)
     members = first.filter("b is null").select("h", "size", F.col("a").alias("digest"), "fp")
     parts = members.join(roots, members.digest == roots.node, "left").select("h", "size", "digest", "fp", F.coalesce("root", "digest").alias("part"))
-    more = materialise(verified(_pairs(_tiled(parts.distinct(), True), similarity, True).select("a", "b")), "links")
+    across = materialise(_across(_tiled(parts.distinct(), True), similarity), "across")
+    loaded = across.join(sets_of(across.select("digest")), "digest").select("h", "tile", "digest", "part", "held")
+    more = materialise(loaded.groupBy("h", "tile").applyInArrow(_forest(similarity), "a long, b long").distinct(), "links")
     if not more.isEmpty():
         roots = components(links.union(more))
     return prints.join(roots, prints.digest == roots.node, "left").select("_row", F.coalesce("root", "digest").alias("component"))
