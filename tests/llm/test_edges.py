@@ -82,10 +82,10 @@ def test_filter_counts_are_never_below_their_level():
 
     keys = np.arange(1, 5000, dtype=np.uint64)
     counts = (keys.astype(np.int64) % 50) + 1
-    f = lm.LogFrequencyFilter([lm.LogFrequencyFilter.build(keys, counts, 1)], 1)
+    f = lm.LogFrequencyFilter.of([lm.LogFrequencyFilter.build(keys, counts)])
     levels = np.array(lm.LEVELS)
-    assert (f.counts(keys) >= levels[np.searchsorted(levels, counts, "right") - 1]).all()
-    assert (f.counts(keys + np.uint64(1 << 40)) > 0).mean() < 0.02
+    assert (f.value(f.levels(keys)) >= levels[np.searchsorted(levels, counts, "right") - 1]).all()
+    assert (f.levels(keys + np.uint64(1 << 40)) > 0).mean() < 0.02
 
 
 def test_prefix_tables_append_and_edit():

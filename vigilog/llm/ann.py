@@ -1,19 +1,25 @@
 """Nearest neighbours by largest inner product over balanced posting lists.
 
-Inner products become Euclidean distances by one more coordinate.  Centroids are
-the leaf means of a balanced tree (median splits) over a bounded sample; every
-vector is put on its nearest list and, as a boundary vector, on each other list
-not farther than ``closure`` times that distance, the ``replicas`` nearest of
-them.  A query walks a neighbour
-graph of the centroids in memory, keeps the lists within ``ratio`` times the
-nearest distance and compares itself with all vectors on them.  Lists and their
-queries are cut into blocks, so no task holds an unbounded list.
+Vectors are dealt into at most ``BANDS`` bands of norm (so that a few long ones
+don't stretch the rest), and within a band inner products become Euclidean
+distances by one more coordinate.  Centroids are the leaf means of a balanced
+tree (median splits) over a bounded sample; every vector is put on its nearest
+list and, as a boundary vector, on each other list not farther than ``closure``
+times that distance, the ``replicas`` nearest of them.  A query walks a neighbour
+graph of the centroids in memory, keeps the lists within a ratio of the nearest
+distance and compares itself with all vectors on them.  The ratio is fitted on
+the sample: the smallest that finds ``recall`` of the sampled queries' own
+neighbours.  Lists and their queries are cut into blocks, so no task holds an
+unbounded list.
+
+The sample's bound (SAMPLE vectors a band) bounds the lists at SAMPLE / 8; in a
+larger table lists grow with it.
 
 Equal vectors are one class before the search; a class needs only its ``k + 1``
 smallest ids, which loses no result.  Vectors null, zero, or with null or
-non-finite components, and those of another length than most, take no part; a
-repeated (id, vector) row counts once; the same id with several vectors keeps
-the smallest; an empty table gives an empty result; other columns are ignored.
+non-finite components, and those of another length than most, take no part; the
+same id with several vectors keeps the smallest; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,8 +32,11 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-#: The index is fitted on at most this many vectors.
-SAMPLE = 16_384
+#: The index is fitted on at most this many vectors a band.
+SAMPLE = 65_536
+BANDS = 8
+#: Queries of the sample by which the ratio is fitted, and nodes the walk expands at least.
+TRIAL, BEAM = 256, 32
 LIST_SIZE = 256
 BLOCK = 4096
 QUERY_BLOCK = 16_384
@@ -72,7 +81,7 @@ class Centroids:
         return cls(points, [np.array(sorted(s), np.int64) for s in links], entry, reach)
 
     def search(self, q, ratio: float):
-        """Lists within ``ratio`` of the nearest distance, best first over the graph."""
+        """Lists within ``ratio`` of the nearest distance, best first over the graph: nodes a little past the ratio are expanded too."""
         import numpy as np
 
         seen = set(self.entry)
@@ -81,11 +90,12 @@ class Centroids:
         heapq.heapify(heap)
         best = min(heap)[0]
         found = list(heap)
-        slack = ratio * ratio
-        stale = 0
-        while heap and stale < 24:
+        slack, popped = ratio * ratio, 0
+        while heap:
             d, i = heapq.heappop(heap)
-            stale = stale + 1 if d > best * slack else 0
+            popped += 1
+            if d > best * slack * 1.1 and popped > BEAM:
+                break
             new = [j for j in self.links[i] if j not in seen]
             if not new:
                 continue
@@ -96,6 +106,32 @@ class Centroids:
                 best = min(best, float(e))
         return np.array(sorted(int(j) for e, j in found if e <= best * slack), np.int32)
 
+    def post(self, x, closure: float, replicas: int):
+        """(row, list) of the lists that rows of ``x`` are put on."""
+        import numpy as np
+
+        far = np.maximum((x * x).sum(1)[:, None] + (self.points * self.points).sum(1)[None, :] - 2 * x @ self.points.T, 0)
+        close = np.partition(far, min(replicas, far.shape[1]) - 1, axis=1)[:, min(replicas, far.shape[1]) - 1]
+        return np.nonzero(far <= np.minimum(far.min(1) * closure * closure, close)[:, None] + 1e-12)
+
+    def fitted_ratio(self, sample, k: int, recall: float, closure: float, replicas: int) -> float:
+        """The smallest ratio by which sampled queries reach ``recall`` of their ``k`` nearest of the sample."""
+        import numpy as np
+
+        asked = sample[:TRIAL]
+        rough = asked @ sample.T
+        rough[np.arange(len(asked)), np.arange(len(asked))] = -np.inf
+        k = min(k, len(sample) - 1)
+        if k < 1:
+            return 1.0
+        top = np.argpartition(-rough, k - 1, axis=1)[:, :k].ravel()
+        far = np.sqrt(np.maximum((asked * asked).sum(1)[:, None] + (self.points * self.points).sum(1)[None, :] - 2 * np.hstack([asked, np.zeros((len(asked), 1))]) @ self.points.T, 0))
+        relative = far / np.maximum(far.min(1), 1e-12)[:, None]
+        at, to = self.post(augment(sample[top], self.reach), closure, replicas)
+        need = np.full(len(top), np.inf)
+        np.minimum.at(need, at, relative[at // k, to])
+        return float(max(1.0, np.sort(need)[int(np.ceil(recall * len(need))) - 1])) + 1e-9
+
 
 def augment(x, reach: float):
     import numpy as np
@@ -120,61 +156,84 @@ def valid(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.select("id", F.transform("v", lambda x: x + F.lit(0.0)).alias("v"))
 
 
-def search(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", closure: float = 1.06, replicas: int = 8, ratio: float = 1.12, max_lists: int = 4096) -> DataFrame:
+def bands(norms: dict[int, int]) -> dict[int, int]:
+    """A group for each band: neighbouring bands merged, the smallest first, until BANDS are left."""
+    groups = [[[b], n] for b, n in sorted(norms.items())]
+    while len(groups) > BANDS:
+        k = min(range(len(groups) - 1), key=lambda i: groups[i][1] + groups[i + 1][1])
+        groups[k : k + 2] = [[groups[k][0] + groups[k + 1][0], groups[k][1] + groups[k + 1][1]]]
+    return {b: g for g, (members, _) in enumerate(groups) for b in members}
+
+
+def search(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", closure: float = 1.01, replicas: int = 2, recall: float = 0.95) -> DataFrame:
     """query_id, rank, vec_id, score for every row where ``is_query`` (a Column over ``id``) holds.
 
-    All lists within the ratio are searched; there is no cap on candidates.
+    All vectors on the lists within the ratio are compared; there is no cap on candidates.
     """
+    import numpy as np
+
     spark = df.sparkSession
     rows = valid(df, id_col, vector_col)
     top = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if top is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = rows.filter(F.size("v") == top.d)
+    rows = materialise(rows.filter(F.size("v") == top.d).groupBy("id").agg(F.min("v").alias("v")), "vectors")
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(256)))
     fewest = lambda c: F.slice(F.array_sort(F.array_distinct(c)), 1, k + 1)
     some = salted.groupBy("v", "salt").agg(fewest(F.collect_list("id")).alias("ids"))
     classes = some.groupBy("v").agg(fewest(F.flatten(F.collect_list("ids"))).alias("ids"))
     classes = materialise(classes.select(F.col("ids")[0].alias("cls"), "v", "ids").withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))), "classes")
-    asked = rows.filter(is_query).select("id", "v").distinct().join(classes.select("cls", "v"), "v").select("id", "cls")
+    asked = rows.filter(is_query).join(classes.select("cls", "v"), "v").select("id", "cls")
     asked = materialise(asked, "asked")
 
-    size, reach = classes.agg(F.count(F.lit(1)), F.max("norm")).first()
-    sample = [r.v for r in classes.orderBy(F.xxhash64("cls"), "cls").select("v").limit(SAMPLE).collect()]
-    import numpy as np
-
-    lists = int(min(max_lists, max(1, len(sample) // 8), 2 ** max(0, round(np.log2(max(1, size / LIST_SIZE))))))
-    model = spark.sparkContext.broadcast(Centroids.fit(np.array(sample), reach, lists))
+    middle = classes.agg(F.percentile_approx("norm", 0.5)).first()[0]
+    band = F.round(F.log2(F.col("norm") / middle)).cast("int")
+    counted = classes.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("reach")).collect()  # a band for each power of two
+    group_of = bands({r.band: r.n for r in counted})
+    models, ratios, offsets = [], [], [0]
+    for g in sorted(set(group_of.values())):
+        own = [r for r in counted if group_of[r.band] == g]
+        size = sum(r.n for r in own)
+        drawn = classes.filter(band.isin([r.band for r in own])).orderBy(F.xxhash64("cls"), "cls").select("v").limit(SAMPLE).toArrow()
+        sample = _matrix(drawn["v"].combine_chunks())
+        lists = int(min(max(1, len(sample) // 8), 2 ** max(0, round(np.log2(max(1, size / LIST_SIZE))))))
+        models.append(Centroids.fit(sample, max(r.reach for r in own), lists))
+        ratios.append(models[-1].fitted_ratio(sample, k, recall, closure, replicas))
+        offsets.append(offsets[-1] + len(models[-1].points))
+    index = spark.sparkContext.broadcast((models, ratios, offsets))
+    group = F.element_at(F.create_map(*[F.lit(x) for pair in group_of.items() for x in pair]), band).alias("grp")
 
     def post(batches):
         import pyarrow as pa
 
+        models, _, offsets = index.value
         for b in batches:
             if not b.num_rows:
                 continue
-            m = model.value
-            x = augment(_matrix(b.column(1)), m.reach)
-            far = np.maximum((x * x).sum(1)[:, None] + (m.points * m.points).sum(1)[None, :] - 2 * x @ m.points.T, 0)
-            close = np.sort(far, axis=1)[:, min(replicas, far.shape[1]) - 1]
-            at, to = np.nonzero(far <= np.minimum(far.min(1) * closure * closure, close)[:, None] + 1e-12)
-            yield pa.RecordBatch.from_arrays([pa.array(b.column(0).to_numpy(zero_copy_only=False)[at]), pa.array(to.astype(np.int32))], names=["cls", "lst"])
+            x, grp, cls = _matrix(b.column(1)), b.column(2).to_numpy(zero_copy_only=False), b.column(0).to_numpy(zero_copy_only=False)
+            for g in np.unique(grp):
+                own = np.flatnonzero(grp == g)
+                for s in range(0, len(own), 1024):
+                    part = own[s : s + 1024]
+                    at, to = models[g].post(augment(x[part], models[g].reach), closure, replicas)
+                    yield pa.RecordBatch.from_arrays([pa.array(cls[part][at]), pa.array((to + offsets[g]).astype(np.int32))], names=["cls", "lst"])
 
     def walk(batches):
         import pyarrow as pa
 
+        models, ratios, offsets = index.value
         for b in batches:
-            m = model.value
             v = _matrix(b.column(1))
-            got = [m.search(np.append(q, 0.0), ratio) for q in v]
+            got = [np.concatenate([m.search(np.append(q, 0.0), r) + np.int32(o) for m, r, o in zip(models, ratios, offsets, strict=False)]) for q in v]
             at = np.repeat(np.arange(len(got)), [len(g) for g in got]) if got else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(b.column(0).to_numpy(zero_copy_only=False)[at]), pa.array(np.concatenate(got) if got else np.zeros(0, np.int32))], names=["cls", "lst"])
 
-    posted = materialise(classes.select("cls", "v").mapInArrow(post, "cls long, lst int"), "postings")
+    posted = materialise(classes.select("cls", "v", group).mapInArrow(post, "cls long, lst int"), "postings")
     wanted = asked.select("cls").distinct().join(classes.select("cls", "v"), "cls")
     walked = materialise(wanted.select("cls", "v").mapInArrow(walk, "cls long, lst int"), "probes")
     blocks = posted.groupBy("lst").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("pb"))
     probes = walked.groupBy("lst").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("qb"))
-    shape = F.broadcast(blocks.join(probes, "lst"))  # at most max_lists rows
+    shape = F.broadcast(blocks.join(probes, "lst"))  # a row for each list
     part = lambda n: F.pmod(F.xxhash64("cls"), F.col(n).cast("long")).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = walked.join(shape, "lst").select("lst", "cls", part("qb").alias("q"), spread("pb").alias("p")).join(classes.select("cls", "v"), "cls")
@@ -189,12 +248,15 @@ def search(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_
             return pa.table({n: pa.array([], t) for n, t in name.items()})
         q, p = _matrix(queries["v"].combine_chunks()), _matrix(vectors["v"].combine_chunks())
         ids = vectors["ids"].to_pylist()
-        keep = min(len(p), 2 * k + 2)
+        keep = min(len(p), k + 1)
         out = []
         for s in range(0, len(q), 1024):
             rough = q[s : s + 1024] @ p.T
-            best = np.argpartition(-rough, keep - 1, axis=1)[:, :keep] if keep < len(p) else np.tile(np.arange(len(p)), (len(rough), 1))
-            for one, cols in zip(q[s : s + 1024], best, strict=True):
+            least = np.partition(rough, len(p) - keep, axis=1)[:, len(p) - keep]
+            # all that rounding could put among the best, ties included
+            close = rough >= (least - 1e-9 * (1 + np.abs(least)))[:, None]
+            for one, row in zip(q[s : s + 1024], close, strict=True):
+                cols = np.flatnonzero(row)
                 exact = (p[cols] * one).sum(1)
                 found = sorted((-float(e), i) for e, c in zip(exact, cols, strict=True) for i in ids[c])[: k + 1]
                 out.append([{"far": f, "vec_id": i} for f, i in found])

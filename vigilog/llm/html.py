@@ -8,7 +8,9 @@ comments), which always goes.  Pages are sorted by host and URL path and each is
 aligned with its nearest neighbours before and after by the longest common
 subsequence of lines; open and loose lines shared with a neighbour are deleted.
 Paragraphs of an article stay even where a neighbour quotes them, since they are
-the article.  A neighbour with exactly the same lines is a copy and tells
+the article; so on pages that mark their article and their furniture the markup
+decides and differencing deletes nothing.  An article element with less than a
+fifth of the page's open text is a teaser, and the open text stays.  A neighbour with exactly the same lines is a copy and tells
 nothing; a page whose every open line is shared keeps them.
 
 Pages are parsed before they are range-partitioned by (host, path, page_id), so
@@ -18,7 +20,8 @@ all pages spreads over many tasks; the pairs across two partitions are made in a
 second step from each partition's first and last page.
 
 Null html gives an empty text; pages without a URL form one host; ties of URL
-are ordered by page_id; repeated rows keep a row each; other columns are ignored.
+are ordered by page_id; repeated rows keep a row each; broken and very long markup is read
+once, from start to end; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ import zlib
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, small_batches
 
 # HTML element kinds and words of class, id and role attributes that mark page furniture.
 RAW = {"script", "style", "title", "textarea", "noscript", "template", "svg", "iframe", "select", "button", "head", "object", "math"}
@@ -40,20 +43,75 @@ PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "td
 FURNITURE = {"nav", "footer", "aside", "form", "menu", "dialog", "fieldset"}
 WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "alert", "aside", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "complementary", "consent", "contentinfo", "cookie", "cookies", "dialog", "disqus", "footer", "form", "gdpr", "login", "masthead", "menu", "menubar", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pager", "pagination", "popup", "promo", "promotion", "related", "replies", "reply", "search", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "subscription", "toolbar", "widget"}
 
+# Words that qualify a furniture word in a compound name.
+QUALIFIERS = {"area", "bar", "block", "bottom", "box", "container", "content", "fixed", "footer", "global", "header", "inner", "item", "items", "left", "link", "links", "list", "main", "page", "panel", "primary", "right", "secondary", "section", "site", "text", "title", "top", "wrap", "wrapper"}
+
 ARTICLE, OPEN, LOOSE, DROP = range(4)
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+STOP = re.compile(r"""[>"']""")
+ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 
 
-def _named_furniture(attributes: str) -> bool:
+def _named_furniture(tag: str, attributes: str) -> bool:
+    """Whether a class, id or role names furniture: a furniture word, alone or with qualifiers only; ids of headings and paragraphs name their topic."""
     if "=" not in attributes:
         return False
-    for found in ATTRIBUTE.findall(attributes):
-        if WORDS & set(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", "".join(found)).lower())):
-            return True
+    for name, *found in ATTRIBUTE.findall(attributes):
+        if name.lower() == "id" and (tag in PROSE or tag == "section"):
+            continue
+        for token in "".join(found).split():
+            words = {w for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", token).lower()) if w}
+            if words & WORDS and words <= WORDS | QUALIFIERS:
+                return True
     return False
 
 
+def tags(page: str):
+    """(text before, name, closing, attributes) of each tag, the rest of the text last with an empty name; reads the page once.
+
+    A quote counts only after an equals sign; a quote or tag without an end is text.
+    """
+    at, start, no_quote, no_end = 0, 0, set(), set()
+    last = page.rfind(">")
+    while 0 <= (lt := page.find("<", at)) < last:
+        if page.startswith("<!--", lt):
+            end = page.find("-->", lt + 4)
+            yield page[start:lt], "", False, ""
+            at = start = len(page) if end < 0 else end + 3
+            continue
+        if page[lt + 1 : lt + 2] in ("!", "?"):
+            yield page[start:lt], "", False, ""
+            at = start = page.find(">", lt) + 1
+            continue
+        closing = page.startswith("/", lt + 1)
+        name = NAME.match(page, lt + 1 + closing)
+        if not name:
+            at = lt + 1
+            continue
+        pos = name.end()
+        while (stop := STOP.search(page, pos)) and stop[0] != ">":
+            pos = stop.end()
+            if stop[0] not in no_quote and page[name.end() : stop.start()][-20:].rstrip().endswith("="):
+                quote = page.find(stop[0], pos)
+                if quote < 0:
+                    no_quote.add(stop[0])
+                else:
+                    pos = quote + 1
+        end = stop.start() if stop else page.find(">", lt)
+        tag, attributes = name[0].lower(), page[name.end() : end]
+        at = end + 1
+        if tag in RAW and not closing and not attributes.rstrip().endswith("/") and tag not in no_end:
+            found = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            if found:
+                at = found.end()
+            else:
+                no_end.add(tag)
+                at = at if tag == "head" else len(page)
+        yield page[start:lt], tag, closing, attributes
+        start = at
+    yield page[start:], "", False, ""
+
+
 def lines_of(page: str) -> list[tuple[str, int]]:
     """(text, mark) of each non-empty block in page order."""
     out: list[tuple[str, int]] = []
@@ -77,18 +135,12 @@ def lines_of(page: str) -> list[tuple[str, int]]:
                 out.append((line, mark))
         prose, prose_drop = "", False
 
-    while True:
-        m = TAG.search(page, at)
-        piece = page[at : m.start() if m else len(page)]
+    for piece, tag, closing, attributes in tags(page):
         if piece:
             text.append(piece)
-        if not m:
-            break
-        at = m.end()
-        tag = (m[2] or "").lower()
         if not tag:
             continue
-        if m[1]:
+        if closing:
             if tag in BLOCK:
                 flush()
             if tag in CONTAINER:
@@ -100,18 +152,15 @@ def lines_of(page: str) -> list[tuple[str, int]]:
                         break
             continue
         if tag in RAW:
-            if not m[3].rstrip().endswith("/"):
-                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                at = end.end() if end else (at if tag == "head" else len(page))
             continue
         if tag == "br":
             text.append(" ")
             continue
-        if tag not in BLOCK and not (tag == "span" and _named_furniture(m[3])):
+        if tag not in BLOCK and not (tag == "span" and _named_furniture(tag, attributes)):
             continue
         flush()
         _, drop, article, header = stack[-1] if stack else ("", False, False, False)
-        named = tag not in ("html", "body", "main") and _named_furniture(m[3])
+        named = tag not in ("html", "body", "main") and _named_furniture(tag, attributes)
         if tag in CONTAINER:
             if tag in ("article", "main") and not drop and not named:
                 article = has_article = True
@@ -119,7 +168,10 @@ def lines_of(page: str) -> list[tuple[str, int]]:
         if tag in PROSE:
             prose, prose_drop = tag, named
     flush()
-    return [(t, DROP if mark == OPEN and has_article else mark) for t, mark in out]
+    inside = sum(len(t) for t, mark in out if mark == ARTICLE)
+    outside = sum(len(t) for t, mark in out if mark == OPEN)
+    teaser = has_article and outside > 4 * inside
+    return [(t, DROP if mark == OPEN and has_article and not teaser else mark) for t, mark in out]
 
 
 def shared_lines(own: list[int], other: list[int]) -> set[int]:
@@ -185,6 +237,7 @@ def _parse(batches):
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars."""
+    small_batches(pages.sparkSession)
     kind = pages.schema["page_id"].dataType.simpleString()
     keyed = pages.select(
         "page_id", "url", "html",

@@ -3,10 +3,13 @@
 Unigram and bigram counts of the training texts are quantised on a growing
 scale; an n-gram of level q puts its levels 1..q into a Bloom filter, and its
 count is read back by probing level after level until one is missing.  The
-filter is cut into one segment for each hash bucket, built where that bucket is
-summed, and broadcast.  Its size is bounded: n-grams of at least
-``count / MAX_NGRAMS`` of the training tokens are held (all of them below
-``MAX_NGRAMS`` tokens), at most ``MAX_NGRAMS`` per order.
+filter is cut into segments by hash bucket, each built where that bucket is
+summed; it holds every n-gram and so grows with the corpus.
+
+Up to ``broadcast_bytes`` the segments are broadcast and probed where the texts
+are.  A larger filter isn't broadcast: the distinct n-grams of each group of texts
+travel to their segments, are probed there and come back as levels.  Both ways
+probe the same segments and give the same scores.
 
 Smoothing: p(w) = (c(w) + 1) / (N + V + 1) and p(w | u) = (c(u w) + k p(w)) /
 (c(u) + k), with the text's end as the context of its first word.
@@ -17,8 +20,8 @@ are joined, which also keeps frequent words out of the join.  Tokens are keyed
 by their 64-bit hash.
 
 Null and empty texts consist of their end token; a null id counts as not held
-out; repeated rows keep a row each; other columns are ignored; with no training
-row the base is that of N = V = 0.
+out; repeated rows keep a row each; very long texts are read whole; other columns
+are ignored; with no training row the base is that of N = V = 0.
 """
 
 from __future__ import annotations
@@ -28,9 +31,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, texts
+from .common import materialise, small_batches, texts
 
-MAX_NGRAMS = 1 << 25
+#: A filter of at most so many bytes is broadcast.
+BROADCAST_BYTES = 96 << 20
 MAX_HEAVY = 1 << 20
 BITS_PER_ENTRY = 12
 PROBES = 5
@@ -70,22 +74,32 @@ LEVELS = codebook()
 
 @dataclass
 class LogFrequencyFilter:
-    """Segments by bucket; ``scale`` is the count of level one."""
+    """Segments by bucket, one after the other."""
 
-    segments: list
-    scale: int
+    data: bytes
+    lengths: list
 
     def __post_init__(self):
         import numpy as np
 
-        self.bits = np.array([len(s) * 8 for s in self.segments], np.uint64)
-        self.base = np.concatenate([[0], np.cumsum([len(s) for s in self.segments])])[:-1].astype(np.int64)
-        self.data = np.concatenate([np.frombuffer(s, np.uint8) for s in self.segments])
-        ends = np.array(LEVELS, float)
-        self.value = np.concatenate([[0.0], np.sqrt(ends[:-1] * np.maximum(ends[:-1], ends[1:] - 1)), ends[-1:]]) * self.scale
+        self.bits = np.array(self.lengths, np.uint64) * np.uint64(8)
+        self.base = np.concatenate([[0], np.cumsum(self.lengths)])[:-1].astype(np.int64)
+        self.flags = np.frombuffer(self.data, np.uint8)
 
     def __reduce__(self):
-        return LogFrequencyFilter, (self.segments, self.scale)
+        return LogFrequencyFilter, (self.data, self.lengths)
+
+    @classmethod
+    def of(cls, segments: list[bytes]) -> LogFrequencyFilter:
+        return cls(b"".join(segments), [len(s) for s in segments])
+
+    @staticmethod
+    def value(levels):
+        """The counts that levels stand for, 0 for none."""
+        import numpy as np
+
+        ends = np.array(LEVELS, float)
+        return np.concatenate([[0.0], np.sqrt(ends[:-1] * np.maximum(ends[:-1], ends[1:] - 1)), ends[-1:]])[np.minimum(levels, len(ends))]
 
     @staticmethod
     def positions(keys, level, bits):
@@ -97,12 +111,11 @@ class LogFrequencyFilter:
         return [(g + np.uint64(i) * step) % bits for i in range(PROBES)]
 
     @staticmethod
-    def build(keys, counts, scale: int) -> bytes:
+    def build(keys, counts) -> bytes:
         """The segment of one bucket."""
         import numpy as np
 
-        held = counts >= scale
-        keys, levels = keys[held], np.searchsorted(LEVELS, counts[held] // scale, "right")
+        levels = np.searchsorted(LEVELS, counts, "right")
         bits = -(-max(64, BITS_PER_ENTRY * int(levels.sum())) // 8) * 8
         flags = np.zeros(bits, bool)
         level = 1
@@ -114,12 +127,12 @@ class LogFrequencyFilter:
             keys, levels = keys[more], levels[more]
         return np.packbits(flags, bitorder="little").tobytes()
 
-    def counts(self, keys):
-        """Quantised counts of the keys, 0 where even level one is missing."""
+    def levels(self, keys):
+        """The quantised counts of the keys, 0 where even level one is missing."""
         import numpy as np
 
-        bucket = (keys % np.uint64(len(self.segments))).astype(np.int64)
-        level = np.zeros(len(keys), np.int64)
+        bucket = (keys % np.uint64(len(self.lengths))).astype(np.int64)
+        level = np.zeros(len(keys), np.uint8)
         alive = np.arange(len(keys))
         j = 1
         while len(alive):
@@ -128,11 +141,11 @@ class LogFrequencyFilter:
             for p in self.positions(keys[alive], j, self.bits[b]):
                 at = np.flatnonzero(ok)
                 q = p[at]
-                ok[at] = (self.data[self.base[b[at]] + (q >> np.uint64(3)).astype(np.int64)] >> (q & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                ok[at] = (self.flags[self.base[b[at]] + (q >> np.uint64(3)).astype(np.int64)] >> (q & np.uint64(7)).astype(np.uint8)) & 1 == 1
             alive = alive[ok]
             level[alive] = j
             j += 1
-        return self.value[np.minimum(level, len(self.value) - 1)]
+        return level
 
 
 def _groups(batches, column: str):
@@ -215,39 +228,182 @@ def unigrams(train: DataFrame, buckets: int) -> DataFrame:
     return _partial_counts(train, buckets, 1).groupBy("bucket").applyInArrow(total, "h long, c long")
 
 
-def _segments(parts: DataFrame, buckets: int, scale: int) -> list[bytes]:
+def _segments(parts: DataFrame) -> DataFrame:
     def build(table):
         import pyarrow as pa
 
-        return pa.table({"bucket": table["bucket"].combine_chunks()[:1], "segment": pa.array([LogFrequencyFilter.build(*_summed(table), scale)], pa.binary())})
+        return pa.table({"bucket": table["bucket"].combine_chunks()[:1], "segment": pa.array([LogFrequencyFilter.build(*_summed(table))], pa.binary())})
 
-    built = materialise(parts.groupBy("bucket").applyInArrow(build, "bucket int, segment binary"), "segments")
-    found = {r.bucket: bytes(r.segment) for r in built.collect()}  # bounded by MAX_NGRAMS entries
-    return [found.get(b, b"\0" * 8) for b in range(buckets)]
+    return parts.groupBy("bucket").applyInArrow(build, "bucket int, segment binary")
 
 
-def _unigram_segments(counts: DataFrame, buckets: int, scale: int) -> list[bytes]:
+def _unigram_segments(counts: DataFrame, buckets: int) -> DataFrame:
     def build(table):
         import numpy as np
         import pyarrow as pa
 
         keys = table["h"].to_numpy().view(np.uint64)
-        return pa.table({"bucket": table["bucket"].combine_chunks()[:1], "segment": pa.array([LogFrequencyFilter.build(keys, table["c"].to_numpy(), scale)], pa.binary())})
+        return pa.table({"bucket": table["bucket"].combine_chunks()[:1], "segment": pa.array([LogFrequencyFilter.build(keys, table["c"].to_numpy())], pa.binary())})
 
     # unsigned remainder of the hash, as in the filter
     high = F.shiftrightunsigned("h", 1)
     bucket = ((high % buckets) * 2 + (F.col("h").bitwiseAND(F.lit(1)))) % buckets
-    rows = counts.select(bucket.cast("int").alias("bucket"), "h", "c").groupBy("bucket").applyInArrow(build, "bucket int, segment binary")
-    found = {r.bucket: bytes(r.segment) for r in materialise(rows, "segments").collect()}
-    return [found.get(b, b"\0" * 8) for b in range(buckets)]
+    return counts.select(bucket.cast("int").alias("bucket"), "h", "c").groupBy("bucket").applyInArrow(build, "bucket int, segment binary")
+
+
+def _loaded(segments: DataFrame, buckets: int) -> LogFrequencyFilter:
+    table = segments.select("bucket", "segment").toArrow()  # at most BROADCAST_BYTES
+    found = dict(zip(table["bucket"].to_pylist(), table["segment"].to_pylist(), strict=True))
+    return LogFrequencyFilter.of([found.get(b, b"\0" * 8) for b in range(buckets)])
+
+
+def _bigrams(ids, ends, hashes):
+    """before, after (positions in hashes) of the distinct bigrams, and each token's place among them."""
+    import numpy as np
+
+    pair, back = np.unique(_before(ids, ends) * len(hashes) + ids, return_inverse=True)
+    return pair // len(hashes), pair % len(hashes), back
+
+
+def _scores(ids, ends, hashes, levels, heavy, n: int, v: int, strength: float):
+    """Of a group's texts: tokens, known heavy tokens, their base sum, score, and offsets, hashes and times of the tokens to join."""
+    import numpy as np
+
+    heavy_h, heavy_c = heavy
+    docs_n = len(ends)
+    sizes = np.diff(ends, prepend=0)
+    doc = np.repeat(np.arange(docs_n), sizes)
+    exact = np.full(len(hashes), -1)
+    if len(heavy_h):
+        at = np.minimum(np.searchsorted(heavy_h, hashes), len(heavy_h) - 1)
+        exact = np.where(heavy_h[at] == hashes, heavy_c[at], -1)
+    known = np.bincount(doc, (exact > 0)[ids], docs_n).astype(np.int64)
+    base = np.bincount(doc, np.log10(np.maximum(exact, 0) + 1.0)[ids], docs_n)
+    u, w, back = _bigrams(ids, ends, hashes)
+    one, two = levels(hashes, bigram_keys(hashes[u], hashes[w]))
+    c1 = LogFrequencyFilter.value(one)
+    p1 = (c1 + 1) / (n + v + 1)
+    c2 = np.minimum(LogFrequencyFilter.value(two), c1[u])
+    logs = np.log10((c2 + strength * p1[w]) / (c1[u] + strength))
+    tail = exact[ids] < 0
+    rare, times = np.unique(doc[tail] * len(hashes) + ids[tail], return_counts=True)
+    offsets = np.searchsorted(rare // len(hashes), np.arange(docs_n + 1)).astype(np.int32)
+    return sizes.astype(np.int64), known, base, np.bincount(doc, logs[back], docs_n), offsets, hashes[rare % len(hashes)].view(np.int64), times.astype(np.int32)
+
+
+def _result(row, doc_ids, held, scores):
+    import pyarrow as pa
+
+    sizes, known, base, model, offsets, tail, times = scores
+    columns = [row, doc_ids, held, pa.array(sizes), pa.array(known), pa.array(base), pa.array(model), pa.ListArray.from_arrays(pa.array(offsets), pa.array(tail)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(times))]
+    return columns, ["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "tail", "times"]
+
+
+def _by_broadcast(docs: DataFrame, filters, heavy, n: int, v: int, strength: float, schema: str) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast((heavy, filters))
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        heavy, (one, two) = shared.value
+        row = TaskContext.get().partitionId() << 40
+        for batch, first, ids, ends, hashes in _groups(batches, "text"):
+            part = batch.slice(first, len(ends))
+            scores = _scores(ids, ends, hashes, lambda x, y: (one.levels(x), two.levels(y)), heavy, n, v, strength)
+            yield pa.RecordBatch.from_arrays(*_result(pa.array(np.arange(row, row + len(ends))), part.column(0), part.column(1), scores))
+            row += len(ends)
+
+    return docs.mapInArrow(run, schema)
+
+
+def _by_shuffle(docs: DataFrame, segments: DataFrame, buckets: int, heavy, n: int, v: int, strength: float, schema: str) -> DataFrame:
+    """The same rows, with the n-grams of each group of texts sent to the segments and their levels sent back."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast(heavy)
+    one_of = lambda x: (x % buckets).astype("int64")
+
+    def pack(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
 
+        group = TaskContext.get().partitionId() << 40
+        for batch, first, ids, ends, hashes in _groups(batches, "text"):
+            part = batch.slice(first, len(ends))
+            whole = lambda c: pa.ListArray.from_arrays(pa.array([0, len(ends)], pa.int32()), c)  # noqa: E731, B023
+            yield pa.RecordBatch.from_arrays([pa.array([group]), whole(part.column(0)), whole(part.column(1)), *(pa.array([x.tobytes()], pa.binary()) for x in (ids, ends, hashes))], names=["group", "doc_id", "held_out", "ids", "ends", "hashes"])
+            group += 1
+
+    def read(r):
+        import numpy as np
+
+        return np.frombuffer(r["ids"], np.int64), np.frombuffer(r["ends"], np.int64), np.frombuffer(r["hashes"], np.uint64)
+
+    def keys_of(ids, ends, hashes):
+        u, w, _ = _bigrams(ids, ends, hashes)
+        return hashes, bigram_keys(hashes[u], hashes[w])
+
+    def ask(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                for order, keys in enumerate(keys_of(*read(r))):
+                    bucket = one_of(keys)
+                    sort = np.argsort(bucket, kind="stable")
+                    cut = np.searchsorted(bucket[sort], np.arange(buckets + 1))
+                    some = np.flatnonzero(cut[1:] > cut[:-1])
+                    sent = [keys[sort[cut[b] : cut[b + 1]]].tobytes() for b in some]
+                    yield pa.RecordBatch.from_arrays([pa.array([order] * len(some), pa.int32()), pa.array(some.astype(np.int32)), pa.array([r["group"]] * len(some), pa.int64()), pa.array(sent, pa.binary())], names=["order", "bucket", "group", "keys"])
+
+    def probe(asked, held):
+        import numpy as np
+        import pyarrow as pa
+
+        segment = held["segment"][0].as_py() if held.num_rows else b"\0" * 8
+        one = LogFrequencyFilter.of([segment])
+        found = [one.levels(np.frombuffer(k, np.uint64)).tobytes() for k in asked["keys"].to_pylist()]
+        return pa.table({"group": asked["group"], "order": asked["order"], "bucket": asked["bucket"], "levels": pa.array(found, pa.binary())})
+
+    def finish(group, found):
+        import numpy as np
+        import pyarrow as pa
+
+        r = group.to_pylist()[0]
+        ids, ends, hashes = read(r)
+        got = {(a, b): x for a, b, x in zip(found["order"].to_pylist(), found["bucket"].to_pylist(), found["levels"].to_pylist(), strict=True)}
+
+        def levels(*asked):
+            out = []
+            for order, keys in enumerate(asked):
+                bucket = one_of(keys)
+                level = np.zeros(len(keys), np.uint8)
+                parts = [np.frombuffer(got[order, int(b)], np.uint8) for b in np.unique(bucket)]
+                level[np.argsort(bucket, kind="stable")] = np.concatenate(parts)
+                out.append(level)
+            return out
 
-def score(df: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", strength: float = 1000.0, bucket_bytes: int = 8 << 20) -> DataFrame:
+        scores = _scores(ids, ends, hashes, levels, shared.value, n, v, strength)
+        rows = pa.array((r["group"] << 20) + np.arange(len(ends)))
+        columns, names = _result(rows, pa.array(r["doc_id"], group.schema.field("doc_id").type.value_type), pa.array(r["held_out"], pa.bool_()), scores)
+        return pa.table(dict(zip(names, columns, strict=True)))
+
+    groups = materialise(docs.mapInArrow(pack, f"group long, doc_id array<{kind}>, held_out array<boolean>, ids binary, ends binary, hashes binary"), "groups")
+    asked = groups.select("group", "ids", "ends", "hashes").mapInArrow(ask, "`order` int, bucket int, group long, keys binary")
+    levels = asked.groupBy("order", "bucket").cogroup(segments.groupBy("order", "bucket")).applyInArrow(probe, "group long, `order` int, bucket int, levels binary")
+    return groups.groupBy("group").cogroup(levels.groupBy("group")).applyInArrow(finish, schema)
+
+
+def score(df: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", strength: float = 1000.0, bucket_bytes: int = 8 << 20, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every whole text.
 
     ``held_out`` (a Column) marks the rows that are not learned from.
     """
-    sc = df.sparkSession.sparkContext
+    import numpy as np
+
+    small_batches(df.sparkSession)
     docs = df.select(F.col(id_col).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     train = docs.filter(~F.col("held_out"))
@@ -255,56 +411,23 @@ def score(df: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text
     buckets = max(8, -(-size // bucket_bytes))
     uni = materialise(unigrams(train, buckets), "unigrams")
     n, v = uni.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    scale = max(1, -(-n // MAX_NGRAMS))
     heavy_from = max(1, -(-n // MAX_HEAVY))
-    import numpy as np
-
-    top = sorted((r.h & (1 << 64) - 1, r.c) for r in uni.filter(F.col("c") >= heavy_from).collect())  # at most MAX_HEAVY
-    heavy = np.array([h for h, _ in top], np.uint64), np.array([c for _, c in top], np.int64)
-    filters = LogFrequencyFilter(_unigram_segments(uni, buckets, scale), scale), LogFrequencyFilter(_segments(_partial_counts(train, buckets, 2), buckets, scale), scale)
-    shared = sc.broadcast((heavy, filters))
-
-    def run(batches):
-        import pyarrow as pa
-        from pyspark import TaskContext
-
-        (heavy_h, heavy_c), (one, two) = shared.value
-        row = TaskContext.get().partitionId() << 40
-        for batch, first, ids, ends, hashes in _groups(batches, "text"):
-            docs_n = len(ends)
-            sizes = np.diff(ends, prepend=0)
-            doc = np.repeat(np.arange(docs_n), sizes)
-            if len(heavy_h):
-                at = np.minimum(np.searchsorted(heavy_h, hashes), len(heavy_h) - 1)
-                exact = np.where(heavy_h[at] == hashes, heavy_c[at], -1)
-            else:
-                exact = np.full(len(hashes), -1)
-            known = np.bincount(doc, (exact > 0)[ids], docs_n).astype(np.int64)
-            base = np.bincount(doc, np.log10(np.maximum(exact, 0) + 1.0)[ids], docs_n)
-            c1 = one.counts(hashes)
-            p1 = (c1 + 1) / (n + v + 1)
-            before = _before(ids, ends)
-            pair, back = np.unique(before * len(hashes) + ids, return_inverse=True)
-            u, w = pair // len(hashes), pair % len(hashes)
-            c2 = np.minimum(two.counts(bigram_keys(hashes[u], hashes[w])), c1[u])
-            logs = np.log10((c2 + strength * p1[w]) / (c1[u] + strength))
-            model = np.bincount(doc, logs[back], docs_n)
-            tail = exact[ids] < 0
-            rare, times = np.unique(doc[tail] * len(hashes) + ids[tail], return_counts=True)
-            offsets = np.searchsorted(rare // len(hashes), np.arange(docs_n + 1)).astype(np.int32)
-            part = batch.slice(first, docs_n)
-            columns = [
-                pa.array(np.arange(row, row + docs_n)), part.column(0), part.column(1), pa.array(sizes.astype(np.int64)), pa.array(known), pa.array(base), pa.array(model),
-                pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes[rare % len(hashes)].view(np.int64))), pa.ListArray.from_arrays(pa.array(offsets), pa.array(times.astype(np.int32))),
-            ]
-            row += docs_n
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "tail", "times"])
-
+    top = uni.filter(F.col("c") >= heavy_from).toArrow()  # at most MAX_HEAVY rows
+    hashes, order = top["h"].to_numpy().view(np.uint64), np.argsort(top["h"].to_numpy().view(np.uint64))
+    heavy = hashes[order], top["c"].to_numpy()[order]
+    made = [_unigram_segments(uni, buckets), _segments(_partial_counts(train, buckets, 2))]
+    segments = materialise(made[0].withColumn("order", F.lit(0)).union(made[1].withColumn("order", F.lit(1))), "segments")
+    held = segments.agg(F.sum(F.octet_length("segment"))).first()[0] or 0
     schema = f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, tail array<long>, times array<int>"
-    scored = materialise(docs.mapInArrow(run, schema), "scored")
+    if held <= broadcast_bytes:
+        filters = [_loaded(segments.filter(F.col("order") == k), buckets) for k in (0, 1)]
+        made = _by_broadcast(docs, filters, heavy, n, v, strength, schema)
+    else:
+        made = _by_shuffle(docs, segments, buckets, heavy, n, v, strength, schema)
+    scored = materialise(made, "scored")
     rare = scored.select("row", F.explode(F.arrays_zip("tail", "times")).alias("t")).select("row", F.col("t.tail").alias("h"), F.col("t.times").alias("times"))
     light = uni.filter(F.col("c") < heavy_from)
-    exact = rare.join(light.hint("shuffle_hash"), "h").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("more"), F.sum("times").alias("more_known"))
+    exact = rare.join(light, "h").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("more"), F.sum("times").alias("more_known"))
     joined = scored.drop("tail", "times").join(exact, "row", "left")
     return joined.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),

@@ -25,7 +25,8 @@ def op1_lm_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = F.array(*(F.struct(F.lit(-1).cast("long").alias("conv_id"), F.lit(k).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit(said).alias("text")) for k, role in enumerate(("user", "assistant"))))
+    extra = spark.range(1).select(F.inline(rows))
     made = chat.windows(turns.unionByName(extra))
     new = F.slice(chat.read_turns(F.col("formatted")), F.col("n_repeated").cast("int") + 1, F.col("n_turns").cast("int"))
     read = made.select("conv_id", "window", "formatted", new.alias("new"), chat.masked_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
