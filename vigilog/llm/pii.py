@@ -1,14 +1,16 @@
 """PII surrogates; DataFrame functions only.
 
-Detected entities (e-mail, phone, card, IP address, social security number,
-IBAN, titled names) are replaced by keyed surrogates of the same type and
+Detected entities (e-mail, phone, card of 15 or 16 digits, IPv4 and IPv6 address,
+social security number, IBAN, titled names of up to three parts) are replaced by keyed surrogates of the same type and
 format: digits stay digits, letters keep their case, separators stay, cards keep
-issuer digit and Luhn remainder, phones their country code, names the title's
+issuer digit and Luhn remainder, IBANs their check digits, phones their country code, names the title's
 gender and their script.  A surrogate is a function of the key and the entity's
 normal form, so all mentions agree across texts and formats; first and last
 names are mapped apart, so a short mention follows the long one.  All distinct
 entities are then checked against each other and against the originals, and
-those that clash move on to their next surrogate until none does.
+those that clash move on to their next surrogate until none does; names are drawn
+from some hundred thousand, so few do.  Names without a title, national phone
+numbers without separators and other identifiers aren't detected.
 
 Null and empty texts stay as they are; repeated rows and null ids keep a row
 each; other columns are kept, but an input column n_entities is replaced by the
@@ -25,35 +27,41 @@ from pyspark.sql import functions as F
 
 from .common import free_name, materialise
 
-# Titles by gender, and surrogate name pools by script and gender.
+# Titles by gender.
 TITLES = {
     "f": ["Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "Г-жа", "Госпожа"],
     "m": ["Mr", "Herr", "Señor", "Sr", "Monsieur", "Г-н", "Господин"],
     "n": ["Dr", "Prof"],
 }
-NAMES = {
+# Syllables of surrogate names by script: first, inner and last ones by gender, and those that end family names.
+SYLLABLES = {
     "latin": {
-        "f": ["Alma", "Berta", "Clara", "Dora", "Elsa", "Flora", "Greta", "Hanna", "Irma", "Julia", "Karla", "Lena", "Marta", "Nora", "Olga", "Paula"],
-        "m": ["Albin", "Bruno", "Conrad", "Dario", "Emil", "Felix", "Gustav", "Hugo", "Igor", "Jonas", "Karl", "Leon", "Marco", "Nils", "Oscar", "Pablo"],
-        "n": ["Alex", "Bobbie", "Charlie", "Dana", "Eden", "Francis", "Gale", "Harper", "Indigo", "Jamie", "Kim", "Lee", "Marlow", "Noel", "Oakley", "Perry"],
-        "last": ["Abel", "Brandt", "Castell", "Dorn", "Eland", "Fabre", "Garde", "Holm", "Iversen", "Jansen", "Kolb", "Lindt", "Moran", "Norden", "Olsen", "Prado", "Quist", "Roth", "Sander", "Thorn", "Ulm", "Vidal", "Winter", "Ximen", "Yates", "Zander"],
+        "start": ["Al", "Be", "Cla", "Da", "El", "Fe", "Gre", "Ha", "Ir", "Jo", "Ka", "Le", "Mar", "Na", "Ol", "Pa", "Qui", "Ro", "Sa", "Te", "Ul", "Va", "Wi", "Ze"],
+        "inner": ["ba", "co", "di", "fe", "ga", "lo", "mi", "na", "ne", "ni", "po", "ra", "re", "ri", "sa", "se", "ta", "te", "ti", "to", "va", "ve", "vi", "zo"],
+        "f": ["la", "lina", "nne", "tta", "ria", "sa", "ya", "da"],
+        "m": ["l", "no", "rd", "s", "to", "ck", "n", "ro"],
+        "n": ["ly", "ry", "sh", "x", "ris", "der", "lin", "ren"],
+        "last": ["mann", "sen", "ler", "dez", "well", "gard", "ton", "ski", "berg", "holm", "vale", "ric"],
     },
     "cyrillic": {
-        "f": ["Анна", "Вера", "Дарья", "Елена", "Зоя", "Ирина", "Ольга", "Софья"],
-        "m": ["Антон", "Борис", "Виктор", "Денис", "Иван", "Олег", "Павел", "Юрий"],
-        "n": ["Саша", "Женя", "Валя", "Слава"],
-        "last": ["Бондарь", "Гончар", "Дорош", "Коваль", "Мельник", "Ткач", "Шевчук", "Яворский"],
+        "start": ["Ан", "Бо", "Ве", "Га", "Да", "Еле", "За", "Ива", "Ка", "Ла", "Ми", "Ни", "Оле", "Па", "Ро", "Са", "Та", "Фе", "Ха", "Ю"],
+        "inner": ["ба", "ве", "ги", "до", "жи", "ка", "ле", "ми", "на", "не", "по", "ра", "ри", "са", "се", "та", "ти", "фо"],
+        "f": ["на", "ра", "ла", "са", "та", "рия"],
+        "m": ["р", "н", "л", "с", "й", "слав"],
+        "n": ["ша", "ля", "ня", "ка", "ся", "ня"],
+        "last": ["енко", "чук", "дарь", "ник", "вич", "ляк", "бой", "рук"],
     },
 }
 _TITLE = "|".join(t for group in TITLES.values() for t in sorted(group, key=len, reverse=True))
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "card": r"(?<![\w.-])\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}(?![\w-])",
+    "card": r"(?<![\w.-])(?:\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}|\d{4}([ -]?)\d{6}\2\d{5})(?![\w-])",
     "phone": r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d)",
-    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?",
+    "ipv6": r"(?<![\w:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:])",
+    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+){{0,2}}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
@@ -89,12 +97,32 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda a, x: a + x) % 10
 
 
-def _pool(names: list[str], stream: Column, rounds: Column) -> Column:
-    """A name of the pool; from the third round on compounds of two and more."""
-    options = F.array(*map(F.lit, names))
-    pick = lambda i: F.element_at(options, F.pmod(_byte(stream, i * 2) * 256 + _byte(stream, i * 2 + 1), F.lit(len(names))) + 1)
-    parts = F.transform(F.sequence(F.lit(0), F.floor(rounds / 3).cast("int")), pick)
-    return F.array_join(parts, "-")
+def mod97(text: Column) -> Column:
+    """The number a text stands for (letters as 10 to 35) modulo 97."""
+
+    def step(a: Column, c: Column) -> Column:
+        return F.when(c.rlike("^[0-9]$"), (a * 10 + c.cast("int")) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97)
+
+    return F.aggregate(F.split(text, ""), F.lit(0), step)
+
+
+def _iban(norm: Column, stream: Column) -> Column:
+    """Country kept, the account drawn anew, check digits such that the remainder modulo 97 (1 if valid) stays."""
+    country, account = F.substring(norm, 1, 2), F.substring(norm, F.lit(5), F.lit(40))
+    drawn = substitute(account, stream, F.lit(0))
+    old = mod97(F.concat(account, country, F.substring(norm, 3, 2)))
+    check = F.pmod(old - mod97(F.concat(drawn, country, F.lit("00"))), F.lit(97))
+    return F.concat(country, F.lpad(F.when(check < 2, check + 97).otherwise(check).cast("string"), 2, "0"), drawn)
+
+
+def _name(parts: dict[str, list[str]], last: str, stream: Column, rounds: Column) -> Column:
+    """A name of four syllables, one of some hundred thousand; every third round adds a syllable."""
+
+    def pick(names: list[str], i) -> Column:
+        return F.element_at(F.array(*map(F.lit, names)), F.pmod(_byte(stream, i * 2) * 256 + _byte(stream, i * 2 + 1), F.lit(len(names))) + 1)
+
+    inner = F.transform(F.sequence(F.lit(1), F.lit(2) + F.floor(rounds / 3).cast("int")), lambda i: pick(parts["inner"], i + 1))
+    return F.concat(pick(parts["start"], F.lit(0)), F.array_join(inner, ""), pick(parts[last], F.lit(1)))
 
 
 def surrogate(kind: Column, norm: Column, rounds: Column, key: str) -> Column:
@@ -102,15 +130,17 @@ def surrogate(kind: Column, norm: Column, rounds: Column, key: str) -> Column:
     stream = F.sha2(F.concat_ws("|", F.lit(key), kind, norm, rounds.cast("string")), 512)
     local = F.substring_index(norm, "@", 1)
     mail = F.concat(substitute(local, stream, F.lit(0)), F.when(rounds > 2, F.substring(stream, F.lit(1), rounds.cast("int"))).otherwise(F.lit("")), F.lit("@"), substitute(F.substring_index(F.substring_index(norm, "@", -1), ".", 1), F.reverse(stream), F.lit(0)), F.lit(".example."), F.element_at(F.array(F.lit("com"), F.lit("net"), F.lit("org")), _byte(stream, F.lit(63)) % 3 + 1))
-    head = F.concat(substitute(F.substring(norm, 1, 15), stream, F.lit(1)), F.lit("0"))
-    card = F.concat(F.substring(head, 1, 15), F.pmod(luhn(norm) - luhn(head), F.lit(10)).cast("string"))
+    head = substitute(F.substring(norm, F.lit(1), F.char_length(norm) - 1), stream, F.lit(1))
+    card = F.concat(head, F.pmod(luhn(norm) - luhn(F.concat(head, F.lit("0"))), F.lit(10)).cast("string"))
+    hexes = F.array_join(F.transform(F.split(norm, ""), lambda c, i: F.when(c == ":", c).otherwise(F.lower(F.hex(_byte(stream, i) % 15 + 1)))), "")
     ip = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_byte(stream, i) % 254 + 1).cast("string")), ".")
     phone = F.concat(F.substring_index(norm, "|", 1), F.lit("|"), substitute(F.substring_index(norm, "|", -1), stream, F.lit(0)))
-    out = F.when(kind == "email", mail).when(kind == "card", card).when(kind == "ip", ip).when(kind == "phone", phone)
-    out = out.when(kind == "iban", substitute(norm, stream, F.lit(2))).when(kind == "ssn", substitute(norm, stream, F.lit(0)))
-    for script, pools in NAMES.items():
-        for part, names in pools.items():
-            out = out.when(kind == f"name:{script}:{part}", _pool(names, stream, rounds))
+    out = F.when(kind == "email", mail).when(kind == "card", card).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "ipv6", hexes)
+    out = out.when(kind == "iban", _iban(norm, stream)).when(kind == "ssn", substitute(norm, stream, F.lit(0)))
+    for script, parts in SYLLABLES.items():
+        for part in ("f", "m", "n", "last"):
+            # the original's normal form is in lower case, and so are all comparisons
+            out = out.when(kind == f"name:{script}:{part}", F.lower(_name(parts, part, stream, rounds)))
     return out
 
 
@@ -120,7 +150,7 @@ def _forms(surface: Column) -> Column:
     digits = F.regexp_replace(surface, r"\D", "")
     country = F.regexp_extract(surface, r"^\+(\d{1,3})(?=[ .(-])", 1)
     phone = F.concat(country, F.lit("|"), F.substring(digits, F.char_length(country) + 1, F.lit(40)))
-    norm = F.when(kind == "email", F.lower(surface)).when(kind == "phone", phone).when(kind == "iban", F.replace(surface, F.lit(" "), F.lit(""))).when(kind == "ip", surface).otherwise(digits)
+    norm = F.when(kind == "email", F.lower(surface)).when(kind == "phone", phone).when(kind == "iban", F.replace(surface, F.lit(" "), F.lit(""))).when(kind == "ip", surface).when(kind == "ipv6", F.lower(surface)).otherwise(digits)
     title = F.regexp_extract(surface, rf"^({_TITLE})\.? ", 1)
     gender = reduce(lambda rest, g: F.when(title.isin(TITLES[g]), F.lit(g)).otherwise(rest), TITLES, F.lit("n"))
     names = F.split(F.lower(F.regexp_replace(surface, rf"^(?:{_TITLE})\.? ", "")), " ")
@@ -139,7 +169,7 @@ def _render(surface: Column, subs: Column) -> Column:
         return F.array_join(F.transform(F.split(surface, ""), lambda c, i: F.when(c.rlike(f"^[{cls}]$"), F.substring(source, place(i) + 1, F.lit(1))).otherwise(c)), "")
 
     title = F.regexp_extract(surface, rf"^(?:{_TITLE})\.? ", 0)
-    return F.when(kind == "name", F.concat(title, F.array_join(subs, " "))).when(kind.isin("email", "ip"), first).when(kind == "iban", fill(first, "A-Z0-9")).otherwise(fill(F.replace(first, F.lit("|"), F.lit("")), "0-9"))
+    return F.when(kind == "name", F.concat(title, F.initcap(F.array_join(subs, " ")))).when(kind.isin("email", "ip"), first).when(kind == "ipv6", F.when(surface == F.upper(surface), F.upper(first)).otherwise(first)).when(kind == "iban", fill(first, "A-Z0-9")).otherwise(fill(F.replace(first, F.lit("|"), F.lit("")), "0-9"))
 
 
 def assign(entities: DataFrame, key: str, max_rounds: int = 30) -> DataFrame:
@@ -160,7 +190,7 @@ def assign(entities: DataFrame, key: str, max_rounds: int = 30) -> DataFrame:
 def maybe(text: Column) -> Column:
     """False only for texts without any entity: a cheap necessary condition (an at sign, a digit run with its separators, or a title)."""
     titled = reduce(lambda a, b: a | b, [text.contains(t) for group in TITLES.values() for t in group])
-    return F.coalesce(text.contains("@") | text.rlike(r"[0-9][0-9A-Z .()-]{6}") | (titled & text.rlike(rf"(?:{_TITLE})\.? \p{{Lu}}")), F.lit(False))
+    return F.coalesce(text.contains("@") | text.contains("::") | text.rlike("[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]") | text.rlike(r"[0-9][0-9A-Z .()-]{6}") | (titled & text.rlike(rf"(?:{_TITLE})\.? \p{{Lu}}")), F.lit(False))
 
 
 def replace_entities(df: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
