@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Tokens that count as missing, and signs a path-like value starts with.
+# Tokens that count as missing, signs a path-like value starts with, and separators of a structured one.
 MISSING = ["", "na", "n/a", "null", "none", "nan", "-"]
 PATH_SIGNS = [".", ":", "_", "-", "/"]
+SEPARATOR = r"[.:_\-/]"
 
 
 def is_missing(col: Column) -> Column:
@@ -32,7 +33,7 @@ def text_measures(df: DataFrame, col: str) -> DataFrame:
 
 def is_structured(v: Column) -> Column:
     """A digit together with a separator, or seven characters and more."""
-    return (v.rlike(r"\d") & v.rlike(r"[^A-Za-z0-9\s]")) | (F.char_length(v) >= 7)
+    return (v.rlike(r"\d") & v.rlike(SEPARATOR)) | (F.char_length(v) >= 7)
 
 
 def shape(df: DataFrame, columns: list[str], floor: int = 12) -> DataFrame:

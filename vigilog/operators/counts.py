@@ -7,9 +7,56 @@ from pyspark.sql import functions as F
 
 
 def value_counts(df: DataFrame, col: str, out: str) -> DataFrame:
-    """Add the number of rows sharing the value; missing counts 0."""
-    counts = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias(out))
-    return df.join(counts, col, "left").withColumn(out, F.coalesce(out, F.lit(0).cast("long")))
+    """Add the number of rows sharing the value; missing counts 0.
+
+    Only values of several rows are joined back, so near-unique columns need a small table.
+    """
+    counts = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias(out)).filter(F.col(out) > 1)
+    alone = F.when(F.col(col).isNotNull(), 1).otherwise(0).cast("long")
+    return df.join(counts, col, "left").withColumn(out, F.coalesce(out, alone))
+
+
+def column_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column, value (string, null where missing), c: the value counts of all columns by one aggregation."""
+    kv = F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns]))
+    return df.select(kv).groupBy("column", "value").agg(F.count(F.lit(1)).alias("c"))
+
+
+def cuts(counts: DataFrame) -> DataFrame:
+    """column, cut: nearest-rank 99th percentile of the distinct sizes of the column's values."""
+    sizes = counts.filter("value is not null").select("column", "c").distinct()
+    return sizes.groupBy("column").agg(F.expr("percentile_disc(0.99) within group (order by c)").alias("cut"))
+
+
+def quantiles(df: DataFrame, columns: list[str], fractions: list[float]) -> dict[tuple[str, float], float]:
+    """Exact quantiles (linear between ranks) of numeric columns, from their sorted value counts; nulls and NaN don't count.
+
+    The counts are range-partitioned and summed in place, so no task holds a column's distinct values.
+    """
+    from ..session import materialise
+
+    kv = F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns]))
+    counts = df.select(kv).filter(F.col("v").isNotNull() & ~F.isnan("v")).groupBy("column", "v").agg(F.count(F.lit(1)).alias("c"))
+    placed = counts.repartitionByRange("column", "v").sortWithinPartitions("column", "v")
+    placed = materialise(placed.withColumn("part", F.spark_partition_id()), "quantiles")
+    sums = placed.groupBy("column", "part").agg(F.sum("c").alias("n"))  # a row for each column and partition
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("column").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select("column", "part", before.alias("before"), F.sum("n").over(Window.partitionBy("column")).alias("all"))
+    till = F.sum("c").over(Window.partitionBy("column", "part").orderBy("v"))
+    ranked = placed.withColumn("till", till).join(F.broadcast(sums), ["column", "part"])
+    ranked = ranked.select("column", "v", (F.col("till") + F.col("before") - F.col("c")).alias("low"), (F.col("till") + F.col("before")).alias("high"), "all")
+    places = [f(F.lit(q) * (F.col("all") - 1)) for q in fractions for f in (F.floor, F.ceil)]
+    held = F.exists(F.array(*places), lambda p: (p >= F.col("low")) & (p < F.col("high")))
+    found = ranked.filter(held).collect()  # two rows at most for each column and fraction
+    out = {}
+    for c in columns:
+        own = [r for r in found if r["column"] == c]
+        for q in fractions:
+            if own:
+                at = q * (own[0]["all"] - 1)
+                low, high = (next(r.v for r in own if r.low <= k < r.high) for k in (int(at // 1), int(-(-at // 1))))
+                out[c, q] = low + (high - low) * (at - int(at // 1))
+    return out
 
 
 def joint_counts(df: DataFrame, cols: list[str], out: str) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .counts import global_rank
+from .counts import column_counts, global_rank
 
 
 def quantile_bins(df: DataFrame, col: str, key: list[str], bins: int = 8, out: str = "bin") -> DataFrame:
@@ -27,23 +27,35 @@ def normal_entropy(counts: DataFrame, keys: list[str], out: str) -> DataFrame:
     return counts.groupBy(*keys).agg(value.alias(out), n.alias("volume"))
 
 
+def _behaviour(columns: list[tuple[str, list[str]]]):
+    """For each (entity column, its behaviour columns): rows (column, value, of, v) by one unpivot."""
+    return F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"), F.lit(b).alias("of"), F.col(b).cast("string").alias("v")) for c, others in columns for b in others]))
+
+
+def diversities(df: DataFrame, columns: list[tuple[str, list[str]]]) -> DataFrame:
+    """column, value, diversity (mean normal entropy over the behaviour columns, 1.0 below two rows or without any), volume; a missing value is a value."""
+    bare = [c for c, others in columns if not others]
+    parts = []
+    if len(bare) < len(columns):
+        counts = df.select(_behaviour(columns)).groupBy("column", "value", "of", "v").agg(F.count(F.lit(1)).alias("c"))
+        each = normal_entropy(counts, ["column", "value", "of"], "d")
+        mean = F.when(F.max("volume") < 2, 1.0).otherwise(F.avg("d"))
+        parts.append(each.groupBy("column", "value").agg(mean.alias("diversity"), F.max("volume").alias("volume")))
+    if bare:
+        parts.append(column_counts(df, bare).select("column", "value", F.lit(1.0).alias("diversity"), F.col("c").alias("volume")))
+    return reduce(DataFrame.union, parts)
+
+
 def diversity(df: DataFrame, entity: str, behaviour: list[str]) -> DataFrame:
-    """entity value, diversity (mean over the behaviour columns, 1.0 below two rows), volume; a missing value is a value."""
-    kv = F.inline(F.array(*[F.struct(F.lit(b).alias("column"), F.col(b).cast("string").alias("v")) for b in behaviour]))
-    counts = df.select(F.col(entity), kv).groupBy(entity, "column", "v").agg(F.count(F.lit(1)).alias("c"))
-    each = normal_entropy(counts, [entity, "column"], "d")
-    mean = F.when(F.max("volume") < 2, 1.0).otherwise(F.avg("d"))
-    return each.groupBy(entity).agg(mean.alias("diversity"), F.max("volume").alias("volume"))
+    """The entity column's value, diversity and volume."""
+    kind = df.schema[entity].dataType.simpleString()
+    return diversities(df, [(entity, behaviour)]).select(F.col("value").cast(kind).alias(entity), "diversity", "volume")
 
 
 def edges(df: DataFrame, columns: list[str]) -> DataFrame:
-    """column, value, other: distinct links of each column's values with those of the other columns."""
-    parts = []
-    for a in columns:
-        for b in columns:
-            if a != b:
-                parts.append(df.select(F.lit(a).alias("column"), F.col(a).cast("string").alias("value"), F.col(b).cast("string").alias("other")).distinct())
-    return reduce(DataFrame.union, parts).distinct()
+    """column, value, other: distinct links of each column's values with those of the other columns, by one unpivot."""
+    pairs = [F.struct(F.lit(a).alias("column"), F.col(a).cast("string").alias("value"), F.col(b).cast("string").alias("other")) for a in columns for b in columns if a != b]
+    return df.select(F.inline(F.array(*pairs))).distinct()
 
 
 def degrees(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -52,21 +64,79 @@ def degrees(df: DataFrame, columns: list[str]) -> DataFrame:
     return linked.groupBy("column", "value").agg(F.count(F.when(~F.col("other").eqNullSafe(F.col("value")), F.lit(1))).alias("degree"))
 
 
+def entity_table(df: DataFrame, columns: list[str], behaviour: list[str]) -> DataFrame:
+    """column, value, diversity over the other behaviour columns, volume, degree over the other entity columns (0 without any)."""
+    made = diversities(df, [(c, [b for b in behaviour if b != c]) for c in columns])
+    if len(columns) < 2:
+        return made.withColumn("degree", F.lit(0).cast("long"))
+    return _same(made, degrees(df, columns), "left").withColumn("degree", F.coalesce("degree", F.lit(0).cast("long")))
+
+
+def _same(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
+    """Join on column and value, missing values alike."""
+    b = b.withColumnsRenamed({"column": "_column", "value": "_value"})
+    return a.join(b, (F.col("column") == F.col("_column")) & F.col("value").eqNullSafe(F.col("_value")), how).drop("_column", "_value")
+
+
 def actor_graph(df: DataFrame, columns: list[str], context: list[str]) -> DataFrame:
-    """column, value, degree, reverse_degree (of the same value in the other columns), volume, diversity over ``context``."""
+    """column, value, degree, reverse_degree (of the same value in the other columns), volume, diversity over ``context``.
+
+    ``df`` is read twice: pass a written table where it is costly.
+    """
     nodes = degrees(df, columns)
-    # the best degree of the same value elsewhere: the two largest degrees of each value over the columns suffice
+    # the best degree of the same value elsewhere: at most one degree a column
     best = nodes.groupBy("value").agg(F.array_sort(F.collect_list(F.struct((-F.col("degree")).alias("neg"), "column"))).alias("all"))
     elsewhere = F.filter("all", lambda x: x["column"] != F.col("column"))
     nodes = nodes.join(best.withColumnRenamed("value", "value2"), F.col("value").eqNullSafe(F.col("value2")))
     nodes = nodes.select("column", "value", "degree", F.coalesce(-F.get(elsewhere, F.lit(0))["neg"], F.lit(0)).alias("reverse_degree"))
-    volumes = []
+    measured = diversities(df, [(c, context) for c in columns])
+    return _same(nodes, measured).select("column", "value", "degree", "reverse_degree", "volume", "diversity")
+
+
+# What makes a column one of entities or of actors.
+MIN_ENTITIES, MIN_MEDIAN, MIN_ACTORS, MIN_EVENTS, MIN_BUSY, MIN_REPEAT, MAX_WORDS = 10, 2, 50, 12, 2, 0.30, 200
+
+
+def column_shapes(counts: DataFrame) -> dict[str, dict]:
+    """Per column of ``counts`` (column, value, c): distinct values, median count, busy values and repeat mass (missing included), path and vocabulary shape."""
+    from ..functions.text import PATH_SIGNS, is_structured
+
+    real = F.col("value").isNotNull()
+    size = F.col("c")
+    # the median of the counts comes from their own counts, which are few
+    medians = counts.filter(real).groupBy("column", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("column").agg(F.expr("percentile(c, 0.5, k)").alias("median"))
+    made = counts.groupBy("column").agg(
+        F.count_if(real).alias("distinct"),
+        F.count_if(size >= MIN_EVENTS).alias("busy"),
+        (F.sum(F.when(size >= MIN_EVENTS, size).otherwise(0)) / F.sum(size)).alias("repeat"),
+        F.avg(F.when(real, F.substring("value", 1, 1).isin(PATH_SIGNS).cast("double"))).alias("path"),
+        F.avg(F.when(real, is_structured(F.col("value")).cast("double"))).alias("structured"),
+    )
+    return {r["column"]: r.asDict() for r in made.join(medians, "column", "left").collect()}
+
+
+def _words_or_paths(shape: dict) -> bool:
+    return (shape["distinct"] <= MAX_WORDS and (shape["structured"] or 0.0) < 0.5) or (shape["path"] or 0.0) >= 0.9
+
+
+def entity_columns(shapes: dict[str, dict], categorical: list[str], content: list[str] = (), forced: list[str] = ()) -> list[str]:
+    """Categorical columns of stable, recurring names, in order; forced ones skip all but the volume floors."""
+    out = []
+    for c in categorical:
+        s = shapes.get(c)
+        if s and s["distinct"] >= MIN_ENTITIES and s["median"] >= MIN_MEDIAN and (c in forced or not (c in content or _words_or_paths(s))):
+            out.append(c)
+    return out
+
+
+def actor_columns(shapes: dict[str, dict], columns: list[str], content: list[str] = (), forced: list[str] = ()) -> list[str]:
+    """Categorical and text columns whose values can be endpoints, in order."""
+    out = []
     for c in columns:
-        per = diversity(df.withColumn("_actor", F.col(c).cast("string")), "_actor", context)
-        volumes.append(per.select(F.lit(c).alias("column2"), F.col("_actor").alias("value2"), "diversity", "volume"))
-    measured = reduce(DataFrame.union, volumes)
-    joined = nodes.join(measured, (F.col("column") == F.col("column2")) & F.col("value").eqNullSafe(F.col("value2")))
-    return joined.select("column", "value", "degree", "reverse_degree", "volume", "diversity")
+        s = shapes.get(c)
+        if s and s["distinct"] > MIN_ACTORS and s["busy"] >= MIN_BUSY and s["repeat"] >= MIN_REPEAT and (c in forced or not (c in content or _words_or_paths(s))):
+            out.append(c)
+    return out
 
 
 def degree_floor(graph: DataFrame) -> DataFrame:

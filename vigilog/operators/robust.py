@@ -8,15 +8,18 @@ from pyspark.sql import functions as F
 
 def robust_z(df: DataFrame, columns: list[str]) -> DataFrame:
     """Add ``<c>__z``: (x - median) / scale; scale is 1.4826 MAD, else the population deviation, else 1."""
-    med = df.agg(*[F.median(c).alias(f"{c}__m") for c in columns])
-    joined = df.crossJoin(F.broadcast(med))
-    mad = joined.agg(*[F.median(F.abs(F.col(c) - F.col(f"{c}__m"))).alias(f"{c}__a") for c in columns], *[F.stddev_pop(c).alias(f"{c}__s") for c in columns])
-    joined = joined.crossJoin(F.broadcast(mad))
+    from .counts import quantiles
+
+    median = quantiles(df, columns, [0.5])
+    away = df.select(*[F.abs(F.col(c) - F.lit(median.get((c, 0.5)))).alias(c) for c in columns])
+    mad = quantiles(away, columns, [0.5])
+    std = df.agg(*[F.stddev_pop(F.when(~F.isnan(F.col(c).cast("double")), F.col(c))).alias(c) for c in columns]).first()
+    made = []
     for c in columns:
-        scale = F.when(F.col(f"{c}__a") > 0, 1.4826 * F.col(f"{c}__a")).when(F.col(f"{c}__s") > 0, F.col(f"{c}__s")).otherwise(1.0)
-        z = (F.col(c) - F.col(f"{c}__m")) / scale
-        joined = joined.withColumn(f"{c}__z", F.when(z.isNull() | F.isnan(z) | (F.abs(z) == float("inf")), 0.0).otherwise(z))
-    return joined.drop(*[f"{c}__{k}" for c in columns for k in "mas"])
+        scale = 1.4826 * mad[c, 0.5] if mad.get((c, 0.5)) else std[c] or 1.0
+        z = (F.col(c) - F.lit(median.get((c, 0.5)))) / F.lit(float(scale))
+        made.append(F.when(z.isNull() | F.isnan(z) | (F.abs(z) == float("inf")), 0.0).otherwise(z).alias(f"{c}__z"))
+    return df.select("*", *made)
 
 
 def deviation_score(df: DataFrame, columns: list[str], out: str = "ml_score") -> DataFrame:
@@ -30,17 +33,17 @@ def deviation_score(df: DataFrame, columns: list[str], out: str = "ml_score") ->
 
 
 def percentile_ranks(df: DataFrame, col: str, out: str = "percentile") -> DataFrame:
-    """Add the average rank over the number of rows; ranks come from the value counts."""
+    """Add the average rank over the number of rows with a value (null without one); ranks come from the value counts."""
     from .counts import global_rank
 
-    counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("_c"))
+    counts = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_c"))
     ranked = global_rank(counts, [F.col(col)], "_pos").withColumn("_part", F.floor(F.col("_pos") / 100_000))
     sums = ranked.groupBy("_part").agg(F.sum("_c").alias("_sum"))
     sums = sums.select("_part", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_sum").over(Window.partitionBy()).alias("_all"))
     within = F.sum("_c").over(Window.partitionBy("_part").orderBy("_pos"))
     placed = ranked.withColumn("_till", within).join(F.broadcast(sums), "_part")
     rank = (F.col("_before") + F.col("_till") - F.col("_c") + (F.col("_c") + 1) / 2) / F.col("_all")
-    return df.join(placed.select(col, rank.alias(out)), col)
+    return df.join(placed.select(col, rank.alias(out)), col, "left")
 
 
 def feature_deviations(df: DataFrame, key: str, columns: list[str], chosen, top_k: int = 5) -> DataFrame:
@@ -51,34 +54,90 @@ def feature_deviations(df: DataFrame, key: str, columns: list[str], chosen, top_
     return z.select(key, kv).withColumn("place", place).filter(F.col("place") <= top_k).drop("ord")
 
 
-def geometric_knee(df: DataFrame, col: str, key: str) -> DataFrame:
-    """One row, ``threshold``: the sorted score farthest from the falling diagonal, the first on ties."""
+def batch_percentiles(df: DataFrame, chosen: DataFrame, columns: list[str]) -> DataFrame:
+    """Add ``percentile`` to (feature, value) rows: the value's average rank in its column over the number of values.
+
+    All columns are ranked at once, in range-partitioned value counts.
+    """
+    from ..session import materialise
+
+    kv = F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns]))
+    counts = df.select(kv).filter("value is not null").groupBy("feature", "value").agg(F.count(F.lit(1)).alias("c"))
+    placed = materialise(counts.repartitionByRange("feature", "value").sortWithinPartitions("feature", "value").withColumn("part", F.spark_partition_id()), "ranked")
+    sums = placed.groupBy("feature", "part").agg(F.sum("c").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("feature").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select("feature", "part", before.alias("before"), F.sum("n").over(Window.partitionBy("feature")).alias("all"))
+    till = F.sum("c").over(Window.partitionBy("feature", "part").orderBy("value"))
+    ranked = placed.withColumn("till", till).join(F.broadcast(sums), ["feature", "part"])
+    rank = (F.col("before") + F.col("till") - F.col("c") + (F.col("c") + 1) / 2) / F.col("all")
+    return chosen.join(ranked.select("feature", "value", rank.alias("percentile")), ["feature", "value"], "left")
+
+
+def _curve(df: DataFrame, col: str, key: str) -> DataFrame:
+    """value, pos (from 1, descending), x and y in 0..1, n: the sorted curve; a constant one has a null y."""
     from .counts import global_rank
 
-    ranked = global_rank(df.select(col, key).filter(F.col(col).isNotNull()), [F.desc(col), F.col(key)], "_pos")
-    span = ranked.agg(F.min(col).alias("_lo"), F.max(col).alias("_hi"), F.count(F.lit(1)).alias("_n"))
-    far = F.abs((F.col(col) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) - (1 - (F.col("_pos") - 1) / (F.col("_n") - 1)))
-    return ranked.crossJoin(F.broadcast(span)).withColumn("_far", F.round(far, 12)).orderBy(F.desc("_far"), "_pos").limit(1).select(F.col(col).alias("threshold"))
+    ranked = global_rank(df.select(F.col(col).alias("value"), key).filter(F.col(col).isNotNull()), [F.desc("value"), F.col(key)], "pos")
+    span = ranked.agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count(F.lit(1)).alias("n"))
+    wide = F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo"))
+    return ranked.crossJoin(F.broadcast(span)).select("value", "pos", "n", ((F.col("pos") - 1) / F.greatest(F.col("n") - 1, F.lit(1))).alias("x"), ((F.col("value") - F.col("lo")) / wide).alias("y"))
+
+
+def geometric_knee(df: DataFrame, col: str, key: str) -> DataFrame:
+    """One row, ``threshold``: the sorted score farthest from the falling diagonal, the first on ties."""
+    far = F.round(F.abs(F.coalesce("y", F.lit(0.0)) - (1 - F.col("x"))), 12)
+    return _curve(df, col, key).orderBy(F.desc(far), "pos").limit(1).select(F.col("value").alias("threshold"))
 
 
-def kneedle(scores: list[float], sensitivity: float = 1.0) -> float | None:
-    """Elbow of sorted scores (convex, decreasing), from the Kneedle paper; None at an edge or if there is none."""
-    import numpy as np
+def kneedle(df: DataFrame, col: str, key: str, sensitivity: float = 1.0) -> DataFrame:
+    """One row, ``threshold``, or none: the first elbow of the sorted scores (convex, decreasing), from the Kneedle paper.
 
-    y = np.sort(np.asarray(scores, float))[::-1]
-    n = len(y)
-    if n < 3 or y[0] == y[-1]:
-        return None
-    x = np.linspace(0, 1, n)
-    flipped = 1 - (y - y[-1]) / (y[0] - y[-1])
-    curve = flipped - x
-    peaks = [i for i in range(1, n - 1) if curve[i] >= curve[i - 1] and curve[i] > curve[i + 1]]
-    for k, i in enumerate(peaks):
-        limit = curve[i] - sensitivity / (n - 1)
-        stop = peaks[k + 1] if k + 1 < len(peaks) else n
-        if (curve[i + 1 : stop] < limit).any():
-            return float(y[i])
-    return None
+    The gap between the diagonal and the curve has an elbow at a local maximum
+    after which, before the next one, it falls by ``sensitivity`` mean steps.
+    Positions are cut into chunks with their neighbours' edges, so no window
+    holds the whole curve.
+    """
+    size = 1 << 16
+    gap = _curve(df, col, key).filter("y is not null").select("value", "pos", "n", F.round(1 - F.col("y") - F.col("x"), 12).alias("d"))
+    home = F.floor((F.col("pos") - 1) / size)
+    spread = gap.withColumn("chunk", F.explode(F.array_distinct(F.array(home, F.floor(F.col("pos") / size), F.floor((F.col("pos") - 2) / size))))).withColumn("home", home)
+    order = Window.partitionBy("chunk").orderBy("pos")
+    peak = (F.col("d") >= F.lag("d").over(order)) & (F.col("d") > F.lead("d").over(order)) & (F.col("pos") > 1) & (F.col("pos") < F.col("n"))
+    marked = spread.withColumn("peak", F.coalesce(peak, F.lit(False)).cast("long")).filter("chunk = home")
+    within = marked.withColumn("own", F.sum("peak").over(order))
+    sums = marked.groupBy("chunk").agg(F.sum("peak").alias("k"))  # a row for each chunk
+    sums = sums.select("chunk", F.coalesce(F.sum("k").over(Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    stretch = within.join(F.broadcast(sums), "chunk").withColumn("stretch", F.col("own") + F.col("before")).filter("stretch > 0")
+    each = stretch.groupBy("stretch").agg(F.min_by("value", "pos").alias("threshold"), F.min_by("d", "pos").alias("top"), F.min("d").alias("low"), F.first("n").alias("n"), F.min("pos").alias("pos"))
+    return each.filter(F.col("low") < F.col("top") - sensitivity / (F.col("n") - 1)).orderBy("pos").limit(1).select("threshold")
+
+
+def knee_threshold(df: DataFrame, col: str, key: str) -> tuple[float, str]:
+    """The self-tuned threshold of the finite scores, and the method that gave it."""
+    finite = df.select(key, F.col(col).cast("double").alias(col)).filter(F.col(col).isNotNull() & ~F.isnan(col) & (F.abs(col) < float("inf")))
+    some = finite.agg(F.count(F.lit(1)).alias("n"), F.max(col).alias("top")).first()
+    if not some.n:
+        return 0.0, "empty_input"
+    if some.n < 10:
+        return some.top, "small_input_fallback"
+    if finite.select(col).distinct().limit(3).count() < 3:
+        return some.top, "tied_score_fallback"
+    found = kneedle(finite, col, key).first()
+    if found is not None:
+        return found.threshold, "kneedle_descending"
+    return geometric_knee(finite, col, key).first().threshold, "max_distance_descending_fallback"
+
+
+_trees: dict = {}
+
+
+def _grown(shared):
+    """The trees of a broadcast, read once in a worker."""
+    import pickle
+
+    if shared.value is not _trees.get("of"):
+        _trees.update(of=shared.value, trees=[(size, pickle.loads(blob)) for size, blob in shared.value])
+    return _trees["trees"]
 
 
 def forest_scores(df: DataFrame, columns: list[str], key: str, trees: int = 100, sample: int = 4096, seed: int = 7, out: str = "ml_score") -> DataFrame:
@@ -89,10 +148,19 @@ def forest_scores(df: DataFrame, columns: list[str], key: str, trees: int = 100,
     """
     spark = df.sparkSession
     n = df.count()
-    share = min(1.0, 1.5 * sample / max(n, 1) + 0.001)
-    pool = df.select(key, *columns).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    draw = F.pmod(F.xxhash64(key, "tree", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-    pool = pool.withColumn("draw", draw).filter(F.col("draw") < share)
+    # Each row draws a tree once for each of as many rounds as the drawn share asks for: a share of four times the
+    # need, so that the trees fill whatever the hashes, and then the rows of smallest hash for each tree.
+    wanted = min(trees, 4 * trees * sample / max(n, 1)) if n > sample else trees
+    unit = lambda *x: F.pmod(F.xxhash64(key, *map(F.lit, x), F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
+    whole, part = int(wanted), wanted - int(wanted)
+    if whole >= trees:
+        pool = df.select(key, *columns).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    else:
+        drawn = F.when(unit("part") < part, F.lit(whole + 1)).otherwise(F.lit(whole))
+        pool = df.select(key, *columns, drawn.alias("rounds")).filter("rounds > 0")
+        pool = pool.withColumn("round", F.explode(F.sequence(F.lit(1), F.col("rounds"))))
+        pool = pool.withColumn("tree", F.pmod(F.xxhash64(key, "round", F.lit(seed + 1)), F.lit(trees)).cast("int")).drop("round", "rounds").distinct()
+    pool = pool.withColumn("draw", F.pmod(F.xxhash64(key, "tree", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40))
 
     def grow(pdf):
         import pickle
@@ -124,8 +192,6 @@ def forest_scores(df: DataFrame, columns: list[str], key: str, trees: int = 100,
 
     @F.pandas_udf("double")
     def score(*series):
-        import pickle
-
         import numpy as np
         import pandas as pd
 
@@ -134,9 +200,9 @@ def forest_scores(df: DataFrame, columns: list[str], key: str, trees: int = 100,
 
         x = np.column_stack([s.to_numpy(float) for s in series]) if len(series) else np.zeros((0, 0))
         total, norm = np.zeros(len(x)), []
-        for size, blob in shared.value:
+        for size, root in _grown(shared):
             norm.append(c(size))
-            todo = [(pickle.loads(blob), np.arange(len(x)), 0)]
+            todo = [(root, np.arange(len(x)), 0)]
             while todo:
                 tree, rows, level = todo.pop()
                 if isinstance(tree, int):

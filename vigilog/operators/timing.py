@@ -37,16 +37,29 @@ def burst_counts(df: DataFrame, contexts: list[str], ts: str, seconds: int, out:
 
 
 def runs(df: DataFrame, contexts: list[str], ts: str, key: str, seconds: int) -> DataFrame:
-    """Timed rows with run number, run size, and the run's gap deviation and its ratio to the mean gap (run of 3 at least, else the sentinel)."""
-    order = Window.partitionBy(*contexts).orderBy("_us", key)
-    timed = df.filter(F.col(ts).isNotNull()).withColumn("_us", micros(F.col(ts)))
-    timed = timed.withColumn("_gap", (F.col("_us") - F.lag("_us").over(order)) / SECOND)
-    timed = timed.withColumn("run", F.sum(F.coalesce((F.col("_gap") > seconds).cast("long"), F.lit(0))).over(order))
-    per = timed.withColumn("_inner", F.when(F.col("_gap") <= seconds, F.col("_gap"))).groupBy(*contexts, "run")
+    """Timed rows with run number, run size, and the run's gap deviation and its ratio to the mean gap (run of 3 at least, else the sentinel).
+
+    A context is read in time chunks; the last time and the number of runs before
+    a chunk come from a small table, so a context with most rows is no single task.
+    """
+    width = seconds * SECOND * 4096
+    timed = df.filter(F.col(ts).isNotNull()).withColumn("_us", micros(F.col(ts))).withColumn("_ctx", F.struct(*contexts) if contexts else F.struct(F.lit(1).alias("all")))
+    timed = timed.withColumn("_chunk", F.floor(F.col("_us") / width))
+    chunks = Window.partitionBy("_ctx").orderBy("_chunk")
+    ends = timed.groupBy("_ctx", "_chunk").agg(F.max("_us").alias("_last"))
+    ends = ends.select("_ctx", "_chunk", F.lag("_last").over(chunks).alias("_prior"))
+    order = Window.partitionBy("_ctx", "_chunk").orderBy("_us", key)
+    timed = timed.join(ends, ["_ctx", "_chunk"]).withColumn("_gap", (F.col("_us") - F.coalesce(F.lag("_us").over(order), F.col("_prior"))) / SECOND)
+    timed = timed.withColumn("_new", F.coalesce((F.col("_gap") > seconds).cast("long"), F.lit(0))).withColumn("_own", F.sum("_new").over(order))
+    past = F.sum("_k").over(chunks.rowsBetween(Window.unboundedPreceding, -1))
+    sums = timed.groupBy("_ctx", "_chunk").agg(F.sum("_new").alias("_k")).select("_ctx", "_chunk", F.coalesce(past, F.lit(0)).alias("_before"))
+    timed = timed.join(sums, ["_ctx", "_chunk"]).withColumn("run", F.col("_own") + F.col("_before"))
+    per = timed.withColumn("_inner", F.when(F.col("_gap") <= seconds, F.col("_gap"))).groupBy("_ctx", "run")
     stats = per.agg(F.count(F.lit(1)).alias("run_size"), F.avg("_inner").alias("_mean"), F.stddev_pop("_inner").alias("_std"))
     ok = (F.col("run_size") >= 3) & (F.col("_mean") > 0)
     stats = stats.withColumn("dt_std", F.when(ok, F.col("_std")).otherwise(SENTINEL)).withColumn("dt_cv", F.when(ok, F.col("_std") / F.col("_mean")).otherwise(SENTINEL))
-    return timed.drop("_gap", "_us").join(stats.drop("_mean", "_std"), [*contexts, "run"])
+    made = timed.drop("_gap", "_us", "_chunk", "_prior", "_new", "_own", "_before").join(stats.drop("_mean", "_std"), ["_ctx", "run"])
+    return made.drop("_ctx")
 
 
 def gaps(df: DataFrame, ts: str) -> DataFrame:

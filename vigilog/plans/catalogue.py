@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import counts, entities, robust, timing
+from ..session import materialise
 from ..sources import ingest
 from . import detect, evaluate
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "detect_events"
-EVENTS = detect.Log("event_id", "ts", ["event_type"], ["value"])
+EVENTS = detect.Log("event_id", "ts", ["user_id", "event_type"], ["value"], entity=("user_id",))
 
 
 def query(sql: str | None = None):
@@ -80,7 +81,7 @@ def text_rules(spark, d):
 
 @query("""WITH k AS (SELECT 'p_name' AS "column", p_name AS v FROM part UNION ALL SELECT 'p_brand', p_brand FROM part UNION ALL SELECT 'p_type', p_type FROM part), c AS (SELECT "column", v, count(*) AS c FROM k WHERE v IS NOT NULL GROUP BY 1, 2),
 a AS (SELECT "column", count(*) AS n_distinct, sum(CASE WHEN c >= 12 THEN c ELSE 0 END) / sum(c) AS m, avg(CASE WHEN left(v, 1) IN ('.', ':', '_', '-', '/') THEN 1.0 ELSE 0.0 END) AS p,
-avg(CASE WHEN (regexp_matches(v, '[0-9]') AND regexp_matches(v, '[^A-Za-z0-9\\s]')) OR length(v) >= 7 THEN 1.0 ELSE 0.0 END) AS s FROM c GROUP BY 1)
+avg(CASE WHEN (regexp_matches(v, '[0-9]') AND regexp_matches(v, '[.:_/-]')) OR length(v) >= 7 THEN 1.0 ELSE 0.0 END) AS s FROM c GROUP BY 1)
 SELECT "column", n_distinct, round(m, 6) AS repeat_mass, round(p, 6) AS path_share, round(s, 6) AS structured, p >= 0.9 AS is_path, n_distinct <= 200 AND s < 0.5 AS is_vocabulary FROM a""")
 def value_shapes(spark, d):
     made = text.shape(read(spark, d, "part"), ["p_name", "p_brand", "p_type"])
@@ -178,7 +179,8 @@ _LINKS = "l AS (SELECT 'C' || o_custkey AS cust, 'S' || l_suppkey AS supp, l_ret
 
 def _links(spark, d):
     joined = read(spark, d, "lineitem").join(read(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return joined.select(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("cust"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("supp"), F.col("l_returnflag").alias("flag"))
+    links = joined.select(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("cust"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("supp"), F.col("l_returnflag").alias("flag"))
+    return materialise(links, "links")
 
 
 @query(f"""WITH {_LINKS} SELECT 'cust' AS "column", cust AS value, count(DISTINCT supp) AS degree FROM l GROUP BY 2 UNION ALL SELECT 'supp', supp, count(DISTINCT cust) FROM l GROUP BY 2""")
@@ -196,6 +198,15 @@ def actor_graph(spark, d):
     return made.withColumn("diversity", r6("diversity"))
 
 
+@query("""WITH l AS (SELECT 'k' || o_custkey % 40 AS a, 'k' || l_suppkey % 60 AS b, l_returnflag AS flag FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_partkey % 3 = 0),
+n AS (SELECT 'a' AS col, a AS value, b AS other FROM l UNION ALL SELECT 'b', b, a FROM l), g AS (SELECT col, value, count(DISTINCT CASE WHEN other <> value THEN other END) AS degree FROM n GROUP BY 1, 2)
+SELECT x.col AS "column", x.value, x.degree, coalesce(y.degree, 0) AS reverse_degree FROM g x LEFT JOIN g y ON x.value = y.value AND x.col <> y.col""")
+def reverse_degree(spark, d):
+    joined = read(spark, d, "lineitem").filter("l_partkey % 3 = 0").join(read(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    links = joined.select(F.concat(F.lit("k"), F.col("o_custkey") % 40).alias("a"), F.concat(F.lit("k"), F.col("l_suppkey") % 60).alias("b"), F.col("l_returnflag").alias("flag"))
+    return entities.actor_graph(materialise(links, "links"), ["a", "b"], ["flag"]).select("column", "value", "degree", "reverse_degree")
+
+
 @query(_GRAPH + """, t AS (SELECT quantile_cont(degree, 0.99) AS floor FROM g WHERE degree >= 3) SELECT value, degree, volume FROM g, t WHERE col = 'supp' AND volume >= 12 AND degree >= floor AND degree >= 10 AND round(diversity, 12) <= 0.2""")
 def asymmetric_degree(spark, d):
     return entities.asymmetric(entities.actor_graph(_links(spark, d), ["cust", "supp"], ["flag"]), "supp").select("value", "degree", "volume")
@@ -238,51 +249,78 @@ def knee_geometric(spark, d):
 @query("SELECT event_id, value > q AS over FROM events, (SELECT quantile_cont(value, 0.98) AS q FROM events)")
 def rate_cap(spark, d):
     df = read(spark, d, "events")
-    return df.crossJoin(F.broadcast(df.agg(F.expr("percentile(value, 0.98)").alias("q")))).select("event_id", (F.col("value") > F.col("q")).alias("over"))
-
-
-_RULES = f"""WITH e AS (SELECT *, count(event_type) OVER (PARTITION BY event_type) AS tn, count(value) OVER (PARTITION BY value) AS vn, count(ts) OVER (PARTITION BY ts) AS sn,
-count(*) OVER (PARTITION BY event_type ORDER BY {_US} RANGE BETWEEN 300000000 PRECEDING AND 300000000 FOLLOWING) AS bn FROM events),
-t AS (SELECT (SELECT greatest(50.0, quantile_disc(n, 0.99)) FROM (SELECT DISTINCT count(*) AS n FROM events GROUP BY event_type)) AS tc, (SELECT greatest(10.0, quantile_disc(n, 0.99)) FROM (SELECT DISTINCT count(*) AS n FROM events GROUP BY value)) AS vc, (SELECT greatest(4.0, quantile_disc(n, 0.99)) FROM (SELECT DISTINCT count(*) AS n FROM events GROUP BY ts)) AS sc),
-h AS (SELECT event_id, event_type, tn, vn, sn, bn, value, CASE WHEN tn >= tc THEN 0.08 ELSE 0 END + CASE WHEN vn > 1 AND vn >= vc THEN 0.12 ELSE 0 END AS sup, CASE WHEN sn >= sc THEN 0.4 ELSE 0 END + CASE WHEN bn >= 5 THEN 0.35 ELSE 0 END AS strong FROM e, t),
-s AS (SELECT *, round(least(1.0, strong + least(sup, 0.24)), 9) AS heuristic FROM h)"""
-
-
-@query(_RULES + " SELECT event_id, tn AS type_n, vn AS value_n, sn AS time_n, bn AS burst_n, CAST(heuristic AS DOUBLE) AS heuristic FROM s")
+    return df.select("event_id", (F.col("value") > F.lit(counts.quantiles(df, ["value"], [0.98]).get(("value", 0.98)))).alias("over"))
+
+
+# The whole detection of the event table: features, rules, deviation score, knee and decision.
+_DETECT = f"""WITH e AS (SELECT event_id, ts, {_US} AS us, user_id, event_type, value FROM events),
+c AS (SELECT *, count(user_id) OVER (PARTITION BY user_id) AS un, count(event_type) OVER (PARTITION BY event_type) AS tn, count(*) OVER (PARTITION BY user_id, event_type) AS cn, count(value) OVER (PARTITION BY value) AS vn, count(ts) OVER (PARTITION BY ts) AS sn,
+count(*) OVER (PARTITION BY user_id, event_type ORDER BY us RANGE BETWEEN 300000000 PRECEDING AND 300000000 FOLLOWING) AS bn, (us - lag(us) OVER (PARTITION BY user_id, event_type ORDER BY us, event_id)) / 1e6 AS gap FROM e),
+r0 AS (SELECT *, coalesce(sum(CASE WHEN gap > 600 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, event_type ORDER BY us, event_id), 0) AS run FROM c),
+s0 AS (SELECT user_id, event_type, run, count(*) AS rn, avg(CASE WHEN gap <= 600 THEN gap END) AS m, stddev_pop(CASE WHEN gap <= 600 THEN gap END) AS sd FROM r0 GROUP BY 1, 2, 3),
+r AS (SELECT r0.*, rn, CASE WHEN rn >= 3 AND m > 0 THEN sd ELSE 999 END AS dstd, CASE WHEN rn >= 3 AND m > 0 THEN sd / m ELSE 999 END AS dcv FROM r0 JOIN s0 USING (user_id, event_type, run)),
+{_BINS}, dk AS (SELECT user_id, 'event_type' AS col, event_type AS v FROM b UNION ALL SELECT user_id, 'bin', CAST(bin AS VARCHAR) FROM b), dc AS (SELECT user_id, col, v, count(*) AS c FROM dk GROUP BY 1, 2, 3),
+de AS (SELECT user_id, col, sum(c) AS volume, CASE WHEN sum(c) > 1 THEN (ln(sum(c)) - sum(c * ln(c)) / sum(c)) / ln(sum(c)) ELSE 0 END AS d FROM dc GROUP BY 1, 2), dv AS (SELECT user_id, CAST(max(volume) AS BIGINT) AS volume, round(CASE WHEN max(volume) < 2 THEN 1.0 ELSE avg(d) END, 12) AS low FROM de GROUP BY 1),
+a AS (SELECT * FROM r JOIN dv USING (user_id)),
+t AS (SELECT (SELECT greatest(50.0, quantile_disc(n, 0.99)) FROM (SELECT DISTINCT count(*) AS n FROM events GROUP BY user_id)) AS uc, (SELECT greatest(50.0, quantile_disc(n, 0.99)) FROM (SELECT DISTINCT count(*) AS n FROM events GROUP BY user_id, event_type)) AS cc,
+(SELECT greatest(10.0, quantile_disc(n, 0.99)) FROM (SELECT DISTINCT count(*) AS n FROM events GROUP BY value)) AS vc, (SELECT greatest(4.0, quantile_disc(n, 0.99)) FROM (SELECT DISTINCT count(*) AS n FROM events GROUP BY ts)) AS sc,
+(SELECT least(0.2, coalesce(quantile_cont(low, 0.1), 0)) FROM a WHERE volume >= 12) AS dcut, (SELECT count(DISTINCT user_id) >= 20 FROM events) AS u20, (SELECT count(DISTINCT value) >= 20 FROM events) AS v20, (SELECT median(dstd) FROM r WHERE dstd < 999) AS mstd, (SELECT median(dcv) FROM r WHERE dstd < 999) AS mcv, (SELECT median(value) FROM events) AS mval),
+f AS (SELECT a.*, CASE WHEN u20 AND un >= uc THEN 0.08 ELSE 0 END AS w1, CASE WHEN v20 AND vn > 1 AND vn >= vc THEN 0.12 ELSE 0 END AS w2, CASE WHEN cn >= cc THEN 0.10 ELSE 0 END AS w3, CASE WHEN sn >= sc THEN 0.40 ELSE 0 END AS w4, CASE WHEN bn >= 5 THEN 0.35 ELSE 0 END AS w5,
+CASE WHEN rn >= 8 AND dcv <= 0.5 THEN 0.40 ELSE 0 END AS w6, CASE WHEN volume >= 12 AND low <= dcut THEN 0.70 ELSE 0 END AS w7, CASE WHEN dstd < 999 THEN dstd ELSE coalesce(mstd, 0) END AS fstd, CASE WHEN dstd < 999 THEN dcv ELSE coalesce(mcv, 0) END AS fcv, coalesce(value, mval) AS fval FROM a, t),
+h AS (SELECT *, round(least(1.0, w4 + w5 + w6 + w7 + least(w1 + w2 + w3, 0.24)), 9) AS heuristic FROM f),
+x AS (SELECT event_id, unnest([1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12]) AS k, unnest([ln(1 + un), ln(1 + tn), ln(1 + cn), fval, ln(1 + vn), CAST(coalesce(hour(ts), 0) AS DOUBLE), ln(1 + sn), ln(1 + bn), CASE WHEN dstd < 999 THEN 1.0 ELSE 0.0 END, ln(1 + fstd), ln(1 + fcv), low]) AS x FROM h),
+xm AS (SELECT k, median(x) AS md, stddev_pop(x) AS sd FROM x GROUP BY 1), xa AS (SELECT k, median(abs(x - md)) AS mad FROM x JOIN xm USING (k) GROUP BY 1),
+z AS (SELECT event_id, sum(abs((x - md) / CASE WHEN mad > 0 THEN 1.4826 * mad WHEN sd > 0 THEN sd ELSE 1 END)) / 12 AS raw FROM x JOIN xm USING (k) JOIN xa USING (k) GROUP BY 1), zz AS (SELECT min(raw) AS lo, max(raw) AS hi FROM z),
+ml AS (SELECT event_id, round((raw - lo) / (hi - lo), 9) AS ml_score FROM z, zz),
+p AS (SELECT ml_score AS v, row_number() OVER (ORDER BY ml_score DESC, event_id) AS pos, count(*) OVER () AS n, min(ml_score) OVER () AS lo, max(ml_score) OVER () AS hi FROM ml),
+g AS (SELECT *, round(1 - (v - lo) / (hi - lo) - (pos - 1) / (n - 1), 12) AS d FROM p), gp AS (SELECT *, CASE WHEN d >= lag(d) OVER (ORDER BY pos) AND d > lead(d) OVER (ORDER BY pos) THEN 1 ELSE 0 END AS peak FROM g),
+gs AS (SELECT *, sum(peak) OVER (ORDER BY pos) AS st FROM gp), ge AS (SELECT st, arg_min(v, pos) AS v, arg_min(d, pos) AS top, min(d) AS low, any_value(n) AS n, min(pos) AS pos FROM gs WHERE st > 0 GROUP BY 1),
+th AS (SELECT greatest(coalesce((SELECT v FROM ge WHERE low < top - 1 / (n - 1) ORDER BY pos LIMIT 1), (SELECT v FROM g ORDER BY round(abs(d), 12) DESC, pos LIMIT 1)), (SELECT quantile_cont(ml_score, 0.98) FROM ml)) AS threshold),
+q AS (SELECT h.*, ml_score, threshold, heuristic >= 0.7 AS hb, ml_score > threshold AS mb, greatest(heuristic, ml_score) AS combined FROM h JOIN ml USING (event_id), th),
+o AS (SELECT *, hb OR mb AS is_bot, CASE WHEN hb AND mb THEN 1 WHEN hb THEN 2 WHEN mb THEN 3 ELSE 0 END AS tier FROM q)"""
+
+
+@query(_DETECT + " SELECT event_id, un AS user_n, vn AS value_n, sn AS time_n, bn AS burst_n, CAST(heuristic AS DOUBLE) AS heuristic FROM h")
 def rule_scores(spark, d):
-    df = read(spark, d, "events")
-    made = detect.apply_rules(detect.features(df, EVENTS, 600), df, EVENTS)
-    return made.select("event_id", F.col("event_type__n").alias("type_n"), F.col("value__n").alias("value_n"), F.col("same_time__n").alias("time_n"), F.col("burst__n").alias("burst_n"), "heuristic")
+    made = detect.apply_rules(detect.features(read(spark, d, "events"), EVENTS, 600), EVENTS)[0]
+    return made.select("event_id", F.col("user_id__n").alias("user_n"), F.col("value__n").alias("value_n"), F.col("same_time__n").alias("time_n"), F.col("burst__n").alias("burst_n"), "heuristic")
 
 
 def _decided(spark, d):
-    return detect.detect(read(spark, d, "events"), EVENTS, 600)
+    """The detection by deviation scores, which SQL can express; ``forest_scores`` runs the forest."""
+    return detect.detect(read(spark, d, "events"), EVENTS, 600, backend="deviation")
 
 
-@query()
+@query(_DETECT + " SELECT event_id, CAST(heuristic AS DOUBLE) AS heuristic, round(ml_score, 6) AS ml_score, is_bot, tier, round(combined, 6) AS combined FROM o")
 def detect_events(spark, d):
-    return _decided(spark, d).select("event_id", "heuristic", r6("ml_score").alias("ml_score"), "is_bot", "tier", r6("combined").alias("combined"))
+    return _decided(spark, d).frame.select("event_id", "heuristic", r6("ml_score").alias("ml_score"), "is_bot", "tier", r6("combined").alias("combined"))
 
 
-@query()
+@query(_DETECT + """ SELECT count(*) AS n_rows, CAST(sum(CASE WHEN is_bot THEN 1 ELSE 0 END) AS BIGINT) AS n_flagged, round(avg(CASE WHEN is_bot THEN 1.0 ELSE 0 END), 6) AS rate, round(avg(CASE WHEN hb THEN 1.0 ELSE 0 END), 6) AS heuristic_rate, round(avg(CASE WHEN mb THEN 1.0 ELSE 0 END), 6) AS ml_rate,
+count(*) FILTER (tier = 0) AS tier_0, count(*) FILTER (tier = 1) AS tier_1, count(*) FILTER (tier = 2) AS tier_2, count(*) FILTER (tier = 3) AS tier_3 FROM o""")
 def detect_summary(spark, d):
-    return detect.summary(_decided(spark, d))
+    made = detect.summary(_decided(spark, d))
+    return made.select(*[r6(c).alias(c) if c.endswith("rate") else F.col(c) for c in made.columns])
 
 
-@query()
+_HITS = """, hits AS (SELECT *, unnest([1, 2, 3, 4, 5, 6, 7]) AS k, unnest([w1, w2, w3, w4, w5, w6, w7]) AS w, unnest(['concentration', 'numeric_reuse', 'context_cluster', 'same_instant_burst', 'local_burst', 'regular_timing', 'entity_monotony']) AS rule_id, unnest(['user_id value holds ' || un || ' rows', 'value number occurs ' || vn || ' times', 'context holds ' || cn || ' rows', sn || ' rows at the same instant',
+bn || ' rows of the context close in time', 'run of ' || rn || ' rows at a regular pace (cv ' || format('{:.2f}', dcv) || ')', 'entity repeats itself (diversity ' || format('{:.2f}', low) || ' over ' || volume || ' rows)']) AS reason FROM o)"""
+
+
+@query(_DETECT + _HITS + " SELECT rule_id, reason, count(*) AS n FROM hits WHERE w > 0 AND is_bot GROUP BY 1, 2 ORDER BY n DESC, rule_id, reason LIMIT 10")
 def top_reasons(spark, d):
-    return detect.top_reasons(_decided(spark, d))
+    return detect.top_reasons(_decided(spark, d)).select("rule_id", "reason", "n")
 
 
-@query()
+@query(_DETECT + _HITS + ", hr AS (SELECT event_id, string_agg(reason, '; ' ORDER BY k) AS reasons FROM hits WHERE w > 0 GROUP BY 1) SELECT event_id, round(combined, 6) AS combined, tier, coalesce(reasons, '') AS reasons FROM (SELECT * FROM o WHERE is_bot ORDER BY combined DESC, event_id LIMIT 500) LEFT JOIN hr USING (event_id)")
 def selected_events(spark, d):
-    return detect.selected(_decided(spark, d), "event_id").select("event_id", r6("combined").alias("combined"), "tier")
+    return detect.selected(_decided(spark, d)).select("event_id", r6("combined").alias("combined"), "tier", F.array_join("reasons", "; ").alias("reasons"))
 
 
-@query()
+@query(_DETECT + _HITS + """, ho AS (SELECT *, round(least(1.0, w4 + w5 + w6 + w7 - CASE WHEN k > 3 THEN w ELSE 0 END + least(w1 + w2 + w3 - CASE WHEN k <= 3 THEN w ELSE 0 END, 0.24)), 9) AS rest FROM hits WHERE w > 0)
+SELECT rule_id, count(*) AS fires, count(*) FILTER (event_type = 'purchase') AS true_fires, count(*) FILTER (hb AND rest < 0.7 AND NOT mb) AS lost FROM ho GROUP BY 1""")
 def rule_attribution(spark, d):
-    decided = _decided(spark, d).withColumn("planted", (F.col("event_type") == "purchase").cast("int"))
-    return evaluate.attribution(decided)
+    return evaluate.attribution(_decided(spark, d).frame.withColumn("planted", (F.col("event_type") == "purchase").cast("int")))
 
 
 @query()

@@ -1,94 +1,279 @@
-"""Batch detection over an event log: counts and bursts, rules, anomaly score, decision and evidence tiers."""
+"""Batch detection over an event log: features, rules, anomaly score, decision and evidence tiers."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import counts, robust, rules, timing
+from ..functions import text as texts
+from ..operators import counts, entities, robust, rules, timing
+from ..session import materialise
+
+# Floors of the adaptive cuts and limits of the rules.
+FLOORS = {"text": 10, "categorical": 50, "numeric": 10, "context": 50, "time": 4}
+LOCAL_BURST, MIN_DISTINCT, MIN_RUN, MAX_CV, MAX_ENTROPY, MIN_LENGTH = 5, 20, 8, 0.50, 1.5, 5
+MIN_VOLUME, MAX_DIVERSITY, LOW_SHARE, MIN_HUB, ASYMMETRY, DEGREE_SHARE = 12, 0.20, 0.10, 3, 10, 0.99
 
 
 @dataclass(frozen=True)
 class Log:
-    """Roles of a table's columns; ``key`` orders and names its rows."""
+    """Roles of a table's columns, in the table's order; ``key`` orders and names its rows."""
 
     key: str
     timestamp: str | None = None
     categorical: list[str] = field(default_factory=list)
     numeric: list[str] = field(default_factory=list)
+    text: list[str] = field(default_factory=list)
+    boolean: list[str] = field(default_factory=list)
+    #: Columns that hold content, and columns that are entities by decree.
+    content: tuple[str, ...] = ()
+    entity: tuple[str, ...] = ()
 
+    @classmethod
+    def of(cls, schema, key: str) -> Log:
+        """The roles of an inferred schema; URL-derived and overridden columns are content."""
+        named = lambda role: [c.name for c in schema.with_role(role)]
+        content = tuple(c.name for c in schema.columns if c.role == "url" or c.derived_from or c.content)
+        return cls(key, schema.primary_timestamp, named("categorical"), named("numeric"), named("text"), named("boolean"), content, tuple(c.name for c in schema.columns if c.entity))
 
-def features(df: DataFrame, log: Log, burst_seconds: int = 10) -> DataFrame:
-    """Add ``<c>__n`` per categorical and numeric column, ``context__n``, ``same_time__n`` and ``burst__n``."""
-    for c in log.categorical + log.numeric:
-        df = counts.value_counts(df, c, f"{c}__n")
-    if len(log.categorical) >= 2:
-        df = counts.joint_counts(df, log.categorical, "context__n")
-    if log.timestamp:
-        df = counts.value_counts(df, log.timestamp, "same_time__n")
-        df = timing.burst_counts(df, log.categorical, log.timestamp, burst_seconds, "burst__n")
-    return df
 
+@dataclass
+class Features:
+    """The row-wise table (key, columns, context and matrix), the matrix's names and families in order, and the scalars."""
 
-def apply_rules(df: DataFrame, source: DataFrame, log: Log) -> DataFrame:
-    """Add ``hits`` and ``heuristic``; the thresholds are one-row tables, so the plan stays lazy."""
-    found = []
+    frame: DataFrame
+    families: dict[str, str]
+    shapes: dict[str, dict]
+    cuts: dict[str, float]
+    entity: list[str]
+    actor: list[str]
+    grid: int | None
+    gated: bool
+
+
+@dataclass
+class Detection:
+    """The scored rows, the thresholds used, and what the outputs need."""
+
+    frame: DataFrame
+    log: Log
+    features: Features
+    thresholds: dict
+    threshold: float
+    method: str
+    backend: str
+    cutoff: float
+
+
+def _looked_up(df: DataFrame, table: DataFrame, column: str, names: list[str]) -> DataFrame:
+    """Add the ``names`` of the rows' value of ``column`` from a (column, value, ...) table as ``<column>__<name>``."""
+    own = table.filter(F.col("column") == column).select(F.col("value").alias("_value"), *[F.col(n).alias(f"{column}__{n}") for n in names])
+    return df.join(own, F.col(column).cast("string").eqNullSafe(F.col("_value")), "left").drop("_value")
+
+
+def features(df: DataFrame, log: Log, burst_seconds: int = 10) -> Features:
+    """Counts, timing, entity and actor measures of every row, joined from small tables keyed by value."""
+    named = [*log.categorical, *log.numeric, *log.text]
+    keep = list(dict.fromkeys([log.key, *([log.timestamp] if log.timestamp else []), *named, *log.boolean]))
+    clean = {c: F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c)).alias(c) for c in log.numeric if df.schema[c].dataType.typeName() in ("double", "float")}
+    base = df.select(*[clean.get(c, F.col(c)) for c in keep])
+    families: dict[str, str] = {}
+    matrix: dict[str, Column] = {}
 
-    def cut(cols: list[str], floor: int, name: str):
-        nonlocal df
-        df = df.crossJoin(F.broadcast(counts.adaptive_cut(source, cols, floor).withColumnRenamed("cut", name)))
-        return F.col(name)
+    def emit(name: str, family: str, col: Column):
+        families[name], matrix[name] = family, col
 
+    all_counts = materialise(counts.column_counts(base, named), "counts") if named else None
+    shapes = entities.column_shapes(all_counts) if named else {}
+    cut = {r["column"]: float(r["cut"]) for r in counts.cuts(all_counts).collect()} if named else {}
+    rows = base
+    for c in named:
+        rows = counts.value_counts(rows, c, f"{c}__n")
     for c in log.categorical:
-        found.append(rules.rule("concentration", F.col(f"{c}__n") >= cut([c], 50, f"{c}__cut"), F.concat(F.lit(f"{c} repeats "), F.col(f"{c}__n").cast("string"))))
+        emit(f"{c}__conc", "concentration", F.log1p(f"{c}__n"))
+    if len(log.categorical) >= 2:
+        rows = counts.joint_counts(rows, log.categorical, "context__n")
+        emit("context__conc", "concentration", F.log1p("context__n"))
+        sizes = base.groupBy(*log.categorical).count().select(F.lit("context").alias("column"), F.lit("").alias("value"), F.col("count").alias("c"))
+        cut["__context"] = float(counts.cuts(sizes).first()["cut"] or 0)
+    medians = counts.quantiles(base, log.numeric, [0.5]) if log.numeric else {}
     for c in log.numeric:
-        found.append(rules.rule("numeric_reuse", (F.col(f"{c}__n") > 1) & (F.col(f"{c}__n") >= cut([c], 10, f"{c}__cut")), F.concat(F.lit(f"{c} repeats "), F.col(f"{c}__n").cast("string"))))
-    if "context__n" in df.columns:
-        found.append(rules.rule("context_cluster", F.col("context__n") >= cut(log.categorical, 50, "context__cut"), F.lit("many rows of one context")))
+        emit(f"{c}__val", "value", F.coalesce(F.col(c).cast("double"), F.lit(medians.get((c, 0.5), 0.0))))
+        emit(f"{c}__rep", "repetition", F.log1p(f"{c}__n"))
+    for c in log.text:
+        measured = texts.text_measures(base, c).select(F.col(c).alias("_text"), F.col("entropy").alias(f"{c}__entropy_of"), F.col("unique_ratio").alias(f"{c}__uniqchar_of"))
+        rows = rows.join(measured, F.col(c) == F.col("_text"), "left").drop("_text")
+        emit(f"{c}__entropy", "text", F.coalesce(f"{c}__entropy_of", F.lit(0.0)))
+        emit(f"{c}__uniqchar", "text", F.coalesce(f"{c}__uniqchar_of", F.lit(0.0)))
+        emit(f"{c}__rep", "repetition", F.log1p(f"{c}__n"))
+    for c in log.boolean:
+        emit(f"{c}__bool", "flag", F.coalesce(F.col(c).cast("double"), F.lit(0.0)))
+    grid, gated = None, False
+    if log.timestamp:
+        ts = log.timestamp
+        rows = counts.value_counts(rows, ts, "same_time__n")
+        cut["__time"] = float(counts.cuts(base.select(F.lit("time").alias("column"), F.col(ts).alias("value")).groupBy("column", "value").agg(F.count(F.lit(1)).alias("c"))).agg(F.max("cut")).first()[0] or 0)
+        rows = timing.burst_counts(rows, log.categorical, ts, burst_seconds, "burst__n")
+        step = timing.grid(base, ts).first()
+        grid = step.gap if step else None
+        gated = grid is not None and grid >= burst_seconds * timing.SECOND
+        if gated:
+            rows = timing.on_grid(rows, ts)
+        paced = timing.runs(base.select(log.key, ts, *log.categorical), log.categorical, ts, log.key, burst_seconds)
+        rows = rows.join(paced.select(log.key, F.col("run_size").alias("run__n"), "dt_std", "dt_cv"), log.key, "left")
+        rows = rows.fillna({"dt_std": timing.SENTINEL, "dt_cv": timing.SENTINEL, "run__n": 1})
+        emit("hour", "time", F.coalesce(F.hour(F.col(ts).cast("timestamp")), F.lit(0)).cast("double"))
+        emit("same_time__conc", "burst", F.log1p("same_time__n"))
+        emit(f"burst{burst_seconds}s__conc", "burst", F.log1p("burst__n"))
+    entity = entities.entity_columns(shapes, log.categorical, log.content, log.entity)
+    order = {c: i for i, c in enumerate(df.columns)}
+    actor = entities.actor_columns(shapes, sorted([*log.categorical, *log.text], key=order.get), log.content, log.entity)
+    actor = actor if len(actor) >= 2 else []
+    if entity or actor:
+        links = base.select(log.key, *log.categorical, *[c for c in actor if c not in log.categorical], *log.numeric)
+        for c in log.numeric:
+            links = entities.quantile_bins(links, c, [log.key], out=f"{c}__bin")
+        links = materialise(links.drop(*log.numeric, log.key), "links")
+        bins = [f"{c}__bin" for c in log.numeric]
+    if entity:
+        per = materialise(entities.entity_table(links, entity, log.categorical + bins), "entities")
+        lowest, volume = F.lit(1.0), F.lit(1).cast("long")
+        for c in entity:
+            rows = _looked_up(rows, per, c, ["diversity", "volume", "degree"])
+            lower = F.round(F.col(f"{c}__diversity"), 12) < lowest
+            lowest, volume = F.when(lower, F.round(F.col(f"{c}__diversity"), 12)).otherwise(lowest), F.when(lower, F.col(f"{c}__volume")).otherwise(volume)
+        rows = rows.withColumn("entity__low", lowest).withColumn("entity__vol", volume)
+    if actor:
+        context = [c for c in log.categorical if c not in actor] + bins
+        graph = materialise(entities.actor_graph(links, actor, context), "actors")
+        for c in actor:
+            rows = _looked_up(rows, graph.withColumnsRenamed({"degree": "out", "reverse_degree": "back", "volume": "events", "diversity": "spread"}), c, ["out", "back", "events", "spread"])
+        hubs = counts.quantiles(graph.filter(F.col("degree") >= MIN_HUB).select("degree"), ["degree"], [DEGREE_SHARE])
+        if hubs:
+            cut["__degree"] = hubs["degree", DEGREE_SHARE]
+    rows = materialise(rows, "rows")
     if log.timestamp:
-        found.append(rules.rule("same_instant_burst", F.col("same_time__n") >= cut([log.timestamp], 4, "time__cut"), F.lit("many rows at one instant")))
-        found.append(rules.rule("local_burst", F.col("burst__n") >= 5, F.concat(F.col("burst__n").cast("string"), F.lit(" rows of one context close in time"))))
-    df = df.withColumn("hits", rules.hits(found)).withColumn("heuristic", rules.capped_sum(F.col("hits")))
-    return df.drop(*[c for c in df.columns if c.endswith("__cut")])
+        measured = F.col("dt_std") < timing.SENTINEL
+        middle = counts.quantiles(rows.filter(measured), ["dt_std", "dt_cv"], [0.5])
+        emit("has_regular_timing", "timing", measured.cast("double"))
+        for c, name in (("dt_std", "dt__std"), ("dt_cv", "dt__cv")):
+            emit(name, "timing", F.log1p(F.when(measured, F.col(c)).otherwise(F.lit(middle.get((c, 0.5), 0.0)))))
+    if entity:
+        emit("entity__diversity", "entity", F.col("entity__low"))
+        busy = counts.quantiles(rows.filter(F.col("entity__vol") >= MIN_VOLUME), ["entity__low"], [LOW_SHARE])
+        cut["__entity"] = min(MAX_DIVERSITY, busy.get(("entity__low", LOW_SHARE), 0.0))
+    rows = rows.select("*", *[col.cast("double").alias(f"x__{name}") for name, col in matrix.items()])
+    return Features(rows, families, shapes, cut, entity, actor, grid, gated)
 
 
-def decide(df: DataFrame, key: str, cutoff: float = 0.70, max_ml_rate: float = 0.02) -> DataFrame:
-    """Add ``is_bot``, ``tier``, ``combined`` and ``threshold``: heuristic at least ``cutoff`` or ml above its knee or rate cap."""
-    limit = robust.geometric_knee(df, "ml_score", key).crossJoin(df.agg(F.expr(f"percentile(ml_score, {1 - max_ml_rate})").alias("cap")))
-    df = df.crossJoin(F.broadcast(limit.select(F.greatest("threshold", "cap").alias("threshold"))))
-    by_rule, by_ml = F.col("heuristic") >= cutoff, F.col("ml_score") > F.col("threshold")
-    tier = F.when(by_rule & by_ml, 1).when(by_rule, 2).when(by_ml, 3).otherwise(0)
-    return df.withColumn("is_bot", by_rule | by_ml).withColumn("tier", tier).withColumn("combined", F.greatest("heuristic", "ml_score"))
+def apply_rules(made: Features, log: Log) -> tuple[DataFrame, dict]:
+    """Add ``hits`` and ``heuristic``; and the thresholds applied."""
+    found = []
+    n = lambda c: F.col(f"{c}__n")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    two = lambda c: F.format_number(c, 2)
+    limit = lambda c, kind: max(float(FLOORS[kind]), made.cuts.get(c, 0.0))
+    eligible = lambda cs: [c for c in cs if made.shapes[c]["distinct"] >= MIN_DISTINCT]
+    used = {
+        "text_repeat": {c: limit(c, "text") for c in log.text},
+        "categorical_concentration": {c: limit(c, "categorical") for c in eligible(log.categorical)},
+        "numeric_reuse": {c: limit(c, "numeric") for c in eligible(log.numeric)},
+        "context_cluster": limit("__context", "context"), "same_instant": limit("__time", "time"), "local_burst": LOCAL_BURST,
+        "timestamp_grid": made.grid / timing.SECOND if made.grid else None, "dense_timing_gated": made.gated,
+        "entity_diversity_cut": made.cuts.get("__entity", 0.0), "entity_columns": made.entity, "entity_graph_active": len(made.entity) >= 2,
+        "actor_columns": made.actor, "actor_graph_active": bool(made.actor), "degree_floor": made.cuts.get("__degree"),
+    }
+    for c in log.text:
+        found.append(rules.rule("repeat_value", (n(c) > 1) & (n(c) >= used["text_repeat"][c]), text(f"{c} value occurs ", n(c), " times")))
+        entropy = F.col(f"x__{c}__entropy")
+        found.append(rules.rule("low_entropy", (entropy > 0) & (entropy <= MAX_ENTROPY) & (F.char_length(c) >= MIN_LENGTH), text(f"{c} has an entropy of ", two(entropy), " bits")))
+    for c, at in used["categorical_concentration"].items():
+        found.append(rules.rule("concentration", n(c) >= at, text(f"{c} value holds ", n(c), " rows")))
+    for c, at in used["numeric_reuse"].items():
+        found.append(rules.rule("numeric_reuse", (n(c) > 1) & (n(c) >= at), text(f"{c} number occurs ", n(c), " times")))
+    if len(log.categorical) >= 2:
+        found.append(rules.rule("context_cluster", n("context") >= used["context_cluster"], text("context holds ", n("context"), " rows")))
+    if log.timestamp:
+        off = ~F.col("on_grid") if made.gated else F.lit(True)
+        found.append(rules.rule("same_instant_burst", (n("same_time") >= used["same_instant"]) & off, text(n("same_time"), " rows at the same instant")))
+        found.append(rules.rule("local_burst", (n("burst") >= LOCAL_BURST) & off, text(n("burst"), " rows of the context close in time")))
+        found.append(rules.rule("regular_timing", (n("run") >= MIN_RUN) & (F.col("dt_cv") <= MAX_CV), text("run of ", n("run"), " rows at a regular pace (cv ", two(F.col("dt_cv")), ")")))
+    cut = F.lit(used["entity_diversity_cut"])
+    busy = lambda c: (F.col(f"{c}__volume") >= MIN_VOLUME) & (F.round(F.col(f"{c}__diversity"), 12) <= cut)
+    low = (F.col("entity__vol") >= MIN_VOLUME) & (F.col("entity__low") <= cut)
+    used["entity_fallback_hub_gated"] = len(made.entity) == 1 and made.entity[0] in made.actor
+    used["min_hub_degree"] = MIN_HUB if used["entity_graph_active"] or used["entity_fallback_hub_gated"] else None
+    if used["entity_graph_active"]:
+        hubs = [F.when(busy(c) & (F.col(f"{c}__degree") >= MIN_HUB), F.struct(F.col(f"{c}__degree").alias("degree"), F.lit(-i).alias("place"), text(f"{c} '", F.coalesce(c, F.lit("")), "' repeats itself (diversity ", two(F.col(f"{c}__diversity")), " over ", F.col(f"{c}__volume"), " rows) with ", F.col(f"{c}__degree"), " counterparts").alias("reason"))) for i, c in enumerate(made.entity)]
+        hub = F.array_max(F.filter(F.array(*hubs), lambda x: x.isNotNull()))
+        found.append(rules.rule("entity_monotony", hub.isNotNull(), hub["reason"]))
+    elif used["entity_fallback_hub_gated"]:
+        c = made.entity[0]
+        found.append(rules.rule("entity_monotony", low & (F.col(f"{c}__out") >= MIN_HUB), text("entity repeats itself (diversity ", two(F.col("entity__low")), " over ", F.col("entity__vol"), " rows) with ", F.col(f"{c}__out"), " counterparts")))
+    elif made.entity:
+        found.append(rules.rule("entity_monotony", low, text("entity repeats itself (diversity ", two(F.col("entity__low")), " over ", F.col("entity__vol"), " rows)")))
+    if made.actor and used["degree_floor"] is not None:
+        c = made.actor[0]
+        star = (F.col(f"{c}__events") >= MIN_VOLUME) & (F.col(f"{c}__out") >= used["degree_floor"]) & (F.col(f"{c}__out") >= ASYMMETRY * (F.col(f"{c}__back") + 1)) & (F.round(F.col(f"{c}__spread"), 12) <= MAX_DIVERSITY)
+        found.append(rules.rule("asymmetric_degree", star, text(f"{c} '", F.coalesce(c, F.lit("")), "' reaches ", F.col(f"{c}__out"), " counterparts, ", F.col(f"{c}__back"), " reach it")))
+    return made.frame.withColumn("hits", rules.hits(found)).withColumn("heuristic", rules.capped_sum(F.col("hits"))), used
+
 
+def ml_scores(df: DataFrame, columns: list[str], key: str, backend: str) -> tuple[DataFrame, str]:
+    """Add ``ml_score``: 0.5 for fewer than three rows or no column, else the forest's or the deviation's score."""
+    if not columns or df.limit(3).count() < 3:
+        return df.withColumn("ml_score", F.lit(0.5)), "degenerate"
+    if backend == "deviation":
+        return robust.deviation_score(df, columns), backend
+    return robust.forest_scores(df, columns, key), backend
 
-def detect(df: DataFrame, log: Log, burst_seconds: int = 10, backend: str = "deviation") -> DataFrame:
-    """The whole detection; ``backend`` is ``deviation`` (robust z) or ``forest``."""
-    from ..session import materialise
 
-    made = apply_rules(features(df, log, burst_seconds), df, log)
-    columns = [c for c in made.columns if c.endswith("__n")]
-    logs = [F.log1p(c).alias(f"{c}_log") for c in columns]
-    made = materialise(made.select("*", *logs), "features")
-    score = robust.deviation_score if backend == "deviation" else lambda d, c: robust.forest_scores(d, c, log.key)
-    scored = score(made, [f"{c}_log" for c in columns] + log.numeric)
-    return decide(scored.drop(*[f"{c}_log" for c in columns]), log.key)
+def detect(df: DataFrame, log: Log, burst_seconds: int = 10, backend: str = "forest", cutoff: float = 0.70, max_ml_rate: float = 0.02) -> Detection:
+    """The whole detection; ``backend`` is ``forest`` or ``deviation`` (robust z, expressible in SQL)."""
+    made = features(df, log, burst_seconds)
+    ruled, used = apply_rules(made, log)
+    scored, backend = ml_scores(ruled, [f"x__{c}" for c in made.families], log.key, backend)
+    scored = materialise(scored.withColumn("ml_score", F.round("ml_score", 9)), "scored")
+    threshold, method = robust.knee_threshold(scored, "ml_score", log.key)
+    cap = counts.quantiles(scored, ["ml_score"], [1 - max_ml_rate]).get(("ml_score", 1 - max_ml_rate))
+    if cap is not None and cap > threshold:
+        threshold, method = cap, f"{method}+rate_capped"
+    by_rule, by_ml = F.col("heuristic") >= cutoff, F.col("ml_score") > threshold
+    tier = F.when(by_rule & by_ml, 1).when(by_rule, 2).when(by_ml, 3).otherwise(0)
+    decided = scored.withColumn("threshold", F.lit(threshold)).withColumn("is_bot", by_rule | by_ml).withColumn("tier", tier).withColumn("combined", F.greatest("heuristic", "ml_score"))
+    return Detection(decided, log, made, used, threshold, method, backend, cutoff)
 
 
-def summary(decided: DataFrame) -> DataFrame:
+def summary(found: Detection) -> DataFrame:
     """One row of counters."""
     flag = F.col("is_bot").cast("long")
-    tiers = [F.sum((F.col("tier") == t).cast("long")).alias(f"tier_{t}") for t in range(4)]
-    return decided.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(flag).alias("n_flagged"), F.avg(flag).alias("rate"), *tiers)
+    tiers = [F.coalesce(F.sum((F.col("tier") == t).cast("long")), F.lit(0)).alias(f"tier_{t}") for t in range(4)]
+    rate = lambda c: F.coalesce(F.avg(c.cast("double")), F.lit(0.0))
+    return found.frame.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(flag), F.lit(0)).alias("n_flagged"), rate(flag).alias("rate"),
+        rate(F.col("heuristic") >= found.cutoff).alias("heuristic_rate"), rate(F.col("ml_score") > F.col("threshold")).alias("ml_rate"), *tiers,
+    )
+
+
+def top_reasons(found: Detection, n: int = 10) -> DataFrame:
+    """The reasons given most among flagged rows."""
+    fired = found.frame.filter("is_bot").select(F.explode("hits").alias("h")).groupBy(F.col("h.rule_id").alias("rule_id"), F.col("h.reason").alias("reason"))
+    return fired.agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "rule_id", "reason").limit(n)
 
 
-def top_reasons(decided: DataFrame, n: int = 10) -> DataFrame:
-    """The rules that fire most among flagged rows."""
-    fired = decided.filter("is_bot").select(F.explode("hits").alias("h")).groupBy(F.col("h.rule_id").alias("rule_id"))
-    return fired.agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "rule_id").limit(n)
+def selected(found: Detection, n: int = 500, reasons: int = 6) -> DataFrame:
+    """The flagged rows of highest combined score, each with its first reasons."""
+    key = found.log.key
+    top = found.frame.filter("is_bot").orderBy(F.desc("combined"), key).limit(n)
+    return top.withColumn("reasons", F.slice(F.transform("hits", lambda h: h["reason"]), 1, reasons))
 
 
-def selected(decided: DataFrame, key: str, n: int = 500) -> DataFrame:
-    """The flagged rows of highest combined score."""
-    return decided.filter("is_bot").orderBy(F.desc(F.round("combined", 9)), key).limit(n)
+def deviations(found: Detection, rows: DataFrame, top_k: int = 5) -> DataFrame:
+    """key, feature, value, z, place, percentile: the largest deviations of ``rows`` (a table with the key)."""
+    key, names = found.log.key, list(found.features.families)
+    frame = found.frame.select(key, *[F.col(f"x__{c}").alias(c) for c in names])
+    wanted = rows.select(key).distinct().withColumn("_wanted", F.lit(True))
+    made = robust.feature_deviations(frame.join(wanted, key, "left"), key, names, F.col("_wanted"), top_k)
+    return robust.batch_percentiles(frame, made, names)
