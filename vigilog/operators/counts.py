@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Tables of at most so many rows have their quantiles taken by one aggregation.
+SMALL_TABLE = 200_000
+
+
 def value_counts(df: DataFrame, col: str, out: str) -> DataFrame:
     """Add the number of rows sharing the value; missing counts 0.
 
@@ -18,7 +22,7 @@ def value_counts(df: DataFrame, col: str, out: str) -> DataFrame:
 
 def column_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """column, value (string, null where missing), c: the value counts of all columns by one aggregation."""
-    kv = F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns]))
+    kv = F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns]))
     return df.select(kv).groupBy("column", "value").agg(F.count(F.lit(1)).alias("c"))
 
 
@@ -35,6 +39,11 @@ def quantiles(df: DataFrame, columns: list[str], fractions: list[float]) -> dict
     """
     from ..session import materialise
 
+    if df.count() <= SMALL_TABLE:
+        # few values: one aggregation, whose buffers hold a column's values
+        value = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+        row = df.agg(*[F.percentile(value(c), fractions).alias(c) for c in columns]).first()
+        return {(c, q): x for c in columns if row[c] is not None for q, x in zip(fractions, row[c], strict=True)}
     kv = F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns]))
     counts = df.select(kv).filter(F.col("v").isNotNull() & ~F.isnan("v")).groupBy("column", "v").agg(F.count(F.lit(1)).alias("c"))
     placed = counts.repartitionByRange("column", "v").sortWithinPartitions("column", "v")

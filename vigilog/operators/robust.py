@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,12 +117,12 @@ def kneedle(df: DataFrame, col: str, key: str, sensitivity: float = 1.0) -> Data
 def knee_threshold(df: DataFrame, col: str, key: str) -> tuple[float, str]:
     """The self-tuned threshold of the finite scores, and the method that gave it."""
     finite = df.select(key, F.col(col).cast("double").alias(col)).filter(F.col(col).isNotNull() & ~F.isnan(col) & (F.abs(col) < float("inf")))
-    some = finite.agg(F.count(F.lit(1)).alias("n"), F.max(col).alias("top")).first()
+    some = finite.agg(F.count(F.lit(1)).alias("n"), F.max(col).alias("top"), F.approx_count_distinct(col).alias("kinds")).first()
     if not some.n:
         return 0.0, "empty_input"
     if some.n < 10:
         return some.top, "small_input_fallback"
-    if finite.select(col).distinct().limit(3).count() < 3:
+    if some.kinds < 10 and finite.select(col).distinct().limit(3).count() < 3:
         return some.top, "tied_score_fallback"
     found = kneedle(finite, col, key).first()
     if found is not None:
@@ -128,16 +130,9 @@ def knee_threshold(df: DataFrame, col: str, key: str) -> tuple[float, str]:
     return geometric_knee(finite, col, key).first().threshold, "max_distance_descending_fallback"
 
 
-_trees: dict = {}
-
-
-def _grown(shared):
-    """The trees of a broadcast, read once in a worker."""
-    import pickle
-
-    if shared.value is not _trees.get("of"):
-        _trees.update(of=shared.value, trees=[(size, pickle.loads(blob)) for size, blob in shared.value])
-    return _trees["trees"]
+def _mean_path(m: int) -> float:
+    """The mean path of a failed search among ``m`` rows."""
+    return 0.0 if m <= 1 else 2 * (math.log(m - 1) + 0.5772156649015329) - 2 * (m - 1) / m
 
 
 def forest_scores(df: DataFrame, columns: list[str], key: str, trees: int = 100, sample: int = 4096, seed: int = 7, out: str = "ml_score") -> DataFrame:
@@ -148,12 +143,12 @@ def forest_scores(df: DataFrame, columns: list[str], key: str, trees: int = 100,
     """
     spark = df.sparkSession
     n = df.count()
-    # Each row draws a tree once for each of as many rounds as the drawn share asks for: a share of four times the
-    # need, so that the trees fill whatever the hashes, and then the rows of smallest hash for each tree.
-    wanted = min(trees, 4 * trees * sample / max(n, 1)) if n > sample else trees
+    # Each row draws as many trees as the drawn share asks for, a third more than needed, so that the trees fill
+    # whatever the hashes; of these each tree takes the rows of smallest hash.
+    wanted = 1.3 * trees * sample / max(n, 1)
     unit = lambda *x: F.pmod(F.xxhash64(key, *map(F.lit, x), F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
     whole, part = int(wanted), wanted - int(wanted)
-    if whole >= trees:
+    if wanted > trees / 2:
         pool = df.select(key, *columns).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
     else:
         drawn = F.when(unit("part") < part, F.lit(whole + 1)).otherwise(F.lit(whole))
@@ -163,8 +158,6 @@ def forest_scores(df: DataFrame, columns: list[str], key: str, trees: int = 100,
     pool = pool.withColumn("draw", F.pmod(F.xxhash64(key, "tree", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40))
 
     def grow(pdf):
-        import pickle
-
         import numpy as np
         import pandas as pd
 
@@ -173,19 +166,27 @@ def forest_scores(df: DataFrame, columns: list[str], key: str, trees: int = 100,
         x = pdf.sort_values(["draw", key]).head(sample)[columns].to_numpy(float)
         depth = int(np.ceil(np.log2(max(2, len(x)))))
 
+        # nodes by number: features, weights, cut, left and right child; a leaf has no children and holds its rows' mean path
+        nodes: list[list[float]] = []
+
         def node(rows, level):
+            at = len(nodes)
             part = x[rows]
             live = np.flatnonzero(part.max(0) > part.min(0)) if len(rows) else []
             if level >= depth or len(rows) <= 1 or not len(live):
-                return len(rows)
+                nodes.append([0, 0, 0.0, 0.0, 0.0, -1, -1, level + _mean_path(len(rows))])
+                return at
             picked = rng.choice(live, min(2, len(live)), replace=False)
             w = rng.normal(size=len(picked))
             p = part[:, picked] @ w
             cut = rng.uniform(p.min(), p.max())
+            nodes.append([picked[0], picked[-1], w[0], w[1] if len(w) > 1 else 0.0, cut, 0, 0, 0.0])
             left = p < cut
-            return (picked.tolist(), w.tolist(), float(cut), node(rows[left], level + 1), node(rows[~left], level + 1))
+            nodes[at][5:7] = node(rows[left], level + 1), node(rows[~left], level + 1)
+            return at
 
-        return pd.DataFrame({"tree": [tree], "size": [len(x)], "nodes": [pickle.dumps(node(np.arange(len(x)), 0))]})
+        node(np.arange(len(x)), 0)
+        return pd.DataFrame({"tree": [tree], "size": [len(x)], "nodes": [np.array(nodes, float).tobytes()]})
 
     grown = pool.groupBy("tree").applyInPandas(grow, "tree int, size int, nodes binary").collect()
     shared = spark.sparkContext.broadcast([(r["size"], bytes(r.nodes)) for r in sorted(grown, key=lambda r: r.tree)])
@@ -195,21 +196,18 @@ def forest_scores(df: DataFrame, columns: list[str], key: str, trees: int = 100,
         import numpy as np
         import pandas as pd
 
-        def c(m):
-            return 0.0 if m <= 1 else 2 * (np.log(m - 1) + 0.5772156649015329) - 2 * (m - 1) / m
-
-        x = np.column_stack([s.to_numpy(float) for s in series]) if len(series) else np.zeros((0, 0))
+        x = np.column_stack([s.to_numpy(float) for s in series])
         total, norm = np.zeros(len(x)), []
-        for size, root in _grown(shared):
-            norm.append(c(size))
-            todo = [(root, np.arange(len(x)), 0)]
-            while todo:
-                tree, rows, level = todo.pop()
-                if isinstance(tree, int):
-                    total[rows] += level + c(tree)
-                elif len(rows):
-                    left = x[rows][:, tree[0]] @ np.array(tree[1]) < tree[2]
-                    todo += [(tree[3], rows[left], level + 1), (tree[4], rows[~left], level + 1)]
+        for size, nodes in shared.value:
+            t = np.frombuffer(nodes, float).reshape(-1, 8)
+            one, two, left, right = (t[:, k].astype(np.int64) for k in (0, 1, 5, 6))
+            norm.append(_mean_path(size))
+            at, alive = np.zeros(len(x), np.int64), np.arange(len(x))
+            while len(alive := alive[left[at[alive]] >= 0]):
+                k = at[alive]
+                p = x[alive, one[k]] * t[k, 2] + x[alive, two[k]] * t[k, 3]
+                at[alive] = np.where(p < t[k, 4], left[k], right[k])
+            total += t[at, 7]
         mean = max(float(np.mean(norm)) if norm else 1.0, 1e-9)
         return pd.Series(np.clip(2 ** (-(total / max(1, len(norm))) / mean), 0, 1))
 

@@ -32,6 +32,8 @@ def rule(rule_id: str, fires: Column, reason: Column) -> Rule:
 
 def hits(rules: list[Rule]) -> Column:
     """Array of the rules that fire, in the given order."""
+    if not rules:
+        return F.array().cast("array<struct<rule_id:string,weight:double,strong:boolean,reason:string>>")
     made = [F.when(F.coalesce(r.fires, F.lit(False)), F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.weight).alias("weight"), F.lit(r.strong).alias("strong"), r.reason.alias("reason"))) for r in rules]
     return F.filter(F.array(*made), lambda h: h.isNotNull())
 

@@ -13,20 +13,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import is_missing
+from ..operators.counts import column_counts
 
 SAMPLE = 1000
 PARSE_RATE, URL_RATE = 0.95, 0.70
 HEAD_BYTES = 64 << 10
+#: A URL column of more distinct parameters is refused, not cut.
+MAX_KEYS = 1000
 
 # Boolean tokens and timestamp formats (strptime form and the pattern Spark reads it with).
 TRUE, FALSE = {"true", "yes", "t", "y"}, {"false", "no", "f", "n"}
 FORMATS = [
-    ("%Y-%m-%d %H:%M:%S", "yyyy-M-d H:m:s"), ("%Y-%m-%d %H:%M:%S.%f", "yyyy-M-d H:m:s.SSSSSS"), ("%Y-%m-%dT%H:%M:%S", "yyyy-M-d'T'H:m:s"), ("%Y-%m-%dT%H:%M:%S.%f", "yyyy-M-d'T'H:m:s.SSSSSS"),
-    ("%Y-%m-%dT%H:%M:%SZ", "yyyy-M-d'T'H:m:s'Z'"), ("%Y-%m-%dT%H:%M:%S%z", "yyyy-M-d'T'H:m:sXXX"), ("%Y-%m-%dT%H:%M:%S.%f%z", "yyyy-M-d'T'H:m:s.SSSSSSXXX"), ("%Y-%m-%d", "yyyy-M-d"),
-    ("%d/%b/%Y:%H:%M:%S %z", "d/MMM/yyyy:H:m:s Z"), ("%d/%b/%Y:%H:%M:%S", "d/MMM/yyyy:H:m:s"), ("%Y/%m/%d %H:%M:%S", "yyyy/M/d H:m:s"), ("%Y/%m/%d %H:%M:%S.%f", "yyyy/M/d H:m:s.SSSSSS"),
-    ("%m/%d/%Y %H:%M:%S", "M/d/yyyy H:m:s"), ("%d/%m/%Y %H:%M:%S", "d/M/yyyy H:m:s"), ("%m/%d/%Y %H:%M", "M/d/yyyy H:m"), ("%d.%m.%Y %H:%M:%S", "d.M.yyyy H:m:s"),
+    ("%Y-%m-%d %H:%M:%S", "yyyy-M-d H:m:s"), ("%Y-%m-%dT%H:%M:%S", "yyyy-M-d'T'H:m:s"), ("%Y-%m-%dT%H:%M:%S%z", "yyyy-M-d'T'H:m:s[XXX][XX]"), ("%Y-%m-%d %H:%M", "yyyy-M-d H:m"),
+    ("%Y-%m-%d", "yyyy-M-d"), ("%Y/%m/%d %H:%M:%S", "yyyy/M/d H:m:s"), ("%d/%m/%Y %H:%M:%S", "d/M/yyyy H:m:s"), ("%m/%d/%Y %H:%M:%S", "M/d/yyyy H:m:s"),
+    ("%d-%m-%Y %H:%M:%S", "d-M-yyyy H:m:s"), ("%d %b %Y %H:%M:%S", "d MMM yyyy H:m:s"), ("%Y-%m-%d %H:%M:%S.%f", "yyyy-M-d H:m:s.[SSSSSS][SSSSS][SSSS][SSS][SS][S]"),
+    ("%Y-%m-%dT%H:%M:%S.%f", "yyyy-M-d'T'H:m:s.[SSSSSS][SSSSS][SSSS][SSS][SS][S]"), ("%Y-%m-%dT%H:%M:%S.%f%z", "yyyy-M-d'T'H:m:s.[SSSSSS][SSSSS][SSSS][SSS][SS][S][XXX][XX]"),
+    ("%Y/%m/%d %H:%M:%S.%f", "yyyy/M/d H:m:s.[SSSSSS][SSSSS][SSSS][SSS][SS][S]"), ("%d/%b/%Y:%H:%M:%S %z", "d/MMM/yyyy:H:m:s XX"), ("%d/%b/%Y:%H:%M:%S", "d/MMM/yyyy:H:m:s"), ("%d.%m.%Y %H:%M:%S", "d.M.yyyy H:m:s"),
 ]
-URL = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*://\S+|\?[^=\s]+=")
+#: The format of a column whose values follow several of the formats.
+MIXED = "mixed"
+URL = re.compile(r"^[a-z][a-z0-9+.\-]*://\S+|\?\S*=", re.I)
 NUMBER = re.compile(r"^\s*[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|inf|nan)\s*$", re.I)
 
 
@@ -40,6 +46,12 @@ class Column:
     examples: tuple = ()
     format: str | None = None
     derived_from: str | None = None
+    subtype: str | None = None
+    entity: bool = False
+    content: bool = False
+
+    def to_dict(self) -> dict:
+        return {"name": self.name, "role": self.role, "n_unique": self.n_unique, "n_missing": self.n_missing, "cardinality_ratio": round(self.ratio, 4), "examples": list(self.examples), "derived_from": self.derived_from, "datetime_format": self.format, "numeric_subtype": self.subtype}
 
 
 @dataclass(frozen=True)
@@ -52,14 +64,30 @@ class Schema:
     def with_role(self, role: str) -> list[Column]:
         return [c for c in self.columns if c.role == role]
 
+    def to_dict(self) -> dict:
+        return {"n_rows": self.n_rows, "primary_timestamp": self.primary_timestamp, "row_id": self.row_id, "columns": [c.to_dict() for c in self.columns]}
+
     def describe(self) -> str:
         return "\n".join(f"{c.name}: {c.role} ({c.n_unique} distinct, {c.n_missing} missing, ratio {round(c.ratio, 4)})" for c in self.columns)
 
 
 def head_of(spark: SparkSession, path: str) -> tuple[bytes, bool]:
-    """First bytes of a file or of the first file of a folder, through Spark; True if it is gzip by its magic bytes."""
-    lines = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, HEAD_BYTES).alias("head")).orderBy("head").limit(1).collect()
-    raw = bytes(lines[0].head) if lines else b""
+    """The first HEAD_BYTES of a file, or of the first file by name of a folder; True if it is gzip by its magic bytes."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        raise FileNotFoundError(path)
+    if fs.getFileStatus(at).isDirectory():
+        files = sorted((f for f in fs.listStatus(at) if f.isFile() and not f.getPath().getName().startswith(("_", "."))), key=lambda f: f.getPath().getName())
+        if not files:
+            return b"", False
+        at = files[0].getPath()
+    stream = fs.open(at)
+    try:
+        raw = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, min(HEAD_BYTES, fs.getFileStatus(at).getLen())))
+    finally:
+        stream.close()
     if raw[:2] == b"\x1f\x8b":
         import zlib
 
@@ -158,8 +186,12 @@ def expand_urls(df: DataFrame, columns: list[str], order: str | None = None) ->
         pair = lambda p: F.struct(F.try_url_decode(F.substring_index(p, "=", 1)).alias("k"), F.try_url_decode(F.regexp_extract(p, "=(.*)", 1)).alias("v"))
         pairs = F.transform(F.filter(F.split(query, "&"), lambda p: p.contains("=") | (p != "")), pair)
         df = df.withColumn("_pairs", pairs)
-        place = F.min(order) if order else F.min(F.monotonically_increasing_id())
-        keys = [r.k for r in df.select(*([order] if order else []), F.posexplode("_pairs").alias("pos", "p")).groupBy(F.col("p.k").alias("k")).agg(place.alias("at"), F.min("pos").alias("pos")).orderBy("at", "pos").collect() if r.k]
+        placed = df.withColumn("_at", F.col(order) if order else F.monotonically_increasing_id())
+        place = F.min("_at")
+        found = placed.select("_at", F.posexplode("_pairs").alias("pos", "p")).groupBy(F.col("p.k").alias("k")).agg(place.alias("at"), F.min("pos").alias("pos")).filter("k <> ''").orderBy("at", "pos").limit(MAX_KEYS + 1).collect()
+        if len(found) > MAX_KEYS:
+            raise ValueError(f"{c} has more than {MAX_KEYS} distinct parameters: they aren't columns")
+        keys = [r.k for r in found]
         path = F.regexp_extract(F.coalesce(c, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1)
         value = lambda k: F.coalesce(F.get(F.reverse(F.transform(F.filter("_pairs", lambda p: p["k"] == k), lambda p: p["v"])), F.lit(0)), F.lit(""))
         made, taken = [], set(df.columns)
@@ -174,24 +206,34 @@ def expand_urls(df: DataFrame, columns: list[str], order: str | None = None) ->
     return df
 
 
-def _timestamp_format(values: list[str]) -> str | None:
+def _parses(value: str, form: str) -> bool:
     from datetime import datetime
 
+    try:
+        datetime.strptime(value.strip(), form)
+    except ValueError:
+        return False
+    return True
+
+
+def _timestamp_format(values: list[str]) -> str | None:
+    """The pattern of the first format that 95 % of the values follow, ``mixed`` if they follow several."""
     if sum(bool(re.search(r"[^0-9.]", v)) for v in values) < 0.5 * len(values):
         return None
-    for f, java in FORMATS:
-        good = 0
-        for v in values:
-            try:
-                datetime.strptime(v.strip(), f)
-                good += 1
-            except ValueError:
-                pass
-        if good >= PARSE_RATE * len(values):
+    for form, java in FORMATS:
+        if sum(_parses(v, form) for v in values) >= PARSE_RATE * len(values):
             return java
+    if sum(any(_parses(v, form) for form, _ in FORMATS) for v in values) >= PARSE_RATE * len(values):
+        return MIXED
     return None
 
 
+def _subtype(values: list[str]) -> str:
+    """int if every number of the values is whole."""
+    numbers = [float(v) for v in values if NUMBER.match(v)]
+    return "int" if all(x % 1 == 0 for x in numbers if abs(x) < float("inf")) else "float"
+
+
 def role_of(values: list[str], n_unique: int, ratio: float) -> tuple[str, str | None]:
     """Role and timestamp pattern from the first non-missing values and the column's counts."""
     if not values:
@@ -213,30 +255,46 @@ def role_of(values: list[str], n_unique: int, ratio: float) -> tuple[str, str |
     return "text", None
 
 
-def infer_schema(df: DataFrame, entity: tuple = (), content: tuple = (), timestamp: str | None = None) -> Schema:
-    """Roles of an all-string table: one aggregate over all columns and a bounded sample per column."""
+def _samples(df: DataFrame, columns: dict) -> dict[str, list[str]]:
+    """The first SAMPLE non-missing values of each column: from the first rows, and by a job of its own for a column that has fewer there."""
+    head = df.limit(5 * SAMPLE).select(*[v.alias(c) for c, v in columns.items()]).collect()
+    out = {c: [r[i] for r in head if r[i] is not None][:SAMPLE] for i, c in enumerate(columns)}
+    if len(head) == 5 * SAMPLE:
+        for c in (c for c, found in out.items() if len(found) < SAMPLE):
+            out[c] = [r[0] for r in df.select(columns[c].alias("v")).filter("v is not null").limit(SAMPLE).collect()]
+    return out
+
+
+def infer_schema(df: DataFrame, entity: tuple = (), content: tuple = (), timestamp: str | None = None, derived: dict | None = None) -> Schema:
+    """Roles of an all-string table: the value counts of all columns by one aggregation, and a bounded sample."""
     names = df.columns
     unknown = {*entity, *content, *([timestamp] if timestamp else [])} - set(names)
-    if unknown or set(entity) & set(content):
-        raise ValueError(f"overrides name unknown or overlapping columns: {sorted(unknown or set(entity) & set(content))}")
-    col = lambda c: F.when(~is_missing(F.col(f"`{c}`")), F.col(f"`{c}`"))
-    aggs = [x for i, c in enumerate(names) for x in (F.count_distinct(col(c)).alias(f"u{i}"), F.count(col(c)).alias(f"n{i}"))]
-    stats = df.agg(F.count(F.lit(1)).alias("rows"), *aggs).first()
+    overlap = (set(entity) & set(content)) | ({timestamp} & {*entity, *content})
+    if unknown or overlap:
+        raise ValueError(f"overrides name unknown or overlapping columns: {sorted(unknown or overlap)}")
+    present = {c: F.when(~is_missing(F.col(f"`{c}`")), F.col(f"`{c}`")) for c in names}
+    clean = df.select(*[v.alias(c) for c, v in present.items()])
+    counts = column_counts(clean, names).groupBy("column").agg(F.count("value").alias("u"), F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("c"))), F.lit(0)).alias("n"), F.sum("c").alias("rows"))
+    stats = {r["column"]: r for r in counts.collect()}
+    samples = _samples(df, present)
+    rows = max((r.rows for r in stats.values()), default=0)
     columns = []
-    for i, c in enumerate(names):
-        values = [r[0] for r in df.select(col(c).alias("v")).filter("v is not null").limit(SAMPLE).collect()]
-        present = stats[f"n{i}"]
-        ratio = stats[f"u{i}"] / present if present else 0.0
-        role, pattern = role_of(values, stats[f"u{i}"], ratio)
+    for c in names:
+        values, unique, held = samples[c], stats[c].u if c in stats else 0, stats[c].n if c in stats else 0
+        ratio = unique / held if held else 0.0
+        role, pattern = role_of(values, unique, ratio)
         if c in entity:
-            role = "categorical"
-        if c == timestamp and role != "timestamp":
-            raise ValueError(f"{c} does not parse as a timestamp")
-        columns.append(Column(c, role, stats[f"u{i}"], stats.rows - present, ratio, tuple(values[:5]), pattern))
+            role, pattern = "categorical", None
+        if c == timestamp:
+            pattern = _timestamp_format(values) if values else None
+            if pattern is None:
+                raise ValueError(f"{c} does not parse as a timestamp")
+            role = "timestamp"
+        columns.append(Column(c, role, unique, rows - held, ratio, tuple(values[:5]), pattern, (derived or {}).get(c), _subtype(values) if role == "numeric" else None, c in entity, c in content))
     stamps = [c for c in columns if c.role == "timestamp"]
     primary = timestamp or (min(stamps, key=lambda c: c.n_missing).name if stamps else None)
     ids = sorted((c for c in columns if c.role == "identifier"), key=lambda c: ("id" not in c.name.lower(), -c.ratio))
-    return Schema(columns, stats.rows, primary, ids[0].name if ids else None)
+    return Schema(columns, rows, primary, ids[0].name if ids else None)
 
 
 def typed(df: DataFrame, schema: Schema) -> DataFrame:
@@ -246,7 +304,7 @@ def typed(df: DataFrame, schema: Schema) -> DataFrame:
         v = F.col(f"`{c.name}`")
         v = F.when(~is_missing(v), F.trim(v) if c.role in ("numeric", "timestamp", "boolean") else v)
         if c.role == "timestamp":
-            v = F.try_to_timestamp(v, F.lit(c.format))
+            v = F.coalesce(*[F.try_to_timestamp(v, F.lit(java)) for _, java in FORMATS]) if c.format == MIXED else F.try_to_timestamp(v, F.lit(c.format))
         elif c.role == "numeric":
             v = F.when(v.rlike(NUMBER.pattern.replace("inf|nan", "(?i)inf|nan")), v).try_cast("double")
         elif c.role == "boolean":
@@ -255,12 +313,16 @@ def typed(df: DataFrame, schema: Schema) -> DataFrame:
     return df.select(*out)
 
 
-def load(spark: SparkSession, path: str, expand: bool = True, entity: tuple = (), content: tuple = (), timestamp: str | None = None) -> tuple[DataFrame, Schema]:
-    """Read, expand URLs, infer and type."""
-    raw, _ = read_table(spark, path)
+def load(source, path: str | DataFrame, expand: bool = True, entity: tuple = (), content: tuple = (), timestamp: str | None = None) -> tuple[DataFrame, Schema]:
+    """Read ``path`` (or take an all-string table), expand URLs, infer and type; ``source`` is the session."""
+    raw = path.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in path.columns]) if isinstance(path, DataFrame) else read_table(source, path)[0]
+    derived = {}
     if expand:
-        schema = infer_schema(raw)
-        raw = expand_urls(raw, [c.name for c in schema.with_role("url")])
-    schema = infer_schema(raw, entity, content, timestamp)
+        before = raw.columns
+        for c in [x.name for x in infer_schema(raw).with_role("url")]:
+            held = set(raw.columns)
+            raw = expand_urls(raw, [c])
+            derived |= {x: c for x in raw.columns if x not in held}
+        raw = raw.select(*[F.col(f"`{c}`") for c in [*before, *(c for c in raw.columns if c not in before)]])
+    schema = infer_schema(raw, entity, content, timestamp, derived)
     return typed(raw, schema), schema
-
