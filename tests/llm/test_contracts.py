@@ -121,7 +121,7 @@ def test_op5_entities_go_and_stay_distinct(spark, docs, run):
             assert new_of.setdefault(a.lower(), b) == b
     assert len(set(new_of.values())) == len(new_of)
     assert {r.n_entities > 0 for r in rows.values()} == {True, False}
-    assert set(pii.PATTERNS) == {"email", "iban", "card", "phone", "ssn", "ip", "name"}
+    assert set(pii.PATTERNS) == {"email", "iban", "card", "phone", "ssn", "ip", "ipv6", "name"}
 
 
 def test_op6_base_spans(docs, run):
@@ -193,16 +193,21 @@ def test_op8_fingerprints_and_components(docs, run):
 
 def test_op9_equals_scoring_every_pair(spark, docs, run):
     items = sorted(((r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()), key=str)
-    index = decontaminate.Index(items)
-    stride = max(index.longest, 32)
-    at = {w: dict(zip(index.docs[w], index.part[w], strict=True)) for w in index.docs}
+    split = [(i, *decontaminate.Index.split(t)) for i, t in items]
+    bags = [Counter(q + a) for _, q, a in split]
+    df = Counter(w for bag in bags for w in bag)
+    mean = sum(sum(bag.values()) for bag in bags) / len(bags)
+    idf = {w: math.log(1 + (len(bags) - n + 0.5) / (n + 0.5)) for w, n in df.items()}
+    weigh = lambda bag: {w: idf[w] * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * sum(bag.values()) / mean)) for w, c in bag.items()}
+    weights = [weigh(bag) for bag in bags]
     expected = set()
     for i, t in docs:
         ws = decontaminate.tokens((t or "").encode())
-        for s in range(0, max(1, len(ws) - stride), stride) if ws else ():
-            held = set(ws[s : s + 2 * stride])
-            for k, item in enumerate(index.items):
-                if sum(at[w][k] for w in held if w in at and k in at[w]) >= 0.5 - 1e-9:
+        for item, bag, weight in zip(split, bags, weights, strict=True):
+            stride = max(32, 1 << (sum(bag.values()) - 1).bit_length())
+            for s in range(0, max(1, len(ws) - stride), stride) if ws else ():
+                held = set(ws[s : s + 2 * stride])
+                if sum(x for w, x in weight.items() if w in held) >= (0.5 - 1e-9) * sum(weight.values()):
                     q, a = decontaminate.overlaps(item, ws[max(0, s - stride) : s + 3 * stride])
                     if q >= 0.6 and a >= 0.6:
                         expected.add((i, item[0]))
@@ -232,14 +237,14 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, docs):
     assert left.keys() == {i for i, s in scored.items() if s < 0.3}
     assert clean.columns == table.columns
     one = corpus_pipeline.keep_one_of_each(spark, clean, DATA)
-    from vigilog.llm import simhash
+    from test_copies import kept_by_brute_force
 
-    groups = {r.doc_id: r.component_id for r in simhash.near_duplicates(clean).collect()}
-    assert sorted(r.doc_id for r in one.collect()) == sorted(set(groups.values()))
+    stay = set(kept_by_brute_force(list(left.items())))
+    assert sorted(r.doc_id for r in one.collect()) == sorted(stay)
     unleaked = corpus_pipeline.drop_leaked(spark, one, DATA)
     leaked = {r.doc_id for r in decontaminate.find(one, spark.read.parquet(f"{DATA}/benchmark.parquet")).collect()}
     kept = {r.doc_id: r.text for r in unleaked.collect()}
-    assert kept.keys() == set(groups.values()) - leaked
+    assert kept.keys() == stay - leaked
     redacted = {r.doc_id: r for r in corpus_pipeline.redact_secrets(spark, unleaked, DATA).collect()}
     assert redacted.keys() == kept.keys()
     for r in redacted.values():

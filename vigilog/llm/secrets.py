@@ -222,7 +222,7 @@ class SecretGrammar:
 
     FOLDS, REACHED = 5, 0.02
 
-    def __init__(self, examples: dict[str, list[str]], pairs: dict[str, int], margin: float = 0.8):
+    def __init__(self, examples: dict[str, list[str]], pairs: dict[str, int], margin: float = 0.5):
         self.automata = {k: Automaton(v) for k, v in examples.items() if v}
         self.floor = {k: self._floor(examples[k]) for k in self.automata}
         self.words, self.margin = WordModel(pairs), margin
@@ -277,7 +277,7 @@ def extract(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
     return source.mapInArrow(run, f"doc_id {kind}, base {SPAN}, candidates {SPAN}, pairs array<struct<pair:string,n:bigint>>")
 
 
-def learn(found: DataFrame, max_examples: int = 400, margin: float = 0.8) -> SecretGrammar:
+def learn(found: DataFrame, max_examples: int = 400, margin: float = 0.5) -> SecretGrammar:
     """Automata from at most ``max_examples`` distinct labelled credentials of each kind; the word model from all words of all texts."""
     order = F.xxhash64("secret")
     labelled = found.select(F.explode("base").alias("s")).select("s.kind", "s.secret").distinct()
@@ -286,7 +286,7 @@ def learn(found: DataFrame, max_examples: int = 400, margin: float = 0.8) -> Sec
     return SecretGrammar(examples, {r.pair: r.n for r in counted.collect()}, margin)  # at most 69 x 69 pairs
 
 
-def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_examples: int = 400, margin: float = 0.8) -> DataFrame:
+def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_examples: int = 400, margin: float = 0.5) -> DataFrame:
     """doc_id and spans: array of (start, end, kind, secret) by start, then kind as listed; one row for each input row."""
     small_batches(df.sparkSession)
     found = materialise(extract(df, id_col, text_col), "secrets")
@@ -307,7 +307,7 @@ def by_place(a, b):
     return F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(rank(a) - rank(b))
 
 
-def redact(df: DataFrame, mark: str = "[SECRET]", text_col: str = "text", max_examples: int = 400, margin: float = 0.8) -> DataFrame:
+def redact(df: DataFrame, mark: str = "[SECRET]", text_col: str = "text", max_examples: int = 400, margin: float = 0.5) -> DataFrame:
     """``df`` with every found span replaced by ``mark``; texts without a span, null ones included, stay as they are.
 
     One pass learns, a second one scans again and replaces, so no text is shuffled.
