@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilog.llm import bpe, copies, decontaminate, secrets, toxicity
-from vigilog.llm.common import free_name, materialise, table
+from vigilog.llm.common import free_name, materialise, small_side, table
 from vigilog.llm.queries import TOXIC_FROM, tokenizer
 
 
@@ -34,9 +34,8 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     groups = numbered.select(key, "doc_id").join(groups, key)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(key).alias("at")))
     kept = groups.groupBy("component").agg(first.alias("first")).select(F.col("first.at").alias(key))
-    # The rows to drop are few as a rule, so that Spark can broadcast them by their measured size.
     dropped = materialise(groups.select(key).join(kept, key, "left_anti"), "dropped")
-    return numbered.join(dropped, key, "left_anti").select(*docs.columns)
+    return numbered.join(small_side(dropped), key, "left_anti").select(*docs.columns)
 
 
 def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

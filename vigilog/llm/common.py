@@ -44,6 +44,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers that are broadcast at most.
+BROADCAST_ROWS = 1 << 20
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """``df`` (written, of a few numbers a row) marked for broadcast if it has at most BROADCAST_ROWS rows, else as it is."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

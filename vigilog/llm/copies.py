@@ -29,7 +29,7 @@ from math import ceil
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches, texts
+from .common import materialise, small_batches, small_side, texts
 from .simhash import close_pairs, components
 
 RADIUS, EXACT_BELOW = 24, 16
@@ -293,7 +293,7 @@ def near_copies(df: DataFrame, row: str, shingle: int = 5, similarity: float = 0
 
     def sets_of(digests: DataFrame) -> DataFrame:
         """digest, held: the shingles of the given classes."""
-        wanted = digests.distinct().join(sample, "digest")
+        wanted = small_side(materialise(digests.distinct().join(sample, "digest"), "wanted"))
         chosen = df.select(F.col(row).alias("_row"), F.col(text_col).alias("_text")).join(wanted, "_row").select("digest", "_text")
 
         def run(batches):
