@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import rules
@@ -13,6 +13,25 @@ def sample_exact(df: DataFrame, key: str, n: int, seed: int = 7) -> DataFrame:
     return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
 
 
+def sample_groups(df: DataFrame, key: str, n: int, seed: int = 7) -> DataFrame:
+    """All rows of whole groups, taken in hash order while they sum up to at most ``n`` rows; the first group always, null keys never.
+
+    Groups hold a row or more, so ``n`` of them are all that the running sum can reach: one task sums up no more than these sizes.
+    """
+    sizes = df.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("group")).agg(F.count(F.lit(1)).alias("size"))
+    order = [F.xxhash64("group", F.lit(seed)), F.col("group")]
+    placed = Window.orderBy(*order)
+    first = sizes.orderBy(*order).limit(max(n, 1)).select("group", F.sum("size").over(placed.rowsBetween(Window.unboundedPreceding, 0)).alias("total"), F.row_number().over(placed).alias("place"))
+    kept = first.filter((F.col("total") <= n) | (F.col("place") == 1))
+    return df.join(kept, df[key] == kept["group"], "left_semi")
+
+
+def mix(benign: DataFrame, attack: DataFrame, key: str, n: int, seed: int = 7, label: str = "planted") -> DataFrame:
+    """All benign rows and whole attack groups of about ``n`` rows, by column name, with the truth in ``label`` (0 or 1)."""
+    taken = sample_groups(attack, key, n, seed)
+    return benign.withColumn(label, F.lit(0)).unionByName(taken.withColumn(label, F.lit(1)), allowMissingColumns=True)
+
+
 def metrics(decided: DataFrame, planted: str = "planted", archetype: str = "archetype") -> DataFrame:
     """A row per archetype of the planted rows, and one for all (archetype null): planted, flagged, recovered, recall, precision."""
     truth, flag = F.col(planted).cast("long"), F.col("is_bot").cast("long")
