@@ -72,7 +72,7 @@ def fit_nnpu(positive: list[list[int]], unlabelled: list[list[int]], names: list
         return ToxicityModel({}, start, prior)
 
     def sparse(docs):
-        return np.repeat(np.arange(len(docs)), [len(x) for x in docs]), np.array([i for x in docs for i in x], np.int64)
+        return np.repeat(np.arange(len(docs)), [len(x) for x in docs]), np.concatenate([np.asarray(x, np.int64) for x in docs])
 
     (rp, cp), (ru, cu) = sparse(positive), sparse(unlabelled)
     k = len(names)
@@ -145,8 +145,13 @@ def train(documents: DataFrame, labels: DataFrame, max_positive: int = 4000, max
                 found.append(sorted(own))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32()))], names=["positive", "slots"])
 
-    rows = bags.mapInArrow(slots, "positive boolean, slots array<int>").collect()
-    docs = {flag: [r.slots for r in rows if r.positive is flag] for flag in (True, False)}
+    # as Arrow arrays: Python lists of so many numbers would take several times the driver's memory
+    rows = bags.mapInArrow(slots, "positive boolean, slots array<int>").toArrow()
+    held, starts = rows["slots"].combine_chunks(), [0]
+    flat = held.flatten().to_numpy()
+    starts.extend(held.value_lengths().to_numpy().cumsum().tolist())
+    docs = {flag: [flat[starts[i] : starts[i + 1]] for i, f in enumerate(rows["positive"].to_pylist()) if f is flag] for flag in (True, False)}
+    del rows, held, flat
     return fit_nnpu(docs[True], docs[False], names, prior)
 
 
