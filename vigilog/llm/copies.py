@@ -8,7 +8,9 @@ first ``size - ceil(similarity * size) + 1``.  The order puts the shingles that
 are frequent in a sample of the texts last; the sample decides the cost only,
 never which links are found.  Within a table's buckets the fingerprints are
 compared by bit planes with carry-save counters (``simhash.close_pairs``), and
-what lies within ``RADIUS`` bits is verified by the sets themselves.  Sets of
+what lies within ``RADIUS`` bits is verified: first by the two prefixes, whose
+common shingles and the remainder of the one that ends first bound what the sets
+can share, then, for the pairs left, by the sets themselves.  Sets of
 ``EXACT_BELOW`` shingles or fewer skip the radius; for larger ones ``RADIUS`` is
 five standard deviations away from what a link can have.
 
@@ -86,7 +88,7 @@ def _frequent(df: DataFrame, shingle: int, row: str, text_col: str):
 
 
 def _prefixes(df: DataFrame, shingle: int, similarity: float, row: str, text_col: str, shared) -> DataFrame:
-    """row, digest of the shingle set, its size and fingerprint, and its prefix (null where the task has given that of an equal set)."""
+    """row, digest of the shingle set, its size and fingerprint, and its prefix (null where the task has given that of an equal set) with the frequency of its last shingle."""
 
     def run(batches):
         import numpy as np
@@ -96,7 +98,7 @@ def _prefixes(df: DataFrame, shingle: int, similarity: float, row: str, text_col
         keys, counts, _ = shared.value
         seen = set()
         for batch in batches:
-            digests, sizes, prints, firsts = [], [], [], []
+            digests, sizes, prints, firsts, lasts = [], [], [], [], []
             for text in texts(batch, text_col):
                 held = shingles(text, shingle)
                 size = len(held)
@@ -106,6 +108,7 @@ def _prefixes(df: DataFrame, shingle: int, similarity: float, row: str, text_col
                 if digest in seen:
                     prints.append(0)
                     firsts.append(None)
+                    lasts.append(0)
                     continue
                 seen.add(digest)
                 times = np.zeros(size, np.int64)
@@ -114,11 +117,13 @@ def _prefixes(df: DataFrame, shingle: int, similarity: float, row: str, text_col
                     times = np.where(keys[at] == held, counts[at], 0)
                 reach = size - ceil(similarity * size - 1e-9) + 1 if size else 0
                 prints.append(fingerprint(held) if size else 0)
-                firsts.append(held[np.lexsort((held, times))[:reach]].view(np.int64))
+                order = np.lexsort((held, times))[:reach]
+                firsts.append(held[order].view(np.int64))
+                lasts.append(times[order[-1]] if size else 0)
             long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), long(digests), pa.array(sizes, pa.int32()), long(prints), pa.array(firsts, pa.list_(pa.int64()))], names=["_row", "digest", "size", "fp", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), long(digests), pa.array(sizes, pa.int32()), long(prints), pa.array(firsts, pa.list_(pa.int64())), pa.array(lasts, pa.int64())], names=["_row", "digest", "size", "fp", "prefix", "last"])
 
-    return df.select(F.col(row).alias("_row"), text_col).mapInArrow(run, "_row long, digest long, size int, fp long, prefix array<long>")
+    return df.select(F.col(row).alias("_row"), text_col).mapInArrow(run, "_row long, digest long, size int, fp long, prefix array<long>, last long")
 
 
 def _groups(batches, columns: int):
@@ -272,6 +277,24 @@ def _tiled(rows: DataFrame, crossing: bool) -> DataFrame:
     return some.withColumn("tile", F.explode(F.when(F.col("own").isNotNull(), others).otherwise(F.array(F.lit(0))))).drop("tiles", "own")
 
 
+def _can_share(similarity: float):
+    """Whether the sets of prefixes x and y (structs of size, prefix, last) can have the similarity.
+
+    A common shingle up to the end of the prefix that ends first in the common
+    order is in both prefixes; any other one is in the remainder of that set.
+    """
+    x, y = F.col("x"), F.col("y")
+
+    def end(side):
+        return F.struct(side["last"], F.element_at(side["prefix"], -1).bitwiseXOR(F.lit(-(1 << 63))))
+
+    def rest(side):
+        return side["size"] - F.size(side["prefix"])
+
+    common = F.size(F.array_intersect(x["prefix"], y["prefix"])) + F.when(end(x) <= end(y), rest(x)).otherwise(rest(y))
+    return common * (1 + similarity) >= similarity * (x["size"] + y["size"]) - 1e-6
+
+
 def near_copies(df: DataFrame, row: str, shingle: int = 5, similarity: float = 0.8, text_col: str = "text") -> DataFrame:
     """_row, component (long): rows of equal component are linked by pairs of at least ``similarity``; ``row`` (long) is unique."""
     spark = df.sparkSession
@@ -289,12 +312,18 @@ def near_copies(df: DataFrame, row: str, shingle: int = 5, similarity: float = 0
     else:
         rows = rows.withColumn("tile", F.lit(0))
     first = materialise(_first(rows, similarity), "candidates")
-    sample = materialise(prints.groupBy("digest").agg(F.min("_row").alias("_row")), "classes")
+    sample = materialise(prints.filter("prefix is not null").groupBy("digest").agg(F.min("_row").alias("_row")), "classes")
+
+    def wanted(digests: DataFrame) -> DataFrame:
+        """digest, _row: a row with a prefix for each of the given classes."""
+        return small_side(materialise(digests.distinct().join(sample, "digest"), "wanted"))
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("digest")).union(pairs.select("b"))
 
     def sets_of(digests: DataFrame) -> DataFrame:
         """digest, held: the shingles of the given classes."""
-        wanted = small_side(materialise(digests.distinct().join(sample, "digest"), "wanted"))
-        chosen = df.select(F.col(row).alias("_row"), F.col(text_col).alias("_text")).join(wanted, "_row").select("digest", "_text")
+        chosen = df.select(F.col(row).alias("_row"), F.col(text_col).alias("_text")).join(wanted(digests), "_row").select("digest", "_text")
 
         def run(batches):
             import numpy as np
@@ -307,7 +336,11 @@ def near_copies(df: DataFrame, row: str, shingle: int = 5, similarity: float = 0
         return materialise(chosen.mapInArrow(run, "digest long, held array<long>"), "sets")
 
     pairs = materialise(first.filter("b is not null").select("a", "b").distinct(), "pairs")
-    sets = sets_of(pairs.select(F.col("a").alias("digest")).union(pairs.select("b")))
+    heads = prints.drop("digest").join(wanted(ends(pairs)), "_row").select("digest", F.struct("size", "prefix", "last").alias("head"))
+    heads = materialise(heads, "heads")
+    pairs = pairs.join(heads.toDF("a", "x"), "a").join(heads.toDF("b", "y"), "b").filter(_can_share(similarity)).select("a", "b")
+    pairs = materialise(pairs, "pairs")
+    sets = sets_of(ends(pairs))
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     same = F.size(F.array_intersect("x", "y"))
     links = materialise(both.filter(same >= similarity * (F.size("x") + F.size("y") - same) - 1e-9).select("a", "b"), "links")
