@@ -16,9 +16,11 @@ five standard deviations away from what a link can have.
 
 Equal sets are one class.  Buckets of more than ``SMALL`` classes are first
 compared with one member for each range of sizes, and then only across the
-components found so far: their rows (never their pairs) meet their sets in the
-bucket's task, which returns a spanning forest of the links.  Buckets past
-``TILE`` are cut into pairs of tiles.
+components found so far: their rows (never their pairs) meet their sets in one
+task, which returns a spanning forest of the links.  Buckets past ``TILE`` are
+cut into pairs of tiles.  Long texts share many buckets, so buckets with a class
+in common are taken as one where that has at most ``TILE`` classes; a set then
+travels once, not once for each of its buckets.
 
 Null and blank texts have the empty set and are copies of each other; texts of
 fewer words than a shingle have one shingle, the text.
@@ -295,6 +297,18 @@ def _can_share(similarity: float):
     return common * (1 + similarity) >= similarity * (x["size"] + y["size"]) - 1e-6
 
 
+def _merged(across: DataFrame) -> DataFrame:
+    """``across`` with connected buckets as one (h: the connection's smallest digest, tile: -1) where that has at most TILE classes."""
+    hubs = across.groupBy("h", "tile").agg(F.min("digest").alias("hub"))
+    edges = across.join(hubs, ["h", "tile"]).select(F.col("digest").alias("a"), F.col("hub").alias("b")).filter("a <> b").distinct()
+    roots = components(edges)
+    rooted = across.join(roots, across.digest == roots.node, "left").select("h", "tile", "digest", "part", F.coalesce("root", "digest").alias("root"))
+    sizes = rooted.groupBy("root").agg(F.count_distinct("digest").alias("n"))
+    small = F.col("n") <= TILE
+    h, tile = F.when(small, F.col("root")).otherwise(F.col("h")), F.when(small, F.lit(-1)).otherwise(F.col("tile"))
+    return rooted.join(sizes, "root").select(h.alias("h"), tile.alias("tile"), "digest", "part").distinct()
+
+
 def near_copies(df: DataFrame, row: str, shingle: int = 5, similarity: float = 0.8, text_col: str = "text") -> DataFrame:
     """_row, component (long): rows of equal component are linked by pairs of at least ``similarity``; ``row`` (long) is unique."""
     spark = df.sparkSession
@@ -348,6 +362,9 @@ def near_copies(df: DataFrame, row: str, shingle: int = 5, similarity: float = 0
     members = first.filter("b is null").select("h", "size", F.col("a").alias("digest"), "fp")
     parts = members.join(roots, members.digest == roots.node, "left").select("h", "size", "digest", "fp", F.coalesce("root", "digest").alias("part"))
     across = materialise(_across(_tiled(parts.distinct(), True), similarity), "across")
+    if across.isEmpty():
+        return prints.join(roots, prints.digest == roots.node, "left").select("_row", F.coalesce("root", "digest").alias("component"))
+    across = materialise(_merged(across), "across")
     loaded = across.join(sets_of(across.select("digest")), "digest").select("h", "tile", "digest", "part", "held")
     more = materialise(loaded.groupBy("h", "tile").applyInArrow(_forest(similarity), "a long, b long").distinct(), "links")
     if not more.isEmpty():
