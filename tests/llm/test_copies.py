@@ -3,6 +3,8 @@
 import random
 
 import corpus_pipeline
+import pytest
+from vigilog.llm import copies
 
 KIND = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -56,3 +58,18 @@ def test_edited_copies_go(spark):
 
 def test_no_documents(spark):
     assert corpus_pipeline.keep_one_of_each(spark, spark.createDataFrame([], KIND), "").collect() == []
+
+
+@pytest.mark.parametrize("tile", [copies.TILE, 4])
+def test_chains_in_large_buckets(spark, monkeypatch, tile):
+    """Texts linked to their neighbours only, in buckets of more than SMALL classes, with bounds for connected buckets that hold and don't."""
+    monkeypatch.setattr(copies, "TILE", tile)
+    draw = random.Random(9)
+    rows = []
+    for chain, step in ((0, 5), (1, 6), (2, 30)):  # the last one's neighbours share too little
+        words = [f"c{chain}w{draw.randrange(10**6)}" for _ in range(1700)]
+        rows += [(100 * chain + k, " ".join(words[k * step : k * step + 200])) for k in range(45)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], KIND)
+    kept = sorted(r.doc_id for r in corpus_pipeline.keep_one_of_each(spark, docs, "").collect())
+    assert sorted(kept, key=str) == kept_by_brute_force(rows)
+    assert len(kept) == 2 + 45

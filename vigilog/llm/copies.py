@@ -269,14 +269,14 @@ def _forest(similarity: float):
 
 
 def _tiled(rows: DataFrame, crossing: bool) -> DataFrame:
-    """``rows`` with a tile: 0 but for groups past TILE, whose rows get their own tile or, ``crossing``, all pairs with it."""
+    """``rows`` with a tile: -1 but for groups past TILE, whose rows get their own tile or, ``crossing``, all pairs with it."""
     counts = rows.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles")).filter("tiles > 1")
     own = F.pmod(F.xxhash64("digest"), F.col("tiles").cast("long")).cast("int")
     some = rows.join(counts, "h", "left").withColumn("own", F.when(F.col("tiles").isNotNull(), own))
     if not crossing:
-        return some.withColumn("tile", F.coalesce("own", F.lit(0))).drop("tiles", "own")
+        return some.withColumn("tile", F.coalesce("own", F.lit(-1))).drop("tiles", "own")
     others = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda j: F.least(j, F.col("own")) * F.col("tiles") + F.greatest(j, F.col("own")))
-    return some.withColumn("tile", F.explode(F.when(F.col("own").isNotNull(), others).otherwise(F.array(F.lit(0))))).drop("tiles", "own")
+    return some.withColumn("tile", F.explode(F.when(F.col("own").isNotNull(), others).otherwise(F.array(F.lit(-1))))).drop("tiles", "own")
 
 
 def _can_share(similarity: float):
@@ -298,14 +298,14 @@ def _can_share(similarity: float):
 
 
 def _merged(across: DataFrame) -> DataFrame:
-    """``across`` with connected buckets as one (h: the connection's smallest digest, tile: -1) where that has at most TILE classes."""
+    """``across`` with connected buckets as one (h: the connection's smallest digest, tile: -2) where that has at most TILE classes."""
     hubs = across.groupBy("h", "tile").agg(F.min("digest").alias("hub"))
     edges = across.join(hubs, ["h", "tile"]).select(F.col("digest").alias("a"), F.col("hub").alias("b")).filter("a <> b").distinct()
     roots = components(edges)
     rooted = across.join(roots, across.digest == roots.node, "left").select("h", "tile", "digest", "part", F.coalesce("root", "digest").alias("root"))
     sizes = rooted.groupBy("root").agg(F.count_distinct("digest").alias("n"))
     small = F.col("n") <= TILE
-    h, tile = F.when(small, F.col("root")).otherwise(F.col("h")), F.when(small, F.lit(-1)).otherwise(F.col("tile"))
+    h, tile = F.when(small, F.col("root")).otherwise(F.col("h")), F.when(small, F.lit(-2)).otherwise(F.col("tile"))
     return rooted.join(sizes, "root").select(h.alias("h"), tile.alias("tile"), "digest", "part").distinct()
 
 
@@ -318,13 +318,15 @@ def near_copies(df: DataFrame, row: str, shingle: int = 5, similarity: float = 0
     prints = materialise(_prefixes(df, shingle, similarity, row, text_col, shared), "prefixes")
     rows = prints.filter("prefix is not null").select(F.explode("prefix").alias("h"), "size", "digest", "fp", F.col("digest").alias("part"))
     keys, times, one_in = frequent
+    tiled = None
     hot = [int(k) - SIGNED * (int(k) >= SIGNED // 2) for k in keys[times * one_in > TILE // 2]]
     if hot:
         # Only shingles in so many texts of the sample can have a group past TILE; there are at most COMMON of them.
         is_hot = F.broadcast(spark.createDataFrame([(h,) for h in hot], "h long"))
-        rows = rows.join(is_hot, "h", "left_anti").withColumn("tile", F.lit(0)).unionByName(_tiled(rows.join(is_hot, "h", "left_semi"), False))
+        tiled = materialise(_tiled(rows.join(is_hot, "h", "left_semi"), False), "tiled")
+        rows = rows.join(is_hot, "h", "left_anti").withColumn("tile", F.lit(-1)).unionByName(tiled)
     else:
-        rows = rows.withColumn("tile", F.lit(0))
+        rows = rows.withColumn("tile", F.lit(-1))
     first = materialise(_first(rows, similarity), "candidates")
     sample = materialise(prints.filter("prefix is not null").groupBy("digest").agg(F.min("_row").alias("_row")), "classes")
 
@@ -360,6 +362,9 @@ def near_copies(df: DataFrame, row: str, shingle: int = 5, similarity: float = 0
     links = materialise(both.filter(same >= similarity * (F.size("x") + F.size("y") - same) - 1e-9).select("a", "b"), "links")
     roots = components(links)
     members = first.filter("b is null").select("h", "size", F.col("a").alias("digest"), "fp")
+    if tiled is not None:
+        # a tile may hold few classes of a large group, or one
+        members = members.unionByName(tiled.filter("tile >= 0").select("h", "size", "digest", "fp"))
     parts = members.join(roots, members.digest == roots.node, "left").select("h", "size", "digest", "fp", F.coalesce("root", "digest").alias("part"))
     across = materialise(_across(_tiled(parts.distinct(), True), similarity), "across")
     if across.isEmpty():
