@@ -18,16 +18,51 @@ def run(spark, rows, schema, log, **how):
     return detect.detect(spark.createDataFrame(rows, schema), log, backend="deviation", **how)
 
 
+def network_log(hosts=40, payloads=12):
+    """A hub reached from four sources, a channel between two hosts, and hosts whose numbers step over the whole range."""
+    rows = []
+    spread = lambda j, host: [float(j * hosts * 13 + host + k * 101) for k in range(payloads)]
+    for source in range(4):
+        rows += [(f"10.0.2.{source}", "10.0.0.9", *[0.0] * payloads)] * 8
+        rows += [(f"10.0.2.{source}", f"10.0.3.{j % 5}", *spread(j, source)) for j in range(10)]
+    rows += [("10.0.1.1", "10.0.1.2", *[0.0] * payloads)] * 20
+    rows += [(f"10.0.4.{h}", f"10.0.5.{h}", *spread(j, h)) for h in range(hosts) for j in range(12)]
+    names = [f"p{k}" for k in range(payloads)]
+    return [(i, *r) for i, r in enumerate(rows)], "id long, src string, dst string, " + ", ".join(f"{n} double" for n in names), detect.Log("id", None, ["src", "dst"], names)
+
+
 def test_hub_fires_and_channel_does_not(spark):
-    rows = [("10.0.0.9", f"10.1.0.{k % 4}") for k in range(32)] + [("10.2.0.1", "10.2.0.2")] * 20
-    rows += [(f"10.3.0.{h}", f"10.4.{h % 7}.{k}") for h in range(40) for k in range(12)]
-    values = lambda i, h: tuple(f"v{(i * 7 + j) % 5}" if h >= 52 else "same" for j in range(6))
-    rows = [(i, *r, *values(i * (j + 3), i)) for j, (i, r) in enumerate(enumerate(rows))]
-    log = detect.Log("id", None, ["src", "dst", *[f"p{j}" for j in range(6)]])
-    found = run(spark, rows, "id long, src string, dst string, " + ", ".join(f"p{j} string" for j in range(6)), log)
-    assert "src" in found.features.entity
+    rows, schema, log = network_log()
+    assert len(rows) == 572
+    found = run(spark, rows, schema, log)
+    assert found.features.entity == ["src", "dst"] and found.thresholds["entity_graph_active"] and found.thresholds["min_hub_degree"] == 3
     fired = rows_of(found, "entity_monotony")
-    assert not fired & set(range(32, 52)) and (len(found.features.entity) < 2 or set(range(32)) <= fired)
+    hub = {r[0] for r in rows if r[2] == "10.0.0.9"}
+    assert hub <= fired and not fired & {r[0] for r in rows if r[1] == "10.0.1.1"}
+    scores = {r.id: r for r in found.frame.collect()}
+    assert all(scores[i].heuristic >= 0.7 for i in hub) and all(scores[r[0]].heuristic < 0.7 for r in rows if r[1] == "10.0.1.1")
+    assert "with 4 counterparts" in next(h.reason for h in scores[min(hub)].hits if h.rule_id == "entity_monotony")
+
+
+def scans_and_files(spark, columns):
+    """Scans of the plan of the features of a log of so many columns, and the tables written for it."""
+    import os
+
+    root = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    rows = [(i, *[f"v{(i * (k + 3)) % (20 + k)}" for k in range(columns // 2)], *[float((i * (k + 7)) % 97) for k in range(columns // 2)]) for i in range(300)]
+    names, numbers = [f"c{k}" for k in range(columns // 2)], [f"n{k}" for k in range(columns // 2)]
+    df = spark.createDataFrame(rows, "id long, " + ", ".join([f"{c} string" for c in names] + [f"{c} double" for c in numbers]))
+    before = len(os.listdir(root))
+    made = detect.features(df, detect.Log("id", None, names, numbers))
+    assert made.frame.count() == 300 and len(made.families) == columns // 2 + 1 + columns
+    return len(os.listdir(root)) - before
+
+
+def test_the_plan_does_not_grow_with_the_columns(spark):
+    from vigilog.session import materialise
+
+    materialise(spark.range(1), "first")  # names the folder
+    assert scans_and_files(spark, 4) == scans_and_files(spark, 24) == scans_and_files(spark, 84)
 
 
 def test_broadcaster_fires_and_fan_in_does_not(spark):

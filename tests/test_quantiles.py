@@ -2,8 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from vigilog.operators import counts, robust, timing
+from vigilog.operators import counts, entities, robust, timing
 from vigilog.plans import detect
 
 
@@ -58,3 +59,46 @@ def test_one_row_and_constant_logs(spark):
         found = detect.detect(spark.createDataFrame(rows, "id long, c string, v double"), log)
         assert found.frame.filter("is_bot").count() == 0 and detect.summary(found).first().n_rows == len(rows)
     assert found.method.startswith("tied_score_fallback")
+
+
+def test_bins_of_all_columns_equal_those_of_one(spark):
+    draw = np.random.default_rng(5)
+    names = [f"c{k}" for k in range(40)]
+    values = [[float(x) for x in draw.normal(size=203)] if k % 4 == 0 else [float(x) for x in draw.integers(0, 1 + k, 203)] for k in range(40)]
+    for k in range(5, 40, 7):
+        values[k][3::4] = [None] * len(values[k][3::4])
+    values[9] = [None] * 203
+    values[10] = [None] * 202 + [4.0]
+    values[11] = [float("nan")] * 200 + [1.0, 1.0, 2.0]
+    df = spark.createDataFrame([(i, *(v[i] for v in values)) for i in range(203)], "id long, " + ", ".join(f"{c} double" for c in names)).repartition(5)
+    bins, medians = entities.all_bins(df, names, "id")
+    found = {r[0]: r[1:] for r in df.select("id", *[bins[c] for c in names]).collect()}
+    for k, c in enumerate(names[:12] + names[28:30]):
+        k = int(c[1:])
+        one = {r["id"]: r["bin"] for r in entities.quantile_bins(df.select("id", c), c, ["id"]).collect()}
+        assert {i: row[k] for i, row in found.items()} == one, c
+    for k, c in enumerate(names):
+        some = [x for x in values[k] if x is not None and x == x]
+        assert medians.get(c) == (float(np.median(some)) if some else None)
+
+
+def test_values_are_looked_up_alike_with_and_without_a_broadcast(spark, monkeypatch):
+    rows = [(i, "hot" if i % 3 else f"v{i % 40}", None if i % 5 == 0 else float(i % 90)) for i in range(900)]
+    df = spark.createDataFrame(rows, "id long, a string, b double").repartition(4)
+    named = {"a": df["a"], "b": df["b"]}
+    found = counts.store(df, named)
+    made = []
+    for limit in (10**6, 7):
+        monkeypatch.setattr(counts, "BROADCAST_VALUES", limit)
+        made.append(sorted(map(tuple, counts.look_up(df, "id", named, found, {"x": (0, "c"), "y": (1, "c")}).collect())))
+    size = lambda k, v: sum(r[k] == v for r in rows)
+    assert made[0] == made[1] == [(i, size(1, a), size(2, b)) for i, a, b in rows]
+
+
+def test_long_values_are_counted_by_their_digest(spark):
+    long = ["x" * 500 + str(k % 3) for k in range(9)] + ["", "\0", None]
+    df = spark.createDataFrame(list(enumerate(long)), "id long, t string")
+    found = {(r.code, r.c) for r in counts.store(df, {"t": df["t"]}).collect()}
+    assert found == {(0, 3), (0, 1), (1, 1)} and counts.store(df, {"t": df["t"]}).count() == 6
+    twice = df.select(counts.short(df["t"]).alias("s")).select("s", counts.short(F.col("s")).alias("again"))
+    assert twice.filter("not (s <=> again)").count() == 0

@@ -15,20 +15,31 @@ def is_missing(col: Column) -> Column:
     return col.isNull() | F.lower(F.trim(col.cast("string"))).isin(MISSING)
 
 
+def characters(v: Column) -> Column:
+    """entropy (bits) and unique_ratio of a text's characters, from one pass over them in order; 0 for an empty or missing text."""
+    sorted_ = F.array_sort(F.split(F.coalesce(v, F.lit("")), ""))
+    n = F.char_length(F.coalesce(v, F.lit(""))).cast("double")
+    start = F.struct(F.lit("").alias("ch"), F.lit(0.0).alias("run"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("kinds"))
+    ended = lambda a: a["sum"] + F.when(a["run"] > 1, a["run"] * F.log2(a["run"])).otherwise(0.0)
+    same = lambda a, ch: a["ch"] == ch
+
+    def step(a, ch):
+        return F.struct(
+            ch.alias("ch"),
+            F.when(same(a, ch), a["run"] + 1).otherwise(1.0).alias("run"),
+            F.when(same(a, ch), a["sum"]).otherwise(ended(a)).alias("sum"),
+            F.when(same(a, ch), a["kinds"]).otherwise(a["kinds"] + 1).alias("kinds"),
+        )
+
+    measured = lambda a: F.struct((F.log2(n) - ended(a) / n).alias("entropy"), (a["kinds"] / n).alias("unique_ratio"))
+    none = F.struct(F.lit(0.0).alias("entropy"), F.lit(0.0).alias("unique_ratio"))
+    return F.when(n > 0, F.aggregate(sorted_, start, step, measured)).otherwise(none)
+
+
 def text_measures(df: DataFrame, col: str) -> DataFrame:
-    """One row per distinct non-null value: its character entropy (bits) and share of unique characters.
-
-    Characters are counted by a two-level aggregation over the values' 64-bit
-    hashes and lengths, so long values are neither keys nor array work.
-    """
-    key = [F.xxhash64("v").alias("h"), F.char_length("v").alias("n")]
-    values = df.select(F.col(col).alias("v")).filter(F.col("v").isNotNull()).distinct().select("v", *key)
-    chars = values.filter("v <> ''").select("h", "n", F.explode(F.split("v", "")).alias("ch"))
-    counted = chars.groupBy("h", "n", "ch").agg(F.count(F.lit(1)).alias("c"))
-    n = F.sum("c")
-    measured = counted.groupBy("h", "n").agg((F.log2(n) - F.sum(F.col("c") * F.log2("c")) / n).alias("entropy"), (F.count(F.lit(1)) / n).alias("unique_ratio"))
-    joined = values.join(measured, ["h", "n"], "left")
-    return joined.select(F.col("v").alias(col), F.coalesce("entropy", F.lit(0.0)).alias("entropy"), F.coalesce("unique_ratio", F.lit(0.0)).alias("unique_ratio"))
+    """One row per distinct non-null value: its character entropy (bits) and share of unique characters."""
+    values = df.select(F.col(col).alias("v")).filter(F.col("v").isNotNull()).distinct().withColumn("m", characters(F.col("v")))
+    return values.select(F.col("v").alias(col), "m.entropy", "m.unique_ratio")
 
 
 def is_structured(v: Column) -> Column:

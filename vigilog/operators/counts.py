@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -68,6 +68,104 @@ def quantiles(df: DataFrame, columns: list[str], fractions: list[float]) -> dict
     return out
 
 
+#: Repeated values whose counts are broadcast at most.
+BROADCAST_VALUES = 1 << 19
+#: Longer values are counted by their digest.
+MAX_VALUE = 80
+
+
+def short(v: Column) -> Column:
+    """The text form of a value; a long one as its first character and digest, so equal only where the values are."""
+    v = v.cast("string")
+    return F.when(F.char_length(v) > MAX_VALUE, F.concat(F.substring(v, 1, 1), F.lit("\0"), F.sha2(v, 256))).otherwise(v)
+
+
+def joint(columns: list[str]) -> Column:
+    """One text for the values of all columns, different for different values; a missing value is a value."""
+    return short(F.concat(*[F.coalesce(F.concat(F.char_length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-")) for c in columns]))
+
+
+def cells(named: dict[str, Column]) -> Column:
+    """Rows (code, value), one for each of the named values: twice the value's place, plus one where it is missing, and its short form."""
+    return F.inline(F.array(*[F.struct((F.lit(2 * i) + v.isNull().cast("int")).alias("code"), F.coalesce(short(v), F.lit("")).alias("value")) for i, v in enumerate(named.values())]))
+
+
+def store(df: DataFrame, named: dict[str, Column]) -> DataFrame:
+    """code, value, c: the written value counts of all the named values, missing ones apart, by one aggregation."""
+    from ..session import materialise
+
+    return materialise(df.select(cells(named)).groupBy("code", "value").agg(F.count(F.lit(1)).alias("c")), "counts")
+
+
+def as_column_counts(stored: DataFrame, names: list[str]) -> DataFrame:
+    """The store in the form of ``column_counts`` for its first columns, which are ``names``."""
+    name = F.element_at(F.array(*map(F.lit, names)), F.floor(F.col("code") / 2).cast("int") + 1)
+    return stored.filter(F.col("code") < 2 * len(names)).select(name.alias("column"), F.when(F.col("code") % 2 == 0, F.col("value")).alias("value"), "c")
+
+
+def coded(table: DataFrame, place: dict[str, int]) -> DataFrame:
+    """A table of (column, value, measures) with the store's code in place of the column's name."""
+    code = F.element_at(F.create_map(*[x for c, i in place.items() for x in (F.lit(c), F.lit(2 * i))]), F.col("column")) + F.col("value").isNull().cast("int")
+    return table.select(code.alias("code"), F.coalesce(short(F.col("value")), F.lit("")).alias("value"), *[c for c in table.columns if c not in ("column", "value")])
+
+
+def look_up(df: DataFrame, key: str, named: dict[str, Column], found: DataFrame, wanted: dict[str, tuple[int, str]]) -> DataFrame:
+    """key and the ``wanted`` columns (name: place of the value and measure), from ``found`` (code, value, measures), null where it has none.
+
+    All values are looked up together: rows are dealt out by key once, unpivoted,
+    joined, and put together again in the same task.  If ``found`` is more than can
+    be broadcast, its most frequent values are broadcast all the same, by a count
+    ``c`` that so many values can't have, and the rest are joined by a shuffle
+    in which no value is frequent.
+    """
+    measures = [c for c in found.columns if c not in ("code", "value")]
+    long = df.repartition(key).select(key, cells(named))
+    at = ["code", "value"]
+    if found.count() <= BROADCAST_VALUES:
+        joined = long.join(F.broadcast(found), at)
+    else:
+        total = found.agg(F.sum("c")).first()[0]
+        least = total // BROADCAST_VALUES + 1  # of at least so many rows there are no more than BROADCAST_VALUES values
+        many, few = F.broadcast(found.filter(F.col("c") >= least)), found.filter(F.col("c") < least)
+        joined = long.join(many, at).unionByName(long.join(F.broadcast(found.filter(F.col("c") >= least).select(*at)), at, "left_anti").join(few, at))
+    place = F.floor(F.col("code") / 2)
+    picked = [F.max(F.when(place == i, F.col(m))).alias(name) for name, (i, m) in wanted.items()]
+    assert all(m in measures for _, m in wanted.values())
+    return joined.groupBy(key).agg(*picked)
+
+
+def placed_rows(df: DataFrame, columns: list[str], key: str) -> tuple[DataFrame, dict[str, list]]:
+    """All values of the numeric ``columns``, sorted by column, value and key over range partitions and written once.
+
+    Returns the table (column, v, key, at) and for each column its stretches
+    (first ``at``, rows before it, rows), of which there are as many as partitions
+    and columns together; the row of any rank is so found by its ``at``.
+    """
+    from ..session import materialise
+
+    kv = F.inline(F.array(*[F.struct(F.lit(i).alias("column"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)]))
+    rows = df.select(F.col(key).alias("key"), kv).filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    rows = materialise(rows.repartitionByRange("column", "v", "key").sortWithinPartitions("column", "v", "key").withColumn("at", F.monotonically_increasing_id()), "placed")
+    sizes = rows.groupBy("column", F.shiftright("at", 33).alias("part")).agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).orderBy("column", "part").collect()
+    stretches: dict[str, list] = {c: [] for c in columns}
+    for r in sizes:
+        own = stretches[columns[r["column"]]]
+        own.append((r["first"], own[-1][1] + own[-1][2] if own else 0, r["n"]))
+    return rows, stretches
+
+
+def rows_of_rank(rows: DataFrame, stretches: dict[str, list], ranks: dict[str, list[int]]) -> dict[tuple[str, int], tuple]:
+    """(value, key) of the rows of the given ranks (from 0) of each column of ``placed_rows``."""
+    wanted = {}
+    for c, some in ranks.items():
+        for rank in some:
+            for first, before, n in stretches[c]:
+                if before <= rank < before + n:
+                    wanted[first + rank - before] = wanted.get(first + rank - before, []) + [(c, rank)]
+    found = rows.filter(F.col("at").isin(list(wanted))).select("at", "v", "key").collect() if wanted else []
+    return {who: (r["v"], r["key"]) for r in found for who in wanted[r["at"]]}
+
+
 def joint_counts(df: DataFrame, cols: list[str], out: str) -> DataFrame:
     """Add the number of rows sharing all values; a missing value is a value."""
     counts = df.groupBy(*[F.col(c).alias(f"_{c}") for c in cols]).agg(F.count(F.lit(1)).alias(out))

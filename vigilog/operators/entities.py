@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .counts import column_counts, global_rank
+from .counts import column_counts, global_rank, placed_rows, rows_of_rank
 
 
 def quantile_bins(df: DataFrame, col: str, key: list[str], bins: int = 8, out: str = "bin") -> DataFrame:
@@ -20,6 +20,30 @@ def quantile_bins(df: DataFrame, col: str, key: list[str], bins: int = 8, out: s
     return some.unionByName(none)
 
 
+def all_bins(df: DataFrame, columns: list[str], key: str, bins: int = 8) -> tuple[dict[str, Column], dict[str, float]]:
+    """The quantile bin of every numeric column as an expression, and the columns' medians (none for columns without a value).
+
+    The bins are those of ``quantile_bins`` with one ordering ``key``: bin b begins
+    at rank b (n - 1) div bins + 2 of the n values, so the rows of these ranks are
+    all that the expressions need of the table.
+    """
+    rows, stretches = placed_rows(df, columns, key)
+    size = {c: sum(n for _, _, n in stretches[c]) for c in columns}
+    # ranks from 0; a bin that would begin past the last row has none
+    begins = {c: [b * (size[c] - 1) // bins + 1 for b in range(1, bins)] if size[c] > 1 else [] for c in columns}
+    middle = {c: [(size[c] - 1) // 2, size[c] // 2] for c in columns if size[c]}
+    found = rows_of_rank(rows, stretches, {c: begins[c] + middle.get(c, []) for c in columns})
+    made = {}
+    for c in columns:
+        v, at = F.col(c).cast("double"), F.lit(0)
+        for rank in begins[c]:
+            if (c, rank) in found:
+                least, by = found[c, rank]
+                at = at + ((v > F.lit(least)) | ((v == F.lit(least)) & (F.col(key) >= F.lit(by)))).cast("int")
+        made[c] = F.when(v.isNull() | F.isnan(v) | F.lit(size[c] < 2), F.lit(-1)).otherwise(at)
+    return made, {c: sum(found[c, r][0] for r in middle[c]) / 2 for c in middle}
+
+
 def normal_entropy(counts: DataFrame, keys: list[str], out: str) -> DataFrame:
     """Entropy of the counts ``c`` per key over the log of their sum (0 for one row), and that sum as volume."""
     n = F.sum("c")

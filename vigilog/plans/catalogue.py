@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import counts, entities, robust, timing
+from ..operators import counts, diagnose, entities, robust, timing
 from ..session import materialise
 from ..sources import ingest
 from . import detect, evaluate
@@ -198,15 +198,49 @@ def actor_graph(spark, d):
     return made.withColumn("diversity", r6("diversity"))
 
 
-@query("""WITH l AS (SELECT 'k' || o_custkey % 40 AS a, 'k' || l_suppkey % 60 AS b, l_returnflag AS flag FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_partkey % 3 = 0),
+@query("""WITH l AS (SELECT 'k' || (o_custkey * 7 + l_quantity // 10) % 400 AS a, 'k' || (l_suppkey * 11 + l_linenumber) % 600 AS b, l_returnflag AS flag FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 n AS (SELECT 'a' AS col, a AS value, b AS other FROM l UNION ALL SELECT 'b', b, a FROM l), g AS (SELECT col, value, count(DISTINCT CASE WHEN other <> value THEN other END) AS degree FROM n GROUP BY 1, 2)
-SELECT x.col AS "column", x.value, x.degree, coalesce(y.degree, 0) AS reverse_degree FROM g x LEFT JOIN g y ON x.value = y.value AND x.col <> y.col""")
+SELECT x.col AS "column", x.value, x.degree, coalesce(y.degree, 0) AS reverse_degree FROM g x LEFT JOIN g y ON x.value = y.value AND x.col <> y.col""".replace("l_quantity // 10", "CAST(floor(l_quantity / 10) AS BIGINT)"))
 def reverse_degree(spark, d):
-    joined = read(spark, d, "lineitem").filter("l_partkey % 3 = 0").join(read(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    links = joined.select(F.concat(F.lit("k"), F.col("o_custkey") % 40).alias("a"), F.concat(F.lit("k"), F.col("l_suppkey") % 60).alias("b"), F.col("l_returnflag").alias("flag"))
+    joined = read(spark, d, "lineitem").join(read(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    named = lambda c, n: F.concat(F.lit("k"), (c % n).cast("string"))
+    links = joined.select(named(F.col("o_custkey") * 7 + F.floor(F.col("l_quantity") / 10), 400).alias("a"), named(F.col("l_suppkey") * 11 + F.col("l_linenumber"), 600).alias("b"), F.col("l_returnflag").alias("flag"))
     return entities.actor_graph(materialise(links, "links"), ["a", "b"], ["flag"]).select("column", "value", "degree", "reverse_degree")
 
 
+_PAIR = """WITH p AS (SELECT 'S' || l_suppkey AS a, 'P' || l_partkey % 500 AS b FROM lineitem), q AS (SELECT 'supplier' AS col, a, b FROM p UNION ALL SELECT 'part', b, a FROM p),
+n AS (SELECT col, a, count(*) AS n, count(DISTINCT b) AS met FROM q GROUP BY 1, 2 HAVING count(*) >= 12), m AS (SELECT col, b, count(*) / sum(count(*)) OVER (PARTITION BY col) AS share FROM q GROUP BY 1, 2),
+x AS (SELECT col, n, sum(1 - pow(1 - share, n)) AS expected FROM (SELECT DISTINCT col, n FROM n) JOIN m USING (col) GROUP BY 1, 2)"""
+
+
+@query(_PAIR + """ SELECT col AS "column", CASE col WHEN 'part' THEN 'supplier' ELSE 'part' END AS other, count(*) AS recurring_values, round(sum(n * met / expected) / sum(n), 6) AS selectivity FROM n JOIN x USING (col, n) GROUP BY col""")
+def counterpart_selectivity(spark, d):
+    pairs = read(spark, d, "lineitem").select(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("supplier"), F.concat(F.lit("P"), (F.col("l_partkey") % 500).cast("string")).alias("part"))
+    return diagnose.selectivity(pairs, [("supplier", "part"), ("part", "supplier")]).withColumn("selectivity", r6("selectivity"))
+
+
+_AUDITED = """WITH k AS (SELECT 'l_suppkey' AS col, CAST(l_suppkey AS VARCHAR) AS v FROM lineitem UNION ALL SELECT 'l_quantity', CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) FROM lineitem UNION ALL SELECT 'l_shipped', strftime(l_shipdate, '%Y-%m') FROM lineitem),
+c AS (SELECT col, v, count(*) AS c, (regexp_matches(v, '[0-9]') AND regexp_matches(v, '[.:_/-]')) OR length(v) >= 7 AS s FROM k WHERE v IS NOT NULL GROUP BY 1, 2)"""
+
+
+def _audited(spark, d):
+    return read(spark, d, "lineitem").select("l_suppkey", "l_quantity", F.date_format("l_shipdate", "yyyy-MM").alias("l_shipped")), ["l_suppkey", "l_quantity", "l_shipped"]
+
+
+@query(_AUDITED + """, a AS (SELECT col, count(*) AS n_distinct, count(*) FILTER (c >= 12) AS recurring, CAST(coalesce(sum(c) FILTER (c >= 12), 0) AS DOUBLE) / sum(c) AS mass, avg(CASE WHEN s THEN 1.0 ELSE 0 END) AS st FROM c GROUP BY 1)
+SELECT col AS "column", n_distinct, recurring, round(mass, 6) AS repeat_mass, n_distinct <= 200 AND st < 0.5 AS is_vocabulary, n_distinct > 50 AND recurring >= 2 AND mass >= 0.3 AND NOT (n_distinct <= 200 AND st < 0.5) AS would_qualify FROM a""")
+def actor_audit(spark, d):
+    return diagnose.actor_audit(*_audited(spark, d)).withColumn("repeat_mass", r6("repeat_mass"))
+
+
+@query(_AUDITED + """, e AS (SELECT col, CASE WHEN regexp_full_match(v, '[0-9]+') THEN length(v) END AS len, count(*) AS n, sum(CASE WHEN s THEN 1 ELSE 0 END) AS st, sum(CASE WHEN left(v, 1) IN ('.', ':', '_', '-', '/') THEN 1 ELSE 0 END) AS le, sum(length(regexp_replace(v, '[^.:_/-]', '', 'g'))) AS se FROM c GROUP BY 1, 2)
+SELECT col AS "column", round(sum(st) / sum(n), 6) AS structured_fraction, round(sum(le) / sum(n), 6) AS leading_separator_fraction, round(sum(se) / sum(n), 6) AS mean_separator_count, round(coalesce(sum(n) FILTER (len IS NOT NULL), 0) / sum(n), 6) AS pure_digit_fraction,
+round(max(n) FILTER (len IS NOT NULL) / sum(n) FILTER (len IS NOT NULL), 6) AS dominant_digit_length_share FROM e GROUP BY 1""")
+def value_grammar(spark, d):
+    made = diagnose.grammar(*_audited(spark, d))
+    return made.select("column", *[r6(c).alias(c) for c in made.columns[1:]])
+
+
 @query(_GRAPH + """, t AS (SELECT quantile_cont(degree, 0.99) AS floor FROM g WHERE degree >= 3) SELECT value, degree, volume FROM g, t WHERE col = 'supp' AND volume >= 12 AND degree >= floor AND degree >= 10 AND round(diversity, 12) <= 0.2""")
 def asymmetric_degree(spark, d):
     return entities.asymmetric(entities.actor_graph(_links(spark, d), ["cust", "supp"], ["flag"]), "supp").select("value", "degree", "volume")

@@ -67,99 +67,114 @@ class Detection:
     cutoff: float
 
 
-def _looked_up(df: DataFrame, table: DataFrame, column: str, names: list[str]) -> DataFrame:
-    """Add the ``names`` of the rows' value of ``column`` from a (column, value, ...) table as ``<column>__<name>``."""
-    own = table.filter(F.col("column") == column).select(F.col("value").alias("_value"), *[F.col(n).alias(f"{column}__{n}") for n in names])
-    return df.join(own, F.col(column).cast("string").eqNullSafe(F.col("_value")), "left").drop("_value")
-
-
 def features(df: DataFrame, log: Log, burst_seconds: int = 10) -> Features:
-    """Counts, timing, entity and actor measures of every row, joined from small tables keyed by value."""
+    """Counts, timing, entity and actor measures of every row.
+
+    The table is written once and read a fixed number of times, whatever its
+    columns: all values are counted by one aggregation and looked up by one join,
+    all numeric columns are sorted and binned together.
+    """
     named = [*log.categorical, *log.numeric, *log.text]
     keep = list(dict.fromkeys([log.key, *([log.timestamp] if log.timestamp else []), *named, *log.boolean]))
-    clean = {c: F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c)).alias(c) for c in log.numeric if df.schema[c].dataType.typeName() in ("double", "float")}
-    base = df.select(*[clean.get(c, F.col(c)) for c in keep])
+    clean = {c: F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.when(F.col(c) == 0, F.abs(c)).otherwise(F.col(c))).alias(c) for c in log.numeric if df.schema[c].dataType.typeName() in ("double", "float")}
+    base = materialise(df.select(*[clean.get(c, F.col(c)) for c in keep]), "base")
     families: dict[str, str] = {}
     matrix: dict[str, Column] = {}
 
     def emit(name: str, family: str, col: Column):
         families[name], matrix[name] = family, col
 
-    all_counts = materialise(counts.column_counts(base, named), "counts") if named else None
-    shapes = entities.column_shapes(all_counts) if named else {}
-    cut = {r["column"]: float(r["cut"]) for r in counts.cuts(all_counts).collect()} if named else {}
-    rows = base
-    for c in named:
-        rows = counts.value_counts(rows, c, f"{c}__n")
+    # what is counted: the columns, the context of all categorical ones, the instant
+    counted = {c: F.col(c) for c in named}
+    if len(log.categorical) >= 2:
+        counted["__context"] = counts.joint(log.categorical)
+    if log.timestamp:
+        counted["__time"] = timing.micros(F.col(log.timestamp))
+    place = {c: i for i, c in enumerate(counted)}
+    stored = counts.store(base, counted) if counted else None
+    by_name = counts.as_column_counts(stored, list(counted)) if counted else None
+    shapes = entities.column_shapes(by_name.filter(F.col("column").isin(named))) if named else {}
+    cut = {r["column"]: float(r["cut"]) for r in counts.cuts(by_name).collect()} if counted else {}
+
+    entity = entities.entity_columns(shapes, log.categorical, log.content, log.entity)
+    order = {c: i for i, c in enumerate(df.columns)}
+    actor = entities.actor_columns(shapes, sorted([*log.categorical, *log.text], key=order.get), log.content, log.entity)
+    actor = actor if len(actor) >= 2 else []
+    bins, medians = entities.all_bins(base, log.numeric, log.key) if log.numeric else ({}, {})
+
+    # the measures of a value: its count, and for entities and actors theirs
+    wanted = {f"{c}__n": (place[c], "c") for c in counted}
+    found = stored
+    links = base.select(*[counts.short(F.col(c)).alias(c) for c in dict.fromkeys([*log.categorical, *actor])], *[v.alias(f"{c}__bin") for c, v in bins.items()])
+    binned = [f"{c}__bin" for c in bins]
+    measured: list[DataFrame] = []
+    if entity:
+        per = entities.entity_table(links, entity, log.categorical + binned)
+        measured.append(per.withColumnRenamed("volume", "entity_volume"))
+        wanted |= {f"{c}__{name}": (place[c], m) for c in entity for name, m in (("diversity", "diversity"), ("volume", "entity_volume"), ("degree", "degree"))}
+    if actor:
+        graph = materialise(entities.actor_graph(links, actor, [c for c in log.categorical if c not in actor] + binned), "actors")
+        measured.append(graph.withColumnsRenamed({"degree": "out", "reverse_degree": "back", "volume": "events", "diversity": "spread"}))
+        wanted |= {f"{c}__{m}": (place[c], m) for c in actor for m in ("out", "back", "events", "spread")}
+        hubs = counts.quantiles(graph.filter(F.col("degree") >= MIN_HUB).select("degree"), ["degree"], [DEGREE_SHARE])
+        if hubs:
+            cut["__degree"] = hubs["degree", DEGREE_SHARE]
+    for more in measured:
+        found = found.join(counts.coded(more, place), ["code", "value"], "left")
+    if counted:
+        # values of one row and nothing else to tell aren't looked up: their count is known
+        special = F.floor(F.col("code") / 2).isin([place[c] for c in {*entity, *actor}])
+        looked = counts.look_up(base, log.key, counted, materialise(found.filter((F.col("c") > 1) | special), "values"), wanted)
+        rows = base.join(looked, log.key, "left")
+        alone = lambda v, c: F.when(v.isNull(), 0).otherwise(F.coalesce(c, F.lit(1))).cast("long")
+        rows = rows.withColumns({f"{c}__n": alone(v, F.col(f"{c}__n")) for c, v in counted.items()})
+        rows = rows.withColumnsRenamed({"__context__n": "context__n", "__time__n": "same_time__n"})
+    else:
+        rows = base
+
     for c in log.categorical:
         emit(f"{c}__conc", "concentration", F.log1p(f"{c}__n"))
     if len(log.categorical) >= 2:
-        rows = counts.joint_counts(rows, log.categorical, "context__n")
         emit("context__conc", "concentration", F.log1p("context__n"))
-        sizes = base.groupBy(*log.categorical).count().select(F.lit("context").alias("column"), F.lit("").alias("value"), F.col("count").alias("c"))
-        cut["__context"] = float(counts.cuts(sizes).first()["cut"] or 0)
-    medians = counts.quantiles(base, log.numeric, [0.5]) if log.numeric else {}
     for c in log.numeric:
-        emit(f"{c}__val", "value", F.coalesce(F.col(c).cast("double"), F.lit(medians.get((c, 0.5), 0.0))))
+        emit(f"{c}__val", "value", F.coalesce(F.col(c).cast("double"), F.lit(medians.get(c, 0.0))))
         emit(f"{c}__rep", "repetition", F.log1p(f"{c}__n"))
     for c in log.text:
-        measured = texts.text_measures(base, c).select(F.col(c).alias("_text"), F.col("entropy").alias(f"{c}__entropy_of"), F.col("unique_ratio").alias(f"{c}__uniqchar_of"))
-        rows = rows.join(measured, F.col(c) == F.col("_text"), "left").drop("_text")
-        emit(f"{c}__entropy", "text", F.coalesce(f"{c}__entropy_of", F.lit(0.0)))
-        emit(f"{c}__uniqchar", "text", F.coalesce(f"{c}__uniqchar_of", F.lit(0.0)))
+        rows = rows.withColumn(f"{c}__chars", texts.characters(F.col(c)))
+        emit(f"{c}__entropy", "text", F.col(f"{c}__chars")["entropy"])
+        emit(f"{c}__uniqchar", "text", F.col(f"{c}__chars")["unique_ratio"])
         emit(f"{c}__rep", "repetition", F.log1p(f"{c}__n"))
     for c in log.boolean:
         emit(f"{c}__bool", "flag", F.coalesce(F.col(c).cast("double"), F.lit(0.0)))
     grid, gated = None, False
     if log.timestamp:
         ts = log.timestamp
-        rows = counts.value_counts(rows, ts, "same_time__n")
-        cut["__time"] = float(counts.cuts(base.select(F.lit("time").alias("column"), F.col(ts).alias("value")).groupBy("column", "value").agg(F.count(F.lit(1)).alias("c"))).agg(F.max("cut")).first()[0] or 0)
-        rows = timing.burst_counts(rows, log.categorical, ts, burst_seconds, "burst__n")
+        context = ["_context"] if log.categorical else []
+        paced = base.select(log.key, ts, *[counts.joint(log.categorical).alias("_context") for _ in context])
+        paced = timing.runs(timing.burst_counts(paced, context, ts, burst_seconds, "burst__n"), context, ts, log.key, burst_seconds)
+        rows = rows.join(paced.select(log.key, "burst__n", F.col("run_size").alias("run__n"), "dt_std", "dt_cv"), log.key, "left")
+        rows = rows.fillna({"dt_std": timing.SENTINEL, "dt_cv": timing.SENTINEL, "run__n": 1, "burst__n": 1})
         step = timing.grid(base, ts).first()
         grid = step.gap if step else None
         gated = grid is not None and grid >= burst_seconds * timing.SECOND
         if gated:
             rows = timing.on_grid(rows, ts)
-        paced = timing.runs(base.select(log.key, ts, *log.categorical), log.categorical, ts, log.key, burst_seconds)
-        rows = rows.join(paced.select(log.key, F.col("run_size").alias("run__n"), "dt_std", "dt_cv"), log.key, "left")
-        rows = rows.fillna({"dt_std": timing.SENTINEL, "dt_cv": timing.SENTINEL, "run__n": 1})
         emit("hour", "time", F.coalesce(F.hour(F.col(ts).cast("timestamp")), F.lit(0)).cast("double"))
         emit("same_time__conc", "burst", F.log1p("same_time__n"))
         emit(f"burst{burst_seconds}s__conc", "burst", F.log1p("burst__n"))
-    entity = entities.entity_columns(shapes, log.categorical, log.content, log.entity)
-    order = {c: i for i, c in enumerate(df.columns)}
-    actor = entities.actor_columns(shapes, sorted([*log.categorical, *log.text], key=order.get), log.content, log.entity)
-    actor = actor if len(actor) >= 2 else []
-    if entity or actor:
-        links = base.select(log.key, *log.categorical, *[c for c in actor if c not in log.categorical], *log.numeric)
-        for c in log.numeric:
-            links = entities.quantile_bins(links, c, [log.key], out=f"{c}__bin")
-        links = materialise(links.drop(*log.numeric, log.key), "links")
-        bins = [f"{c}__bin" for c in log.numeric]
     if entity:
-        per = materialise(entities.entity_table(links, entity, log.categorical + bins), "entities")
         lowest, volume = F.lit(1.0), F.lit(1).cast("long")
         for c in entity:
-            rows = _looked_up(rows, per, c, ["diversity", "volume", "degree"])
             lower = F.round(F.col(f"{c}__diversity"), 12) < lowest
             lowest, volume = F.when(lower, F.round(F.col(f"{c}__diversity"), 12)).otherwise(lowest), F.when(lower, F.col(f"{c}__volume")).otherwise(volume)
         rows = rows.withColumn("entity__low", lowest).withColumn("entity__vol", volume)
-    if actor:
-        context = [c for c in log.categorical if c not in actor] + bins
-        graph = materialise(entities.actor_graph(links, actor, context), "actors")
-        for c in actor:
-            rows = _looked_up(rows, graph.withColumnsRenamed({"degree": "out", "reverse_degree": "back", "volume": "events", "diversity": "spread"}), c, ["out", "back", "events", "spread"])
-        hubs = counts.quantiles(graph.filter(F.col("degree") >= MIN_HUB).select("degree"), ["degree"], [DEGREE_SHARE])
-        if hubs:
-            cut["__degree"] = hubs["degree", DEGREE_SHARE]
     rows = materialise(rows, "rows")
     if log.timestamp:
-        measured = F.col("dt_std") < timing.SENTINEL
-        middle = counts.quantiles(rows.filter(measured), ["dt_std", "dt_cv"], [0.5])
-        emit("has_regular_timing", "timing", measured.cast("double"))
+        measured_run = F.col("dt_std") < timing.SENTINEL
+        middle = counts.quantiles(rows.filter(measured_run), ["dt_std", "dt_cv"], [0.5])
+        emit("has_regular_timing", "timing", measured_run.cast("double"))
         for c, name in (("dt_std", "dt__std"), ("dt_cv", "dt__cv")):
-            emit(name, "timing", F.log1p(F.when(measured, F.col(c)).otherwise(F.lit(middle.get((c, 0.5), 0.0)))))
+            emit(name, "timing", F.log1p(F.when(measured_run, F.col(c)).otherwise(F.lit(middle.get((c, 0.5), 0.0)))))
     if entity:
         emit("entity__diversity", "entity", F.col("entity__low"))
         busy = counts.quantiles(rows.filter(F.col("entity__vol") >= MIN_VOLUME), ["entity__low"], [LOW_SHARE])
