@@ -38,7 +38,7 @@ def brute(rows, strength=1000.0):
 def test_scores_equal_either_way_and_plain_counts(spark, monkeypatch):
     monkeypatch.setattr(lm, "GROUP_TOKENS", 2000)
     rows = texts()
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(20)
     held = F.col("doc_id") % 3 == 0
     run = lambda **how: sorted(map(tuple, lm.score(df, held, bucket_bytes=20_000, **how).collect()), key=str)
     local, probed = run(), run(broadcast_bytes=0)

@@ -333,7 +333,7 @@ def _by_shuffle(docs: DataFrame, segments: DataFrame, buckets: int, heavy, n: in
             part = batch.slice(first, len(ends))
             whole = lambda c: pa.ListArray.from_arrays(pa.array([0, len(ends)], pa.int32()), c)  # noqa: E731, B023
             yield pa.RecordBatch.from_arrays([pa.array([group]), whole(part.column(0)), whole(part.column(1)), *(pa.array([x.tobytes()], pa.binary()) for x in (ids, ends, hashes))], names=["group", "doc_id", "held_out", "ids", "ends", "hashes"])
-            group += 1
+            group += len(ends)  # a group has the number of its first row
 
     def read(r):
         import numpy as np
@@ -386,7 +386,7 @@ def _by_shuffle(docs: DataFrame, segments: DataFrame, buckets: int, heavy, n: in
             return out
 
         scores = _scores(ids, ends, hashes, levels, shared.value, n, v, strength)
-        rows = pa.array((r["group"] << 20) + np.arange(len(ends)))
+        rows = pa.array(r["group"] + np.arange(len(ends)))
         columns, names = _result(rows, pa.array(r["doc_id"], group.schema.field("doc_id").type.value_type), pa.array(r["held_out"], pa.bool_()), scores)
         return pa.table(dict(zip(names, columns, strict=True)))
 
