@@ -30,6 +30,13 @@ class Log:
     #: Columns that hold content, and columns that are entities by decree.
     content: tuple[str, ...] = ()
     entity: tuple[str, ...] = ()
+    #: Names to show instead of the columns' own.
+    names: dict[str, str] = field(default_factory=dict)
+
+    def shown(self, name: str) -> str:
+        """A column's or a feature's name as it is shown."""
+        column = next((c for c in self.names if name == c or name.startswith(f"{c}__")), None)
+        return name if column is None else self.names[column] + name[len(column):]
 
     @classmethod
     def of(cls, schema, key: str) -> Log:
@@ -201,13 +208,13 @@ def apply_rules(made: Features, log: Log) -> tuple[DataFrame, dict]:
         "actor_columns": made.actor, "actor_graph_active": bool(made.actor), "degree_floor": made.cuts.get("__degree"),
     }
     for c in log.text:
-        found.append(rules.rule("repeat_value", (n(c) > 1) & (n(c) >= used["text_repeat"][c]), text(f"{c} value occurs ", n(c), " times")))
+        found.append(rules.rule("repeat_value", (n(c) > 1) & (n(c) >= used["text_repeat"][c]), text(f"{log.shown(c)} value occurs ", n(c), " times")))
         entropy = F.col(f"x__{c}__entropy")
-        found.append(rules.rule("low_entropy", (entropy > 0) & (entropy <= MAX_ENTROPY) & (F.char_length(c) >= MIN_LENGTH), text(f"{c} has an entropy of ", two(entropy), " bits")))
+        found.append(rules.rule("low_entropy", (entropy > 0) & (entropy <= MAX_ENTROPY) & (F.char_length(c) >= MIN_LENGTH), text(f"{log.shown(c)} has an entropy of ", two(entropy), " bits")))
     for c, at in used["categorical_concentration"].items():
-        found.append(rules.rule("concentration", n(c) >= at, text(f"{c} value holds ", n(c), " rows")))
+        found.append(rules.rule("concentration", n(c) >= at, text(f"{log.shown(c)} value holds ", n(c), " rows")))
     for c, at in used["numeric_reuse"].items():
-        found.append(rules.rule("numeric_reuse", (n(c) > 1) & (n(c) >= at), text(f"{c} number occurs ", n(c), " times")))
+        found.append(rules.rule("numeric_reuse", (n(c) > 1) & (n(c) >= at), text(f"{log.shown(c)} number occurs ", n(c), " times")))
     if len(log.categorical) >= 2:
         found.append(rules.rule("context_cluster", n("context") >= used["context_cluster"], text("context holds ", n("context"), " rows")))
     if log.timestamp:
@@ -221,7 +228,7 @@ def apply_rules(made: Features, log: Log) -> tuple[DataFrame, dict]:
     used["entity_fallback_hub_gated"] = len(made.entity) == 1 and made.entity[0] in made.actor
     used["min_hub_degree"] = MIN_HUB if used["entity_graph_active"] or used["entity_fallback_hub_gated"] else None
     if used["entity_graph_active"]:
-        hubs = [F.when(busy(c) & (F.col(f"{c}__degree") >= MIN_HUB), F.struct(F.col(f"{c}__degree").alias("degree"), F.lit(-i).alias("place"), text(f"{c} '", F.coalesce(c, F.lit("")), "' repeats itself (diversity ", two(F.col(f"{c}__diversity")), " over ", F.col(f"{c}__volume"), " rows) with ", F.col(f"{c}__degree"), " counterparts").alias("reason"))) for i, c in enumerate(made.entity)]
+        hubs = [F.when(busy(c) & (F.col(f"{c}__degree") >= MIN_HUB), F.struct(F.col(f"{c}__degree").alias("degree"), F.lit(-i).alias("place"), text(f"{log.shown(c)} '", F.coalesce(c, F.lit("")), "' repeats itself (diversity ", two(F.col(f"{c}__diversity")), " over ", F.col(f"{c}__volume"), " rows) with ", F.col(f"{c}__degree"), " counterparts").alias("reason"))) for i, c in enumerate(made.entity)]
         hub = F.array_max(F.filter(F.array(*hubs), lambda x: x.isNotNull()))
         found.append(rules.rule("entity_monotony", hub.isNotNull(), hub["reason"]))
     elif used["entity_fallback_hub_gated"]:
@@ -232,10 +239,17 @@ def apply_rules(made: Features, log: Log) -> tuple[DataFrame, dict]:
     if made.actor and used["degree_floor"] is not None:
         c = made.actor[0]
         star = (F.col(f"{c}__events") >= MIN_VOLUME) & (F.col(f"{c}__out") >= used["degree_floor"]) & (F.col(f"{c}__out") >= ASYMMETRY * (F.col(f"{c}__back") + 1)) & (F.round(F.col(f"{c}__spread"), 12) <= MAX_DIVERSITY)
-        found.append(rules.rule("asymmetric_degree", star, text(f"{c} '", F.coalesce(c, F.lit("")), "' reaches ", F.col(f"{c}__out"), " counterparts, ", F.col(f"{c}__back"), " reach it")))
+        found.append(rules.rule("asymmetric_degree", star, text(f"{log.shown(c)} '", F.coalesce(c, F.lit("")), "' reaches ", F.col(f"{c}__out"), " counterparts, ", F.col(f"{c}__back"), " reach it")))
     return made.frame.withColumn("hits", rules.hits(found)).withColumn("heuristic", rules.capped_sum(F.col("hits"))), used
 
 
+def shown_thresholds(found: Detection) -> dict:
+    """The thresholds with the columns' shown names."""
+    shown = found.log.shown
+    turned = lambda v: {shown(k): x for k, x in v.items()} if isinstance(v, dict) else [shown(x) for x in v] if isinstance(v, list) else v
+    return {k: turned(v) for k, v in found.thresholds.items()}
+
+
 def ml_scores(df: DataFrame, columns: list[str], key: str, backend: str) -> tuple[DataFrame, str]:
     """Add ``ml_score``: 0.5 for fewer than three rows or no column, else the forest's or the deviation's score."""
     if not columns or df.limit(3).count() < 3:

@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import csv
-import gzip
+import io
 import json
 import re
 from dataclasses import dataclass, field
-from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import is_missing
 from ..operators.counts import column_counts
+from .packed import distinct_names, unpacked_lines, unpacked_rows
 
 SAMPLE = 1000
 PARSE_RATE, URL_RATE = 0.95, 0.70
@@ -95,71 +95,117 @@ def head_of(spark: SparkSession, path: str) -> tuple[bytes, bool]:
     return raw, False
 
 
-def detect_format(path: str, sample: str) -> str:
-    name = re.sub(r"\.gz$", "", path.lower().rstrip("/"))
-    if name.endswith((".jsonl", ".ndjson")):
-        return "jsonl"
-    lines = [x for x in sample.splitlines() if x.strip()]
+def _sniff(sample: str) -> str:
+    """The delimiter of the sample; where none shows, the tab or the comma by their number."""
+    try:
+        return csv.Sniffer().sniff(sample, ",\t;|").delimiter
+    except csv.Error:
+        return "\t" if sample.count("\t") > sample.count(",") else ","
 
-    def parses(x):
+
+def _json_lines(sample: str) -> bool:
+    """Two lines or more, of which the first twenty are JSON and two are objects."""
+    found = []
+    for line in [x for x in sample.splitlines() if x.strip()][:20]:
         try:
-            return isinstance(json.loads(x), dict)
+            found.append(isinstance(json.loads(line), dict))
         except ValueError:
             return False
+    return sum(found) >= 2
+
 
-    if name.endswith(".json") or sample.lstrip()[:1] in ("[", "{"):
-        return "jsonl" if len(lines) >= 2 and all(map(parses, lines[:20])) else "json"
+def detect_format(path: str, sample: str) -> str:
+    """csv, tsv, json or jsonl, by the name and else by the first sign and the delimiter."""
+    name = re.sub(r"\.gz$", "", path.lower().rstrip("/"))
+    if name.endswith((".jsonl", ".ndjson")):
+        return "jsonl"
     if name.endswith((".tsv", ".tab")):
         return "tsv"
-    return "csv"
+    if name.endswith(".csv"):
+        return "csv"
+    first = sample.lstrip()[:1]
+    if name.endswith(".json") or first == "{":
+        return "jsonl" if _json_lines(sample) else "json"
+    if first == "[":
+        return "json"
+    return "tsv" if _sniff(sample) == "\t" else "csv"
+
+
+BAD = "_not_json"
+
+
+def first_bad_line(lines: DataFrame) -> int | None:
+    """The number, from 1 in its file, of the first line that isn't JSON (blank ones are), from lines as (file, block, value).
+
+    The lines of each block are counted where they are read; only the counts meet.
+    """
+    broken = (F.trim("value") != "") & F.from_json("value", f"{BAD} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD})[BAD].isNotNull()
+    placed = lines.select("file", "block", broken.alias("broken")).withColumn("at", F.monotonically_increasing_id())
+    per = placed.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"), F.min(F.when(F.col("broken"), F.col("at"))).alias("hit"))
+    found = per.filter("hit is not null").orderBy("file", "block").first()
+    if found is None:
+        return None
+    before = per.filter((F.col("file") == found.file) & (F.col("block") < found.block)).agg(F.sum("n")).first()[0] or 0
+    return before + found.hit - found.first + 1
+
+
+def _read_json(spark: SparkSession, path: str, fmt: str, sample: str, packed: bool) -> DataFrame:
+    options = {"mode": "PERMISSIVE", "primitivesAsString": "true", "columnNameOfCorruptRecord": BAD}
+    if fmt == "json" and sample.lstrip()[:1] not in ("[", "{"):
+        raise ValueError("Unsupported JSON structure; expected an array or object")
+    if packed:
+        text = unpacked_lines(spark, path, whole=fmt == "json")
+        df = spark.read.options(**options).json(text.rdd.map(lambda r: r.value))
+    else:
+        df = spark.read.options(**options, multiLine=str(fmt == "json").lower()).json(path)
+    if BAD in df.columns:
+        if fmt == "json":
+            raise ValueError(f"{path} is not valid JSON")
+        if packed:
+            lines = text.select(F.lit("").alias("file"), F.lit(0).cast("long").alias("block"), "value")
+        else:
+            lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+        number = first_bad_line(lines)
+        if number is not None:
+            raise ValueError(f"Line {number} is not valid JSON")
+        df = df.drop(BAD)
+    names = [c for c in dict.fromkeys(re.findall(r'"((?:[^"\\]|\\.)*)"\s*:', sample)) if c in df.columns]
+    df = df.select(*[F.col(f"`{c}`") for c in names + [c for c in df.columns if c not in names]])
+    if fmt == "json" and sample.lstrip()[:1] == "{":
+        lists = [f.name for f in df.schema.fields if f.dataType.typeName() == "array" and f.dataType.elementType.typeName() == "struct"]
+        if lists:
+            df = df.select(F.inline(F.col(f"`{lists[0]}`")))
+    return _flat(df)
 
 
 def read_table(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
-    """All-string table, missing cells as "", and its format.  Empty files raise ValueError."""
+    """All-string table, missing cells as "", and its format.  Empty files, lines that aren't JSON and JSON that is no table raise ValueError."""
     head, zipped = head_of(spark, path)
     sample = head.decode("utf-8", "replace")
     if not sample.strip():
         raise ValueError(f"{path} is empty")
     fmt = detect_format(path, sample)
-    if zipped and not path.endswith(".gz"):
-        # Spark picks the codec by the name, so a misnamed file is unzipped on one executor
-        unzip = F.udf(lambda b: gzip.decompress(bytes(b)).decode("utf-8", "replace"), "string")
-        text = spark.read.format("binaryFile").load(path).select(unzip("content").alias("value"))
-        if fmt != "json":
-            text = text.select(F.explode(F.split("value", r"\r?\n")).alias("value")).filter("value <> ''")
-        rows = text.rdd.map(lambda r: r.value)
-        source, single = rows, True
-    else:
-        source, single = path, False
+    # Spark picks the codec by the name; a misnamed file is unpacked as a stream
+    packed = zipped and not path.endswith(".gz")
     if fmt in ("json", "jsonl"):
-        options = {"mode": "FAILFAST", "primitivesAsString": "true"}
-        if fmt == "json":
-            options["multiLine"] = "true"
-        df = spark.read.options(**options).json(source)
-        names = [c for c in dict.fromkeys(re.findall(r'"((?:[^"\\]|\\.)*)"\s*:', sample)) if c in df.columns]
-        df = df.select(*[F.col(f"`{c}`") for c in names + [c for c in df.columns if c not in names]])
-        lists = [f.name for f in df.schema.fields if f.dataType.typeName() == "array" and f.dataType.elementType.typeName() == "struct"]
-        if fmt == "json" and lists:
-            df = df.select(F.inline(F.col(f"`{lists[0]}`")))
-        return _flat(df), fmt
-    lines = [x for x in sample.splitlines()[:50] if x.strip()]
+        return _read_json(spark, path, fmt, sample, packed), fmt
+    sep = "\t" if fmt == "tsv" else _sniff(sample)
     try:
-        dialect = csv.Sniffer().sniff("\n".join(lines[:20]), ",\t;|").delimiter
+        header = csv.Sniffer().has_header(sample)
     except csv.Error:
-        dialect = max(",\t;|", key=lines[0].count)
-    sep = "\t" if fmt == "tsv" else dialect
-    first = next(csv.reader(islice(lines, 1), delimiter=sep))
-    header = not any(NUMBER.match(x) for x in first) and len(set(first)) == len(first)
-    seen: dict[str, int] = {}
-    names = []
-    for i, x in enumerate(first):
-        x = x.strip() if header else f"col{i}"
-        names.append(x if x not in seen else f"{x}.{seen[x]}")
-        seen[x] = seen.get(x, 0) + 1
-    quoted_newline = sample.count('"') > 0 and any(x.count('"') % 2 for x in lines[:-1])
-    ddl = ", ".join(f"`{n}` string" for n in names)
-    df = spark.read.schema(ddl).csv(source, sep=sep, header=header, escape='"', multiLine=quoted_newline and not single, enforceSchema=True, encoding="UTF-8")
-    return df.select(*[F.coalesce(F.col(f"`{n}`"), F.lit("")).alias(n) for n in names]), fmt
+        header = True
+    first = next(r for r in csv.reader(io.StringIO(sample, newline=""), delimiter=sep) if r)
+    names = distinct_names(first) if header else [f"col{i}" for i in range(len(first))]
+    if packed:
+        return unpacked_rows(spark, path, names, sep, header), fmt
+    lines = [x for x in sample.splitlines()[:50] if x.strip()]
+    quoted_newline = any(x.count('"') % 2 for x in lines[:-1])
+    # one column more than there are names: a record of too many fields is an error, not cut
+    ddl = ", ".join(f"c{i} string" for i in range(len(names) + 1))
+    df = spark.read.schema(ddl).csv(path, sep=sep, header=header, escape='"', multiLine=quoted_newline, enforceSchema=True, encoding="UTF-8")
+    cells = [F.coalesce(F.col(f"c{i}"), F.lit("")) for i in range(len(names))]
+    cells[0] = F.when(F.col(f"c{len(names)}").isNotNull(), F.raise_error(F.lit(f"{path}: a record has more than {len(names)} fields"))).otherwise(cells[0])
+    return df.select(*[c.alias(n) for c, n in zip(cells, names, strict=True)]), fmt
 
 
 def _flat(df: DataFrame) -> DataFrame:
