@@ -59,9 +59,11 @@ def test_without_broadcasts(spark, monkeypatch):
 
 def test_blocks_hold_every_posting(spark):
     docs, _ = frames(spark, DOCS, ITEMS)
-    held = lexical.index(docs).filter("term is not null").select("term", F.explode(F.arrays_zip("docs", "tf", "n")).alias("p")).collect()
+    rows = lexical.index(docs).collect()
+    batches = {r.block: r for r in rows if r.term is None}
+    held = [(r.term, batches[r.block].docs[k], n, batches[r.block].n[k]) for r in rows if r.term is not None for k, n in zip(r.places, r.tf, strict=True)]
     expected = [(t, i, n, sum(c.values())) for i, c in ((i, Counter(terms(t))) for i, t in DOCS) for t, n in c.items()]
-    assert sorted(((r.term, r.p.docs, r.p.tf, r.p.n) for r in held), key=str) == sorted(expected, key=str)
+    assert sorted(held, key=str) == sorted(expected, key=str)
 
 
 def test_empty_tables(spark):
