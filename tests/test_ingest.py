@@ -85,7 +85,7 @@ def test_timestamp_formats(spark, tmp_path, stamp, seconds):
 def test_mixed_formats_and_epochs(spark, tmp_path):
     df, schema = ingest.load(spark, put(tmp_path, "m.csv", "t,kind\n2024-04-03 00:00:00,a\n2024/04/03 00:00:01,b\n2024-04-03T00:00:02,a\n"))
     assert schema.primary_timestamp == "t" and df.filter("t is null").count() == 0
-    _, schema = ingest.load(spark, put(tmp_path, "n.csv", "t,x\n1712102400,a\n1712102401,b\n1712102402,a\n"))
+    _, schema = ingest.load(spark, put(tmp_path, "n.csv", "t,x\n1712102400,1\n1712102401,2\n1712102402,1\n"))
     assert roles(schema)["t"] == "numeric" and schema.primary_timestamp is None
 
 

@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import dates
 from ..functions.text import is_missing
 from ..operators.counts import column_counts
 from .packed import distinct_names, unpacked_lines, unpacked_rows
@@ -30,7 +31,7 @@ FORMATS = [
     ("%Y-%m-%dT%H:%M:%S.%f", "yyyy-M-d'T'H:m:s.[SSSSSS][SSSSS][SSSS][SSS][SS][S]"), ("%Y-%m-%dT%H:%M:%S.%f%z", "yyyy-M-d'T'H:m:s.[SSSSSS][SSSSS][SSSS][SSS][SS][S][XXX][XX]"),
     ("%Y/%m/%d %H:%M:%S.%f", "yyyy/M/d H:m:s.[SSSSSS][SSSSS][SSSS][SSS][SS][S]"), ("%d/%b/%Y:%H:%M:%S %z", "d/MMM/yyyy:H:m:s XX"), ("%d/%b/%Y:%H:%M:%S", "d/MMM/yyyy:H:m:s"), ("%d.%m.%Y %H:%M:%S", "d.M.yyyy H:m:s"),
 ]
-#: The format of a column whose values follow several of the formats.
+#: The format of a column of dates of several or of other forms.
 MIXED = "mixed"
 URL = re.compile(r"^[a-z][a-z0-9+.\-]*://\S+|\?\S*=", re.I)
 NUMBER = re.compile(r"^\s*[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|inf|nan)\s*$", re.I)
@@ -263,13 +264,13 @@ def _parses(value: str, form: str) -> bool:
 
 
 def _timestamp_format(values: list[str]) -> str | None:
-    """The pattern of the first format that 95 % of the values follow, ``mixed`` if they follow several."""
+    """The pattern of the first format that 95 % of the values follow, ``mixed`` if as many are dates of any form."""
     if sum(bool(re.search(r"[^0-9.]", v)) for v in values) < 0.5 * len(values):
         return None
     for form, java in FORMATS:
         if sum(_parses(v, form) for v in values) >= PARSE_RATE * len(values):
             return java
-    if sum(any(_parses(v, form) for form, _ in FORMATS) for v in values) >= PARSE_RATE * len(values):
+    if sum(dates.parse_one(v) is not None for v in values) >= PARSE_RATE * len(values):
         return MIXED
     return None
 
@@ -350,7 +351,7 @@ def typed(df: DataFrame, schema: Schema) -> DataFrame:
         v = F.col(f"`{c.name}`")
         v = F.when(~is_missing(v), F.trim(v) if c.role in ("numeric", "timestamp", "boolean") else v)
         if c.role == "timestamp":
-            v = F.coalesce(*[F.try_to_timestamp(v, F.lit(java)) for _, java in FORMATS]) if c.format == MIXED else F.try_to_timestamp(v, F.lit(c.format))
+            v = dates.parse(v) if c.format == MIXED else F.try_to_timestamp(v, F.lit(c.format))
         elif c.role == "numeric":
             v = F.when(v.rlike(NUMBER.pattern.replace("inf|nan", "(?i)inf|nan")), v).try_cast("double")
         elif c.role == "boolean":
