@@ -4,6 +4,7 @@ import gzip
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from vigilog.sources import ingest
 
@@ -98,3 +99,47 @@ def test_overrides(spark, tmp_path):
     for bad in ({"timestamp": "x"}, {"entity": ("nope",)}, {"entity": ("x",), "content": ("x",)}):
         with pytest.raises(ValueError):
             ingest.load(spark, path, **bad)
+
+
+def test_more_parameters_than_columns_are_a_map(spark, tmp_path):
+    import math
+    from collections import Counter
+
+    from vigilog.plans import detect
+
+    rows = [f"/p{k % 3}?" + "&".join([f"k{k * 10 + j}=v{j}" for j in range(9)] + ["all=same", f"few={k % 5}"] + ["all=last"] * (k % 7 == 0)) if k % 50 else "/none?" for k in range(5600)]
+    path = put(tmp_path, "sparse.csv", "url;kind\n" + "".join(f"{u};k{k % 4}\n" for k, u in enumerate(rows)))
+    df, schema = ingest.load(spark, path, row_number="_rid")
+    by = {c.name: c for c in schema.columns}
+    n = sum(k % 50 > 0 for k in range(5600))
+    assert by["url__params"].role == "map" and by["url__params"].n_unique == 9 * n + 2 > 49_000 and by["url__params"].n_missing == 5600 - n and by["url__path"].role == "categorical"
+    assert not any(c.startswith("url__k") for c in df.columns)
+    held = {r._rid: r.url__params for r in df.collect()}
+    assert len(held[7]) == 11 and held[7]["all"] == "last" and held[8]["all"] == "same" and held[50] == {}
+    made = detect.features(df, detect.Log.of(schema, "_rid"))
+    assert {"url__params__keys", "url__params__conc"} <= made.families.keys()
+    counted = Counter(e for m in held.values() for e in m.items())
+    for r in made.frame.select("_rid", "x__url__params__keys", "x__url__params__conc").filter("_rid % 37 = 0").collect():
+        m = held[r[0]]
+        assert r[1] == len(m) and r[2] == pytest.approx(sum(math.log1p(counted[e]) for e in m.items()) / len(m) if m else 0)
+
+
+def test_the_source_is_read_once(spark, tmp_path):
+    # a source whose values differ at each reading
+    from pyspark.sql import functions as F
+
+    df = spark.range(300).select(F.concat(F.lit("/a?x="), F.expr("uuid()")).alias("url"), F.expr("uuid()").alias("name"))
+    typed, schema = ingest.load(spark, df)
+    assert sorted(map(str, typed.collect())) == sorted(map(str, typed.collect()))
+    assert {r.url.split("=")[1] for r in typed.collect()} == {r.url__x for r in typed.collect()} >= set(next(c for c in schema.columns if c.name == "url__x").examples)
+
+
+def test_samples_are_the_first_rows(spark, tmp_path):
+    lines = [f"n{k:05d};{k}" for k in range(9000)]
+    lines += [f"w{k};word{k}" for k in range(9000, 12000)]
+    df = spark.createDataFrame([tuple(x.split(";")) for x in lines], "a string, b string").coalesce(1).repartitionByRange(6, "a").sortWithinPartitions("a")
+    numbered = df.withColumn("_n", F.monotonically_increasing_id())
+    found = ingest._samples(numbered, {"b": F.col("b")}, "_n")
+    assert found["b"] == [str(k) for k in range(1000)]
+    late = {"b": F.when(F.col("b").like("word%"), F.col("b"))}
+    assert ingest._samples(numbered, late, "_n")["b"] == [f"word{k}" for k in sorted(range(9000, 12000), key=lambda k: f"w{k}")[:1000]]

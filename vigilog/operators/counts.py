@@ -109,29 +109,43 @@ def coded(table: DataFrame, place: dict[str, int]) -> DataFrame:
     return table.select(code.alias("code"), F.coalesce(short(F.col("value")), F.lit("")).alias("value"), *[c for c in table.columns if c not in ("column", "value")])
 
 
+def matched(long: DataFrame, found: DataFrame, at: list[str]) -> DataFrame:
+    """The rows of ``long`` whose value ``found`` (unique by ``at``, with a count ``c``) holds.
+
+    If ``found`` is more than can be broadcast, its most frequent values are
+    broadcast all the same, by a count that so many values can't have, and the rest
+    are joined by a shuffle in which no value is frequent.
+    """
+    if found.count() <= BROADCAST_VALUES:
+        return long.join(F.broadcast(found), at)
+    least = found.agg(F.sum("c")).first()[0] // BROADCAST_VALUES + 1  # of at least so many rows there are no more than BROADCAST_VALUES values
+    many, few = F.broadcast(found.filter(F.col("c") >= least)), found.filter(F.col("c") < least)
+    return long.join(many, at).unionByName(long.join(F.broadcast(many.select(*at)), at, "left_anti").join(few, at))
+
+
 def look_up(df: DataFrame, key: str, named: dict[str, Column], found: DataFrame, wanted: dict[str, tuple[int, str]]) -> DataFrame:
     """key and the ``wanted`` columns (name: place of the value and measure), from ``found`` (code, value, measures), null where it has none.
 
     All values are looked up together: rows are dealt out by key once, unpivoted,
-    joined, and put together again in the same task.  If ``found`` is more than can
-    be broadcast, its most frequent values are broadcast all the same, by a count
-    ``c`` that so many values can't have, and the rest are joined by a shuffle
-    in which no value is frequent.
+    joined, and put together again in the same task.
     """
-    measures = [c for c in found.columns if c not in ("code", "value")]
-    long = df.repartition(key).select(key, cells(named))
-    at = ["code", "value"]
-    if found.count() <= BROADCAST_VALUES:
-        joined = long.join(F.broadcast(found), at)
-    else:
-        total = found.agg(F.sum("c")).first()[0]
-        least = total // BROADCAST_VALUES + 1  # of at least so many rows there are no more than BROADCAST_VALUES values
-        many, few = F.broadcast(found.filter(F.col("c") >= least)), found.filter(F.col("c") < least)
-        joined = long.join(many, at).unionByName(long.join(F.broadcast(found.filter(F.col("c") >= least).select(*at)), at, "left_anti").join(few, at))
+    joined = matched(df.repartition(key).select(key, cells(named)), found, ["code", "value"])
     place = F.floor(F.col("code") / 2)
-    picked = [F.max(F.when(place == i, F.col(m))).alias(name) for name, (i, m) in wanted.items()]
-    assert all(m in measures for _, m in wanted.values())
-    return joined.groupBy(key).agg(*picked)
+    return joined.groupBy(key).agg(*[F.max(F.when(place == i, F.col(m))).alias(name) for name, (i, m) in wanted.items()])
+
+
+def map_concentration(df: DataFrame, key: str, column: str, out: str) -> DataFrame:
+    """key and ``out``: the mean of log1p of the counts of a map's entries (those of one row count 1); rows without entries are left out."""
+    from ..session import materialise
+
+    entry = lambda e: short(F.concat(F.char_length(e["key"]).cast("string"), F.lit(":"), e["key"], F.lit("="), F.coalesce(e["value"], F.lit(""))))
+    entries = F.transform(F.map_entries(F.col(column)), entry)
+    stored = materialise(df.select(F.explode(entries).alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "entries")
+    long = df.repartition(key).select(key, F.explode(entries).alias("value"))
+    sums = matched(long, stored, ["value"]).groupBy(key).agg(F.sum(F.log1p("c")).alias("_sum"), F.count(F.lit(1)).alias("_held"))
+    size = F.size(column)
+    held = df.filter(size > 0).select(key, size.alias("_size")).join(sums, key, "left")
+    return held.select(key, ((F.coalesce("_sum", F.lit(0.0)) + (F.col("_size") - F.coalesce("_held", F.lit(0))) * F.log1p(F.lit(1.0))) / F.col("_size")).alias(out))
 
 
 def placed_rows(df: DataFrame, columns: list[str], key: str) -> tuple[DataFrame, dict[str, list]]:

@@ -27,6 +27,8 @@ class Log:
     numeric: list[str] = field(default_factory=list)
     text: list[str] = field(default_factory=list)
     boolean: list[str] = field(default_factory=list)
+    #: Columns of sparse parameters.
+    maps: list[str] = field(default_factory=list)
     #: Columns that hold content, and columns that are entities by decree.
     content: tuple[str, ...] = ()
     entity: tuple[str, ...] = ()
@@ -43,7 +45,7 @@ class Log:
         """The roles of an inferred schema; URL-derived and overridden columns are content."""
         named = lambda role: [c.name for c in schema.with_role(role)]
         content = tuple(c.name for c in schema.columns if c.role == "url" or c.derived_from or c.content)
-        return cls(key, schema.primary_timestamp, named("categorical"), named("numeric"), named("text"), named("boolean"), content, tuple(c.name for c in schema.columns if c.entity))
+        return cls(key, schema.primary_timestamp, named("categorical"), named("numeric"), named("text"), named("boolean"), named("map"), content, tuple(c.name for c in schema.columns if c.entity))
 
 
 @dataclass
@@ -82,7 +84,7 @@ def features(df: DataFrame, log: Log, burst_seconds: int = 10) -> Features:
     all numeric columns are sorted and binned together.
     """
     named = [*log.categorical, *log.numeric, *log.text]
-    keep = list(dict.fromkeys([log.key, *([log.timestamp] if log.timestamp else []), *named, *log.boolean]))
+    keep = list(dict.fromkeys([log.key, *([log.timestamp] if log.timestamp else []), *named, *log.boolean, *log.maps]))
     clean = {c: F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.when(F.col(c) == 0, F.abs(c)).otherwise(F.col(c))).alias(c) for c in log.numeric if df.schema[c].dataType.typeName() in ("double", "float")}
     base = materialise(df.select(*[clean.get(c, F.col(c)) for c in keep]), "base")
     families: dict[str, str] = {}
@@ -153,6 +155,10 @@ def features(df: DataFrame, log: Log, burst_seconds: int = 10) -> Features:
         emit(f"{c}__rep", "repetition", F.log1p(f"{c}__n"))
     for c in log.boolean:
         emit(f"{c}__bool", "flag", F.coalesce(F.col(c).cast("double"), F.lit(0.0)))
+    for c in log.maps:
+        rows = rows.join(counts.map_concentration(base, log.key, c, f"{c}__common"), log.key, "left")
+        emit(f"{c}__keys", "value", F.coalesce(F.size(c), F.lit(0)).cast("double"))
+        emit(f"{c}__conc", "concentration", F.coalesce(f"{c}__common", F.lit(0.0)))
     grid, gated = None, False
     if log.timestamp:
         ts = log.timestamp

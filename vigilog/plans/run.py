@@ -35,21 +35,21 @@ def run_pipeline(spark: SparkSession, path: str, output_dir: str, entity: tuple
 
     ``single`` writes each table as one file; without it the executors write folders.
     """
-    df, schema = ingest.load(spark, path, entity=entity, content=content, timestamp=timestamp)
     key = "_rid"
+    df, schema = ingest.load(spark, path, entity=entity, content=content, timestamp=timestamp, row_number=key)
     # names that Spark would read as paths into a struct are replaced inside, and shown as they are
     inside = plain_names(df.columns)
     shown = {v: k for k, v in inside.items() if v != k}
     renamed = lambda c: inside.get(c, c)
     schema_inside = replace(schema, columns=[replace(c, name=renamed(c.name)) for c in schema.columns], primary_timestamp=renamed(schema.primary_timestamp), row_id=renamed(schema.row_id))
-    df = materialise(df.toDF(*map(renamed, df.columns)).withColumn(key, F.monotonically_increasing_id()), "typed")
+    df = materialise(df.toDF(*map(renamed, df.columns)), "typed")
     log = replace(detect.Log.of(schema_inside, key), names=shown)
     found = detect.detect(df, log, backend=backend)
     id_name = schema.row_id or "row_id"
     if schema.row_id:
         name = F.col(schema_inside.row_id)
     else:
-        # positions in the file: rows of a partition are consecutive, and partitions are in order
+        # positions in the file: row numbers of a partition are consecutive, and partitions are in order
         parts = df.groupBy(F.shiftright(key, 33).alias("_part")).agg(F.count(F.lit(1)).alias("n"))
         start = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         starts = F.broadcast(parts.select("_part", start.alias("_start")))  # a row for each partition of the file

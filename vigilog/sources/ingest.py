@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 from ..functions import dates
 from ..functions.text import is_missing
 from ..operators.counts import column_counts
+from ..session import materialise
 from .packed import distinct_names, unpacked_lines, unpacked_rows
 
 SAMPLE = 1000
 PARSE_RATE, URL_RATE = 0.95, 0.70
 HEAD_BYTES = 64 << 10
-#: A URL column of more distinct parameters is refused, not cut.
+#: A URL column of more distinct parameters keeps them in a map instead of a column each.
 MAX_KEYS = 1000
 
 # Boolean tokens and timestamp formats (strptime form and the pattern Spark reads it with).
@@ -226,23 +227,28 @@ def _flat(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def expand_urls(df: DataFrame, columns: list[str], order: str | None = None) -> DataFrame:
-    """Add ``<c>__path`` and ``<c>__<param>`` for every key seen in any row, by first appearance in ``order``; the last duplicate of a key wins."""
+def expand_urls(df: DataFrame, columns: list[str], order: str | None = None, max_keys: int = MAX_KEYS) -> DataFrame:
+    """Add ``<c>__path`` and ``<c>__<param>`` for every key seen in any row, by first appearance in ``order``; the last duplicate of a key wins.
+
+    A column of more than ``max_keys`` keys gets one map ``<c>__params`` of all of a row's parameters instead.
+    """
     for c in columns:
         query = F.regexp_extract(F.coalesce(c, F.lit("")), r"\?([^#]*)", 1)
         pair = lambda p: F.struct(F.try_url_decode(F.substring_index(p, "=", 1)).alias("k"), F.try_url_decode(F.regexp_extract(p, "=(.*)", 1)).alias("v"))
         pairs = F.transform(F.filter(F.split(query, "&"), lambda p: p.contains("=") | (p != "")), pair)
         df = df.withColumn("_pairs", pairs)
-        placed = df.withColumn("_at", F.col(order) if order else F.monotonically_increasing_id())
-        place = F.min("_at")
-        found = placed.select("_at", F.posexplode("_pairs").alias("pos", "p")).groupBy(F.col("p.k").alias("k")).agg(place.alias("at"), F.min("pos").alias("pos")).filter("k <> ''").orderBy("at", "pos").limit(MAX_KEYS + 1).collect()
-        if len(found) > MAX_KEYS:
-            raise ValueError(f"{c} has more than {MAX_KEYS} distinct parameters: they aren't columns")
-        keys = [r.k for r in found]
+        placed = df.select(F.col(order).alias("_at") if order else F.monotonically_increasing_id().alias("_at"), "_pairs")
+        seen = placed.select("_at", F.posexplode("_pairs").alias("pos", "p")).groupBy(F.col("p.k").alias("k")).agg(F.min(F.struct("_at", "pos")).alias("at")).filter("k <> ''")
+        found = seen.orderBy("at").limit(max_keys + 1).collect()
+        keys = [r.k for r in found] if len(found) <= max_keys else []
         path = F.regexp_extract(F.coalesce(c, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1)
-        value = lambda k: F.coalesce(F.get(F.reverse(F.transform(F.filter("_pairs", lambda p: p["k"] == k), lambda p: p["v"])), F.lit(0)), F.lit(""))
+        last = lambda k: F.coalesce(F.get(F.reverse(F.transform(F.filter("_pairs", lambda p: p["k"] == k), lambda p: p["v"])), F.lit(0)), F.lit(""))
+        new = [("path", path)] * ("path" not in keys) + [(k, last(k)) for k in keys]
+        if len(found) > max_keys:
+            own = F.array_distinct(F.filter(F.transform("_pairs", lambda p: p["k"]), lambda k: k != ""))
+            new.append(("params", F.map_from_arrays(own, F.transform(own, last))))
         made, taken = [], set(df.columns)
-        for name, col in [("path", path)] * ("path" not in keys) + [(k, value(k)) for k in keys]:
+        for name, col in new:
             full, n = f"{c}__{name}", 0
             while full in taken:
                 n += 1
@@ -302,19 +308,36 @@ def role_of(values: list[str], n_unique: int, ratio: float) -> tuple[str, str |
     return "text", None
 
 
-def _samples(df: DataFrame, columns: dict) -> dict[str, list[str]]:
+def _first(df: DataFrame, n: int, order: str | None) -> DataFrame:
+    """The first ``n`` rows by ``order``, a row number that counts from 0 in the first partition."""
+    if order is None:
+        return df.limit(n)
+    near = df.filter(F.col(order) < n)  # all from the first partition, which mostly has as many
+    return (near if near.count() == n else df).orderBy(order).limit(n)
+
+
+def _samples(df: DataFrame, columns: dict, order: str | None = None) -> dict[str, list[str]]:
     """The first SAMPLE non-missing values of each column: from the first rows, and by a job of its own for a column that has fewer there."""
-    head = df.limit(5 * SAMPLE).select(*[v.alias(c) for c, v in columns.items()]).collect()
+    head = _first(df, 5 * SAMPLE, order).select(*[v.alias(c) for c, v in columns.items()]).collect()
     out = {c: [r[i] for r in head if r[i] is not None][:SAMPLE] for i, c in enumerate(columns)}
     if len(head) == 5 * SAMPLE:
         for c in (c for c, found in out.items() if len(found) < SAMPLE):
-            out[c] = [r[0] for r in df.select(columns[c].alias("v")).filter("v is not null").limit(SAMPLE).collect()]
+            some = df.filter(columns[c].isNotNull())
+            out[c] = [r[0] for r in (some.orderBy(order) if order else some).limit(SAMPLE).select(columns[c]).collect()]
     return out
 
 
-def infer_schema(df: DataFrame, entity: tuple = (), content: tuple = (), timestamp: str | None = None, derived: dict | None = None) -> Schema:
-    """Roles of an all-string table: the value counts of all columns by one aggregation, and a bounded sample."""
-    names = df.columns
+def _map_column(df: DataFrame, name: str, rows: int, derived: str | None) -> Column:
+    """A map's entry: its distinct keys and the rows without any."""
+    keys = df.select(F.explode(F.map_keys(F.col(f"`{name}`"))).alias("k")).distinct().count()
+    empty = df.filter(F.coalesce(F.size(F.col(f"`{name}`")), F.lit(0)) < 1).count()
+    return Column(name, "map", keys, empty, keys / max(1, rows - empty), derived_from=derived)
+
+
+def infer_schema(df: DataFrame, entity: tuple = (), content: tuple = (), timestamp: str | None = None, derived: dict | None = None, order: str | None = None) -> Schema:
+    """Roles of an all-string table: the value counts of all columns by one aggregation, and a bounded sample of its first rows by ``order``.  Maps have the role map."""
+    maps = [f.name for f in df.schema.fields if f.dataType.typeName() == "map"]
+    names = [c for c in df.columns if c not in maps and c != order]
     unknown = {*entity, *content, *([timestamp] if timestamp else [])} - set(names)
     overlap = (set(entity) & set(content)) | ({timestamp} & {*entity, *content})
     if unknown or overlap:
@@ -323,7 +346,7 @@ def infer_schema(df: DataFrame, entity: tuple = (), content: tuple = (), timesta
     clean = df.select(*[v.alias(c) for c, v in present.items()])
     counts = column_counts(clean, names).groupBy("column").agg(F.count("value").alias("u"), F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("c"))), F.lit(0)).alias("n"), F.sum("c").alias("rows"))
     stats = {r["column"]: r for r in counts.collect()}
-    samples = _samples(df, present)
+    samples = _samples(df, present, order)
     rows = max((r.rows for r in stats.values()), default=0)
     columns = []
     for c in names:
@@ -338,17 +361,21 @@ def infer_schema(df: DataFrame, entity: tuple = (), content: tuple = (), timesta
                 raise ValueError(f"{c} does not parse as a timestamp")
             role = "timestamp"
         columns.append(Column(c, role, unique, rows - held, ratio, tuple(values[:5]), pattern, (derived or {}).get(c), _subtype(values) if role == "numeric" else None, c in entity, c in content))
+    columns += [_map_column(df, c, rows, (derived or {}).get(c)) for c in maps]
     stamps = [c for c in columns if c.role == "timestamp"]
     primary = timestamp or (min(stamps, key=lambda c: c.n_missing).name if stamps else None)
     ids = sorted((c for c in columns if c.role == "identifier"), key=lambda c: ("id" not in c.name.lower(), -c.ratio))
     return Schema(columns, rows, primary, ids[0].name if ids else None)
 
 
-def typed(df: DataFrame, schema: Schema) -> DataFrame:
-    """Columns cast by role; what does not parse becomes null."""
-    out = []
+def typed(df: DataFrame, schema: Schema, row_number: str | None = None) -> DataFrame:
+    """Columns cast by role, and the row number if it is named; what does not parse becomes null."""
+    out = [F.col(row_number)] if row_number else []
     for c in schema.columns:
         v = F.col(f"`{c.name}`")
+        if c.role == "map":
+            out.append(v)
+            continue
         v = F.when(~is_missing(v), F.trim(v) if c.role in ("numeric", "timestamp", "boolean") else v)
         if c.role == "timestamp":
             v = dates.parse(v) if c.format == MIXED else F.try_to_timestamp(v, F.lit(c.format))
@@ -360,16 +387,25 @@ def typed(df: DataFrame, schema: Schema) -> DataFrame:
     return df.select(*out)
 
 
-def load(source, path: str | DataFrame, expand: bool = True, entity: tuple = (), content: tuple = (), timestamp: str | None = None) -> tuple[DataFrame, Schema]:
-    """Read ``path`` (or take an all-string table), expand URLs, infer and type; ``source`` is the session."""
+def load(source, path: str | DataFrame, expand: bool = True, entity: tuple = (), content: tuple = (), timestamp: str | None = None, row_number: str | None = None) -> tuple[DataFrame, Schema]:
+    """Read ``path`` (or take an all-string table), expand URLs, infer and type; ``source`` is the session.
+
+    The source is read once (JSON once more for its fields) and written with its
+    row numbers; all further steps read single columns of that table.
+    ``row_number`` names a column for these numbers, which rise in the source's order.
+    """
     raw = path.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in path.columns]) if isinstance(path, DataFrame) else read_table(source, path)[0]
+    order = row_number or "_rid"
+    while order in raw.columns and row_number is None:
+        order += "_"
+    raw = materialise(raw.withColumn(order, F.monotonically_increasing_id()), "raw")
     derived = {}
     if expand:
-        before = raw.columns
-        for c in [x.name for x in infer_schema(raw).with_role("url")]:
+        before = [c for c in raw.columns if c != order]
+        for c in [x.name for x in infer_schema(raw, order=order).with_role("url")]:
             held = set(raw.columns)
-            raw = expand_urls(raw, [c])
+            raw = expand_urls(raw, [c], order)
             derived |= {x: c for x in raw.columns if x not in held}
-        raw = raw.select(*[F.col(f"`{c}`") for c in [*before, *(c for c in raw.columns if c not in before)]])
-    schema = infer_schema(raw, entity, content, timestamp, derived)
-    return typed(raw, schema), schema
+        raw = raw.select(order, *[F.col(f"`{c}`") for c in [*before, *(c for c in raw.columns if c not in before and c != order)]])
+    schema = infer_schema(raw, entity, content, timestamp, derived, order)
+    return typed(raw, schema, row_number), schema
