@@ -38,9 +38,9 @@ def qualified(spark: SparkSession, path: str) -> str:
     return re.sub("^file:/+", "file:///", full).rstrip("/")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Let Arrow batches hold at most BATCH_ROWS rows from now on."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Let Arrow batches hold at most ``rows`` rows from now on."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -38,8 +38,10 @@ BROADCAST_BYTES = 96 << 20
 MAX_HEAVY = 1 << 20
 BITS_PER_ENTRY = 12
 PROBES = 5
-#: Texts are worked on in groups of about this many tokens.
-GROUP_TOKENS = 400_000
+#: Texts are worked on in groups of about this many tokens, and of so many rows at most.
+GROUP_TOKENS, GROUP_ROWS = 800_000, 4000
+#: Distinct n-grams that a task sums up before it sends them.
+HELD_KEYS = 2_000_000
 #: A white-space byte, so never a word.
 END = b"\n"
 
@@ -183,25 +185,45 @@ def _before(ids, ends):
     return out
 
 
+def _merged(parts):
+    """Sorted distinct keys and summed counts of (keys, counts) pairs."""
+    import numpy as np
+
+    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(at, np.concatenate([c for _, c in parts]), len(keys)).astype(np.int64)
+
+
 def _partial_counts(df: DataFrame, buckets: int, order: int) -> DataFrame:
-    """bucket, hashes, counts (binary): each task's n-gram counts, summed in groups."""
+    """bucket, hashes, counts (binary): n-gram counts summed over as much of each task as HELD_KEYS keys allow."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        for _, _, ids, ends, hashes in _groups(batches, "text"):
-            if order == 1:
-                keys, counts = hashes, np.bincount(ids, minlength=len(hashes))
-            else:
-                keys, counts = np.unique(bigram_keys(hashes[_before(ids, ends)], hashes[ids]), return_counts=True)
+        def dealt(keys, counts):
             bucket = (keys % np.uint64(buckets)).astype(np.int64)
             sort = np.argsort(bucket, kind="stable")
             keys, counts = keys[sort], counts[sort].astype(np.int32)
             cut = np.searchsorted(bucket[sort], np.arange(buckets + 1))
             some = np.flatnonzero(cut[1:] > cut[:-1])
             pieces = [(keys[cut[b] : cut[b + 1]].tobytes(), counts[cut[b] : cut[b + 1]].tobytes()) for b in some]
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([p[0] for p in pieces], pa.binary()), pa.array([p[1] for p in pieces], pa.binary())], names=["bucket", "hashes", "counts"])
+            return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([p[0] for p in pieces], pa.binary()), pa.array([p[1] for p in pieces], pa.binary())], names=["bucket", "hashes", "counts"])
+
+        held, size = [], 0
+        for _, _, ids, ends, hashes in _groups(batches, "text"):
+            if order == 1:
+                held.append((hashes, np.bincount(ids, minlength=len(hashes))))
+            else:
+                held.append(np.unique(bigram_keys(hashes[_before(ids, ends)], hashes[ids]), return_counts=True))
+            size += len(held[-1][0])
+            if size >= HELD_KEYS:
+                held = [_merged(held)]
+                size = len(held[0][0])
+                if size >= HELD_KEYS // 2:
+                    yield dealt(*held[0])
+                    held, size = [], 0
+        if held:
+            yield dealt(*_merged(held))
 
     return df.select("text").mapInArrow(run, "bucket int, hashes binary, counts binary")
 
@@ -209,10 +231,7 @@ def _partial_counts(df: DataFrame, buckets: int, order: int) -> DataFrame:
 def _summed(table):
     import numpy as np
 
-    keys = np.concatenate([np.frombuffer(x, np.uint64) for x in table["hashes"].to_pylist()])
-    counts = np.concatenate([np.frombuffer(x, np.int32) for x in table["counts"].to_pylist()])
-    keys, at = np.unique(keys, return_inverse=True)
-    return keys, np.bincount(at, counts, len(keys)).astype(np.int64)
+    return _merged([(np.frombuffer(k, np.uint64), np.frombuffer(c, np.int32)) for k, c in zip(table["hashes"].to_pylist(), table["counts"].to_pylist(), strict=True)])
 
 
 def unigrams(train: DataFrame, buckets: int) -> DataFrame:
@@ -324,6 +343,17 @@ def _by_shuffle(docs: DataFrame, segments: DataFrame, buckets: int, heavy, n: in
     shared = docs.sparkSession.sparkContext.broadcast(heavy)
     one_of = lambda x: (x % buckets).astype("int64")
 
+    def packed(ids):
+        import pyarrow as pa
+
+        return pa.compress(ids.astype("int32").tobytes(), codec="zstd", asbytes=True) + len(ids).to_bytes(8, "little")
+
+    def unpacked(data):
+        import numpy as np
+        import pyarrow as pa
+
+        return np.frombuffer(pa.decompress(data[:-8], 4 * int.from_bytes(data[-8:], "little"), codec="zstd", asbytes=True), np.int32).astype(np.int64)
+
     def pack(batches):
         import pyarrow as pa
         from pyspark import TaskContext
@@ -332,13 +362,13 @@ def _by_shuffle(docs: DataFrame, segments: DataFrame, buckets: int, heavy, n: in
         for batch, first, ids, ends, hashes in _groups(batches, "text"):
             part = batch.slice(first, len(ends))
             whole = lambda c: pa.ListArray.from_arrays(pa.array([0, len(ends)], pa.int32()), c)  # noqa: E731, B023
-            yield pa.RecordBatch.from_arrays([pa.array([group]), whole(part.column(0)), whole(part.column(1)), *(pa.array([x.tobytes()], pa.binary()) for x in (ids, ends, hashes))], names=["group", "doc_id", "held_out", "ids", "ends", "hashes"])
+            yield pa.RecordBatch.from_arrays([pa.array([group]), whole(part.column(0)), whole(part.column(1)), *(pa.array([x], pa.binary()) for x in (packed(ids), ends.tobytes(), hashes.tobytes()))], names=["group", "doc_id", "held_out", "ids", "ends", "hashes"])
             group += len(ends)  # a group has the number of its first row
 
     def read(r):
         import numpy as np
 
-        return np.frombuffer(r["ids"], np.int64), np.frombuffer(r["ends"], np.int64), np.frombuffer(r["hashes"], np.uint64)
+        return unpacked(r["ids"]), np.frombuffer(r["ends"], np.int64), np.frombuffer(r["hashes"], np.uint64)
 
     def keys_of(ids, ends, hashes):
         u, w, _ = _bigrams(ids, ends, hashes)
@@ -403,7 +433,7 @@ def score(df: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text
     """
     import numpy as np
 
-    small_batches(df.sparkSession)
+    small_batches(df.sparkSession, GROUP_ROWS)
     docs = df.select(F.col(id_col).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     train = docs.filter(~F.col("held_out"))
