@@ -1,9 +1,7 @@
-"""Robust deviations, percentile ranks, knee thresholds and the isolation forest."""
+"""Robust deviations, percentile ranks and knee thresholds."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,87 +126,3 @@ def knee_threshold(df: DataFrame, col: str, key: str) -> tuple[float, str]:
     if found is not None:
         return found.threshold, "kneedle_descending"
     return geometric_knee(finite, col, key).first().threshold, "max_distance_descending_fallback"
-
-
-def _mean_path(m: int) -> float:
-    """The mean path of a failed search among ``m`` rows."""
-    return 0.0 if m <= 1 else 2 * (math.log(m - 1) + 0.5772156649015329) - 2 * (m - 1) / m
-
-
-def forest_scores(df: DataFrame, columns: list[str], key: str, trees: int = 100, sample: int = 4096, seed: int = 7, out: str = "ml_score") -> DataFrame:
-    """Add extended-isolation-forest scores (two-feature hyperplanes).
-
-    Each tree is grown in its own task from its ``sample`` rows of smallest keyed
-    hash; the trees are bounded by trees x sample and broadcast for scoring.
-    """
-    spark = df.sparkSession
-    n = df.count()
-    # Each row draws as many trees as the drawn share asks for, a third more than needed, so that the trees fill
-    # whatever the hashes; of these each tree takes the rows of smallest hash.
-    wanted = 1.3 * trees * sample / max(n, 1)
-    unit = lambda *x: F.pmod(F.xxhash64(key, *map(F.lit, x), F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-    whole, part = int(wanted), wanted - int(wanted)
-    if wanted > trees / 2:
-        pool = df.select(key, *columns).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    else:
-        drawn = F.when(unit("part") < part, F.lit(whole + 1)).otherwise(F.lit(whole))
-        pool = df.select(key, *columns, drawn.alias("rounds")).filter("rounds > 0")
-        pool = pool.withColumn("round", F.explode(F.sequence(F.lit(1), F.col("rounds"))))
-        pool = pool.withColumn("tree", F.pmod(F.xxhash64(key, "round", F.lit(seed + 1)), F.lit(trees)).cast("int")).drop("round", "rounds").distinct()
-    pool = pool.withColumn("draw", F.pmod(F.xxhash64(key, "tree", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40))
-
-    def grow(pdf):
-        import numpy as np
-        import pandas as pd
-
-        tree = int(pdf.tree.iloc[0])
-        rng = np.random.default_rng(seed * 1_000_003 + tree)
-        x = pdf.sort_values(["draw", key]).head(sample)[columns].to_numpy(float)
-        depth = int(np.ceil(np.log2(max(2, len(x)))))
-
-        # nodes by number: features, weights, cut, left and right child; a leaf has no children and holds its rows' mean path
-        nodes: list[list[float]] = []
-
-        def node(rows, level):
-            at = len(nodes)
-            part = x[rows]
-            live = np.flatnonzero(part.max(0) > part.min(0)) if len(rows) else []
-            if level >= depth or len(rows) <= 1 or not len(live):
-                nodes.append([0, 0, 0.0, 0.0, 0.0, -1, -1, level + _mean_path(len(rows))])
-                return at
-            picked = rng.choice(live, min(2, len(live)), replace=False)
-            w = rng.normal(size=len(picked))
-            p = part[:, picked] @ w
-            cut = rng.uniform(p.min(), p.max())
-            nodes.append([picked[0], picked[-1], w[0], w[1] if len(w) > 1 else 0.0, cut, 0, 0, 0.0])
-            left = p < cut
-            nodes[at][5:7] = node(rows[left], level + 1), node(rows[~left], level + 1)
-            return at
-
-        node(np.arange(len(x)), 0)
-        return pd.DataFrame({"tree": [tree], "size": [len(x)], "nodes": [np.array(nodes, float).tobytes()]})
-
-    grown = pool.groupBy("tree").applyInPandas(grow, "tree int, size int, nodes binary").collect()
-    shared = spark.sparkContext.broadcast([(r["size"], bytes(r.nodes)) for r in sorted(grown, key=lambda r: r.tree)])
-
-    @F.pandas_udf("double")
-    def score(*series):
-        import numpy as np
-        import pandas as pd
-
-        x = np.column_stack([s.to_numpy(float) for s in series])
-        total, norm = np.zeros(len(x)), []
-        for size, nodes in shared.value:
-            t = np.frombuffer(nodes, float).reshape(-1, 8)
-            one, two, left, right = (t[:, k].astype(np.int64) for k in (0, 1, 5, 6))
-            norm.append(_mean_path(size))
-            at, alive = np.zeros(len(x), np.int64), np.arange(len(x))
-            while len(alive := alive[left[at[alive]] >= 0]):
-                k = at[alive]
-                p = x[alive, one[k]] * t[k, 2] + x[alive, two[k]] * t[k, 3]
-                at[alive] = np.where(p < t[k, 4], left[k], right[k])
-            total += t[at, 7]
-        mean = max(float(np.mean(norm)) if norm else 1.0, 1e-9)
-        return pd.Series(np.clip(2 ** (-(total / max(1, len(norm))) / mean), 0, 1))
-
-    return df.withColumn(out, score(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns]))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import counts, diagnose, entities, robust, timing
+from ..operators import counts, diagnose, entities, forest, robust, timing
 from ..session import materialise
 from ..sources import ingest
 from . import detect, evaluate
@@ -357,10 +357,35 @@ def rule_attribution(spark, d):
     return evaluate.attribution(_decided(spark, d).frame.withColumn("planted", (F.col("event_type") == "purchase").cast("int")))
 
 
-@query()
+def _forest_sql(depth: int = 12, trees: int = 100, sample: int = 4096, seed: int = 7) -> str:
+    """The forest over (value, n) of the events, level by level: each node's digest draws, and the way of all rows through them."""
+    from ..operators.forest import UNIT
+
+    u = lambda *parts: f"(CAST('0x' || substr(md5(concat_ws('|', {seed}, {', '.join(parts)})), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE)"
+    number = lambda d, k: f"CAST('0x' || substr({d}, {4 * k + 1}, 4) AS BIGINT)"
+    normal = lambda d: f"((({' + '.join(number(d, k) for k in range(8))}) / 65536.0::DOUBLE - 4.0::DOUBLE) * {UNIT!r}::DOUBLE)"
+    parts = [f"""e AS MATERIALIZED (SELECT event_id, coalesce(value, 0) AS x0, CAST(count(event_type) OVER (PARTITION BY event_type) AS DOUBLE) AS x1 FROM events), size AS (SELECT count(*) AS held FROM e),
+r0 AS MATERIALIZED (SELECT t.tree, 1 AS node, event_id, x0, x1 FROM e, range({trees}) t(tree), size WHERE held <= {sample} OR {u("t.tree", "event_id")} < {sample}.0::DOUBLE / held)"""]
+    for d in range(depth):
+        parts.append(f"""b{d} AS (SELECT tree, node, count(*) AS n, min(x0) AS l0, max(x0) AS h0, min(x1) AS l1, max(x1) AS h1 FROM r{d} GROUP BY 1, 2),
+f{d} AS (SELECT *, h0 > l0 AND (h1 <= l1 OR md5(concat_ws('|', {seed}, tree, node, 'feature', 0)) < md5(concat_ws('|', {seed}, tree, node, 'feature', 1))) AS first, h0 > l0 AND h1 > l1 AS two, md5(concat_ws('|', {seed}, tree, node, 'weight', 0)) AS d1, md5(concat_ws('|', {seed}, tree, node, 'weight', 1)) AS d2 FROM b{d} WHERE n > 1 AND (h0 > l0 OR h1 > l1) AND {d} < (SELECT ceil(log2(greatest(2, least({sample}, held)))) FROM size)),
+w{d} AS (SELECT *, {normal("d1")} AS w1, CASE WHEN two THEN {normal("d2")} ELSE 0 END AS w2, {u("tree", "node", "'point'", "0")} AS u1, {u("tree", "node", "'point'", "1")} AS u2, CASE WHEN first THEN l0 ELSE l1 END AS la, CASE WHEN first THEN h0 ELSE h1 END AS ha, CASE WHEN first = two THEN l1 ELSE l0 END AS lb, CASE WHEN first = two THEN h1 ELSE h0 END AS hb FROM f{d}),
+n{d} AS MATERIALIZED (SELECT tree, node, first, two, w1, w2, w1 * (la + u1 * (ha - la)) + w2 * (lb + u2 * (hb - lb)) AS cut FROM w{d}),
+r{d + 1} AS MATERIALIZED (SELECT tree, 2 * node + CASE WHEN (CASE WHEN first THEN x0 ELSE x1 END) * w1 + (CASE WHEN first = two THEN x1 ELSE x0 END) * w2 >= cut THEN 1 ELSE 0 END AS node, event_id, x0, x1 FROM r{d} JOIN n{d} USING (tree, node)),
+k{d} AS (SELECT b.tree, b.node, {d} + CASE WHEN n > 1 THEN 2 * (ln(n - 1) + 0.5772156649015329) - 2.0 * (n - 1) / n ELSE 0 END AS path FROM b{d} b ANTI JOIN n{d} USING (tree, node))""")
+    parts.append(f"""k{depth} AS (SELECT tree, node, {depth} + CASE WHEN count(*) > 1 THEN 2 * (ln(count(*) - 1) + 0.5772156649015329) - 2.0 * (count(*) - 1) / count(*) ELSE 0 END AS path FROM r{depth} GROUP BY 1, 2),
+usual AS (SELECT avg(CASE WHEN n > 1 THEN 2 * (ln(n - 1) + 0.5772156649015329) - 2.0 * (n - 1) / n ELSE 0 END) AS c, count(*) AS trees FROM b0), leaves AS MATERIALIZED ({" UNION ALL ".join(f"SELECT * FROM k{d}" for d in range(depth + 1))}),
+nodes AS MATERIALIZED ({" UNION ALL ".join(f"SELECT * FROM n{d}" for d in range(depth))}), p0 AS MATERIALIZED (SELECT event_id, x0, x1, tree, 1 AS node FROM e, (SELECT DISTINCT tree FROM r0))""")
+    for d in range(depth):
+        parts.append(f"""p{d + 1} AS MATERIALIZED (SELECT event_id, x0, x1, p.tree, CASE WHEN cut IS NULL THEN p.node ELSE 2 * p.node + CASE WHEN (CASE WHEN first THEN x0 ELSE x1 END) * w1 + (CASE WHEN first = two THEN x1 ELSE x0 END) * w2 >= cut THEN 1 ELSE 0 END END AS node FROM p{d} p LEFT JOIN nodes n ON p.tree = n.tree AND p.node = n.node)""")
+    return f"""WITH {", ".join(parts)}
+SELECT event_id, round(pow(2.0, -(sum(coalesce(path, floor(log2(p.node)))) / any_value(trees)) / any_value(c)), 6) AS ml_score FROM p{depth} p LEFT JOIN leaves l ON p.tree = l.tree AND p.node = l.node, usual GROUP BY event_id"""
+
+
+@query(_forest_sql())
 def forest_scores(spark, d):
     df = counts.value_counts(read(spark, d, "events"), "event_type", "n")
-    return robust.forest_scores(df, ["value", "n"], "event_id").select("event_id", r6("ml_score").alias("ml_score"))
+    return forest.forest_scores(df, ["value", "n"], "event_id").select("event_id", r6("ml_score").alias("ml_score"))
 
 
 @query("""WITH x AS (SELECT l.doc_id, l.toxic = 1 AS planted, l.quality = 0 OR d.n_chars < 400 AS is_bot, d.lang FROM labels l JOIN documents d USING (doc_id)), g AS (SELECT CAST(NULL AS VARCHAR) AS archetype, planted, is_bot FROM x UNION ALL SELECT lang, planted, is_bot FROM x WHERE planted),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as texts
-from ..operators import counts, entities, robust, rules, timing
+from ..operators import counts, entities, forest, robust, rules, timing
 from ..session import materialise
 
 # Floors of the adaptive cuts and limits of the rules.
@@ -262,7 +262,7 @@ def ml_scores(df: DataFrame, columns: list[str], key: str, backend: str) -> tupl
         return df.withColumn("ml_score", F.lit(0.5)), "degenerate"
     if backend == "deviation":
         return robust.deviation_score(df, columns), backend
-    return robust.forest_scores(df, columns, key), backend
+    return forest.forest_scores(df, columns, key), backend
 
 
 def detect(df: DataFrame, log: Log, burst_seconds: int = 10, backend: str = "forest", cutoff: float = 0.70, max_ml_rate: float = 0.02) -> Detection:
