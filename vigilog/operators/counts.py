@@ -85,16 +85,20 @@ def joint(columns: list[str]) -> Column:
     return short(F.concat(*[F.coalesce(F.concat(F.char_length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-")) for c in columns]))
 
 
-def cells(named: dict[str, Column]) -> Column:
-    """Rows (code, value), one for each of the named values: twice the value's place, plus one where it is missing, and its short form."""
-    return F.inline(F.array(*[F.struct((F.lit(2 * i) + v.isNull().cast("int")).alias("code"), F.coalesce(short(v), F.lit("")).alias("value")) for i, v in enumerate(named.values())]))
+def cells(df: DataFrame, keep: list[str], named: dict[str, Column]) -> DataFrame:
+    """The columns ``keep`` with (code, value), a row for each named value: twice its place, plus one where it is missing, and its short form.
+
+    Only the cast to text is written out for each column; all else is done once, behind the unpivot.
+    """
+    long = df.select(*keep, F.posexplode(F.array(*[v.cast("string") for v in named.values()])).alias("_place", "_v"))
+    return long.select(*keep, (2 * F.col("_place") + F.col("_v").isNull().cast("int")).alias("code"), F.coalesce(short(F.col("_v")), F.lit("")).alias("value"))
 
 
 def store(df: DataFrame, named: dict[str, Column]) -> DataFrame:
     """code, value, c: the written value counts of all the named values, missing ones apart, by one aggregation."""
     from ..session import materialise
 
-    return materialise(df.select(cells(named)).groupBy("code", "value").agg(F.count(F.lit(1)).alias("c")), "counts")
+    return materialise(cells(df, [], named).groupBy("code", "value").agg(F.count(F.lit(1)).alias("c")), "counts")
 
 
 def as_column_counts(stored: DataFrame, names: list[str]) -> DataFrame:
@@ -129,9 +133,9 @@ def look_up(df: DataFrame, key: str, named: dict[str, Column], found: DataFrame,
     All values are looked up together: rows are dealt out by key once, unpivoted,
     joined, and put together again in the same task.
     """
-    joined = matched(df.repartition(key).select(key, cells(named)), found, ["code", "value"])
-    place = F.floor(F.col("code") / 2)
-    return joined.groupBy(key).agg(*[F.max(F.when(place == i, F.col(m))).alias(name) for name, (i, m) in wanted.items()])
+    joined = matched(cells(df.repartition(key), [key], named), found, ["code", "value"])
+    picked = [F.expr(f"max(CASE WHEN _place = {i} THEN `{m}` END) AS `{name}`") for name, (i, m) in wanted.items()]
+    return joined.withColumn("_place", F.floor(F.col("code") / 2)).groupBy(key).agg(*picked)
 
 
 def map_concentration(df: DataFrame, key: str, column: str, out: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -20,30 +21,33 @@ def quantile_bins(df: DataFrame, col: str, key: list[str], bins: int = 8, out: s
     return some.unionByName(none)
 
 
-def all_bins(df: DataFrame, columns: list[str], key: str, bins: int = 8) -> tuple[dict[str, Column], dict[str, float]]:
-    """The quantile bin of every numeric column as an expression, and the columns' medians (none for columns without a value).
+def all_bins(df: DataFrame, columns: list[str], key: str, bins: int = 8) -> tuple[Column, dict[str, float]]:
+    """The quantile bins of all numeric columns as one array, and the columns' medians (none for columns without a value).
 
     The bins are those of ``quantile_bins`` with one ordering ``key``: bin b begins
     at rank b (n - 1) div bins + 2 of the n values, so the rows of these ranks are
-    all that the expressions need of the table.
+    all that the expression needs of the table.
     """
     rows, stretches = placed_rows(df, columns, key)
     size = {c: sum(n for _, _, n in stretches[c]) for c in columns}
-    # ranks from 0; a bin that would begin past the last row has none
+    # ranks from 0
     begins = {c: [b * (size[c] - 1) // bins + 1 for b in range(1, bins)] if size[c] > 1 else [] for c in columns}
     middle = {c: [(size[c] - 1) // 2, size[c] // 2] for c in columns if size[c]}
     found = rows_of_rank(rows, stretches, {c: begins[c] + middle.get(c, []) for c in columns})
-    made = {}
-    for c in columns:
-        v, at = F.col(c).cast("double"), F.lit(0)
-        for rank in begins[c]:
-            if (c, rank) in found:
-                least, by = found[c, rank]
-                at = at + ((v > F.lit(least)) | ((v == F.lit(least)) & (F.col(key) >= F.lit(by)))).cast("int")
-        made[c] = F.when(v.isNull() | F.isnan(v) | F.lit(size[c] < 2), F.lit(-1)).otherwise(at)
+    kind = df.schema[key].dataType.simpleString()
+    bounds = [[(float(found[c, r][0]), found[c, r][1]) for r in begins[c] if (c, r) in found] if size[c] > 1 else None for c in columns]
+    known = df.sparkSession.createDataFrame([], f"b array<array<struct<v:double,k:{kind}>>>").schema["b"].dataType
+    table = F.from_json(F.lit(_json(bounds)), known.json(), {"allowNonNumericNumbers": "true"}) if kind in ("bigint", "int", "string") else F.array(*[F.array(*[F.struct(F.lit(v).alias("v"), F.lit(k).alias("k")) for v, k in b]) if b else F.lit(None) for b in bounds])
+    values = F.array(*[F.col(c).cast("double") for c in columns])
+    begun = lambda v, i: F.size(F.filter(F.get(table, i), lambda b: (v > b["v"]) | ((v == b["v"]) & (F.col(key) >= b["k"]))))
+    made = F.transform(values, lambda v, i: F.when(v.isNull() | F.isnan(v) | F.get(table, i).isNull(), F.lit(-1)).otherwise(begun(v, i)))
     return made, {c: sum(found[c, r][0] for r in middle[c]) / 2 for c in middle}
 
 
+def _json(bounds: list) -> str:
+    return json.dumps([b if b is None else [{"v": v, "k": k} for v, k in b] for b in bounds])
+
+
 def normal_entropy(counts: DataFrame, keys: list[str], out: str) -> DataFrame:
     """Entropy of the counts ``c`` per key over the log of their sum (0 for one row), and that sum as volume."""
     n = F.sum("c")
@@ -51,20 +55,33 @@ def normal_entropy(counts: DataFrame, keys: list[str], out: str) -> DataFrame:
     return counts.groupBy(*keys).agg(value.alias(out), n.alias("volume"))
 
 
-def _behaviour(columns: list[tuple[str, list[str]]]):
-    """For each (entity column, its behaviour columns): rows (column, value, of, v) by one unpivot."""
-    return F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"), F.lit(b).alias("of"), F.col(b).cast("string").alias("v")) for c, others in columns for b in others]))
+#: Behaviours that a table holds as one array; their names are places in it.
+BINS = "_bins"
 
 
-def diversities(df: DataFrame, columns: list[tuple[str, list[str]]]) -> DataFrame:
-    """column, value, diversity (mean normal entropy over the behaviour columns, 1.0 below two rows or without any), volume; a missing value is a value."""
-    bare = [c for c, others in columns if not others]
+def diversities(df: DataFrame, columns: list[tuple[str, list[str]]], n_bins: int = 0) -> DataFrame:
+    """column, value, diversity (mean normal entropy over the behaviour columns, 1.0 below two rows or without any), volume; a missing value is a value.
+
+    The first ``n_bins`` entries of the array BINS are behaviours of every column.
+    """
+    bare = [c for c, others in columns if not others and not n_bins]
+    some = [(c, others) for c, others in columns if c not in bare]
     parts = []
-    if len(bare) < len(columns):
-        counts = df.select(_behaviour(columns)).groupBy("column", "value", "of", "v").agg(F.count(F.lit(1)).alias("c"))
-        each = normal_entropy(counts, ["column", "value", "of"], "d")
+    if some:
+        every = list(dict.fromkeys(b for _, others in some for b in others))
+        held = F.array(*[F.col(b).cast("string") for b in every])
+        if n_bins:
+            held = F.concat(held.cast("array<string>"), F.col(BINS).cast("array<string>"))
+        named = F.inline(F.array(*[F.struct(F.lit(i).alias("who"), F.col(c).cast("string").alias("value")) for i, (c, _) in enumerate(some)]))
+        rows = df.select(named, held.alias("all")).select("who", "value", F.posexplode("all").alias("of", "v"))
+        for i, (_, others) in enumerate(some):
+            if left := [k for k, b in enumerate(every) if b not in others]:
+                rows = rows.filter(~((F.col("who") == i) & F.col("of").isin(left)))
+        counts = rows.groupBy("who", "value", "of", "v").agg(F.count(F.lit(1)).alias("c"))
+        each = normal_entropy(counts, ["who", "value", "of"], "d")
         mean = F.when(F.max("volume") < 2, 1.0).otherwise(F.avg("d"))
-        parts.append(each.groupBy("column", "value").agg(mean.alias("diversity"), F.max("volume").alias("volume")))
+        per = each.groupBy("who", "value").agg(mean.alias("diversity"), F.max("volume").alias("volume"))
+        parts.append(per.select(F.element_at(F.array(*[F.lit(c) for c, _ in some]), F.col("who") + 1).alias("column"), "value", "diversity", "volume"))
     if bare:
         parts.append(column_counts(df, bare).select("column", "value", F.lit(1.0).alias("diversity"), F.col("c").alias("volume")))
     return reduce(DataFrame.union, parts)
@@ -88,9 +105,9 @@ def degrees(df: DataFrame, columns: list[str]) -> DataFrame:
     return linked.groupBy("column", "value").agg(F.count(F.when(~F.col("other").eqNullSafe(F.col("value")), F.lit(1))).alias("degree"))
 
 
-def entity_table(df: DataFrame, columns: list[str], behaviour: list[str]) -> DataFrame:
+def entity_table(df: DataFrame, columns: list[str], behaviour: list[str], n_bins: int = 0) -> DataFrame:
     """column, value, diversity over the other behaviour columns, volume, degree over the other entity columns (0 without any)."""
-    made = diversities(df, [(c, [b for b in behaviour if b != c]) for c in columns])
+    made = diversities(df, [(c, [b for b in behaviour if b != c]) for c in columns], n_bins)
     if len(columns) < 2:
         return made.withColumn("degree", F.lit(0).cast("long"))
     return _same(made, degrees(df, columns), "left").withColumn("degree", F.coalesce("degree", F.lit(0).cast("long")))
@@ -102,7 +119,7 @@ def _same(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
     return a.join(b, (F.col("column") == F.col("_column")) & F.col("value").eqNullSafe(F.col("_value")), how).drop("_column", "_value")
 
 
-def actor_graph(df: DataFrame, columns: list[str], context: list[str]) -> DataFrame:
+def actor_graph(df: DataFrame, columns: list[str], context: list[str], n_bins: int = 0) -> DataFrame:
     """column, value, degree, reverse_degree (of the same value in the other columns), volume, diversity over ``context``.
 
     ``df`` is read twice: pass a written table where it is costly.
@@ -113,7 +130,7 @@ def actor_graph(df: DataFrame, columns: list[str], context: list[str]) -> DataFr
     elsewhere = F.filter("all", lambda x: x["column"] != F.col("column"))
     nodes = nodes.join(best.withColumnRenamed("value", "value2"), F.col("value").eqNullSafe(F.col("value2")))
     nodes = nodes.select("column", "value", "degree", F.coalesce(-F.get(elsewhere, F.lit(0))["neg"], F.lit(0)).alias("reverse_degree"))
-    measured = diversities(df, [(c, context) for c in columns])
+    measured = diversities(df, [(c, context) for c in columns], n_bins)
     return _same(nodes, measured).select("column", "value", "degree", "reverse_degree", "volume", "diversity")
 
 

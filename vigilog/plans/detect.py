@@ -109,20 +109,22 @@ def features(df: DataFrame, log: Log, burst_seconds: int = 10) -> Features:
     order = {c: i for i, c in enumerate(df.columns)}
     actor = entities.actor_columns(shapes, sorted([*log.categorical, *log.text], key=order.get), log.content, log.entity)
     actor = actor if len(actor) >= 2 else []
-    bins, medians = entities.all_bins(base, log.numeric, log.key) if log.numeric else ({}, {})
+    bins, medians = entities.all_bins(base, log.numeric, log.key) if log.numeric else (F.array().cast("array<int>"), {})
 
     # the measures of a value: its count, and for entities and actors theirs
     wanted = {f"{c}__n": (place[c], "c") for c in counted}
     found = stored
-    links = base.select(*[counts.short(F.col(c)).alias(c) for c in dict.fromkeys([*log.categorical, *actor])], *[v.alias(f"{c}__bin") for c, v in bins.items()])
-    binned = [f"{c}__bin" for c in bins]
+    links = base.select(*[counts.short(F.col(c)).alias(c) for c in dict.fromkeys([*log.categorical, *actor])], bins.alias(entities.BINS))
+    n_bins = len(log.numeric)
+    if entity or actor:
+        links = materialise(links, "links")
     measured: list[DataFrame] = []
     if entity:
-        per = entities.entity_table(links, entity, log.categorical + binned)
+        per = entities.entity_table(links, entity, log.categorical, n_bins)
         measured.append(per.withColumnRenamed("volume", "entity_volume"))
         wanted |= {f"{c}__{name}": (place[c], m) for c in entity for name, m in (("diversity", "diversity"), ("volume", "entity_volume"), ("degree", "degree"))}
     if actor:
-        graph = materialise(entities.actor_graph(links, actor, [c for c in log.categorical if c not in actor] + binned), "actors")
+        graph = materialise(entities.actor_graph(links, actor, [c for c in log.categorical if c not in actor], n_bins), "actors")
         measured.append(graph.withColumnsRenamed({"degree": "out", "reverse_degree": "back", "volume": "events", "diversity": "spread"}))
         wanted |= {f"{c}__{m}": (place[c], m) for c in actor for m in ("out", "back", "events", "spread")}
         hubs = counts.quantiles(graph.filter(F.col("degree") >= MIN_HUB).select("degree"), ["degree"], [DEGREE_SHARE])
@@ -135,9 +137,10 @@ def features(df: DataFrame, log: Log, burst_seconds: int = 10) -> Features:
         special = F.floor(F.col("code") / 2).isin([place[c] for c in {*entity, *actor}])
         looked = counts.look_up(base, log.key, counted, materialise(found.filter((F.col("c") > 1) | special), "values"), wanted)
         rows = base.join(looked, log.key, "left")
-        alone = lambda v, c: F.when(v.isNull(), 0).otherwise(F.coalesce(c, F.lit(1))).cast("long")
-        rows = rows.withColumns({f"{c}__n": alone(v, F.col(f"{c}__n")) for c, v in counted.items()})
-        rows = rows.withColumnsRenamed({"__context__n": "context__n", "__time__n": "same_time__n"})
+        shown = {"__context": "context__n", "__time": "same_time__n"}
+        held = {"__context": "true", "__time": f"`{log.timestamp}` IS NOT NULL"}
+        alone = [f"CAST(CASE WHEN {held.get(c, f'`{c}` IS NOT NULL')} THEN coalesce(`{c}__n`, 1) ELSE 0 END AS BIGINT) AS `{shown.get(c, f'{c}__n')}`" for c in counted]
+        rows = rows.selectExpr(*[f"`{c}`" for c in rows.columns if c not in {f"{c}__n" for c in counted}], *alone)
     else:
         rows = base
 
