@@ -65,12 +65,6 @@ def test_rows_are_thinned_before_they_draw_trees(spark):
     assert len(scores) == 5000 and 0.3 < min(scores) < max(scores) < 0.9
 
 
-def test_no_python_in_the_scoring(spark):
-    df = spark.range(50).selectExpr("id", "cast(id as double) a")
-    plan = forest.forest_scores(df, ["a"], "id", trees=3)._jdf.queryExecution().toString()
-    assert "Python" not in plan and "Pandas" not in plan and plan.count("Broadcast") > 0
-
-
 def test_forest_scores_uses_production_defaults(spark, monkeypatch):
     seen = {}
 
