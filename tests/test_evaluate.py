@@ -30,3 +30,17 @@ def test_null_keys_and_empty_tables(spark):
 def test_mix_keeps_the_benign_rows(spark):
     mixed = evaluate.mix(sessions(spark, {"h": 30}), sessions(spark, {f"b{i}": 2 for i in range(20)}), "session", 10)
     assert {r["planted"]: r["count"] for r in mixed.groupBy("planted").count().collect()} == {0: 30, 1: 10}
+
+
+def test_labels_slices_and_hold_out(spark):
+    rows = [(k, ["Bot-a", " Bot-b ", "Normal", "To-Normal", None, "bot"][k % 6], None if k % 11 == 0 else k % 7) for k in range(120)]
+    df = spark.createDataFrame(rows, "id long, label string, t int").repartition(5)
+    both = {(r.id, r.planted) for r in evaluate.labelled(df, "label", ("Bot",), ("Normal",)).collect()}
+    assert both == {(k, int(k % 6 < 2)) for k in range(120) if k % 6 < 3}
+    assert {r.id % 6 for r in evaluate.labelled(df, "label", ("Bot-b",), ("bot",), exact=True).collect()} == {1, 5} and evaluate.labelled(df, "label").count() == 0
+    order = sorted((r for r in rows if r[0] % 6 < 2), key=lambda r: (r[2] is None, r[2] or 0, r[0]))
+    assert [r.id for r in evaluate.earliest(evaluate.labelled(df, "label", ("Bot",)), "t", 15, "id").collect()] == [r[0] for r in order[:15]]
+    mixed = evaluate.slice_mix(df, "label", "t", "id", ("Bot",), ("Normal",), 15, 9)
+    assert mixed.columns == ["id", "t", "planted"] and sorted(r.planted for r in mixed.collect()) == [0] * 9 + [1] * 15
+    seen, truth = evaluate.held_out(mixed, "planted")
+    assert seen.columns == ["id", "t"] and truth.columns == mixed.columns

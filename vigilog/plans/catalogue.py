@@ -395,3 +395,11 @@ def planted_metrics(spark, d):
     x = read(spark, d, "labels").join(read(spark, d, "documents"), "doc_id")
     x = x.select("doc_id", (F.col("toxic") == 1).alias("planted"), ((F.col("quality") == 0) | (F.col("n_chars") < 400)).alias("is_bot"), F.col("lang").alias("archetype"))
     return evaluate.metrics(x).withColumn("recall", r6("recall")).withColumn("precision", r6("precision"))
+
+
+@query("""WITH b AS (SELECT *, CASE WHEN starts_with(trim(o_orderpriority), '1-') THEN 1 WHEN starts_with(trim(o_orderpriority), '4-') OR starts_with(trim(o_orderpriority), '5-') THEN 0 END AS planted FROM orders),
+m AS (SELECT * FROM (SELECT * FROM b WHERE planted = 1 ORDER BY o_orderdate NULLS LAST, o_orderkey LIMIT 500) UNION ALL SELECT * FROM b WHERE planted = 0)
+SELECT o_orderkey, o_custkey, planted FROM m""")
+def labelled_slice(spark, d):
+    made = evaluate.slice_mix(read(spark, d, "orders"), "o_orderpriority", "o_orderdate", "o_orderkey", ("1-",), ("4-", "5-"), 500)
+    return made.select("o_orderkey", "o_custkey", "planted")

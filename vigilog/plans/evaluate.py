@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import rules
@@ -26,6 +28,36 @@ def sample_groups(df: DataFrame, key: str, n: int, seed: int = 7) -> DataFrame:
     return df.join(kept, df[key] == kept["group"], "left_semi")
 
 
+def labelled(df: DataFrame, column: str, positive: tuple[str, ...] = (), negative: tuple[str, ...] = (), exact: bool = False) -> DataFrame:
+    """Rows whose trimmed label begins with (or, if ``exact``, is) one of the given texts, with ``planted`` 1 or 0; all other rows and null labels go."""
+    label = F.trim(F.col(column).cast("string"))
+
+    def any_of(texts: tuple[str, ...]) -> Column:
+        if exact:
+            return label.isin(*texts) if texts else F.lit(False)
+        return reduce(lambda a, b: a | b, [label.startswith(t) for t in texts], F.lit(False))
+
+    return df.withColumn("planted", F.when(any_of(positive), 1).when(any_of(negative), 0)).filter("planted is not null")
+
+
+def earliest(df: DataFrame, ts: str, n: int, key: str) -> DataFrame:
+    """The first ``n`` rows by time, then by key, so that their pace stays; rows without a time come last."""
+    return df.orderBy(F.asc_nulls_last(ts), key).limit(n)
+
+
+def held_out(df: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
+    """The table without the columns that tell the truth, and all of it for the evaluation afterwards."""
+    return df.drop(*columns), df
+
+
+def slice_mix(df: DataFrame, label: str, ts: str, key: str, positive: tuple[str, ...], negative: tuple[str, ...], n_attack: int, n_benign: int | None = None, seed: int = 7) -> DataFrame:
+    """The earliest ``n_attack`` positive rows among all negative ones, or ``n_benign`` of them by keyed hash, with ``planted`` and without the label."""
+    both = labelled(df, label, positive, negative)
+    benign = both.filter("planted = 0")
+    benign = benign if n_benign is None else sample_exact(benign, key, n_benign, seed)
+    return earliest(both.filter("planted = 1"), ts, n_attack, key).unionByName(benign).drop(label)
+
+
 def mix(benign: DataFrame, attack: DataFrame, key: str, n: int, seed: int = 7, label: str = "planted") -> DataFrame:
     """All benign rows and whole attack groups of about ``n`` rows, by column name, with the truth in ``label`` (0 or 1)."""
     taken = sample_groups(attack, key, n, seed)
