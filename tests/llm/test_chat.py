@@ -59,3 +59,18 @@ def test_chunks_keep_order_and_history(spark, monkeypatch):
                 assert x[:n] == ([turns[0]] if conv == 5 and at else []) + wanted
                 at += len(x) - n
     assert chat.windows(spark.createDataFrame([], KIND)).collect() == []
+
+
+def test_long_turns_drop_history_before_they_break_the_budget(spark):
+    sizes = {1: [100, 200, 905, 30, 900, 10], 2: [705, *[60] * 20], 3: [950, *[40] * 12, 300], 4: [1200, 5, 5, 5]}
+    rows = [(c, k, "system" if not k else ("user", "assistant")[k % 2], words(n - 1 - chat.TURN_OVERHEAD, "s" if not k else f"t{chr(97 + k)}")) for c, some in sizes.items() for k, n in enumerate(some)]
+    found = read(spark.createDataFrame(rows, KIND), budget=1024, history_tokens=256)
+    dropped = 0
+    for c, n, turns, _ in found:
+        own, system = turns[n:], sizes[c][0]
+        assert tokens(turns) <= 1024 or (len(own) == 1 and tokens(own) + system > 1024)
+        assert turns[0][0] == "system"
+        dropped += tokens(own) > 800 and n == 1
+    assert dropped >= 2  # the long turns of the first conversation keep the system turn alone
+    for c in sizes:
+        assert [t for x, n, turns, _ in found if x == c for t in turns[n:]] == [(r, t) for x, _, r, t in rows if x == c]

@@ -2,11 +2,13 @@
 
 Turn tokens are counted, and prefix sums place turns into spans.  What a window
 repeats is charged first: the leading system turn and up to ``history_tokens`` of
-the previous turns leave a capacity C (an eighth of the budget at least).  A turn
-of more than C / 2 tokens is a span of its own; the others are cut where their
-running sum passes multiples of C less the largest of them, so no span exceeds C
-and every window is turn-aligned.  So a window exceeds the budget only where its
-single turn or its system turn does.  Each window starts with the system turn and
+the previous turns leave a capacity C (an eighth of the budget at least, or what
+the system turn leaves of it).  A turn of more than C / 2 tokens is a span of its
+own; the others are cut where their running sum passes multiples of C less the
+largest of them, so no span of several turns exceeds C and every window is
+turn-aligned.  History is repeated as far as the budget allows beside the system
+turn and the span, newest first.  So a window exceeds the budget only where the
+system turn and a single turn do.  Each window starts with the system turn and
 repeats up to ``history_turns`` previous turns within ``history_tokens``; the loss
 mask covers the new assistant texts only, repeated ones are masked.
 
@@ -62,7 +64,8 @@ def _chunks(turns: DataFrame, budget: int, history_turns: int, history_tokens: i
     all_of = Window.partitionBy("conv")
     head = F.first("head").over(by_conv)
     sums = sums.withColumn("system", F.when(head["t"]["role"] == "system", head)).withColumn("chunks", F.count(F.lit(1)).over(all_of))
-    capacity = F.greatest(F.lit(room) - F.coalesce(F.col("system.size"), F.lit(0)), F.lit(budget // 8))
+    left = F.lit(budget) - F.coalesce(F.col("system.size"), F.lit(0))
+    capacity = F.greatest(left - history_tokens, F.least(F.lit(budget // 8), left), F.lit(1))
     largest = F.coalesce(F.max("largest").over(all_of), F.lit(0))
     sums = sums.withColumn("capacity", capacity).withColumn("step", F.greatest(F.col("capacity") - largest, F.floor(F.col("capacity") / 2), F.lit(1)))
     sums = sums.withColumn("at", F.coalesce(F.sum("n").over(by_conv.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -72,7 +75,7 @@ def _chunks(turns: DataFrame, budget: int, history_turns: int, history_tokens: i
     tails = split.withColumn("last", last).filter(F.col("last") <= history_turns).groupBy("conv", "chunk").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "size"))).alias("tail"))
     near = F.flatten(F.collect_list("tail").over(by_conv.rowsBetween(-max(history_turns, 1), -1)))
     tails = sums.filter("chunks > 1").select("conv", "chunk").join(tails, ["conv", "chunk"], "left").select("conv", "chunk", near.alias("prior"))
-    return sums.select("conv", "chunk", "at", "capacity", "step", F.col("system.t").alias("system")).join(tails, ["conv", "chunk"], "left")
+    return sums.select("conv", "chunk", "at", "capacity", "step", F.col("system.t").alias("system"), F.coalesce("system.size", F.lit(0)).alias("system_size")).join(tails, ["conv", "chunk"], "left")
 
 
 def windows(df: DataFrame, budget: int = 1024, history_turns: int = 2, history_tokens: int = 256) -> DataFrame:
@@ -97,12 +100,16 @@ def windows(df: DataFrame, budget: int = 1024, history_turns: int = 2, history_t
     turns = turns.withColumn("fresh", fresh).withColumn("recent", F.when(F.col("fresh"), F.slice(F.reverse(recent), 1, history_turns) if history_turns else F.array().cast("array<struct<role:string,text:string,size:int,leads:boolean>>")))
     # newest first: those whose tokens, with all newer ones, fit
     held = F.transform("recent", lambda t, i: F.struct(t.alias("t"), F.aggregate(F.slice("recent", F.lit(1), i + 1), F.lit(0), lambda a, x: a + x["size"]).alias("sum")))
-    near = F.reverse(F.transform(F.filter(held, lambda x: (x["sum"] <= history_tokens) & ~x["t"]["leads"]), lambda x: F.struct(x["t"]["role"].alias("role"), x["t"]["text"].alias("text"))))
+    near = F.transform(F.filter(held, lambda x: (x["sum"] <= history_tokens) & ~x["t"]["leads"]), lambda x: F.struct(x["sum"].alias("sum"), x["t"]["role"].alias("role"), x["t"]["text"].alias("text")))
     system = F.struct(F.col("system.role").alias("role"), F.col("system.text").alias("text"))
-    lead = F.when((F.col("pos") > 1) & F.col("system").isNotNull(), F.array(system)).otherwise(F.array().cast("array<struct<role:string,text:string>>"))
-    turns = turns.withColumn("repeated", F.when(F.col("fresh"), F.struct("pos", F.concat(lead, near).alias("turns"))))
-    made = turns.groupBy("conv", "chunk", "span").agg(F.min("repeated").alias("repeated"), F.array_sort(F.collect_list(F.struct("pos", "role", "text"))).alias("own"))
-    made = made.select(F.col("conv.conv_id").alias("conv_id"), F.col("repeated.pos").cast("long").alias("window"), F.col("repeated.turns").alias("repeated"), "own")
+    leads = (F.col("pos") > 1) & F.col("system").isNotNull()
+    lead = F.when(leads, F.array(system)).otherwise(F.array().cast("array<struct<role:string,text:string>>"))
+    charged = F.when(leads, F.col("system_size")).otherwise(0)
+    turns = turns.withColumn("repeated", F.when(F.col("fresh"), F.struct("pos", charged.alias("charged"), lead.alias("lead"), near.alias("near"))))
+    made = turns.groupBy("conv", "chunk", "span").agg(F.min("repeated").alias("repeated"), F.array_sort(F.collect_list(F.struct("pos", "role", "text"))).alias("own"), F.sum("size").alias("own_size"))
+    # of the history what the window's own turns and the system turn leave room for
+    fits = F.reverse(F.transform(F.filter("repeated.near", lambda x: x["sum"] <= budget - F.col("repeated.charged") - F.col("own_size")), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))))
+    made = made.select(F.col("conv.conv_id").alias("conv_id"), F.col("repeated.pos").cast("long").alias("window"), F.concat("repeated.lead", fits).alias("repeated"), "own")
     own = F.transform("own", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
     made = made.select("conv_id", "window", F.size("repeated").cast("long").alias("n_repeated"), F.size("own").cast("long").alias("n_turns"), F.concat("repeated", own).alias("all"))
     rendered = F.transform("all", lambda t: F.struct(F.concat(F.lit(START), escape(t["role"]), F.lit(SEP)).alias("head"), escape(t["text"]).alias("body"), t["role"].alias("role")))
