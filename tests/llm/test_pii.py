@@ -46,3 +46,23 @@ def test_many_names_stay_distinct(spark):
     made = pii.replace_entities(df, key="k")
     assert made.select("text").distinct().count() == len(names)
     assert made.join(df, "text").count() == 0 and made.filter(F.col("n_entities") != 1).count() == 0
+
+
+def test_one_phone_in_all_formats_and_one_name_under_all_titles(spark):
+    import re
+
+    phones = ["+1 555 123 4567", "+15551234567", "(555) 123-4567", "555-123-4567", "+1 (555) 123-4567"]
+    other = ["+44 20 7946 0958", "+442079460958", "+352 621 123 456", "+352621123456"]
+    names = ["Dr Anna Schmidt", "Frau Anna Schmidt", "Prof Anna Weber", "Herr Karl Weber"]
+    texts = [f"Call {p} now" for p in phones + other] + [f"Ask {n} today" for n in names]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    new = [r.text for r in pii.replace_entities(df, "key").orderBy("doc_id").collect()]
+    digits = [re.sub(r"\D", "", t) for t in new]
+    national = digits[2]
+    assert digits[:5] == ["1" + national, "1" + national, national, national, "1" + national] and national != "5551234567"
+    assert digits[5] == digits[6] != "442079460958" and digits[5].startswith("44") and digits[7] == digits[8] and digits[7].startswith("352")
+    for old, made in zip(texts, new, strict=True):
+        assert re.sub(r"[\w]", "x", old) == re.sub(r"[\w]", "x", made) or "Ask" in old
+    first = [t.split()[2] for t in new[9:]]
+    last = [t.split()[3] for t in new[9:]]
+    assert first[0] == first[1] == first[2] != "Anna" and last[0] == last[1] and last[2] == last[3] and first[3] != first[0]

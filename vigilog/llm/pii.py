@@ -3,9 +3,10 @@
 Detected entities (e-mail, phone, card of 15 or 16 digits, IPv4 and IPv6 address,
 social security number, IBAN, titled names of up to three parts) are replaced by keyed surrogates of the same type and
 format: digits stay digits, letters keep their case, separators stay, cards keep
-issuer digit and Luhn remainder, IBANs their check digits, phones their country code, names the title's
-gender and their script.  A surrogate is a function of the key and the entity's
-normal form, so all mentions agree across texts and formats; first and last
+issuer digit and Luhn remainder, IBANs their check digits, phones their country code, names the
+gender of their titles and their script.  A surrogate is a function of the key and the entity's
+normal form, so all mentions agree across texts and formats (a phone with or
+without separators or country code 1, a first name under any title); first and last
 names are mapped apart, so a short mention follows the long one.  All distinct
 entities are then checked against each other and against the originals, and
 those that clash move on to their next surrogate until none does; names are drawn
@@ -66,6 +67,10 @@ PATTERNS = {
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
+# The telephone country codes of one and two digits; all others have three.
+COUNTRIES = r"1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}"
+
+
 def kind_of(surface: Column) -> Column:
     whole = lambda k: surface.rlike(f"^(?:{PATTERNS[k]})$")
     return reduce(lambda rest, k: F.when(whole(k), F.lit(k)).otherwise(rest), reversed(PATTERNS), F.lit("name"))
@@ -148,8 +153,9 @@ def _forms(surface: Column) -> Column:
     """array of (kind, norm): what of a surface is mapped; a name is two entities."""
     kind = kind_of(surface)
     digits = F.regexp_replace(surface, r"\D", "")
-    country = F.regexp_extract(surface, r"^\+(\d{1,3})(?=[ .(-])", 1)
-    phone = F.concat(country, F.lit("|"), F.substring(digits, F.char_length(country) + 1, F.lit(40)))
+    # with or without separators; numbers without a country code are in the form of country code 1
+    country = F.when(surface.startswith("+"), F.regexp_extract(digits, f"^(?:{COUNTRIES})", 0)).otherwise("")
+    phone = F.concat(F.when(country == "", "1").otherwise(country), F.lit("|"), F.substring(digits, F.char_length(country) + 1, F.lit(40)))
     norm = F.when(kind == "email", F.lower(surface)).when(kind == "phone", phone).when(kind == "iban", F.replace(surface, F.lit(" "), F.lit(""))).when(kind == "ip", surface).when(kind == "ipv6", F.lower(surface)).otherwise(digits)
     title = F.regexp_extract(surface, rf"^({_TITLE})\.? ", 1)
     gender = reduce(lambda rest, g: F.when(title.isin(TITLES[g]), F.lit(g)).otherwise(rest), TITLES, F.lit("n"))
@@ -169,7 +175,7 @@ def _render(surface: Column, subs: Column) -> Column:
         return F.array_join(F.transform(F.split(surface, ""), lambda c, i: F.when(c.rlike(f"^[{cls}]$"), F.substring(source, place(i) + 1, F.lit(1))).otherwise(c)), "")
 
     title = F.regexp_extract(surface, rf"^(?:{_TITLE})\.? ", 0)
-    return F.when(kind == "name", F.concat(title, F.initcap(F.array_join(subs, " ")))).when(kind.isin("email", "ip"), first).when(kind == "ipv6", F.when(surface == F.upper(surface), F.upper(first)).otherwise(first)).when(kind == "iban", fill(first, "A-Z0-9")).otherwise(fill(F.replace(first, F.lit("|"), F.lit("")), "0-9"))
+    return F.when(kind == "name", F.concat(title, F.initcap(F.array_join(subs, " ")))).when(kind.isin("email", "ip"), first).when(kind == "ipv6", F.when(surface == F.upper(surface), F.upper(first)).otherwise(first)).when(kind == "iban", fill(first, "A-Z0-9")).otherwise(fill(F.when((kind == "phone") & ~surface.startswith("+"), F.substring_index(first, "|", -1)).otherwise(F.replace(first, F.lit("|"), F.lit(""))), "0-9"))
 
 
 def assign(entities: DataFrame, key: str, max_rounds: int = 30) -> DataFrame:
@@ -201,6 +207,11 @@ def replace_entities(df: DataFrame, key: str, id_col: str = "doc_id", text_col:
     some = materialise(base.filter(maybe(F.col(text_col))).withColumn(ents, F.regexp_extract_all(text_col, F.lit(ANY), F.lit(0))).withColumn(between, F.split(text_col, ANY, -1)).withColumn(row, F.monotonically_increasing_id()), "matched")
     surfaces = some.filter(F.size(ents) > 0).select(F.col(row).alias("row"), F.explode(F.array_distinct(ents)).alias("surface"))
     parts = surfaces.select("surface").distinct().select("surface", F.posexplode(_forms(F.col("surface"))).alias("place", "form")).select("surface", "place", "form.kind", "form.norm")
+    # a first name has the gender of its titles, whichever of them a mention has; of both, or none, it is neutral
+    script = F.regexp_extract("kind", "^name:([a-z]+):[fmn]$", 1)
+    seen = F.collect_set(F.when(F.col("kind").rlike(":[fm]$"), F.substring("kind", -1, 1))).over(Window.partitionBy(script, "norm"))
+    one = F.when(F.size("seen") == 1, F.get("seen", F.lit(0))).otherwise("n")
+    parts = parts.withColumn("seen", seen).withColumn("kind", F.when(script != "", F.concat_ws(":", F.lit("name"), script, one)).otherwise(F.col("kind"))).drop("seen")
     parts = materialise(parts, "forms")
     subs = parts.join(assign(parts, key), ["kind", "norm"]).groupBy("surface").agg(F.array_sort(F.collect_list(F.struct("place", "sub"))).alias("subs"))
     known = subs.select("surface", _render(F.col("surface"), F.transform("subs", lambda s: s["sub"])).alias("new"))
