@@ -47,10 +47,10 @@ def percentile_ranks(df: DataFrame, col: str, out: str = "percentile") -> DataFr
 
 
 def feature_deviations(df: DataFrame, key: str, columns: list[str], chosen, top_k: int = 5) -> DataFrame:
-    """key, feature, value, z, place: the largest deviations of the ``chosen`` rows, ties in feature order."""
+    """key, feature, value, z, place: the largest deviations of the ``chosen`` rows, ties in feature order and then, where rows share a key, by value."""
     z = robust_z(df, columns).filter(chosen)
     kv = F.inline(F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"), F.col(f"{c}__z").alias("z")) for i, c in enumerate(columns)]))
-    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(F.round(F.abs("z"), 9)), "ord"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(F.round(F.abs("z"), 9)), "ord", "value"))
     return z.select(key, kv).withColumn("place", place).filter(F.col("place") <= top_k).drop("ord")
 
 
