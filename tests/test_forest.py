@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vigilog.operators import forest
 from vigilog.plans import catalogue
@@ -75,3 +76,17 @@ def test_forest_scores_uses_production_defaults(spark, monkeypatch):
     monkeypatch.setattr(forest, "forest_scores", record)
     catalogue.QUERIES["forest_scores"](spark, "/root/testdata/sf0.001")
     assert not seen.keys() & {"trees", "sample"}
+
+
+def test_each_row_draws_its_trees_however_many_rows_there_are(spark):
+    draw = np.random.default_rng(4)
+    rows = [(k, float(draw.normal()), float(draw.normal())) for k in range(900)]
+    df = spark.createDataFrame(rows, "id long, a double, b double").repartition(3)
+    found = {str(r.id): r.ml_score for r in forest.forest_scores(df, ["a", "b"], "id", trees=3, sample=32).collect()}
+    assert found == pytest.approx(plain(rows, 3, 32), rel=1e-12)
+
+
+@pytest.mark.parametrize("share", [0.5, 1e-9, 1 / 3, 1 - 2**-33])
+def test_draws_told_from_digits_are_those_told_from_numbers(spark, share):
+    found = spark.range(2000).select(forest.below(share, F.lit(7), F.col("id").cast("string"), F.lit("x")).alias("b")).collect()
+    assert [r.b for r in found] == [forest._uniform(7, k, "x") < share for k in range(2000)]

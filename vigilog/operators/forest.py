@@ -17,8 +17,6 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows beyond so many times the forest's are thinned out before each draws its trees.
-SPARE = 4
 #: Eight uniform numbers have this deviation, upside down.
 UNIT = math.sqrt(12 / 8)
 
@@ -41,9 +39,9 @@ def _normal(*parts) -> float:
     return (sum(int(d[4 * k : 4 * k + 4], 16) for k in range(8)) / 65536 - 4) * UNIT
 
 
-def uniform_of(*parts: Column) -> Column:
-    """``_uniform`` of columns."""
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
+def below(share: float, *parts: Column) -> Column:
+    """Whether ``_uniform`` of columns is less than ``share`` (below 1), told from the digits alone."""
+    return F.md5(F.concat_ws("|", *parts)) < F.lit(f"{math.ceil(share * 2**32):08x}" if share <= 1 - 2**-32 else "g")
 
 
 #: Nodes are numbered from 1 within their tree, with the children 2n and 2n + 1.
@@ -83,14 +81,11 @@ def forest_scores(df: DataFrame, columns: list[str], key: str, trees: int = 100,
     from ..session import materialise
 
     rows = df.select(F.col(key).cast("string").alias("name"), F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns]).alias("x"))
-    n = held = df.count()
-    pool = rows
-    if n > SPARE * trees * sample:
-        pool = materialise(rows.filter(uniform_of(F.lit(seed), F.lit("any"), F.col("name")) < SPARE * trees * sample / n), "pool")
-        held = pool.count()
-    pool = pool.select("name", "x", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    held = df.count()
+    # each row draws its trees by itself, however many rows there are: so each tree has its rows whatever the others have
+    pool = rows.select("name", "x", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
     if held > sample:
-        pool = pool.filter(uniform_of(F.lit(seed), F.col("tree").cast("string"), F.col("name")) < sample / held)
+        pool = pool.filter(below(sample / held, F.lit(seed), F.col("tree").cast("string"), F.col("name")))
     depth = math.ceil(math.log2(max(2, min(sample, held))))
     # a number of its own, or so little data would go to few tasks
     grown = materialise(pool.repartition(trees, "tree").groupBy("tree").applyInPandas(_grower(seed, depth), NODE), "forest")
