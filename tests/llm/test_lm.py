@@ -47,3 +47,18 @@ def test_scores_equal_either_way_and_plain_counts(spark, monkeypatch):
     got, wanted = sorted(r[6] for r in local), sorted(brute(rows))
     # the filter may call an unseen n-gram seen, once in some hundred probes
     assert np.allclose(got, wanted, rtol=0.02)
+
+
+def test_large_filters_write_levels_only_and_join_no_tokens(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(lm, "materialise", lambda df, name, real=lm.materialise: written.append(name) or real(df, name))
+    rows = texts()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    made = lm.score(df, F.col("doc_id") % 3 == 0, bucket_bytes=20_000, broadcast_bytes=0)
+    # every n-gram of a group travels once, and its level back once
+    assert written == ["levels"] and made.count() == len(rows)
+
+
+def test_numbers_packed_by_bytes_come_back():
+    for numbers in (np.arange(0, 2**40, 2**33 + 7, np.uint64), np.array([], np.uint32), np.array([0, 255, 256], np.int64)):
+        assert (lm._unpacked(lm._packed(numbers), numbers.dtype.name) == numbers).all()

@@ -6,16 +6,18 @@ count is read back by probing level after level until one is missing.  The
 filter is cut into segments by hash bucket, each built where that bucket is
 summed; it holds every n-gram and so grows with the corpus.
 
-Up to ``broadcast_bytes`` the segments are broadcast and probed where the texts
-are.  A larger filter isn't broadcast: the distinct n-grams of each group of texts
-travel to their segments, are probed there and come back as levels.  Both ways
-probe the same segments and give the same scores.
+A filter that can't be over ``broadcast_bytes`` is broadcast and probed where the texts
+are.  Otherwise the distinct n-grams of each group of texts travel to their bucket
+with their training counts, once; there they are summed, the segment is built and
+probed, and levels (of words also exact counts) come back to the group.  Both ways
+probe the same segments and give the same scores.  Bigrams keep 32 bits of their hash
+within a bucket, which mistakes far fewer of them than the filter does.
 
 Smoothing: p(w) = (c(w) + 1) / (N + V + 1) and p(w | u) = (c(u w) + k p(w)) /
 (c(u) + k), with the text's end as the context of its first word.
 
-The add-one base score needs exact counts: tokens with at least
-``N / MAX_HEAVY`` occurrences (so at most ``MAX_HEAVY``) are broadcast, all others
+The add-one base score needs exact counts: beside a broadcast filter, tokens with at
+least ``N / MAX_HEAVY`` occurrences (so at most ``MAX_HEAVY``) are broadcast, all others
 are joined, which also keeps frequent words out of the join.  Tokens are keyed
 by their 64-bit hash.
 
@@ -56,10 +58,12 @@ def _mix(x):
     return x ^ (x >> np.uint64(31))
 
 
-def bigram_keys(before, after):
+def bigram_keys(before, after, buckets: int):
+    """Keys below ``buckets`` times 2**32, the bucket being the remainder."""
     import numpy as np
 
-    return _mix(before * np.uint64(0x9E3779B97F4A7C15) + _mix(after))
+    h, b = _mix(before * np.uint64(0x9E3779B97F4A7C15) + _mix(after)), np.uint64(buckets)
+    return (h // b & np.uint64(0xFFFFFFFF)) * b + h % b
 
 
 def codebook(growth: float = 1.2, top: float = 1e15):
@@ -214,7 +218,7 @@ def _partial_counts(df: DataFrame, buckets: int, order: int) -> DataFrame:
             if order == 1:
                 held.append((hashes, np.bincount(ids, minlength=len(hashes))))
             else:
-                held.append(np.unique(bigram_keys(hashes[_before(ids, ends)], hashes[ids]), return_counts=True))
+                held.append(np.unique(bigram_keys(hashes[_before(ids, ends)], hashes[ids], buckets), return_counts=True))
             size += len(held[-1][0])
             if size >= HELD_KEYS:
                 held = [_merged(held)]
@@ -284,22 +288,28 @@ def _bigrams(ids, ends, hashes):
     return pair // len(hashes), pair % len(hashes), back
 
 
-def _scores(ids, ends, hashes, levels, heavy, n: int, v: int, strength: float):
-    """Of a group's texts: tokens, known heavy tokens, their base sum, score, and offsets, hashes and times of the tokens to join."""
+def _of_heavy(hashes, heavy):
+    """The exact counts of the heavy tokens, -1 for all others."""
     import numpy as np
 
     heavy_h, heavy_c = heavy
+    if not len(heavy_h):
+        return np.full(len(hashes), -1)
+    at = np.minimum(np.searchsorted(heavy_h, hashes), len(heavy_h) - 1)
+    return np.where(heavy_h[at] == hashes, heavy_c[at], -1)
+
+
+def _scores(ids, ends, hashes, levels, exact, buckets: int, n: int, v: int, strength: float):
+    """Of a group's texts: tokens, known tokens of exact count, their base sum, score, and offsets, hashes and times of the tokens to join."""
+    import numpy as np
+
     docs_n = len(ends)
     sizes = np.diff(ends, prepend=0)
     doc = np.repeat(np.arange(docs_n), sizes)
-    exact = np.full(len(hashes), -1)
-    if len(heavy_h):
-        at = np.minimum(np.searchsorted(heavy_h, hashes), len(heavy_h) - 1)
-        exact = np.where(heavy_h[at] == hashes, heavy_c[at], -1)
     known = np.bincount(doc, (exact > 0)[ids], docs_n).astype(np.int64)
     base = np.bincount(doc, np.log10(np.maximum(exact, 0) + 1.0)[ids], docs_n)
     u, w, back = _bigrams(ids, ends, hashes)
-    one, two = levels(hashes, bigram_keys(hashes[u], hashes[w]))
+    one, two = levels(hashes, bigram_keys(hashes[u], hashes[w], buckets))
     c1 = LogFrequencyFilter.value(one)
     p1 = (c1 + 1) / (n + v + 1)
     c2 = np.minimum(LogFrequencyFilter.value(two), c1[u])
@@ -318,7 +328,7 @@ def _result(row, doc_ids, held, scores):
     return columns, ["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "tail", "times"]
 
 
-def _by_broadcast(docs: DataFrame, filters, heavy, n: int, v: int, strength: float, schema: str) -> DataFrame:
+def _by_broadcast(docs: DataFrame, filters, buckets: int, heavy, n: int, v: int, strength: float, schema: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((heavy, filters))
 
     def run(batches):
@@ -330,100 +340,129 @@ def _by_broadcast(docs: DataFrame, filters, heavy, n: int, v: int, strength: flo
         row = TaskContext.get().partitionId() << 40
         for batch, first, ids, ends, hashes in _groups(batches, "text"):
             part = batch.slice(first, len(ends))
-            scores = _scores(ids, ends, hashes, lambda x, y: (one.levels(x), two.levels(y)), heavy, n, v, strength)
+            scores = _scores(ids, ends, hashes, lambda x, y: (one.levels(x), two.levels(y)), _of_heavy(hashes, heavy), buckets, n, v, strength)
             yield pa.RecordBatch.from_arrays(*_result(pa.array(np.arange(row, row + len(ends))), part.column(0), part.column(1), scores))
             row += len(ends)
 
     return docs.mapInArrow(run, schema)
 
 
-def _by_shuffle(docs: DataFrame, segments: DataFrame, buckets: int, heavy, n: int, v: int, strength: float, schema: str) -> DataFrame:
-    """The same rows, with the n-grams of each group of texts sent to the segments and their levels sent back."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(heavy)
-    one_of = lambda x: (x % buckets).astype("int64")
+def _packed(numbers) -> bytes:
+    """Numbers compressed byte by byte of equal weight, with their count."""
+    import numpy as np
+    import pyarrow as pa
 
-    def packed(ids):
-        import pyarrow as pa
+    planes = np.ascontiguousarray(numbers).view(np.uint8).reshape(len(numbers), numbers.itemsize).T
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True) + len(numbers).to_bytes(8, "little")
 
-        return pa.compress(ids.astype("int32").tobytes(), codec="zstd", asbytes=True) + len(ids).to_bytes(8, "little")
 
-    def unpacked(data):
-        import numpy as np
-        import pyarrow as pa
+def _unpacked(data: bytes, kind: str):
+    import numpy as np
+    import pyarrow as pa
 
-        return np.frombuffer(pa.decompress(data[:-8], 4 * int.from_bytes(data[-8:], "little"), codec="zstd", asbytes=True), np.int32).astype(np.int64)
+    n, size = int.from_bytes(data[-8:], "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data[:-8], n * size, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, n).T).view(kind).ravel()
 
-    def pack(batches):
-        import pyarrow as pa
+
+def _dealt(keys, buckets: int, order: int):
+    """The order of ``keys`` by bucket and key, the buckets that have some, and where each ends in that order."""
+    import numpy as np
+
+    b = np.uint64(buckets)
+    bucket, rest = keys % b, keys // b
+    # the rest of a bigram has 32 bits
+    at = np.argsort(bucket << np.uint64(32) | rest) if order else np.lexsort((rest, bucket))
+    sizes = np.bincount(bucket.astype(np.int64), minlength=buckets)
+    some = np.flatnonzero(sizes)
+    return at, some, np.cumsum(sizes)[some]
+
+
+def _by_shuffle(docs: DataFrame, buckets: int, strength: float) -> tuple[DataFrame, int, int]:
+    """row, doc_id, held_out, n_tokens, known, base, score with all counts exact; N and V.
+
+    The texts are read twice, and must come in the same order both times.
+    """
+    import functools
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def numbered(batches):
         from pyspark import TaskContext
 
         group = TaskContext.get().partitionId() << 40
         for batch, first, ids, ends, hashes in _groups(batches, "text"):
-            part = batch.slice(first, len(ends))
-            whole = lambda c: pa.ListArray.from_arrays(pa.array([0, len(ends)], pa.int32()), c)  # noqa: E731, B023
-            yield pa.RecordBatch.from_arrays([pa.array([group]), whole(part.column(0)), whole(part.column(1)), *(pa.array([x], pa.binary()) for x in (packed(ids), ends.tobytes(), hashes.tobytes()))], names=["group", "doc_id", "held_out", "ids", "ends", "hashes"])
+            yield group, batch.slice(first, len(ends)), ids, ends, hashes
             group += len(ends)  # a group has the number of its first row
 
-    def read(r):
-        import numpy as np
-
-        return unpacked(r["ids"]), np.frombuffer(r["ends"], np.int64), np.frombuffer(r["hashes"], np.uint64)
-
-    def keys_of(ids, ends, hashes):
-        u, w, _ = _bigrams(ids, ends, hashes)
-        return hashes, bigram_keys(hashes[u], hashes[w])
-
     def ask(batches):
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
-            for r in batch.to_pylist():
-                for order, keys in enumerate(keys_of(*read(r))):
-                    bucket = one_of(keys)
-                    sort = np.argsort(bucket, kind="stable")
-                    cut = np.searchsorted(bucket[sort], np.arange(buckets + 1))
-                    some = np.flatnonzero(cut[1:] > cut[:-1])
-                    sent = [keys[sort[cut[b] : cut[b + 1]]].tobytes() for b in some]
-                    yield pa.RecordBatch.from_arrays([pa.array([order] * len(some), pa.int32()), pa.array(some.astype(np.int32)), pa.array([r["group"]] * len(some), pa.int64()), pa.array(sent, pa.binary())], names=["order", "bucket", "group", "keys"])
-
-    def probe(asked, held):
+        for group, part, ids, ends, hashes in numbered(batches):
+            learned = np.repeat(~part.column("held_out").to_numpy(zero_copy_only=False).astype(bool), np.diff(ends, prepend=0))
+            u, w, back = _bigrams(ids, ends, hashes)
+            for order, keys, places in ((0, hashes, ids), (1, bigram_keys(hashes[u], hashes[w], buckets), back)):
+                counts = np.bincount(places[learned], minlength=len(keys)).astype(np.uint32)
+                at, some, ends_at = _dealt(keys, buckets, order)
+                keys, counts, start, sent = keys[at] // np.uint64(buckets), counts[at], 0, []
+                for end in ends_at:
+                    sent.append((_packed(np.diff(keys[start:end], prepend=np.uint64(0))), _packed(counts[start:end])))
+                    start = end
+                yield pa.RecordBatch.from_arrays([pa.array([order] * len(some), pa.int32()), pa.array(some.astype(np.int32)), pa.array([group] * len(some), pa.int64()), *(pa.array([x[k] for x in sent], pa.binary()) for k in (0, 1))], names=["order", "bucket", "group", "keys", "counts"])
+
+    def answer(who, table):
         import numpy as np
         import pyarrow as pa
 
-        segment = held["segment"][0].as_py() if held.num_rows else b"\0" * 8
-        one = LogFrequencyFilter.of([segment])
-        found = [one.levels(np.frombuffer(k, np.uint64)).tobytes() for k in asked["keys"].to_pylist()]
-        return pa.table({"group": asked["group"], "order": asked["order"], "bucket": asked["bucket"], "levels": pa.array(found, pa.binary())})
+        order, bucket = (x.as_py() for x in who)
+        asked = [np.cumsum(_unpacked(k, "uint64"), dtype=np.uint64) for k in table["keys"].to_pylist()]
+        keys, back = np.unique(np.concatenate(asked), return_inverse=True)
+        counts = np.bincount(back, np.concatenate([_unpacked(c, "uint32") for c in table["counts"].to_pylist()]), len(keys)).astype(np.int64)
+        keys = keys * np.uint64(buckets) + np.uint64(bucket)
+        seen = counts > 0
+        found = LogFrequencyFilter.of([LogFrequencyFilter.build(keys[seen], counts[seen])]).levels(keys)[back]
+        cut = np.cumsum([len(k) for k in asked])[:-1]
+        exact = [_packed(c) for c in np.split(counts[back], cut)] if order == 0 else [None] * len(asked)
+        none = pa.array([0] * (len(asked) - 1), pa.int64())
+        total = lambda x: pa.concat_arrays([pa.array([int(x) if order == 0 else 0], pa.int64()), none])
+        return pa.table({"group": table["group"], "order": table["order"], "bucket": table["bucket"], "levels": pa.array([_packed(x) for x in np.split(found, cut)], pa.binary()), "exact": pa.array(exact, pa.binary()), "n": total(counts.sum()), "v": total(seen.sum())})
+
+    def pack(batches):
+        import pyarrow as pa
 
-    def finish(group, found):
+        for group, part, ids, ends, hashes in numbered(batches):
+            whole = lambda c: pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c)
+            yield pa.RecordBatch.from_arrays([pa.array([group]), whole(part.column(0)), whole(part.column(1)), *(pa.array([x], pa.binary()) for x in (_packed(ids.astype("int32")), ends.tobytes(), hashes.tobytes()))], names=["group", "doc_id", "held_out", "ids", "ends", "hashes"])
+
+    def finish(n, v, group, found):
         import numpy as np
         import pyarrow as pa
 
+        if group.num_rows != 1:
+            raise ValueError("the texts came in another order when they were read again")
         r = group.to_pylist()[0]
-        ids, ends, hashes = read(r)
-        got = {(a, b): x for a, b, x in zip(found["order"].to_pylist(), found["bucket"].to_pylist(), found["levels"].to_pylist(), strict=True)}
-
-        def levels(*asked):
-            out = []
-            for order, keys in enumerate(asked):
-                bucket = one_of(keys)
-                level = np.zeros(len(keys), np.uint8)
-                parts = [np.frombuffer(got[order, int(b)], np.uint8) for b in np.unique(bucket)]
-                level[np.argsort(bucket, kind="stable")] = np.concatenate(parts)
-                out.append(level)
+        ids, ends, hashes = _unpacked(r["ids"], "int32").astype(np.int64), np.frombuffer(r["ends"], np.int64), np.frombuffer(r["hashes"], np.uint64)
+        got = sorted(zip(found["order"].to_pylist(), found["bucket"].to_pylist(), found["levels"].to_pylist(), found["exact"].to_pylist(), strict=True), key=lambda x: x[:2])
+
+        def told(order, keys, place, kind):
+            parts = [_unpacked(x[place], kind) for x in got if x[0] == order]
+            out = np.zeros(len(keys), kind)
+            out[_dealt(keys, buckets, order)[0]] = np.concatenate(parts)  # fails if the numbers differ
             return out
 
-        scores = _scores(ids, ends, hashes, levels, shared.value, n, v, strength)
+        scores = _scores(ids, ends, hashes, lambda one, two: (told(0, one, 2, "uint8"), told(1, two, 2, "uint8")), told(0, hashes, 3, "int64"), buckets, n, v, strength)
         rows = pa.array(r["group"] + np.arange(len(ends)))
         columns, names = _result(rows, pa.array(r["doc_id"], group.schema.field("doc_id").type.value_type), pa.array(r["held_out"], pa.bool_()), scores)
-        return pa.table(dict(zip(names, columns, strict=True)))
+        return pa.table(dict(zip(names[:7], columns[:7], strict=True)))
 
-    groups = materialise(docs.mapInArrow(pack, f"group long, doc_id array<{kind}>, held_out array<boolean>, ids binary, ends binary, hashes binary"), "groups")
-    asked = groups.select("group", "ids", "ends", "hashes").mapInArrow(ask, "`order` int, bucket int, group long, keys binary")
-    levels = asked.groupBy("order", "bucket").cogroup(segments.groupBy("order", "bucket")).applyInArrow(probe, "group long, `order` int, bucket int, levels binary")
-    return groups.groupBy("group").cogroup(levels.groupBy("group")).applyInArrow(finish, schema)
+    asked = docs.mapInArrow(ask, "`order` int, bucket int, group long, keys binary, counts binary")
+    answers = materialise(asked.groupBy("order", "bucket").applyInArrow(answer, "group long, `order` int, bucket int, levels binary, exact binary, n long, v long"), "levels")
+    n, v = answers.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    groups = docs.mapInArrow(pack, f"group long, doc_id array<{kind}>, held_out array<boolean>, ids binary, ends binary, hashes binary")
+    done = functools.partial(finish, n, v)
+    scored = groups.groupBy("group").cogroup(answers.drop("n", "v").groupBy("group")).applyInArrow(lambda a, b: done(a, b), f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double")
+    return scored, n, v
 
 
 def score(df: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", strength: float = 1000.0, bucket_bytes: int = 8 << 20, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -439,6 +478,17 @@ def score(df: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text
     train = docs.filter(~F.col("held_out"))
     size = train.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, -(-size // bucket_bytes))
+
+    def shown(scored, n: int, v: int, known, base):
+        return scored.select(
+            "doc_id", "held_out", "n_tokens", known.alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
+            (base - F.col("n_tokens") * float(np.log10(n + v + 1))).alias("base_score"), "score",
+        )
+
+    # a text has half as many tokens as bytes at most, of both orders; an n-gram's levels are no more than its occurrences
+    if size * BITS_PER_ENTRY // 8 > broadcast_bytes:
+        scored, n, v = _by_shuffle(docs, buckets, strength)
+        return shown(scored, n, v, F.col("known"), F.col("base"))
     uni = materialise(unigrams(train, buckets), "unigrams")
     n, v = uni.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     heavy_from = max(1, -(-n // MAX_HEAVY))
@@ -447,19 +497,12 @@ def score(df: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text
     heavy = hashes[order], top["c"].to_numpy()[order]
     made = [_unigram_segments(uni, buckets), _segments(_partial_counts(train, buckets, 2))]
     segments = materialise(made[0].withColumn("order", F.lit(0)).union(made[1].withColumn("order", F.lit(1))), "segments")
-    held = segments.agg(F.sum(F.octet_length("segment"))).first()[0] or 0
     schema = f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, tail array<long>, times array<int>"
-    if held <= broadcast_bytes:
-        filters = [_loaded(segments.filter(F.col("order") == k), buckets) for k in (0, 1)]
-        made = _by_broadcast(docs, filters, heavy, n, v, strength, schema)
-    else:
-        made = _by_shuffle(docs, segments, buckets, heavy, n, v, strength, schema)
+    filters = [_loaded(segments.filter(F.col("order") == k), buckets) for k in (0, 1)]
+    made = _by_broadcast(docs, filters, buckets, heavy, n, v, strength, schema)
     scored = materialise(made, "scored")
     rare = scored.select("row", F.explode(F.arrays_zip("tail", "times")).alias("t")).select("row", F.col("t.tail").alias("h"), F.col("t.times").alias("times"))
     light = uni.filter(F.col("c") < heavy_from)
     exact = rare.join(light, "h").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("more"), F.sum("times").alias("more_known"))
     joined = scored.drop("tail", "times").join(exact, "row", "left")
-    return joined.select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(n + v + 1))).alias("base_score"), "score",
-    )
+    return shown(joined, n, v, F.col("known") + F.coalesce("more_known", F.lit(0)), F.col("base") + F.coalesce("more", F.lit(0.0)))
