@@ -6,6 +6,7 @@ import json
 from pyspark.sql import functions as F
 
 from vigilog import cli
+from vigilog.operators import counts, timing
 from vigilog.plans import detect, evaluate
 from vigilog.sources import generate, ingest
 
@@ -127,3 +128,56 @@ def test_command_line(tmp_path, capsys, spark):
     assert cli.main(["run", "--input", log, "--output-dir", out, "--entity-column", "nope"]) == 2
     assert cli.main(["doctor", "--output-dir", str(tmp_path)]) == 0 and cli.main(["doctor", "--input", "/none"]) == 1
     capsys.readouterr()
+
+
+def shuffled_rows(spark):
+    """Rows written to shuffles in this session so far."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._gateway.jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_rows_are_shuffled_few_times(spark):
+    rows = [(i, (i * 7_919) % 500_000 * 1_000_000, f"u{i % 400}", f"t{(i // 400) % 5}", float((i * 31) % 97)) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "id long, us long, user string, kind string, amount double").selectExpr("id", "timestamp_micros(us) ts", "user", "kind", "amount")
+    before = shuffled_rows(spark)
+    run(spark, df.collect(), df.schema, detect.Log("id", "ts", ["user", "kind"], ["amount"], entity=("user",)), burst_seconds=600)
+    assert shuffled_rows(spark) - before < 12 * len(rows)
+
+
+def test_paced_rows_are_those_of_bursts_and_runs(spark, monkeypatch):
+    """A context in chunks, runs over many of them, and rows without a time."""
+    at = lambda i: None if i % 50 == 7 else (i * 3 if i < 500 else 40_000 + i * i % 9_000 if i < 800 else i * 190) * 500_000
+    rows = [(i, at(i), None if i % 11 == 0 and i > 900 else "big" if i < 850 else f"c{i % 9}") for i in range(1_100)]
+    df = spark.createDataFrame(rows, "id long, us long, c string").selectExpr("id", "timestamp_micros(us) ts", "c")
+    for context in (["c"], []):
+        old = timing.runs(timing.burst_counts(df, context, "ts", 10, "burst__n"), context, "ts", "id", 10)
+        expected = {r.id: r for r in old.select("id", "burst__n", "run_size", "dt_std", "dt_cv").collect()}
+        joint = counts.joint(context) if context else None
+        sizes = df.groupBy(joint.alias("value")).agg(F.count(F.lit(1)).alias("c")) if context else None
+        held = {r.value: r.c for r in sizes.collect()} if context else {}
+        for large in (100, 1 << 16):
+            monkeypatch.setattr(timing, "LARGE_CONTEXT", large)
+            found = timing.paced(df.withColumn("joint", joint if context else F.lit("")), joint, sizes, "ts", "id", 10).collect()
+            assert len(found) == len(rows) and len(expected) == sum(r[1] is not None for r in rows)
+            for r in found:
+                if (e := expected.get(r.id)) is None:
+                    assert r.ts is None and (r.burst__n, r.run__n, r.dt_std, r.dt_cv) == (1, 1, timing.SENTINEL, timing.SENTINEL)
+                else:
+                    assert (r.burst__n, r.run__n) == (e.burst__n, e.run_size) and abs(r.dt_std - e.dt_std) < 1e-9 and abs(r.dt_cv - e.dt_cv) < 1e-9
+                assert not context or r.context__n == held[r.joint]
+    assert max(e.run_size for e in expected.values()) > 400
+
+
+def test_attached_measures_are_those_looked_up(spark, monkeypatch):
+    rows = [(i, None if i % 13 == 0 else f"u{i % 37 if i % 3 else 0}", "" if i % 5 else None, float(i % 4)) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, a string, b string, v double")
+    named = {c: F.col(c) for c in ("a", "b", "v")}
+    place = {c: i for i, c in enumerate(named)}
+    wanted = {f"{c}__n": (i, "c") for c, i in place.items()} | {"a__twice": (0, "twice")}
+    found = counts.store(df, named).withColumn("twice", F.col("c") * 2)
+    expected = sorted(map(str, counts.look_up(df, "id", named, found, wanted).select("id", *wanted).collect()))
+    for values, share in ((1 << 19, 1 / 8192), (10, 0.05), (0, 1.0)):
+        monkeypatch.setattr(counts, "BROADCAST_VALUES", values)
+        monkeypatch.setattr(counts, "HOT_SHARE", share)
+        assert sorted(map(str, counts.attach(df, "id", named, place, found, wanted).select("id", *wanted).collect())) == expected

@@ -37,15 +37,24 @@ def quantiles(df: DataFrame, columns: list[str], fractions: list[float]) -> dict
 
     The counts are range-partitioned and summed in place, so no task holds a column's distinct values.
     """
-    from ..session import materialise
-
     if df.count() <= SMALL_TABLE:
         # few values: one aggregation, whose buffers hold a column's values
         value = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
         row = df.agg(*[F.percentile(value(c), fractions).alias(c) for c in columns]).first()
         return {(c, q): x for c in columns if row[c] is not None for q, x in zip(fractions, row[c], strict=True)}
+    return sized_quantiles(value_sizes(df, columns), columns, fractions)
+
+
+def value_sizes(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column, v, c: the counts of the values of numeric columns; nulls and NaN are left out."""
     kv = F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns]))
-    counts = df.select(kv).filter(F.col("v").isNotNull() & ~F.isnan("v")).groupBy("column", "v").agg(F.count(F.lit(1)).alias("c"))
+    return df.select(kv).filter(F.col("v").isNotNull() & ~F.isnan("v")).groupBy("column", "v").agg(F.count(F.lit(1)).alias("c"))
+
+
+def sized_quantiles(counts: DataFrame, columns: list[str], fractions: list[float]) -> dict[tuple[str, float], float]:
+    """The quantiles of ``quantiles`` from value counts."""
+    from ..session import materialise
+
     placed = counts.repartitionByRange("column", "v").sortWithinPartitions("column", "v")
     placed = materialise(placed.withColumn("part", F.spark_partition_id()), "quantiles")
     sums = placed.groupBy("column", "part").agg(F.sum("c").alias("n"))  # a row for each column and partition
@@ -138,6 +147,43 @@ def look_up(df: DataFrame, key: str, named: dict[str, Column], found: DataFrame,
     return joined.withColumn("_place", F.floor(F.col("code") / 2)).groupBy(key).agg(*picked)
 
 
+#: Up to so many columns each value is joined to its row; more are unpivoted and looked up together.
+NARROW = 16
+#: Values that hold more than this share of a column's rows don't travel to a shuffled join.
+HOT_SHARE = 1 / (1 << 13)
+
+
+def attach(df: DataFrame, key: str, named: dict[str, Column], place: dict[str, int], found: DataFrame, wanted: dict[str, tuple[int, str]]) -> DataFrame:
+    """``df`` with the ``wanted`` columns of ``look_up``, joined column by column, so that the rows are neither unpivoted nor grouped.
+
+    The columns of fewest values are broadcast, BROADCAST_VALUES values in all; for
+    another its frequent values are, and the rest are joined by a shuffle.
+    """
+    at = F.floor(F.col("code") / 2).cast("int")
+    sizes = {r["i"]: (r["n"], r["c"]) for r in found.groupBy(at.alias("i")).agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("c")).collect()}
+    held = 0
+    for name in sorted(named, key=lambda c: sizes.get(place[c], (0, 0))):
+        i = place[name]
+        n, rows = sizes.get(i, (0, 0))
+        measures = {out: m for out, (p, m) in wanted.items() if p == i}
+        text = named[name].cast("string")
+        df = df.withColumns({"_code": 2 * F.lit(i) + text.isNull().cast("int"), "_value": F.coalesce(short(text), F.lit(""))})
+        own = found.filter(at == i).select(F.col("code").alias("_code"), F.col("value").alias("_value"), "c", *[F.col(m).alias(out) for out, m in measures.items()])
+        held += n
+        if held <= BROADCAST_VALUES:
+            df = df.join(F.broadcast(own.drop("c")), ["_code", "_value"], "left").drop("_code", "_value")
+            continue
+        held -= n
+        hot = F.col("c") > rows * HOT_SHARE  # of fewer than 1 / HOT_SHARE values
+        few = own.filter(~hot).drop("c").withColumn("_deal", F.lit(-1).cast("long")).withColumnsRenamed({out: f"_few_{out}" for out in measures})
+        df = df.join(F.broadcast(own.filter(hot).drop("c").withColumn("_hot", F.lit(True))), ["_code", "_value"], "left")
+        # rows that have their measures are dealt out by key and meet nothing
+        df = df.withColumn("_deal", F.when(F.col("_hot"), F.xxhash64(key).bitwiseAND(F.lit((1 << 62) - 1))).otherwise(F.lit(-1).cast("long")))
+        df = df.join(few, ["_code", "_value", "_deal"], "left").withColumns({out: F.coalesce(out, f"_few_{out}") for out in measures})
+        df = df.drop("_code", "_value", "_deal", "_hot", *[f"_few_{out}" for out in measures])
+    return df
+
+
 def map_concentration(df: DataFrame, key: str, column: str, out: str) -> DataFrame:
     """key and ``out``: the mean of log1p of the counts of a map's entries (those of one row count 1); rows without entries are left out."""
     from ..session import materialise

@@ -8,12 +8,21 @@ from pyspark.sql import functions as F
 
 def robust_z(df: DataFrame, columns: list[str]) -> DataFrame:
     """Add ``<c>__z``: (x - median) / scale; scale is 1.4826 MAD, else the population deviation, else 1."""
-    from .counts import quantiles
-
-    median = quantiles(df, columns, [0.5])
-    away = df.select(*[F.abs(F.col(c) - F.lit(median.get((c, 0.5)))).alias(c) for c in columns])
-    mad = quantiles(away, columns, [0.5])
-    std = df.agg(*[F.stddev_pop(F.when(~F.isnan(F.col(c).cast("double")), F.col(c))).alias(c) for c in columns]).first()
+    from ..session import materialise
+    from .counts import SMALL_TABLE, quantiles, sized_quantiles, value_sizes
+
+    if df.count() <= SMALL_TABLE:
+        median = quantiles(df, columns, [0.5])
+        away = df.select(*[F.abs(F.col(c) - F.lit(median.get((c, 0.5)))).alias(c) for c in columns])
+        mad = quantiles(away, columns, [0.5])
+    else:
+        # the values are counted once; their distances have the same counts
+        sizes = materialise(value_sizes(df, columns), "sizes")
+        median = sized_quantiles(sizes, columns, [0.5])
+        middle = F.element_at(F.create_map(*[x for (c, _), m in median.items() for x in (F.lit(c), F.lit(float(m)))]), F.col("column")) if median else F.lit(0.0)
+        mad = sized_quantiles(sizes.groupBy("column", F.abs(F.col("v") - middle).alias("v")).agg(F.sum("c").alias("c")).filter(~F.isnan("v")), columns, [0.5])
+    flat = [c for c in columns if not mad.get((c, 0.5))]
+    std = df.agg(*[F.stddev_pop(F.when(~F.isnan(F.col(c).cast("double")), F.col(c))).alias(c) for c in flat]).first() if flat else {}
     made = []
     for c in columns:
         scale = 1.4826 * mad[c, 0.5] if mad.get((c, 0.5)) else std[c] or 1.0
@@ -27,9 +36,9 @@ def deviation_score(df: DataFrame, columns: list[str], out: str = "ml_score") ->
     scored = robust_z(df, columns)
     raw = sum((F.abs(F.col(f"{c}__z")) for c in columns), F.lit(0.0)) / len(columns)
     scored = scored.withColumn("_raw", raw)
-    span = scored.agg(F.min("_raw").alias("_lo"), F.max("_raw").alias("_hi"))
-    unit = F.when(F.col("_hi") > F.col("_lo"), (F.col("_raw") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.5)
-    return scored.crossJoin(F.broadcast(span)).withColumn(out, unit).drop("_raw", "_lo", "_hi", *[f"{c}__z" for c in columns])
+    span = scored.agg(F.min("_raw").alias("lo"), F.max("_raw").alias("hi")).first()
+    unit = (F.col("_raw") - F.lit(span.lo)) / F.lit(span.hi - span.lo) if span.lo is not None and span.hi > span.lo else F.lit(0.5)
+    return scored.withColumn(out, unit).drop("_raw", *[f"{c}__z" for c in columns])
 
 
 def percentile_ranks(df: DataFrame, col: str, out: str = "percentile") -> DataFrame:

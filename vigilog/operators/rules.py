@@ -34,8 +34,15 @@ def hits(rules: list[Rule]) -> Column:
     """Array of the rules that fire, in the given order."""
     if not rules:
         return F.array().cast("array<struct<rule_id:string,weight:double,strong:boolean,reason:string>>")
-    made = [F.when(F.coalesce(r.fires, F.lit(False)), F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.weight).alias("weight"), F.lit(r.strong).alias("strong"), r.reason.alias("reason"))) for r in rules]
-    return F.filter(F.array(*made), lambda h: h.isNotNull())
+    # concatenated instead of filtered: Spark generates no code for what a lambda function is applied to
+    one = [F.array(F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.weight).alias("weight"), F.lit(r.strong).alias("strong"), r.reason.alias("reason"))) for r in rules]
+    return F.concat(*[F.when(F.coalesce(r.fires, F.lit(False)), hit).otherwise(hits([])) for r, hit in zip(rules, one, strict=True)])
+
+
+def score(rules: list[Rule]) -> Column:
+    """``capped_sum`` of the hits, from the rules themselves."""
+    total = lambda strong: sum((F.when(F.coalesce(r.fires, F.lit(False)), r.weight).otherwise(0.0) for r in rules if r.strong is strong), F.lit(0.0))
+    return F.round(F.least(F.lit(1.0), total(True) + F.least(total(False), F.lit(SUPPORTING_CAP))), 9)
 
 
 def capped_sum(found: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SECOND = 1_000_000
@@ -62,6 +62,68 @@ def runs(df: DataFrame, contexts: list[str], ts: str, key: str, seconds: int) ->
     return made.drop("_ctx")
 
 
+#: Contexts of more rows are read in time chunks.
+LARGE_CONTEXT = 1 << 16
+
+
+def paced(df: DataFrame, context: Column | None, sizes: DataFrame | None, ts: str, key: str, seconds: int) -> DataFrame:
+    """Add burst__n, run__n, dt_std, dt_cv and (with a context) context__n, the measures of ``burst_counts`` and ``runs``, by one shuffle of the rows.
+
+    ``sizes`` (value, c) holds the rows of each context.  A context of up to
+    LARGE_CONTEXT rows is one window partition.  A larger one is cut into time
+    chunks, which also get the neighbours' rows within ``seconds`` of their ends;
+    only the runs that reach over an end are put together from their pieces.
+    """
+    from ..session import materialise
+    from .counts import BROADCAST_VALUES
+
+    reach, half, width = seconds * SECOND, seconds * SECOND // 2, seconds * SECOND * 64
+    us, chunk, place = F.col("_us"), F.col("_chunk"), F.col("_home")
+    rows = df.withColumn("_us", micros(F.col(ts))).withColumn("_ctx", F.lit("") if context is None else context)
+    large = None if context is None else sizes.filter(F.col("c") > LARGE_CONTEXT).select(F.col("value").alias("_ctx"), F.col("c").alias("_all"))
+    chunked = large is None or not large.isEmpty()
+    if chunked:
+        rows = rows.withColumn("_all", F.lit(0)) if large is None else rows.join(F.broadcast(large), "_ctx", "left")
+        # rows without a time are spread by their key, below all chunks
+        home = F.when(us.isNull(), F.pmod(F.xxhash64(key), F.lit(4096)) - (1 << 62)).otherwise(F.floor(us / width))
+        near = F.when(us.isNull(), F.array(place)).otherwise(F.array_distinct(F.array(place, F.floor((us - reach) / width), F.floor((us + reach) / width))))
+        rows = rows.withColumn("_home", F.when(F.col("_all").isNotNull(), home).otherwise(F.lit(0).cast("long")))
+        rows = rows.withColumn("_chunk", F.explode(F.when(F.col("_all").isNotNull(), near).otherwise(F.array(place))))
+        here, group = chunk == place, Window.partitionBy("_ctx", "_chunk")
+    else:
+        here, group = F.lit(True), Window.partitionBy("_ctx")
+    order = group.orderBy("_us")
+    till = lambda end: F.count("_us").over(order.rangeBetween(Window.unboundedPreceding, end))
+    rows = rows.withColumns({"_gap": (us - F.lag("_us").over(order)) / SECOND, "burst__n": till(half) - till(-half - 1)})
+    rows = rows.withColumn("_piece", F.sum(F.coalesce((F.col("_gap") > seconds).cast("long"), F.lit(0))).over(order))
+    if context is not None:
+        rows = rows.withColumn("context__n", F.coalesce("_all", F.count(F.lit(1)).over(group)) if chunked else F.count(F.lit(1)).over(group))
+    piece = Window.partitionBy("_ctx", *(["_chunk"] if chunked else []), "_piece")
+    inner = F.when(here & (F.col("_gap") <= seconds), F.col("_gap"))
+    rows = rows.withColumns({"run__n": F.count(F.when(here, us)).over(piece), "_k": F.count(inner).over(piece), "_mean": F.avg(inner).over(piece), "_std": F.stddev_pop(inner).over(piece)})
+    if chunked:
+        rows = rows.withColumns({"_back": F.max(us.isNotNull() & (place < chunk)).over(piece), "_on": F.max(us.isNotNull() & (place > chunk)).over(piece)})
+        rows = materialise(rows.filter(here), "paced")
+        at = ["_ctx", "_chunk", "_piece"]
+        parts = rows.filter("_us IS NOT NULL AND (_back OR _on)").groupBy(*at).agg(*[F.first(c).alias(c) for c in ("run__n", "_k", "_mean", "_std", "_back")])
+        parts = parts.withColumn("_run", F.sum((~F.col("_back")).cast("long")).over(Window.partitionBy("_ctx").orderBy("_chunk", "_piece")))
+        whole = Window.partitionBy("_ctx", "_run")
+        parts = parts.withColumns({"_size": F.sum("run__n").over(whole), "_gaps": F.sum("_k").over(whole), "_middle": F.sum(F.col("_k") * F.coalesce("_mean", F.lit(0.0))).over(whole) / F.sum("_k").over(whole)})
+        away = F.col("_mean") - F.col("_middle")
+        parts = parts.withColumn("_spread", F.sqrt(F.sum(F.col("_k") * (F.col("_std") * F.col("_std") + away * away)).over(whole) / F.col("_gaps")))
+        parts = materialise(parts.select(*at, "_size", "_middle", "_spread"), "pieces")
+        rows = rows.join(F.broadcast(parts) if parts.count() <= BROADCAST_VALUES else parts, at, "left")
+        rows = rows.withColumns({"run__n": F.coalesce("_size", "run__n"), "_mean": F.coalesce("_middle", "_mean"), "_std": F.coalesce("_spread", "_std")})
+    timed = us.isNotNull()
+    ok = timed & (F.col("run__n") >= 3) & (F.col("_mean") > 0)
+    alone = F.lit(1).cast("long")
+    rows = rows.withColumns({
+        "burst__n": F.when(timed, F.col("burst__n")).otherwise(alone), "dt_std": F.when(ok, F.col("_std")).otherwise(SENTINEL),
+        "dt_cv": F.when(ok, F.col("_std") / F.col("_mean")).otherwise(SENTINEL), "run__n": F.when(timed, F.col("run__n")).otherwise(alone),
+    })
+    return rows.select(*df.columns, "burst__n", "run__n", "dt_std", "dt_cv", *(["context__n"] if context is not None else []))
+
+
 def gaps(df: DataFrame, ts: str) -> DataFrame:
     """gap (microseconds), n: positive gaps between consecutive distinct times.
 

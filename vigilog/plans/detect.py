@@ -116,8 +116,8 @@ def features(df: DataFrame, log: Log, burst_seconds: int = 10) -> Features:
     found = stored
     links = base.select(*[counts.short(F.col(c)).alias(c) for c in dict.fromkeys([*log.categorical, *actor])], bins.alias(entities.BINS))
     n_bins = len(log.numeric)
-    if entity or actor:
-        links = materialise(links, "links")
+    if actor or len(entity) > 1:
+        links = materialise(links, "links")  # else it is read once
     measured: list[DataFrame] = []
     if entity:
         per = entities.entity_table(links, entity, log.categorical, n_bins)
@@ -132,17 +132,25 @@ def features(df: DataFrame, log: Log, burst_seconds: int = 10) -> Features:
             cut["__degree"] = hubs["degree", DEGREE_SHARE]
     for more in measured:
         found = found.join(counts.coded(more, place), ["code", "value"], "left")
+    rows = base
+    if log.timestamp:
+        context = counts.joint(log.categorical) if log.categorical else None
+        sizes = base.select(context.alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("c")) if len(log.categorical) == 1 else stored.filter(F.col("code") == 2 * place["__context"]) if context is not None else None
+        rows = timing.paced(base, context, sizes, log.timestamp, log.key, burst_seconds)
     if counted:
         # values of one row and nothing else to tell aren't looked up: their count is known
         special = F.floor(F.col("code") / 2).isin([place[c] for c in {*entity, *actor}])
-        looked = counts.look_up(base, log.key, counted, materialise(found.filter((F.col("c") > 1) | special), "values"), wanted)
-        rows = base.join(looked, log.key, "left")
+        asked = {c: v for c, v in counted.items() if c != "__context" or not log.timestamp}
+        wanted = {name: w for name, w in wanted.items() if name != "__context__n" or not log.timestamp}
+        values = materialise(found.filter(((F.col("c") > 1) | special) & F.floor(F.col("code") / 2).isin([place[c] for c in asked])), "values")
+        if len(asked) <= counts.NARROW:
+            rows = counts.attach(rows, log.key, asked, place, values, wanted)
+        else:
+            rows = rows.join(counts.look_up(base, log.key, counted, values, wanted), log.key, "left")
         shown = {"__context": "context__n", "__time": "same_time__n"}
         held = {"__context": "true", "__time": f"`{log.timestamp}` IS NOT NULL"}
-        alone = [f"CAST(CASE WHEN {held.get(c, f'`{c}` IS NOT NULL')} THEN coalesce(`{c}__n`, 1) ELSE 0 END AS BIGINT) AS `{shown.get(c, f'{c}__n')}`" for c in counted]
-        rows = rows.selectExpr(*[f"`{c}`" for c in rows.columns if c not in {f"{c}__n" for c in counted}], *alone)
-    else:
-        rows = base
+        alone = [f"CAST(CASE WHEN {held.get(c, f'`{c}` IS NOT NULL')} THEN coalesce(`{c}__n`, 1) ELSE 0 END AS BIGINT) AS `{shown.get(c, f'{c}__n')}`" for c in asked]
+        rows = rows.selectExpr(*[f"`{c}`" for c in rows.columns if c not in {f"{c}__n" for c in asked}], *alone)
 
     for c in log.categorical:
         emit(f"{c}__conc", "concentration", F.log1p(f"{c}__n"))
@@ -165,11 +173,6 @@ def features(df: DataFrame, log: Log, burst_seconds: int = 10) -> Features:
     grid, gated = None, False
     if log.timestamp:
         ts = log.timestamp
-        context = ["_context"] if log.categorical else []
-        paced = base.select(log.key, ts, *[counts.joint(log.categorical).alias("_context") for _ in context])
-        paced = timing.runs(timing.burst_counts(paced, context, ts, burst_seconds, "burst__n"), context, ts, log.key, burst_seconds)
-        rows = rows.join(paced.select(log.key, "burst__n", F.col("run_size").alias("run__n"), "dt_std", "dt_cv"), log.key, "left")
-        rows = rows.fillna({"dt_std": timing.SENTINEL, "dt_cv": timing.SENTINEL, "run__n": 1, "burst__n": 1})
         step = timing.grid(base, ts).first()
         grid = step.gap if step else None
         gated = grid is not None and grid >= burst_seconds * timing.SECOND
@@ -249,7 +252,7 @@ def apply_rules(made: Features, log: Log) -> tuple[DataFrame, dict]:
         c = made.actor[0]
         star = (F.col(f"{c}__events") >= MIN_VOLUME) & (F.col(f"{c}__out") >= used["degree_floor"]) & (F.col(f"{c}__out") >= ASYMMETRY * (F.col(f"{c}__back") + 1)) & (F.round(F.col(f"{c}__spread"), 12) <= MAX_DIVERSITY)
         found.append(rules.rule("asymmetric_degree", star, text(f"{log.shown(c)} '", F.coalesce(c, F.lit("")), "' reaches ", F.col(f"{c}__out"), " counterparts, ", F.col(f"{c}__back"), " reach it")))
-    return made.frame.withColumn("hits", rules.hits(found)).withColumn("heuristic", rules.capped_sum(F.col("hits"))), used
+    return made.frame.withColumn("hits", rules.hits(found)).withColumn("heuristic", rules.score(found)), used
 
 
 def shown_thresholds(found: Detection) -> dict:
@@ -273,9 +276,12 @@ def detect(df: DataFrame, log: Log, burst_seconds: int = 10, backend: str = "for
     made = features(df, log, burst_seconds)
     ruled, used = apply_rules(made, log)
     scored, backend = ml_scores(ruled, [f"x__{c}" for c in made.families], log.key, backend)
-    scored = materialise(scored.withColumn("ml_score", F.round("ml_score", 9)), "scored")
-    threshold, method = robust.knee_threshold(scored, "ml_score", log.key)
-    cap = counts.quantiles(scored, ["ml_score"], [1 - max_ml_rate]).get(("ml_score", 1 - max_ml_rate))
+    scored = scored.withColumn("ml_score", F.round("ml_score", 9))
+    # scores of expressions alone are computed again where they are read, which is less than to write all rows; the forest's are written
+    scored = scored if backend == "deviation" else materialise(scored, "scored")
+    ranked = materialise(scored.select(log.key, "ml_score"), "scores") if backend == "deviation" else scored
+    threshold, method = robust.knee_threshold(ranked, "ml_score", log.key)
+    cap = counts.quantiles(ranked, ["ml_score"], [1 - max_ml_rate]).get(("ml_score", 1 - max_ml_rate))
     if cap is not None and cap > threshold:
         threshold, method = cap, f"{method}+rate_capped"
     by_rule, by_ml = F.col("heuristic") >= cutoff, F.col("ml_score") > threshold
