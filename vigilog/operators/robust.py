@@ -82,20 +82,35 @@ def batch_percentiles(df: DataFrame, chosen: DataFrame, columns: list[str]) -> D
     return chosen.join(ranked.select("feature", "value", rank.alias("percentile")), ["feature", "value"], "left")
 
 
-def _curve(df: DataFrame, col: str, key: str) -> DataFrame:
-    """value, pos (from 1, descending), x and y in 0..1, n: the sorted curve; a constant one has a null y."""
+#: Values in a chunk of the curve.
+CHUNK = 1 << 16
+
+
+def _curve(df: DataFrame, col: str) -> DataFrame:
+    """A row for each value of the falling sorted curve: value, rank (from 1), its first and last places, n, x and last_x of both and y in 0..1; a constant curve has a null y.
+
+    Between its first and last places a value's distance to the diagonal only falls, so the rows of equal values need no order.
+    """
     from .counts import global_rank
 
-    ranked = global_rank(df.select(F.col(col).alias("value"), key).filter(F.col(col).isNotNull()), [F.desc("value"), F.col(key)], "pos")
-    span = ranked.agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count(F.lit(1)).alias("n"))
+    values = df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("c"))
+    ranked = global_rank(values, [F.desc("value")], "rank").withColumn("chunk", F.floor((F.col("rank") - 1) / CHUNK))
+    sums = ranked.groupBy("chunk").agg(F.sum("c").alias("k"))  # a row for each chunk
+    before = F.coalesce(F.sum("k").over(Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select("chunk", before.alias("before"), F.sum("k").over(Window.partitionBy()).alias("n"))
+    till = F.sum("c").over(Window.partitionBy("chunk").orderBy("rank"))
+    span = ranked.agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     wide = F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo"))
-    return ranked.crossJoin(F.broadcast(span)).select("value", "pos", "n", ((F.col("pos") - 1) / F.greatest(F.col("n") - 1, F.lit(1))).alias("x"), ((F.col("value") - F.col("lo")) / wide).alias("y"))
+    placed = ranked.withColumn("till", till).join(F.broadcast(sums), "chunk").withColumn("last", F.col("before") + F.col("till")).withColumn("pos", F.col("last") - F.col("c") + 1)
+    share = lambda at: (F.col(at) - 1) / F.greatest(F.col("n") - 1, F.lit(1))
+    return placed.crossJoin(F.broadcast(span)).select("value", "rank", "pos", "last", "n", share("pos").alias("x"), share("last").alias("last_x"), ((F.col("value") - F.col("lo")) / wide).alias("y"))
 
 
 def geometric_knee(df: DataFrame, col: str, key: str) -> DataFrame:
     """One row, ``threshold``: the sorted score farthest from the falling diagonal, the first on ties."""
-    far = F.round(F.abs(F.coalesce("y", F.lit(0.0)) - (1 - F.col("x"))), 12)
-    return _curve(df, col, key).orderBy(F.desc(far), "pos").limit(1).select(F.col("value").alias("threshold"))
+    far = lambda x: F.round(F.abs(F.coalesce("y", F.lit(0.0)) - (1 - F.col(x))), 12)
+    place = F.when(far("last_x") > far("x"), F.col("last")).otherwise(F.col("pos"))
+    return _curve(df, col).orderBy(F.desc(F.greatest(far("x"), far("last_x"))), place).limit(1).select(F.col("value").alias("threshold"))
 
 
 def kneedle(df: DataFrame, col: str, key: str, sensitivity: float = 1.0) -> DataFrame:
@@ -103,21 +118,22 @@ def kneedle(df: DataFrame, col: str, key: str, sensitivity: float = 1.0) -> Data
 
     The gap between the diagonal and the curve has an elbow at a local maximum
     after which, before the next one, it falls by ``sensitivity`` mean steps.
-    Positions are cut into chunks with their neighbours' edges, so no window
+    The values are cut into chunks with their neighbours' edges, so no window
     holds the whole curve.
     """
-    size = 1 << 16
-    gap = _curve(df, col, key).filter("y is not null").select("value", "pos", "n", F.round(1 - F.col("y") - F.col("x"), 12).alias("d"))
-    home = F.floor((F.col("pos") - 1) / size)
-    spread = gap.withColumn("chunk", F.explode(F.array_distinct(F.array(home, F.floor(F.col("pos") / size), F.floor((F.col("pos") - 2) / size))))).withColumn("home", home)
-    order = Window.partitionBy("chunk").orderBy("pos")
-    peak = (F.col("d") >= F.lag("d").over(order)) & (F.col("d") > F.lead("d").over(order)) & (F.col("pos") > 1) & (F.col("pos") < F.col("n"))
+    gap = lambda x: F.round(1 - F.col("y") - F.col(x), 12)
+    curve = _curve(df, col).filter("y is not null").select("value", "rank", "pos", "last", "n", gap("x").alias("d"), gap("last_x").alias("end"))
+    home = F.floor((F.col("rank") - 1) / CHUNK)
+    spread = curve.withColumn("chunk", F.explode(F.array_distinct(F.array(home, F.floor(F.col("rank") / CHUNK), F.floor((F.col("rank") - 2) / CHUNK))))).withColumn("home", home)
+    order = Window.partitionBy("chunk").orderBy("rank")
+    falls = (F.col("last") > F.col("pos")) | (F.col("d") > F.lead("d").over(order))
+    peak = (F.col("d") >= F.lag("end").over(order)) & falls & (F.col("pos") > 1) & (F.col("pos") < F.col("n"))
     marked = spread.withColumn("peak", F.coalesce(peak, F.lit(False)).cast("long")).filter("chunk = home")
     within = marked.withColumn("own", F.sum("peak").over(order))
     sums = marked.groupBy("chunk").agg(F.sum("peak").alias("k"))  # a row for each chunk
     sums = sums.select("chunk", F.coalesce(F.sum("k").over(Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     stretch = within.join(F.broadcast(sums), "chunk").withColumn("stretch", F.col("own") + F.col("before")).filter("stretch > 0")
-    each = stretch.groupBy("stretch").agg(F.min_by("value", "pos").alias("threshold"), F.min_by("d", "pos").alias("top"), F.min("d").alias("low"), F.first("n").alias("n"), F.min("pos").alias("pos"))
+    each = stretch.groupBy("stretch").agg(F.min_by("value", "pos").alias("threshold"), F.min_by("d", "pos").alias("top"), F.min("end").alias("low"), F.first("n").alias("n"), F.min("pos").alias("pos"))
     return each.filter(F.col("low") < F.col("top") - sensitivity / (F.col("n") - 1)).orderBy("pos").limit(1).select("threshold")
 
 
