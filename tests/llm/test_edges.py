@@ -96,3 +96,17 @@ def test_prefix_tables_append_and_edit():
     for start, end, new in [(len(data), len(data), b"es"), (5, 9, b"slow"), (0, 0, b"x"), (100, 160, b"")]:
         whole, table = b.edit(data, last, start, end, new)
         assert whole == data[:start] + new + data[end:] and table == b.table(whole)
+
+
+def test_frequent_pieces_are_encoded_once():
+    ranks, _ = tokenizer()
+    b = bpe.PrefixBpe(ranks)
+    encoded, plain = [], b.encode_sorted
+    b.encode_sorted = lambda pieces: encoded.extend(pieces) or plain(pieces)
+    cache = bpe.Remembered(b, 20)
+    for k in range(12):
+        own = {f" rare{k}word{i}" for i in range(6)}
+        cache.learn({" oftenmet"} | own)
+        assert all(cache.young[p] == " ".join(map(str, b.encode_piece(p.encode()))) for p in {" oftenmet"} | own)
+        assert len(cache.young) <= 20 and len(cache.old) <= 20
+    assert encoded.count(b" oftenmet") == 1 and len(encoded) == 73

@@ -22,10 +22,12 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-#: Pieces remembered per Python worker; a speed bound only, longer ones are encoded anew.
+#: Pieces in each of the two generations remembered per Python worker; a speed bound only, longer ones are encoded anew.
 CACHE_PIECES = 150_000
 #: Pairs of tokens remembered per worker.
 CACHE_PAIRS = 300_000
+#: Token ids are below this.
+IDS = 1 << 32
 CACHE_PIECE_BYTES = 64
 #: Texts are encoded in groups of about this many characters.
 GROUP_CHARS = 1_000_000
@@ -38,7 +40,8 @@ class PrefixBpe:
         self.ranks = ranks
         self.token_bytes = {i: b for b, i in ranks.items()}
         self.longest = max(map(len, ranks))
-        self._follows: dict[tuple[int, int], bool] = {}
+        #: By left * IDS + right: whether the right token may follow the left one.
+        self._follows: dict[int, bool] = {}
 
     def merge(self, data: bytes) -> list[int]:
         """Plain rank-order merging, for two-token strings."""
@@ -51,7 +54,7 @@ class PrefixBpe:
         return [self.ranks[p] for p in parts]
 
     def follows(self, left: int, right: int) -> bool:
-        key = (left, right)
+        key = left * IDS + right
         known = self._follows.get(key)
         if known is None:
             if len(self._follows) > CACHE_PAIRS:
@@ -67,26 +70,45 @@ class PrefixBpe:
             if t is not None:
                 if j == 0:
                     return t
-                ok = known((last[j], t))
+                ok = known(last[j] * IDS + t)
                 if ok or (ok is None and self.follows(last[j], t)):
                     return t
         raise ValueError("the vocabulary lacks a single byte")
 
-    def encode_sorted(self, pieces: list[bytes]) -> list[list[int]]:
-        """Encode sorted pieces, each from the table of the prefix it shares with the one before."""
-        out, before, last = [], b"", [-1]
+    def encode_sorted(self, pieces: list[bytes]) -> list[str]:
+        """The ids, joined by spaces, of sorted pieces, each from the table of the prefix it shares with the one before.
+
+        As ``last_token`` for each prefix, written out, with the ids of the prefixes beside the table.
+        """
+        get, known, follows, longest = self.ranks.get, self._follows.get, self.follows, self.longest
+        out, before, last, texts = [], b"", [-1], [""]
         for data in pieces:
-            whole = self.ranks.get(data)
+            whole = get(data)
             if whole is not None:
-                out.append([whole])
+                out.append(str(whole))
                 continue
-            n = min(len(before), len(data))
+            size = len(data)
+            n = min(len(before), size)
             same = n if before[:n] == data[:n] else next(k for k in range(n) if before[k] != data[k])
-            del last[same + 1 :]
-            for i in range(same + 1, len(data) + 1):
-                last.append(self.last_token(data, i, last))
+            del last[same + 1 :], texts[same + 1 :]
+            for i in range(same + 1, size + 1):
+                for j in range(i - 1, (i - longest if i > longest else 0) - 1, -1):
+                    t = get(data[j:i])
+                    if t is not None:
+                        if not j:
+                            last.append(t)
+                            texts.append(str(t))
+                            break
+                        left = last[j]
+                        ok = known(left * IDS + t)
+                        if ok or (ok is None and follows(left, t)):
+                            last.append(t)
+                            texts.append(f"{texts[j]} {t}")
+                            break
+                else:
+                    raise ValueError("the vocabulary lacks a single byte")
             before = data
-            out.append(self.read(last))
+            out.append(texts[size])
         return out
 
     def table(self, data: bytes) -> list[int]:
@@ -128,6 +150,29 @@ class PrefixBpe:
         return out, table
 
 
+class Remembered:
+    """The ids of pieces, joined by spaces, in two generations of about ``limit`` pieces.
+
+    When the young one is full the old one goes and the young one ages; a piece that is
+    met again comes back from the old one, so frequent pieces are encoded once.
+    """
+
+    def __init__(self, bpe: PrefixBpe, limit: int):
+        self.bpe, self.limit = bpe, limit
+        self.young: dict[str, str] = {}
+        self.old: dict[str, str] = {}
+
+    def learn(self, pieces: set[str]) -> None:
+        """Have all of ``pieces`` in the young generation, but those longer than CACHE_PIECE_BYTES."""
+        if len(self.young) + len(pieces) > self.limit:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        unknown = [p for p in pieces if p not in young and len(p) <= CACHE_PIECE_BYTES]
+        young.update((p, old[p]) for p in unknown if p in old)
+        missing = sorted((p.encode(), p) for p in unknown if p not in old)
+        young.update(zip((p for _, p in missing), self.bpe.encode_sorted([b for b, _ in missing]), strict=True))
+
+
 def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
     """A tiktoken rank file (bounded by its vocabulary) from the driver's disk."""
     with open(path, "rb") as f:
@@ -140,7 +185,7 @@ _worker: dict = {}
 def _encoder(key, ranks):
     if _worker.get("key") != key:
         _worker.clear()
-        _worker.update(key=key, bpe=PrefixBpe(ranks), cache={}, decode={str(i): b for b, i in ranks.items()})
+        _worker.update(key=key, cache=Remembered(PrefixBpe(ranks), CACHE_PIECES), decode={str(i): b for b, i in ranks.items()})
     return _worker
 
 
@@ -162,17 +207,10 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "
         import regex
 
         state = _encoder(digest, shared.value)
-        bpe, cache, token_of = state["bpe"], state["cache"], state["decode"]
+        cache, token_of = state["cache"], state["decode"]
         find = regex.compile(pattern).findall
         sha = hashlib.sha256
 
-        def learn(pieces: set[str]) -> None:
-            if len(cache) + len(pieces) > CACHE_PIECES:
-                cache.clear()
-            missing = sorted((p.encode(), p) for p in pieces if p not in cache and len(p) <= CACHE_PIECE_BYTES)
-            for (_, p), ids in zip(missing, bpe.encode_sorted([b for b, _ in missing]), strict=True):
-                cache[p] = " ".join(map(str, ids))
-
         def groups(column):
             held, size = [], 0
             for text in column:
@@ -184,14 +222,14 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "
             yield held
 
         def long_ids(piece: str) -> str:
-            return " ".join(map(str, bpe.encode_piece(piece.encode())))
+            return " ".join(map(str, cache.bpe.encode_piece(piece.encode())))
 
         for batch in batches:
             names = batch.schema.names
             row = 0
             for group in groups(batch.column(names.index("_text")).to_pylist()):
-                learn(set().union(*group))
-                get = cache.get
+                cache.learn(set().union(*group))
+                get = cache.young.get
                 id_parts, n, enc, dec = [], [], [], []
                 for pieces in group:
                     joined = " ".join([get(p) or long_ids(p) for p in pieces])
