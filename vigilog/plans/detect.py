@@ -303,7 +303,7 @@ def summary(found: Detection) -> DataFrame:
 
 def top_reasons(found: Detection, n: int = 10) -> DataFrame:
     """The reasons given most among flagged rows."""
-    # written first: Spark would put a filter on the size of ``hits``, and so its whole expression, before the explode once more
+    # written first: Spark may put a filter on the size of ``hits``, and so its whole expression, before the explode once more
     fired = materialise(found.frame.filter("is_bot").select("hits"), "hits").select(F.explode("hits").alias("h")).groupBy(F.col("h.rule_id").alias("rule_id"), F.col("h.reason").alias("reason"))
     return fired.agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "rule_id", "reason").limit(n)
 
